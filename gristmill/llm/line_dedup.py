@@ -13,8 +13,6 @@ inserted in their shard's filter, keys that fall below 2 are deleted from it, wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -248,18 +246,28 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` with ``text`` reduced to the lines that stay, plus n_lines and n_dropped."""
         gone = self.dropped(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.collect_list("pos")).alias("__gone"))
-        lines = lines_of(F.col("text"))
-        gone_or_none = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_or_none)
-        kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n"))
         rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-        return (
-            docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-            .withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
-            .select(*rest, kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"))
+        text = F.when(F.col("__gone").isNotNull(), F.coalesce("text", F.lit("")))
+        kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.pandas_udf(without, "string")(text, F.col("__gone")))
+        n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"))) + 1
+        n_dropped = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left").select(
+            *rest, kept.alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped")
         )
 
 
+def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """The lines that stay, joined again; null where no line goes."""
+
+    def kept(text: str | None, places: np.ndarray | None) -> str | None:
+        if text is None:
+            return None
+        out = set(places.tolist())
+        return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
+
+    return pd.Series([kept(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+
+
 def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's filter from its shared keys."""
     f = filled(rows["h"].to_numpy())
