@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, line_dedup, packing, simhash
+import corpus_pipeline
+from gristmill.llm import decontaminate, language, line_dedup, packing, quality, simhash
 from gristmill.llm.common import table
 from gristmill.llm.tokens import default_tokenizer
 
@@ -15,6 +16,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -30,9 +39,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_language_id": op2_language_id,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 

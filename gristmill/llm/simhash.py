@@ -124,6 +124,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id. Columns as they came; of rows that share that
+    doc_id one stays. Rows without doc_id stay, since nothing names them."""
+    keepers = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint in 16 hex digits, component_id."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
