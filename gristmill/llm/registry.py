@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, language, line_dedup, packing, quality, simhash, url_filter
+from gristmill.llm import (
+    decontaminate,
+    language,
+    license_scan,
+    line_dedup,
+    media,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from gristmill.llm.common import table
 from gristmill.llm.tokens import default_tokenizer
 
@@ -20,6 +31,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_count_report(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_report(table(spark, sf_dir, "pages"))
 
@@ -44,6 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
+        "op3_license_scan": op3_license_scan,
+        "op4_media_columns": op4_media_columns,
+        "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_best_fit_packing": op8_best_fit_packing,
