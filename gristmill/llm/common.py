@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,14 @@ def crc_of_id(c: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns: whatever else a table carries cannot clash with what an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def mapped(df: DataFrame, run: Callable, added: str) -> DataFrame:
+    """mapInPandas that keeps all columns of ``df`` and appends ``added``, whatever the columns are called."""
+    safe, seen = [], set()
+    for k, name in enumerate(df.columns):
+        safe.append(name if name.isidentifier() and name not in seen else f"column_{k}__")
+        seen.add(name)
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(safe, df.schema, strict=True))
+    out = df.toDF(*safe).mapInPandas(run, f"{schema}, {added}")
+    return out.toDF(*df.columns, *out.columns[len(safe) :])

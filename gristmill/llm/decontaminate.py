@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import only
+from gristmill.llm.common import mapped, only
 
 WINDOW = 10
 #: Bytes of test text that go to the tasks at once; a larger benchmark is gone through in several blocks.
@@ -146,18 +146,15 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, window, block_bytes)]
     for k, block in enumerate(blocks):
         first, last = k == 0, k == len(blocks) - 1
-        state = ", `__inside` binary, `__items` array<string>"
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + (", " + VERDICT if last else state)
 
-        def run(frames: Iterator[pd.DataFrame], block=block, first=first, last=last) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], block=block, k=k, first=first, last=last) -> Iterator[pd.DataFrame]:
             for frame in pieces(frames):
                 inside, found = scan(frame["text"].tolist(), block.value)
                 if not first:
-                    inside = [x | np.frombuffer(y, bool) for x, y in zip(inside, frame["__inside"], strict=True)]
-                    found = [x | set(y) for x, y in zip(found, frame["__items"], strict=True)]
-                    frame = frame.drop(columns=["__inside", "__items"])
+                    inside = [x | np.frombuffer(y, bool) for x, y in zip(inside, frame[f"__inside{k - 1}"], strict=True)]
+                    found = [x | set(y) for x, y in zip(found, frame[f"__items{k - 1}"], strict=True)]
                 if not last:
-                    yield frame.assign(__inside=[x.tobytes() for x in inside], __items=[sorted(x) for x in found])
+                    yield frame.assign(**{f"__inside{k}": [x.tobytes() for x in inside], f"__items{k}": [sorted(x) for x in found]})
                     continue
                 hits = [int(x.sum()) for x in inside]
                 yield frame.assign(
@@ -168,7 +165,9 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
                     contaminated=[x > 0 for x in hits],
                 )
 
-        out = out.mapInPandas(run, schema)
+        out = mapped(out, run, VERDICT if last else f"__inside{k} binary, __items{k} array<string>")
+        if not first:
+            out = out.drop(f"__inside{k - 1}", f"__items{k - 1}")
     return out
 
 

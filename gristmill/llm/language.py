@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import crc_of_id, only
+from gristmill.llm.common import crc_of_id, mapped, only
 
 #: n-grams of a profile.
 RANKS = 300
@@ -124,14 +124,14 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
     base = docs.drop("held_out", "lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double"
+    added = "lang_pred string, score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [held.value.judge(t) for t in frame["text"]]
             yield frame.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
-    return base.mapInPandas(run, schema).withColumn("held_out", held_out(F.col("doc_id")))
+    return mapped(base, run, added).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

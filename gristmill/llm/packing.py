@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import only, stored
+from gristmill.llm.common import mapped, only, stored
 from gristmill.llm.tokens import Tokens
 
 CAPACITY = 2048
@@ -160,7 +160,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first = spark.sparkContext.broadcast({(r.length, getattr(r, "salt")): r.first for r in counts.rename(columns={"__salt": "salt", "__first": "first"}).itertuples()})
     place = spark.sparkContext.broadcast({k: slots[k].to_numpy() for k in slots})
     numbered = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")).cast("long") - 1)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = place.value
@@ -170,9 +169,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             rank = frame["__rank"].to_numpy() + np.array([first.value[x] for x in zip(n.tolist(), salt.tolist(), strict=True)], np.int64)
             k = np.searchsorted(keys, n * (1 << 45) + rank, side="right") - 1
             inside = rank - at["rank"][k]
-            yield frame.drop(columns=["__salt", "__rank"]).assign(sequence_id=at["bin"][k] + inside // at["copies"][k], offset=at["offset"][k] + inside % at["copies"][k] * n)
+            yield frame.assign(sequence_id=at["bin"][k] + inside // at["copies"][k], offset=at["offset"][k] + inside % at["copies"][k] * n)
 
-    return numbered.mapInPandas(run, schema)
+    return mapped(numbered, run, "sequence_id long, offset long").drop("__salt", "__rank")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import crc_of_id, only
+from gristmill.llm.common import crc_of_id, mapped, only
 
 #: Rows of each training sample, in expectation.
 SAMPLE = 12_000
@@ -218,13 +218,13 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)[0])
     base = docs.drop("held_out", "score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", score double"
+    added = "score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(score=model.value.scores(table_of(frame["text"].tolist())))
 
-    out = base.mapInPandas(run, schema)
+    out = mapped(base, run, added)
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
