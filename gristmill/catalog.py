@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import cleaning, combining
+from gristmill.plans import battles, cleaning, combining
 
-MODULES = (combining, cleaning)
+MODULES = (combining, cleaning, battles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
