@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import battles, cleaning, combining
+from gristmill.plans import battles, cleaning, combining, ranking, scoring
 
-MODULES = (combining, cleaning, battles)
+MODULES = (combining, cleaning, scoring, battles, ranking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
