@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import battles, cleaning, combining, ranking, scoring
+from gristmill.plans import battles, cleaning, combining, correlation, ranking, scoring, texts
 
-MODULES = (combining, cleaning, scoring, battles, ranking)
+MODULES = (combining, cleaning, scoring, battles, ranking, correlation, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
