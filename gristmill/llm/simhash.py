@@ -11,6 +11,7 @@ smallest among them. A meeting point has as many members as a fingerprint has bi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ RADIUS = 2
 PIVOTS = 16
 #: The largest block group whose pairs are formed; no row meets more partners than this.
 GROUP = 48
+#: Similar documents: the share of five-word shingles in common, the bits up to which fingerprints are compared by
+#: their texts, the tables of sampled bits that are searched, and the largest group there whose pairs are formed.
+SIMILARITY, SIMILAR_SHINGLE, REACH, TABLES, FEW = 0.8, 5, 10, 32, 8
 #: Bits that are set in each value of a byte.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -109,25 +113,126 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def grouped(own: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id from documents' fingerprints, distinct ones (fp, first_id) and (node, root) rows."""
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_tables(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    own = stored(fingerprints(docs, shingle), "fingerprints")
+    return own, stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that the document's fingerprint reaches over links.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with the same doc_id or the same text are
     rows of their own. A row without doc_id gets a component like others, but is never its smallest id.
     """
-    own = stored(fingerprints(docs, shingle), "fingerprints")
-    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    own, fps = fingerprint_tables(docs, shingle)
+    return grouped(own, fps, components(links(fps.select("fp"))))
+
+
+def masks(bits: int, tables: int = TABLES) -> list[int]:
+    """A choice of so many of the 64 bits for each table, by rule, as signed masks."""
+    out = []
+    for t in range(tables):
+        mask = sum(1 << int(b) for b in np.random.default_rng(t).permutation(64)[:bits])
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
+def far_pairs(fps: DataFrame) -> DataFrame:
+    """(a, b, bits) of distinct fingerprints up to REACH bits apart that agree on the sampled bits of some table.
+
+    The sample grows with the logarithm of the table, so that groups stay small. In a group of more than FEW each
+    member is paired with one of them, which a hash picks anew in every table, so that no row meets more than FEW.
+    """
+    bits = min(40, max(12, math.ceil(math.log2(max(2, fps.count()))) + 1))
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks(bits))])
+    keyed = pivot_table(fps.select("fp")).select("fp", "d", F.explode(keys).alias("key")).select("key.t", "key.v", "fp", "d")
+    pick = F.min_by(F.struct("fp", "d"), F.xxhash64("fp", "t"))
+    sizes = keyed.groupBy("t", "v").agg(F.count("*").alias("n"), pick.alias("c")).where("n > 1")
+    keyed = stored(keyed.join(sizes, ["t", "v"]), "sampled")
+    within = lambda p, q: F.forall(F.zip_with(p, q, lambda i, j: F.abs(i - j)), lambda v: v <= REACH)
+    apart = lambda p, q: F.bit_count(p.bitwiseXOR(q))
+    few = keyed.where(F.col("n") <= FEW).drop("c")
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(
+        y,
+        (F.col("x.t") == F.col("y.t")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp"))
+        & within(F.col("x.d"), F.col("y.d")) & (apart(F.col("x.fp"), F.col("y.fp")) <= REACH),
+    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    c, e = F.col("c.fp"), F.col("c.d")
+    stars = keyed.where((F.col("n") > FEW) & (F.col("fp") != c) & within(F.col("d"), e) & (apart(F.col("fp"), c) <= REACH))
+    stars = stars.select(F.least("fp", c).alias("a"), F.greatest("fp", c).alias("b"))
+    return pairs.unionByName(stars).distinct().withColumn("bits", apart(F.col("a"), F.col("b")))
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    if len(words) <= shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of those pairs whose texts (fp, text) have at least this share of word shingles in common."""
+    full = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            kept = []
+            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
+                p, q = shingle_set(ta), shingle_set(tb)
+                if p and q and len(p & q) >= similarity * len(p | q):
+                    kept.append((a, b))
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
+
+    return full.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+
+
+def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, bits, ra, rb) of the pairs that lead from one group to another, with both groups' roots."""
+    at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    named = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra != rb")
+
+
+def nearest(pairs: DataFrame, *by: str) -> DataFrame:
+    """(a, b): for each fingerprint, and group on the other side if ``by`` says so, its nearest partner."""
+    side = lambda f, g, r: F.struct(F.col(f).alias("fp"), F.col(g).alias("other"), F.col(r).alias("group"), "bits")
+    both = pairs.select(F.explode(F.array(side("a", "b", "rb"), side("b", "a", "ra"))).alias("s")).select("s.*")
+    best = both.groupBy("fp", *by).agg(F.min(F.struct("bits", "other"))["other"].alias("other"))
+    return best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """As ``near_groups``, with further links between documents of at least SIMILARITY in their five-word shingles.
+
+    Fingerprints within RADIUS bits link at once. Those up to REACH bits apart are compared by their texts: first
+    each with its nearest partner, then with the nearest one of every other group that it may belong to. The search
+    is by sampled bits, which misses few (see the README).
+    """
+    own, fps = fingerprint_tables(docs, SHINGLE)
+    pairs = stored(far_pairs(fps), "pairs")
     roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    for by in ((), ("group",)):
+        asked = stored(nearest(crossing(pairs, roots), *by), "asked-pairs")
+        ids = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(fps, "fp").select("fp", F.col("first_id").alias("doc_id"))
+        texts = only(docs, "doc_id", "text").join(ids, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+        more = verified(asked, stored(texts, "asked-texts"))
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return grouped(own, fps, roots)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Columns as they came; of rows that share that
-    doc_id one stays. Rows without doc_id stay, since nothing names them."""
-    keepers = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of similar ones: the one with the smallest doc_id. Columns as they came; of rows
+    that share that doc_id one stays. Rows without doc_id stay, since nothing names them."""
+    keepers = similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
