@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import battles, cleaning, combining, correlation, kernels, ranking, scoring, texts
+from gristmill.plans import battles, cleaning, combining, correlation, exploring, kernels, ranking, scoring, texts
 
-MODULES = (combining, cleaning, scoring, battles, ranking, correlation, texts, kernels)
+MODULES = (combining, cleaning, scoring, battles, ranking, correlation, texts, kernels, exploring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import combine, impute, predict, rate
+from gristmill.operators import combine, explore, impute, predict, rate
 
 
 def test_skill_update_gives_the_published_values():
@@ -89,3 +89,21 @@ def test_predictions_and_calibration(spark):
     assert 0.9 < inside <= 1
     p = oof.select(c.above(F.col("predicted"), s, 1400.0).alias("p"), "predicted").where("(p > 0.5) != (predicted > 1400)")
     assert p.count() == 0
+
+
+def test_components_equal_an_eigendecomposition(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 3)) @ r.normal(size=(3, 3))
+    df = spark.createDataFrame([(k, *map(float, a)) for k, a in enumerate(x)] + [(999, None, 1.0, 2.0)], "k long, a double, b double, c double")
+    scores, shares = explore.principal_components(df, "k", ["a", "b", "c"], 2)
+    z = (x - x.mean(0)) / x.std(0)
+    values = np.linalg.eigvalsh(z.T @ z / 200)[::-1]
+    assert np.allclose(shares, values / values.sum())
+    got = scores.orderBy("k").toPandas()
+    assert len(got) == 200 and np.allclose(got[["pc1", "pc2"]].var(ddof=0), values[:2])
+
+
+def test_hulls_of_a_square_and_of_lines(spark):
+    pts = [("s", float(a), float(b)) for a in range(4) for b in range(4)] + [("l", float(a), float(a)) for a in range(5)] + [("p", 1.0, 1.0)]
+    got = explore.hulls(spark.createDataFrame(pts, "g string, x double, y double"), "g", "x", "y").orderBy("corner").collect()
+    assert [(r["g"], r["x"], r["y"]) for r in got] == [("s", 0, 0), ("s", 3, 0), ("s", 3, 3), ("s", 0, 3)]
