@@ -77,7 +77,8 @@ def hulls(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
             out.pop()
         if len(out) < 3:
             out = []
-        return pd.DataFrame({by: [key[0]] * len(out), "corner": np.arange(len(out)), x: [p[0] for p in out], y: [p[1] for p in out]})
+        corners = np.array(out, float).reshape(-1, 2)
+        return pd.DataFrame({by: [key[0]] * len(out), "corner": np.arange(len(out)), x: corners[:, 0], y: corners[:, 1]})
 
     kind = df.schema[by].dataType.simpleString()
     return thin.groupBy(by).applyInPandas(hull, f"`{by}` {kind}, corner long, `{x}` double, `{y}` double")
