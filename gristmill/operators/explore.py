@@ -77,8 +77,8 @@ def hulls(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
             out.pop()
         if len(out) < 3:
             out = []
-        corners = np.array(out, float).reshape(-1, 2)
-        return pd.DataFrame({by: [key[0]] * len(out), "corner": np.arange(len(out)), x: corners[:, 0], y: corners[:, 1]})
+        return pd.DataFrame({by: [key[0]], "all": [[list(map(float, p)) for p in out]]})
 
     kind = df.schema[by].dataType.simpleString()
-    return thin.groupBy(by).applyInPandas(hull, f"`{by}` {kind}, corner long, `{x}` double, `{y}` double")
+    found = thin.groupBy(by).applyInPandas(hull, f"`{by}` {kind}, all array<array<double>>").select(by, F.posexplode("all").alias("corner", "p"))
+    return found.select(by, F.col("corner").cast("long").alias("corner"), F.col("p")[0].alias(x), F.col("p")[1].alias(y))
