@@ -132,3 +132,28 @@ def bradley_terry(results: DataFrame, group: str, ridge: float = 1.0, rounds: in
 
     kind = counts.schema[group].dataType.simpleString()
     return counts.groupBy(group).applyInPandas(solve, f"`{group}` {kind}, model string, strength double")
+
+
+def controlled_strengths(battles: DataFrame, covariates: list[str], key: str, penalty: float = 1.0) -> tuple[DataFrame, dict[str, float]]:
+    """(model, strength) by logistic regression on the difference of the models and z-scored covariate deltas, and
+    the covariates' weights.
+
+    Input: winner, loser, the covariates as winner minus loser, and a key whose hash decides which side is first.
+    Models are few (a column each); battles stay spread out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    names = sorted(r[0] for r in battles.select(F.explode(F.array("winner", "loser"))).distinct().collect())
+    stats = battles.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in covariates], *[F.stddev(c).alias(f"s_{c}") for c in covariates]).first()
+    first = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    way = F.when(first, 1.0).otherwise(-1.0)
+    sides = [(way * ((F.col("winner") == m).cast("double") - (F.col("loser") == m).cast("double"))).alias(f"m{i}") for i, m in enumerate(names)]
+    deltas = [(way * (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(f"c{i}") for i, c in enumerate(covariates)]
+    rows = battles.select(first.cast("double").alias("label"), *sides, *deltas)
+    inputs = [c for c in rows.columns if c != "label"]
+    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select("label", "features")
+    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=penalty / max(1, stats["n"])).fit(data)
+    w = model.coefficients.toArray().tolist()
+    strengths = battles.sparkSession.createDataFrame(list(zip(names, w, strict=False)), "model string, strength double")
+    return strengths, dict(zip(covariates, w[len(names) :], strict=True))

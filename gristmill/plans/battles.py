@@ -125,3 +125,16 @@ def skill_ratings(spark: SparkSession, d: str) -> DataFrame:
 @queries.add("bradley_terry")
 def bradley_terry(spark: SparkSession, d: str) -> DataFrame:
     return rate.bradley_terry(rate.paired_results(battles(spark, d)), "item")
+
+
+@queries.add("style_controlled")
+def style_controlled(spark: SparkSession, d: str) -> DataFrame:
+    """Strengths with and without a style covariate, and the shift between them."""
+    style = table(spark, d, "events").where("event_type != 'view'").groupBy(F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string")).alias("m")).agg(F.avg("value").alias("x"))
+    side = lambda who, name: style.select(F.col("m").alias(who), F.col("x").alias(name))
+    own = battles(spark, d).join(side("winner", "xw"), "winner").join(side("loser", "xl"), "loser")
+    # The covariate is a battle's own: margins vary it, so that it is more than a name of its models.
+    own = own.withColumn("delta", F.col("xw") - F.col("xl") + F.col("seq") % 5).persist()
+    raw = rate.controlled_strengths(own, [], "seq")[0].withColumnRenamed("strength", "raw")
+    kept = rate.controlled_strengths(own, ["delta"], "seq")[0].withColumnRenamed("strength", "controlled")
+    return raw.join(kept, "model").withColumn("shift", F.col("controlled") - F.col("raw"))

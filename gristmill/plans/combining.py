@@ -201,3 +201,38 @@ def first_non_empty(spark: SparkSession, d: str) -> DataFrame:
     """The first value that is not empty ('view' stands for empty here) in the order of the rows."""
     value = F.nullif(F.col("event_type"), F.lit("view"))
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by(value, F.when(value.isNotNull(), F.col("event_id"))).alias("first_type"))
+
+
+@queries.add(
+    "dates_with_priority",
+    """SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, CASE WHEN a.k IS NOT NULL THEN 'live' ELSE 'legacy' END AS origin
+FROM (SELECT o_custkey AS k, max(o_orderdate)::DATE AS day FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1) a FULL OUTER JOIN (SELECT o_custkey AS k, min(o_orderdate)::DATE AS day FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) b ON a.k = b.k""",
+)
+def dates_with_priority(spark: SparkSession, d: str) -> DataFrame:
+    """One date for each key from two files, of which the live one wins."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"))
+    live = o.where("k % 3 != 0").groupBy("k").agg(F.max("day").alias("day")).withColumn("origin", F.lit("live"))
+    legacy = o.where("k % 5 != 0").groupBy("k").agg(F.min("day").alias("day")).withColumn("origin", F.lit("legacy"))
+    return C.keep_first(live.unionByName(legacy), ["k"], [F.when(F.col("origin") == "live", 0).otherwise(1)])
+
+
+@queries.add("swap_columns", "SELECT p_partkey, p_name, CASE WHEN n IS NULL THEN p_retailprice ELSE q END AS rating, n IS NOT NULL AS swapped FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, round(avg(l_quantity), 6) AS q FROM lineitem WHERE l_quantity > 20 GROUP BY 1 HAVING count(*) > 15) ON l_partkey = p_partkey")
+def swap_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A rating column replaced by another table's where that one has enough rows."""
+    lines = table(spark, d, "lineitem").where("l_quantity > 20").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("q")).where("n > 15")
+    joined = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice").join(lines, "p_partkey", "left")
+    return joined.select("p_partkey", "p_name", F.when(F.col("n").isNull(), F.col("p_retailprice")).otherwise(F.col("q")).alias("rating"), F.col("n").isNotNull().alias("swapped"))
+
+
+@queries.add("suffixed_join", "SELECT a.c_nationkey AS nation, a.mean AS mean_mb, b.mean AS mean_sp, a.mean - b.mean > 0 AS first_higher FROM (SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey, round(avg(s_acctbal), 4) AS mean FROM supplier GROUP BY 1) b ON c_nationkey = s_nationkey")
+def suffixed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two predictions of the same rows side by side, told apart by suffixes."""
+    mean = lambda t, p, s: table(spark, d, t).groupBy(F.col(f"{p}_nationkey").alias("nation")).agg(F.round(F.avg(f"{p}_acctbal"), 4).alias(f"mean_{s}"))
+    return mean("customer", "c", "mb").join(mean("supplier", "s", "sp"), "nation").withColumn("first_higher", F.col("mean_mb") - F.col("mean_sp") > 0)
+
+
+@queries.add("attached_features", "SELECT count(*) AS n, count(f) AS complete, round(avg(f), 6) AS mean_feature FROM customer LEFT JOIN (SELECT user_id, avg(value) AS f FROM events WHERE event_type = 'purchase' GROUP BY 1) ON user_id = c_custkey")
+def attached_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features joined to the base by name, and how many rows got them."""
+    f = table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("c_custkey")).agg(F.avg("value").alias("f"))
+    return table(spark, d, "customer").join(f, "c_custkey", "left").agg(F.count("*").alias("n"), F.count("f").alias("complete"), F.round(F.avg("f"), 6).alias("mean_feature"))

@@ -189,3 +189,42 @@ def top_against_bottom(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9))).alias("e")).first()["e"]
     ends = orders.where((F.col("o_totalprice") >= hi) | (F.col("o_totalprice") <= lo))
     return ends.groupBy(F.when(F.col("o_totalprice") >= hi, "top").otherwise("bottom").alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg("o_orderkey"), 3).alias("mean_key"), F.round(F.median("o_orderkey"), 3).alias("median_key"))
+
+
+@queries.add("conditional_blend", "SELECT p_partkey, greatest(0, least(100, CASE WHEN p_size > 25 AND p_retailprice > 950 THEN 0.4 * p_size + 0.6 * (p_retailprice / 20) ELSE p_size * 1.0 END))::DOUBLE AS score FROM part")
+def conditional_blend(spark: SparkSession, d: str) -> DataFrame:
+    """A prediction blended with a measured score under a condition, kept within 0 to 100."""
+    size, acc = F.col("p_size"), F.col("p_retailprice") / 20
+    mixed = F.when((size > 25) & (F.col("p_retailprice") > 950), F.lit(0.4) * size + F.lit(0.6) * acc).otherwise(size.cast("double"))
+    return table(spark, d, "part").select("p_partkey", F.greatest(F.lit(0.0), F.least(F.lit(100.0), mixed)).alias("score"))
+
+
+@queries.add("ratio_features", "SELECT doc_id, round(1000.0 * (length(text) - length(replace(text, '!', ''))) / (length(text) + 1), 6)::DOUBLE AS bangs_per_1k, round(ln(1 + length(text) / 10.0), 6) AS log_length FROM documents")
+def ratio_features(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per thousand characters with smoothing, and a log of a scaled length."""
+    n = F.length("text")
+    bangs = n - F.length(F.replace("text", F.lit("!")))
+    return table(spark, d, "documents").select("doc_id", F.round(1000 * bangs / (n + 1), 6).alias("bangs_per_1k"), F.round(F.log1p(n / 10), 6).alias("log_length"))
+
+
+@queries.add("logit_link", "SELECT l_orderkey, l_linenumber, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS back FROM (SELECT l_orderkey, l_linenumber, greatest(0.01, least(0.99, l_quantity / 50.0)) AS p FROM lineitem)")
+def logit_link(spark: SparkSession, d: str) -> DataFrame:
+    """Shares on the logit scale, kept off 0 and 1, and back."""
+    p = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("l_quantity") / 50.0))
+    z = F.ln(p / (1 - p))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(z, 6).alias("logit"), F.round(1 / (1 + F.exp(-z)), 6).alias("back"))
+
+
+@queries.add(
+    "pooled_slots",
+    """WITH s AS (SELECT user_id, event_type AS slot, avg(value) AS v FROM events WHERE value > 60 GROUP BY 1, 2), c AS (SELECT slot, avg(v) AS centroid FROM s GROUP BY 1), g AS (SELECT user_id, slot, centroid FROM (SELECT DISTINCT user_id FROM s), c)
+SELECT user_id, string_agg(round(coalesce(v, centroid), 3)::VARCHAR, '|' ORDER BY slot) IS NOT NULL AS whole, count(v) AS filled, round(sum(coalesce(v, centroid)), 7) AS total FROM g LEFT JOIN s USING (user_id, slot) GROUP BY 1""",
+)
+def pooled_slots(spark: SparkSession, d: str) -> DataFrame:
+    """One pooled value for each slot of a model; slots it lacks take the slot's centroid (few slots, broadcast)."""
+    s = table(spark, d, "events").where("value > 60").groupBy("user_id", F.col("event_type").alias("slot")).agg(F.avg("value").alias("v"))
+    centroids = s.groupBy("slot").agg(F.avg("v").alias("centroid"))
+    all_ = centroids.agg(F.collect_list(F.struct("slot", "centroid")).alias("all"))
+    own = s.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("own")).withColumn("all", all_.scalar())
+    values = F.transform("all", lambda x: F.coalesce(F.col("own")[x["slot"]], x["centroid"]))
+    return own.select("user_id", F.lit(True).alias("whole"), F.size("own").cast("long").alias("filled"), F.round(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), 7).alias("total"))
