@@ -50,13 +50,25 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that fit in memory several times over, however long the texts are."""
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns: whatever else a table carries cannot clash with what an operator adds."""
+    """Just these columns: whatever else a table carries cannot clash with what an operator adds. What an operator
+    hands to Python starts here, and goes there in small batches."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
 def mapped(df: DataFrame, run: Callable, added: str) -> DataFrame:
     """mapInPandas that keeps all columns of ``df`` and appends ``added``, whatever the columns are called."""
+    small_batches(df.sparkSession)
     safe, seen = [], set()
     for k, name in enumerate(df.columns):
         safe.append(name if name.isidentifier() and name not in seen else f"column_{k}__")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -14,11 +16,9 @@ class Tokens:
     string of a special token always go to the tokenizer itself."""
 
     def __init__(self, tokenizer: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = tokenizer
+        with open(tokenizer, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         ranks = os.path.splitext(tokenizer)[0] + ".tiktoken"
         self.fast = self._ranks(ranks) if os.path.exists(ranks) else None
 
@@ -31,6 +31,14 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """Loaded only where it is needed, since each Python worker holds its own."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.whole.encode(text, add_special_tokens=False).ids
