@@ -29,9 +29,12 @@ RADIUS = 2
 PIVOTS = 16
 #: The largest block group whose pairs are formed; no row meets more partners than this.
 GROUP = 48
-#: Similar documents: the share of five-word shingles in common, the bits up to which fingerprints are compared by
-#: their texts, the tables of sampled bits that are searched, and the largest group there whose pairs are formed.
-SIMILARITY, SIMILAR_SHINGLE, REACH, TABLES, FEW = 0.8, 5, 10, 32, 8
+#: Similar documents: the share of five-word shingles in common.
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+#: For the order of shingles alone, which changes no result: documents that are counted, and how often and how many of
+#: their shingles then count as common ones. STARS: rounds of one partner each before all pairs that are left; SPLIT:
+#: rows of a shingle that one task joins at once.
+COUNTED, COMMON, MOST_COMMON, STARS, SPLIT = 10_000, 3, 100_000, 2, 256
 #: Bits that are set in each value of a byte.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -136,42 +139,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return grouped(own, fps, components(links(fps.select("fp"))))
 
 
-def masks(bits: int, tables: int = TABLES) -> list[int]:
-    """A choice of so many of the 64 bits for each table, by rule, as signed masks."""
-    out = []
-    for t in range(tables):
-        mask = sum(1 << int(b) for b in np.random.default_rng(t).permutation(64)[:bits])
-        out.append(mask - (1 << 64) if mask >> 63 else mask)
-    return out
-
-
-def far_pairs(fps: DataFrame) -> DataFrame:
-    """(a, b, bits) of distinct fingerprints up to REACH bits apart that agree on the sampled bits of some table.
-
-    The sample grows with the logarithm of the table, so that groups stay small. In a group of more than FEW each
-    member is paired with one of them, which a hash picks anew in every table, so that no row meets more than FEW.
-    """
-    bits = min(40, max(12, math.ceil(math.log2(max(2, fps.count()))) + 1))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks(bits))])
-    keyed = pivot_table(fps.select("fp")).select("fp", "d", F.explode(keys).alias("key")).select("key.t", "key.v", "fp", "d")
-    pick = F.min_by(F.struct("fp", "d"), F.xxhash64("fp", "t"))
-    sizes = keyed.groupBy("t", "v").agg(F.count("*").alias("n"), pick.alias("c")).where("n > 1")
-    keyed = stored(keyed.join(sizes, ["t", "v"]), "sampled")
-    within = lambda p, q: F.forall(F.zip_with(p, q, lambda i, j: F.abs(i - j)), lambda v: v <= REACH)
-    apart = lambda p, q: F.bit_count(p.bitwiseXOR(q))
-    few = keyed.where(F.col("n") <= FEW).drop("c")
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.t") == F.col("y.t")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp"))
-        & within(F.col("x.d"), F.col("y.d")) & (apart(F.col("x.fp"), F.col("y.fp")) <= REACH),
-    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    c, e = F.col("c.fp"), F.col("c.d")
-    stars = keyed.where((F.col("n") > FEW) & (F.col("fp") != c) & within(F.col("d"), e) & (apart(F.col("fp"), c) <= REACH))
-    stars = stars.select(F.least("fp", c).alias("a"), F.greatest("fp", c).alias("b"))
-    return pairs.unionByName(stars).distinct().withColumn("bits", apart(F.col("a"), F.col("b")))
-
-
 def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
     words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
     if len(words) <= shingle:
@@ -179,9 +146,89 @@ def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
     return {b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
 
 
+def shingle_keys(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's shingles, each once."""
+    found = shingle_set(text)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found))).view(np.int64)
+
+
+def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) that repeat in COUNTED documents or so, picked by hash, and how often each does."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *map(shingle_keys, f["text"])])})
+
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1, COUNTED / max(1, n))))
+    counts = some.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas().sort_values("key")
+    return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def prefixes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, size, place, key): of each text's shingles, common ones last, as many as similar texts cannot all lack.
+
+    Texts of ``size`` shingles share ceil(similarity * size) of them with any similar one, so that in one order for all
+    the first size - ceil(similarity * size) + 1 of both have one in common.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, n))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, times = held.value
+        for f in frames:
+            sizes, firsts = [], []
+            for keys in map(shingle_keys, f["text"]):
+                weight = np.zeros(len(keys), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                    weight = np.where(common[at] == keys, times[at], 0)
+                sizes.append(len(keys))
+                most = len(keys) - math.ceil(similarity * len(keys) - 1e-9) + 1 if len(keys) else 0
+                firsts.append(keys[np.lexsort((keys, weight))][:most])
+            yield pd.DataFrame({"node": f["node"], "size": sizes, "keys": firsts})
+
+    rows = texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>")
+    return rows.select("node", "size", F.posexplode("keys").alias("place", "key")).distinct()
+
+
+def at_roots(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with their groups' roots, of those keys that more than one group has."""
+    named = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return named.join(open_, "key", "left_semi")
+
+
+def may_link(x: str, y: str, similarity: float) -> Column:
+    """Whether two rows of one key may be similar: of two groups, of fitting sizes, with enough left after the key."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    least = similarity / (1 + similarity) * (c(x, "size") + c(y, "size")) - 1e-6
+    return (c(x, "root") != c(y, "root")) & (F.least(c(x, "size") - c(x, "place"), c(y, "size") - c(y, "place")) >= least)
+
+
+def star_pairs(keyed: DataFrame, salt: int, similarity: float) -> DataFrame:
+    """(a, b): each node with the one of its keys' hubs (a key's hub: the least hash of a node) that most keys name."""
+    hub = keyed.groupBy("key").agg(F.min_by(F.struct("node", "size", "place", "root"), F.xxhash64("node", F.lit(salt))).alias("y"))
+    met = keyed.alias("x").join(hub.select("key", "y.*").alias("y"), "key").where(may_link("x", "y", similarity))
+    met = met.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("other")).agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def all_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs from different groups that share a key. Of two groups at least one is not the key's largest:
+    the rows of those meet all rows of the key. Keys with many rows are split."""
+    most = keyed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    most = most.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("rows"))
+    named = stored(keyed.join(most.withColumn("parts", F.ceil(F.col("rows") / SPLIT).cast("int")), "key"), "open-keys")
+    x = named.where("root != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = named.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where(may_link("x", "y", similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of those pairs whose texts (fp, text) have at least this share of word shingles in common."""
-    full = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+    """(a, b) of those pairs whose texts (node, text) have at least this share of word shingles in common."""
+    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -195,38 +242,39 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return full.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, bits, ra, rb) of the pairs that lead from one group to another, with both groups' roots."""
-    at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    named = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra != rb")
-
-
-def nearest(pairs: DataFrame, *by: str) -> DataFrame:
-    """(a, b): for each fingerprint, and group on the other side if ``by`` says so, its nearest partner."""
-    side = lambda f, g, r: F.struct(F.col(f).alias("fp"), F.col(g).alias("other"), F.col(r).alias("group"), "bits")
-    both = pairs.select(F.explode(F.array(side("a", "b", "rb"), side("b", "a", "ra"))).alias("s")).select("s.*")
-    best = both.groupBy("fp", *by).agg(F.min(F.struct("bits", "other"))["other"].alias("other"))
-    return best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """As ``near_groups``, with further links between documents of at least SIMILARITY in their five-word shingles.
 
-    Fingerprints within RADIUS bits link at once. Those up to REACH bits apart are compared by their texts: first
-    each with its nearest partner, then with the nearest one of every other group that it may belong to. The search
-    is by sampled bits, which misses few (see the README).
+    Fingerprints within RADIUS bits link at once. Then prefix filtering finds every pair of texts that can be similar:
+    first each text is compared with one partner a round, which joins most of a group, and at last all pairs that still
+    lead from one group to another are compared. Texts (nodes) are told apart by their 64-bit hash.
     """
-    own, fps = fingerprint_tables(docs, SHINGLE)
-    pairs = stored(far_pairs(fps), "pairs")
-    roots = components(links(fps.select("fp")))
-    for by in ((), ("group",)):
-        asked = stored(nearest(crossing(pairs, roots), *by), "asked-pairs")
-        ids = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(fps, "fp").select("fp", F.col("first_id").alias("doc_id"))
-        texts = only(docs, "doc_id", "text").join(ids, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-        more = verified(asked, stored(texts, "asked-texts"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
+    only(docs, "doc_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "node": f["node"], "fp": np.array([fingerprint(t) for t in f["text"]], np.int64)})
+
+    named = stored(own.mapInPandas(run, "doc_id long, node long, fp long"), "fingerprints")
+    fps = stored(named.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
+    at = lambda side: fps.select(F.col("fp").alias(side), F.col("node").alias(f"n{side}"))
+    near = links(fps.select("fp")).join(at("a"), "a").join(at("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = named.select("fp", F.col("node").alias("a")).distinct().join(fps.withColumnRenamed("node", "b"), "fp").where("a != b").select("a", "b")
+    roots = components(near.unionByName(same))
+    texts = own.select("node", "text").where(F.length("text") > 0)
+    keyed = stored(prefixes(texts, named.count(), similarity), "prefixes")
+    keyed = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "shared-keys")
+    for step in range(STARS + 1):
+        open_ = stored(at_roots(keyed, roots), "open")
+        asked = stored(star_pairs(open_, step, similarity) if step < STARS else all_pairs(open_, similarity), "asked-pairs")
+        ids = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = stored(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
+        more = verified(asked, held, similarity)
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return grouped(own, fps, roots)
+    rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

@@ -195,3 +195,19 @@ def test_similar_documents_are_found_by_texts(spark):
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
     assert all(got[k] // 4 == k // 4 for k in got)
     assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("groups", [8, 40])
+def test_all_similar_documents_are_found_whatever_the_size(spark, groups):
+    r, texts = random.Random(groups), []
+    shared = prose(5, 70)  # a hot source: most of its documents begin alike
+    for k in range(groups):
+        base = (shared + " " if k % 2 else "") + prose(3000 + k, r.choice([12, 60, 160]))
+        for edits in (0, 1, 2, 3, 5):
+            t = base.split()
+            for _ in range(edits * len(t) // 160 + (edits > 0)):
+                t[r.randrange(len(t))] = f"new{r.random()}"
+            texts.append(" ".join(t))
+    want = plain_similar(texts)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert got == want
