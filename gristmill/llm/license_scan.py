@@ -1,15 +1,17 @@
-"""License scans by conditional compression.
+"""License scans by exact wording and conditional compression.
 
-A block is a candidate if it has a word that licence notices have. Each candidate is compressed alone and with every
-template as a raw zstandard dictionary; the share by which the template shrinks it ranks the templates. A winner is
-confirmed by exact wording: its words are aligned to the template's, and it counts only if few words differ and no
-number does, since the number is what tells versions apart.
+A text is a candidate if it has a word that licence notices have. Around each such word every template is laid with its
+own such words on it, over line ends too, and the words there are aligned to the template's: it counts only if few words
+differ and no number does, since the number is what tells versions apart. Where templates overlap, the one with the
+fewest differences stands, then the one that as a raw zstandard dictionary shrinks the passage most.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,10 @@ TEMPLATES = {
     "Apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "Proprietary": "All rights reserved.",
 }
-TRIGGER = re.compile(r"licen[sc]e|copyright|permission is hereby|rights reserved|CC BY", re.IGNORECASE)
+TRIGGER = re.compile(r"licen[sc]e|copyright|permission\s+is\s+hereby|rights\s+reserved|CC\s+BY", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|\d+")
-#: The least share that the template must take off, and the most words that may differ from it.
-LEAST_GAIN, MOST_DIFFERENT = 0.25, 0.15
-#: Best templates by gain whose wording is compared.
-RANKED = 4
+#: The most words, as a share of the template's, that may differ from it.
+MOST_DIFFERENT = 0.15
 FINDINGS = "doc_id long, line long, license string, gain double, n_differences int, differences string"
 
 
@@ -49,6 +49,13 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def places(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the words at which the triggers of a text begin."""
+    ends = [b for _, b in spans]
+    found = {bisect.bisect_right(ends, m.start()) for m in TRIGGER.finditer(text)}
+    return sorted(k for k in found if k < len(spans))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = {k: (words(t), t) for k, t in sorted((templates or TEMPLATES).items())}
@@ -58,60 +65,67 @@ class Scanner:
             k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
             for k, (_, t) in self.templates.items()
         }
-        self.longest = max(len(t) for _, t in self.templates.values())
-
-    def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """(line number, block): from the sentence with the trigger on, as long as the longest template needs.
-        Triggers within a block that was yielded begin no new one."""
-        done = 0
-        for m in TRIGGER.finditer(text):
-            if m.start() < done:
-                continue
-            start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - self.longest, done)
-            done = min(len(text), m.end() + self.longest)
-            line_end = text.find("\n", m.end())
-            if 0 <= line_end < done:
-                done = line_end
-            yield text.count("\n", 0, m.start()), text[start:done]
-
-    def gains(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the block's compressed size that they save; the greatest first, ties by name."""
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / size, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def wording(self, block: str, name: str) -> tuple[int, str] | None:
-        """Number and list of the words that differ from the template where the block follows it; None if too many."""
-        want, have = self.templates[name][0], words(block)
-        match = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        same = [b for b in match.get_matching_blocks() if b.size]
+        self.counts = {k: Counter(w) for k, (w, _) in self.templates.items()}
+        self.anchors = {k: places(t.lower(), [m.span() for m in WORD.finditer(t.lower())]) for k, (_, t) in self.templates.items()}
+
+    def gain(self, passage: str, name: str) -> float:
+        """The share of the passage's compressed size that the template saves."""
+        data = passage.encode("utf-8", "surrogatepass")
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+
+    def wording(self, have: list[str], name: str) -> tuple[int, str, int, int] | None:
+        """Number and list of the words that differ from the template where ``have`` follows it, and the first and
+        the end of that part; None if too many."""
+        want = self.templates[name][0]
+        same = [b for b in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if b.size]
         if not same:
             return None
-        have = have[same[0].b : same[-1].b + same[-1].size]
-        apart = [(want[a:b], have[c:d]) for tag, a, b, c, d in difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes() if tag != "equal"]
+        first, end = same[0].b, same[-1].b + same[-1].size
+        part = have[first:end]
+        apart = [(want[a:b], part[c:d]) for tag, a, b, c, d in difflib.SequenceMatcher(None, want, part, autojunk=False).get_opcodes() if tag != "equal"]
         n = sum(max(len(a), len(b)) for a, b in apart)
         numbers = any(w.isdigit() for a, b in apart for w in (*a, *b))
         if numbers or n > MOST_DIFFERENT * len(want):
             return None
-        return n, ";".join(f"{' '.join(a)}>{' '.join(b)}" for a, b in apart)
+        return n, ";".join(f"{' '.join(a)}>{' '.join(b)}" for a, b in apart), first, end
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, int, str]]:
-        """(line, licence, gain, number of differences, differences) of each confirmed block."""
-        found = []
-        for line, block in self.blocks(text) if isinstance(text, str) else ():
-            confirmed = []
-            for gain, name in self.gains(block)[:RANKED]:
-                wording = self.wording(block, name) if gain >= LEAST_GAIN else None
-                if wording:
-                    confirmed.append((wording[0], -gain, name, wording[1]))
-            if confirmed:
-                n, gain, name, apart = min(confirmed)
-                found.append((line, name, -gain, n, apart))
-        return found
+        """(line, licence, gain, number of differences, differences) of each confirmed passage; none overlap."""
+        if not isinstance(text, str) or not TRIGGER.search(text):
+            return []
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        spans = [m.span() for m in WORD.finditer(low)]
+        all_, confirmed = [low[a:b] for a, b in spans], {}
+        for at in places(low, spans):
+            for name, (want, _) in self.templates.items():
+                slack = int(MOST_DIFFERENT * len(want))
+                for anchor in self.anchors[name] or range(len(want)):
+                    begin = at - anchor
+                    wide, own = max(0, begin - slack), max(0, begin)
+                    window = all_[wide : max(0, begin + len(want) + slack)]
+                    missing = self.counts[name] - Counter(window)
+                    if missing.total() > slack or any(w.isdigit() for w in missing):
+                        continue
+                    for start, part in ((wide, window), (own, all_[own : max(0, begin + len(want))])):
+                        found = self.wording(part, name)
+                        if found:
+                            n, apart, first, end = found
+                            confirmed[start + first, start + end, name] = n, apart
+        ranked, taken = [], []
+        for (first, end, name), (n, apart) in confirmed.items():
+            a, b = spans[first][0], spans[end - 1][1]
+            b += text[b : b + 1] == "."
+            ranked.append((n, -self.gain(text[a:b], name), name, first, end, apart))
+        for n, gain, name, first, end, apart in sorted(ranked):
+            if all(end <= f or e <= first for f, e, _ in taken):
+                taken.append((first, end, (text.count("\n", 0, spans[first][0]), name, -gain, n, apart)))
+        return [row for _, _, row in sorted(taken)]
 
 
 def findings(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row for each confirmed block (FINDINGS); documents without any have none."""
+    """One row for each confirmed passage (FINDINGS); documents without any have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates)

@@ -127,3 +127,11 @@ def test_licences_by_wording(spark):
     assert got == {k: "MIT" if t and "MIT" in t else "" for k, t in enumerate(odd_texts())}
     assert license_scan.findings(docs).count() == 1
     assert license_scan.license_report(docs.limit(0)).count() == 0
+
+
+def test_licences_inside_running_prose():
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        for before, after in ((prose(1, 20), ""), ("", prose(2, 20)), (prose(3, 20), prose(4, 20))):
+            found = scanner.scan(f"{before} {text} {after}")
+            assert [(f[1], f[3]) for f in found] == [(name, 0)], (name, before, after)
