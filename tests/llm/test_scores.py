@@ -135,3 +135,17 @@ def test_licences_inside_running_prose():
         for before, after in ((prose(1, 20), ""), ("", prose(2, 20)), (prose(3, 20), prose(4, 20))):
             found = scanner.scan(f"{before} {text} {after}")
             assert [(f[1], f[3]) for f in found] == [(name, 0)], (name, before, after)
+
+
+def test_licences_over_line_ends_and_several_on_a_line():
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        for width in (2, 4, 7):
+            w = text.split(" ")
+            wrapped = "\n".join(" ".join(w[k : k + width]) for k in range(0, len(w), width))
+            found = scanner.scan(f"Some words before.\n{wrapped}\nand after")
+            assert [(f[0], f[1], f[3]) for f in found] == [(1, name, 0)], (name, width)
+    t = license_scan.TEMPLATES
+    names = lambda x: [f[1] for f in scanner.scan(x)]
+    assert names(f"{t['Apache-2.0']} {t['Proprietary']}") == ["Apache-2.0", "Proprietary"]
+    assert names(f"{t['MIT']} {t['Apache-2.0']} {t['MIT']}") == ["MIT", "Apache-2.0", "MIT"]
