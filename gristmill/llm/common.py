@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where that is unset, a folder of this machine serves a
+    session that has no other machines; any other session is told to set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -66,6 +70,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def as_came(df: DataFrame) -> list[Column]:
+    """The frame's columns, whatever characters their names have."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def mapped(df: DataFrame, run: Callable, added: str) -> DataFrame:
     """mapInPandas that keeps all columns of ``df`` and appends ``added``, whatever the columns are called."""
     small_batches(df.sparkSession)

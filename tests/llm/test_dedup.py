@@ -7,9 +7,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from gristmill.llm import simhash
+from gristmill.llm.common import new_path
 from gristmill.llm.components import components
 from gristmill.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines, filled, line_dedup_report
 from tests.llm.fixtures import frame, lower_ascii, odd_texts, prose, split_words
@@ -47,6 +47,23 @@ def test_line_dedup_with_repeated_rows_and_null_ids(spark):
     assert order(map(tuple, got)) == order(plain_line_dedup(list(zip(ids, texts, strict=True))))
 
 
+def test_rows_of_one_id_with_different_texts_lose_only_shared_lines(spark):
+    ids = [1, 5, 5, 9]
+    texts = [
+        "shared line of text\nfirst of its own", "keep this one here aa\nanother private line\nshared line of text",
+        "shared line of text\nprivate zeta line bb\nthe third private line", "another private line\nfirst of its own",
+    ]
+    got = line_dedup_report(frame(spark, texts, ids)).collect()
+    assert order(map(tuple, got)) == order(plain_line_dedup(list(zip(ids, texts, strict=True))))
+
+
+def test_a_line_in_every_document_is_dealt_out_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr("gristmill.llm.line_dedup.PART_LINES", 7)
+    texts = [f"the line that all have\nand {'one' if k % 3 else 'two'} of some more words\n{prose(k, 4)}" for k in range(90)]
+    got = line_dedup_report(frame(spark, texts)).collect()
+    assert order(map(tuple, got)) == order(plain_line_dedup(list(enumerate(texts))))
+
+
 def test_line_dedup_keeps_columns_and_takes_empty_tables(spark):
     docs = frame(spark, odd_texts())
     out = dedup_lines(docs)
@@ -61,22 +78,38 @@ def test_incremental_changes_equal_a_fresh_index(spark):
     lines = [f"line number {k} of the pool" for k in range(30)]
     texts = ["\n".join(r.sample(lines, 6)) for _ in range(40)]
     docs = frame(spark, texts).select("doc_id", "text")
-    index = LineIndex(spark, shards=3)
+    path = f"{new_path(spark, 'index')}"
+    index = LineIndex(spark, path, shards=3)
     index.insert(docs.where("doc_id < 20")).insert(docs.where("doc_id between 10 and 39")).delete(docs.where("doc_id % 3 = 0"))
     left = docs.where("doc_id % 3 != 0")
-    fresh = LineIndex(spark, shards=2).insert(left)
-    pick = lambda i: order(map(tuple, i.refs().select(F.hex("digest"), "n_docs", "keeper").where("n_docs > 1").collect()))
-    assert pick(index) == pick(fresh)
-    show = lambda i: order(map(tuple, i.apply(left).select("doc_id", "text").collect()))
-    assert show(index) == show(fresh)
-    assert index.delete(left).refs().where("n_docs > 0").count() == 0
+    assert same(spark, index, left) and same(spark, LineIndex(spark, path), left)
+    again = LineIndex(spark, path).insert(docs.where("doc_id = 3")).delete(docs.where("doc_id < 10"))
+    left = docs.where("doc_id >= 10 and doc_id % 3 != 0")
+    assert same(spark, again, left) and len(LineIndex(spark, path).done) == 5
+    assert again.delete(left).refs().where("n_docs > 0").count() == 0
 
 
-def test_without_room_for_the_filters_the_exact_table_decides(spark, monkeypatch):
-    monkeypatch.setattr("gristmill.llm.line_dedup.SCREEN_BYTES", -1)
-    texts = odd_texts()
-    got = line_dedup_report(frame(spark, texts)).collect()
-    assert order(map(tuple, got)) == order(plain_line_dedup(list(enumerate(texts))))
+def same(spark, index, left):
+    """Counts, keepers and results equal those of a fresh index over the documents that are left."""
+    fresh = LineIndex(spark, shards=2).insert(left)
+    pick = lambda i: order(map(tuple, i.refs().select("h", "g", "n_docs", "keeper").where("n_docs > 0").collect()))
+    show = lambda i: order(map(tuple, i.apply(left).select("doc_id", "text").collect()))
+    return pick(index) == pick(fresh) and show(index) == show(fresh)
+
+
+def test_changed_texts_merged_generations_and_broken_changes(spark, monkeypatch):
+    monkeypatch.setattr("gristmill.llm.line_dedup.MERGE_AFTER", 2)
+    monkeypatch.setattr("gristmill.llm.line_dedup.SHARD_KEYS", 3)
+    path, texts = new_path(spark, "index"), {k: f"all of them have this\nof {k % 4} there are some\nown words of {k}" for k in range(16)}
+    table = lambda: spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    LineIndex(spark, path).insert(table())
+    for k in (0, 5, 6):
+        texts[k] = f"of {k % 3} there are some\nnew words of {k}"
+        LineIndex(spark, path).update(table().where(f"doc_id = {k}"))
+    table().withColumnRenamed("text", "h").write.parquet(f"{path}/refs/000099-broken")
+    index = LineIndex(spark, path)
+    assert index.shards > 1 and len(index._live()) < len(index.done)
+    assert same(spark, index, table())
 
 
 def test_cuckoo_filter_holds_what_it_was_given_and_forgets_what_was_deleted():
