@@ -1,88 +1,131 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every batch of documents that a task holds is one shard of the corpus. Its words become numbers (0: a word that no
-test item has, and so the end of any match), its suffixes are sorted, and every window that starts a suffix of a
-test item is found by binary search. What lies between the two bounds are all places of the window; runs of
-windows on one diagonal are the longest verbatim matches. A document is in one shard as a whole, so that nothing
-is shuffled. Test items go to the tasks in blocks of bounded size, one pass over the shard for each block.
-
-Suffixes are sorted to the depth of the longest window: deeper order does not move a window's bounds.
+The corpus is indexed once: each task turns its documents into shards of bounded size, a sequence of numbered words
+with the full suffix array (sorted to the documents' ends by prefix doubling), and stores them in the shared folder.
+A document lies in one shard as a whole, so that nothing is shuffled. Test items go to the tasks in blocks of bounded
+size, one block after the other over the stored shards. In each shard every suffix of an item that is long enough for
+a window is found by binary search; what lies between its two bounds are all places of the window, and runs of windows
+on one diagonal (the same distance between place in the document and place in the item) are the longest verbatim
+matches with their locations in both.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mapped, only
+from gristmill.llm.common import only, stored
 
 WINDOW = 10
 #: Bytes of test text that go to the tasks at once; a larger benchmark is gone through in several blocks.
 BLOCK_BYTES = 16 << 20
+#: Characters of a shard; a longer document is a shard of its own.
+SHARD_CHARACTERS = 6_000_000
 #: Words are runs of digits, a-z and characters beyond ASCII; A-Z is lower-cased before.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
 )
-VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+VERDICT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if isinstance(text, str) else []
 
 
+INDEX = "doc_ids array<long>, rows array<long>, starts array<int>, lengths array<int>, vocabulary binary, ids binary, suffixes binary"
+FOUND = "doc_id long, row long, spans array<struct<a:int,b:int>>, items array<string>"
+MATCHES = "doc_id long, item_id string, start long, item_start long, item_windows long, length long"
+
+
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order, by prefix doubling: only suffixes that are still tied are sorted again."""
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(n, np.int64)
+    at, key, k = np.arange(n), ids[order].astype(np.int64), 1
+    while True:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(first, len(key)))
+        rank[order[at]] = np.repeat(at[first], sizes)
+        at = at[np.repeat(sizes > 1, sizes)]
+        if not len(at):
+            return order
+        places = order[at]
+        after = np.where(places + k < n, rank[np.minimum(places + k, n - 1)] + 1, 0)
+        key = rank[places] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        order[at], key, k = places[by], key[by], 2 * k
+
+
 class ItemBlock:
-    """The windows of some test items, as numbered words."""
+    """The windows of some test items, as numbered words, with the items and places that each stands at."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+        self.vocabulary: dict[bytes, int] = {}
+        self.names = [i for i, _ in items]
+        by_window: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for n, (_, text) in enumerate(items):
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             for k in range(max(1, len(ids) - window + 1)) if ids else ():
-                by_window.setdefault(tuple(ids[k : k + window]), set()).add(item_id)
-        #: length of a window -> its windows as rows of numbers, and the items of each
-        self.windows: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(w) for w in by_window}):
-            own = [w for w in by_window if len(w) == n]
-            self.windows[n] = np.array(own, np.int32), [sorted(by_window[w]) for w in own]
+                by_window.setdefault(tuple(ids[k : k + window]), []).append((n, k))
+        #: per length of a window: its windows as rows of numbers, and how many owners (item, place) each has
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted({len(w) for w in by_window}):
+            own = [w for w in by_window if len(w) == length]
+            counts = np.array([len(by_window[w]) for w in own], np.int64)
+            owners = np.array([o for w in own for o in by_window[w]], np.int64).reshape(-1, 2)
+            self.windows.append((length, np.array(own, np.int64), np.concatenate(([0], np.cumsum(counts))), owners))
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of n numbers from first on: which run each number is of, and the numbers."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Shard:
     """Documents as one sequence of word numbers with its suffix array."""
 
-    def __init__(self, texts: list[str | None], block: ItemBlock):
-        get = block.vocab.get
-        numbers = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
-        self.lengths = np.array([len(x) for x in numbers], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))[:-1]  # a 0 stands after each document
-        gap = np.zeros(1, np.int32)
-        depth = max(block.windows, default=1)
-        self.ids = np.concatenate([y for x in numbers for y in (x, gap)] + [np.zeros(depth, np.int32)])
-        n = len(self.ids)
-        ends = np.where(self.ids == 0, np.arange(n), n)
-        ends = np.minimum.accumulate(ends[::-1])[::-1]
-        # Only suffixes that have as many known words as the shortest window can begin with one.
-        at = np.flatnonzero(ends - np.arange(n) >= min(block.windows, default=1))
-        rows = self.ids[at[:, None] + np.arange(depth)]
-        order = np.lexsort(rows.T[::-1]) if len(at) else np.zeros(0, np.int64)
-        self.suffixes, self.rows = at[order], rows[order]
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the first suffix that begins with it and the first after those, by binary search."""
-        return self._bound(queries, False), self._bound(queries, True)
+    def __init__(self, vocabulary: list[bytes], ids: np.ndarray, suffixes: np.ndarray, starts: np.ndarray):
+        self.numbers = {w: k for k, w in enumerate(vocabulary)}
+        self.ids, self.suffixes, self.starts = ids, suffixes, starts
+
+    @staticmethod
+    def build(texts: list[str | None]) -> tuple[Shard, np.ndarray]:
+        """The shard, and the documents' numbers of words."""
+        numbers: dict[bytes, int] = {}
+        own = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int64) for t in texts]
+        lengths = np.array([len(x) for x in own], np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
+        # Each document ends with a number of its own, where any match and any tie ends.
+        ids = np.concatenate([y for k, x in enumerate(own) for y in (x, np.array([len(numbers) + k]))] or [np.zeros(0, np.int64)])
+        return Shard(list(numbers), ids, suffix_array(ids), starts), lengths
+
+    def row(self, doc_ids: list, marks: list, lengths: np.ndarray) -> tuple:
+        pack = lambda x: x.astype("<i4").tobytes()
+        return doc_ids, marks, self.starts.tolist(), lengths.tolist(), b" ".join(self.numbers), pack(self.ids), pack(self.suffixes)
+
+    @staticmethod
+    def load(vocabulary: bytes, ids: bytes, suffixes: bytes, starts: np.ndarray) -> Shard:
+        return Shard(vocabulary.split(), np.frombuffer(ids, "<i4"), np.frombuffer(suffixes, "<i4"), np.asarray(starts, np.int64))
 
     def _bound(self, queries: np.ndarray, after: bool) -> np.ndarray:
+        """The first suffix that does not come before a query, or (after) the first that comes after all it begins."""
         depth, n = queries.shape[1], len(self.suffixes)
         low, high = np.zeros(len(queries), np.int64), np.full(len(queries), n, np.int64)
+        steps, last = np.arange(depth), len(self.ids) - 1
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            seen, asked = self.rows[mid, :depth], queries[open_]
+            seen = self.ids[np.minimum(self.suffixes[mid][:, None] + steps, last)]
+            asked = queries[open_]
             differ = seen != asked
             first = differ.argmax(1)
             k = np.arange(len(open_))
@@ -91,28 +134,50 @@ class Shard:
             high[open_] = np.where(less, high[open_], mid)
         return low
 
-    def found(self, block: ItemBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str]]]]:
-        """Per window length: the length, the places, the window of each place and the items of each window."""
-        for length, (queries, items) in block.windows.items():
-            low, high = self.bounds(queries)
-            n = high - low
-            which = np.repeat(np.arange(len(queries)), n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield length, self.suffixes[low[which] + inside], which, items
-
-
-def scan(texts: list[str | None], block: ItemBlock) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each text which of its words lie inside a window's occurrence, and the items of those windows."""
-    shard = Shard(texts, block)
-    edge, items = np.zeros(len(shard.ids) + 1, np.int64), [set() for _ in texts]
-    for length, places, which, owners in shard.found(block):
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + length, -1)
-        docs = np.searchsorted(shard.starts, places, side="right") - 1
-        for d, w in np.unique(np.stack([docs, which], 1), axis=0) if len(docs) else ():
-            items[d].update(owners[w])
-    inside = np.cumsum(edge)[:-1] > 0
-    return [inside[s : s + n] for s, n in zip(shard.starts, shard.lengths, strict=True)], items
+    def found(self, block: ItemBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per window length: the length, the places of windows, the window of each place, and the windows' owners."""
+        own = np.array([self.numbers.get(w, -1) for w in block.vocabulary], np.int64)
+        for length, windows, first_owner, owners in block.windows:
+            queries = own[windows]
+            asked = np.flatnonzero((queries >= 0).all(1)) if len(self.ids) >= length else np.zeros(0, np.int64)
+            low = self._bound(queries[asked], False)
+            begins = self.suffixes[np.minimum(low, len(self.suffixes) - 1)] if len(low) else low
+            there = (low < len(self.suffixes)) & (self.ids[np.minimum(begins[:, None] + np.arange(length), len(self.ids) - 1)] == queries[asked]).all(1) if len(low) else np.zeros(0, bool)
+            asked, low = asked[there], low[there]
+            which, at = spread(low, self._bound(queries[asked], True) - low)
+            yield length, self.suffixes[at].astype(np.int64), asked[which], first_owner, owners
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, side="right") - 1
+
+
+def row_mark(text: Column) -> Column:
+    """Tells rows of one doc_id apart; rows with the same text have the same matches."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def suffix_index(docs: DataFrame) -> DataFrame:
+    """The stored shards (INDEX) of ``docs``, one row each. Null text has no words; every row is in one shard."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            for row in zip(frame["doc_id"], frame["row"], frame["text"], strict=True):
+                held.append(row)
+                size += len(row[2]) if isinstance(row[2], str) else 0
+                if size >= SHARD_CHARACTERS:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    def made(held: list[tuple]) -> pd.DataFrame:
+        shard, lengths = Shard.build([t for _, _, t in held])
+        ids = [None if pd.isna(d) else int(d) for d, _, _ in held]
+        return pd.DataFrame([shard.row(ids, [int(r) for _, r, _ in held], lengths)], columns=[c.split()[0] for c in INDEX.split(", ")])
+
+    own = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), row_mark(F.col("text")).alias("row"), "text")
+    return stored(own.mapInPandas(run, INDEX), "suffix-arrays")
 
 
 def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[ItemBlock]:
@@ -124,86 +189,110 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[Ite
         yield ItemBlock([(r["item_id"], r["text"]) for r in part.where(F.col("part") == k).collect()], window)
 
 
-def pieces(frames: Iterator[pd.DataFrame], characters: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of about so much text, so that a shard's memory is bounded whatever the batch."""
-    for frame in frames:
-        if not len(frame):
-            continue
-        part = frame["text"].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum().to_numpy() // characters
-        for k in np.unique(part):
-            yield frame[part == k]
+def searched(index: DataFrame, items: DataFrame, window: int, block_bytes: int, rows: str, ask: Callable) -> DataFrame:
+    """What ``ask(shard, block, doc_ids, marks)`` gives for each stored shard and block of items. A block's results are
+    written before the next block goes out, so that one block at a time is held."""
+    spark, out, names = index.sparkSession, None, re.findall(r"(?:^|, )(\w+) ", rows)
+    for b in item_blocks(items, window, block_bytes):
+        block = spark.sparkContext.broadcast(b)
+
+        def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.itertuples():
+                    shard = Shard.load(r.vocabulary, r.ids, r.suffixes, r.starts)
+                    yield pd.DataFrame(ask(shard, block.value, r.doc_ids, r.rows), columns=list(names))
+
+        found = stored(only(index, *[c.split()[0] for c in INDEX.split(", ")]).mapInPandas(run, rows), "found")
+        block.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def hits(shard: Shard, block: ItemBlock, doc_ids: np.ndarray, marks: np.ndarray) -> list[tuple]:
+    """FOUND of one shard: for each document with windows the words inside them as spans, and their items."""
+    edge, owned = np.zeros(len(shard.ids) + 1, np.int64), []
+    for length, places, which, first_owner, owners in shard.found(block):
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + length, -1)
+        pairs = np.unique(np.stack([shard.document(places), which], 1), axis=0) if len(places) else np.zeros((0, 2), np.int64)
+        at, k = spread(first_owner[pairs[:, 1]], first_owner[pairs[:, 1] + 1] - first_owner[pairs[:, 1]])
+        owned.append(np.stack([pairs[at, 0], owners[k, 0]], 1))
+    inside = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0]))
+    begins, ends = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
+    spans: dict[int, list] = {}
+    for d, a, b in zip(shard.document(begins).tolist(), begins.tolist(), ends.tolist(), strict=True):
+        spans.setdefault(d, []).append({"a": a - int(shard.starts[d]), "b": b - int(shard.starts[d])})
+    items: dict[int, set] = {}
+    for d, n in np.unique(np.concatenate(owned), axis=0).tolist() if owned else ():
+        items.setdefault(d, set()).add(block.names[n])
+    return [(None if pd.isna(doc_ids[d]) else int(doc_ids[d]), int(marks[d]), spans[d], sorted(items[d])) for d in spans]
+
+
+def longest(shard: Shard, block: ItemBlock, doc_ids: np.ndarray, marks: np.ndarray) -> list[tuple]:
+    """MATCHES of one shard: runs of windows on one diagonal of a document and an item."""
+    rows = []
+    for length, places, which, first_owner, owners in shard.found(block):
+        at, k = spread(first_owner[which], first_owner[which + 1] - first_owner[which])
+        docs, own = shard.document(places[at]), owners[k]
+        start = places[at] - shard.starts[docs]
+        each = np.unique(np.stack([docs, own[:, 0], start - own[:, 1], start], 1), axis=0)
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(each[:, :3], axis=0) != 0).any(1) | (np.diff(each[:, 3]) != 1)))) if len(each) else ()
+        for (d, n, diagonal, a), count in zip(each[first].tolist() if len(each) else (), np.diff(np.append(first, len(each))).tolist() if len(each) else (), strict=True):
+            rows.append((None if pd.isna(doc_ids[d]) else int(doc_ids[d]), block.names[n], a, a - diagonal, count, count + length - 1))
+    return rows
+
+
+def verdicts(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """doc_id, row and VERDICT of every row of ``docs``."""
+    index = suffix_index(docs)
+    found = searched(index, items, window, block_bytes, FOUND, hits)
+    edges = F.sort_array(F.flatten(F.collect_list("spans")))
+    merged = F.aggregate(  # words inside any span: spans in order, each counted from where the last one ended
+        edges,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        lambda s, e: F.struct((s["n"] + F.greatest(F.lit(0), e["b"] - F.greatest(e["a"], s["end"]))).cast("long").alias("n"), F.greatest(e["b"], s["end"]).alias("end")),
+        lambda s: s["n"],
+    )
+    names = F.sort_array(F.array_distinct(F.flatten(F.collect_list("items"))))
+    each = found.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(merged.alias("n_hit"), names.alias("names"))
+    every = index.select(F.explode(F.arrays_zip("doc_ids", "rows", "lengths")).alias("d")).select("d.doc_ids", "d.rows", "d.lengths")
+    met = every.join(each, F.col("doc_ids").eqNullSafe(F.col("__id")) & (F.col("rows") == F.col("__row")), "left")
+    own = F.coalesce("names", F.array().cast("array<string>"))
+    return met.select(
+        F.col("doc_ids").alias("doc_id"), F.col("rows").alias("row"), F.col("lengths").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    )
 
 
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` (own ones of the same names replaced) with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     Null text has no words; a null item_id or item text no windows; repeated rows and items change nothing for
-    the others. Windows that several items have count for each of them.
+    the others. Windows that several items have count for each of them. Very long texts are indexed whole. Empty
+    tables give an empty result, or one without hits.
     """
-    names = [f.split()[0] for f in VERDICT.split(", ")]
-    base = docs.drop(*[c for c in docs.columns if c in names])
-    out = base
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, window, block_bytes)]
-    for k, block in enumerate(blocks):
-        first, last = k == 0, k == len(blocks) - 1
-
-        def run(frames: Iterator[pd.DataFrame], block=block, k=k, first=first, last=last) -> Iterator[pd.DataFrame]:
-            for frame in pieces(frames):
-                inside, found = scan(frame["text"].tolist(), block.value)
-                if not first:
-                    inside = [x | np.frombuffer(y, bool) for x, y in zip(inside, frame[f"__inside{k - 1}"], strict=True)]
-                    found = [x | set(y) for x, y in zip(found, frame[f"__items{k - 1}"], strict=True)]
-                if not last:
-                    yield frame.assign(**{f"__inside{k}": [x.tobytes() for x in inside], f"__items{k}": [sorted(x) for x in found]})
-                    continue
-                hits = [int(x.sum()) for x in inside]
-                yield frame.assign(
-                    n_words=[len(x) for x in inside],
-                    n_hit=hits,
-                    n_items=[len(x) for x in found],
-                    items_sha256=[hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found],
-                    contaminated=[x > 0 for x in hits],
-                )
-
-        out = mapped(out, run, VERDICT if last else f"__inside{k} binary, __items{k} array<string>")
-        if not first:
-            out = out.drop(f"__inside{k - 1}", f"__items{k - 1}")
-    return out
+    found = verdicts(docs, items, window, block_bytes).dropDuplicates(["doc_id", "row"]).withColumnRenamed("doc_id", "__id").withColumnRenamed("row", "__row")
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_mark(F.col("text")) == F.col("__row"))
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in VERDICT])
+    return base.join(found, here).select(*[F.col(f"`{c}`") for c in base.columns], *VERDICT)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, start, item_windows, length: the longest verbatim matches with their places, in words.
+    """MATCHES: the longest verbatim matches with their places in the document and in the item, in words.
 
-    Two windows that follow each other in the document and have an item in common belong to one match.
+    Windows that follow each other in the document and in the item belong to one match. Cases as in ``judged``.
     """
-    out = None
-    for b in item_blocks(items, window, block_bytes):
-        block = docs.sparkSession.sparkContext.broadcast(b)
-
-        def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            for frame in pieces(frames):
-                shard, ids, rows = Shard(frame["text"].tolist(), block.value), frame["doc_id"].tolist(), []
-                for length, places, which, owners in shard.found(block.value):
-                    by_item: dict[str, list[int]] = {}
-                    for p, w in zip(places.tolist(), which.tolist(), strict=True):
-                        for item in owners[w]:
-                            by_item.setdefault(item, []).append(p)
-                    for item, at in by_item.items():
-                        a = np.unique(at)
-                        for run_ in np.split(a, np.flatnonzero(np.diff(a) != 1) + 1):
-                            d = int(np.searchsorted(shard.starts, run_[0], side="right")) - 1
-                            rows.append((ids[d], item, int(run_[0] - shard.starts[d]), len(run_), len(run_) + length - 1))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "item_windows", "length"])
-
-        found = only(docs, "doc_id", "text").mapInPandas(run, "doc_id long, item_id string, start long, item_windows long, length long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return searched(suffix_index(docs), items, window, block_bytes, MATCHES, longest)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any word inside a window of a test item; columns as they came."""
-    return judged(docs, items, window).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any word inside a window of a test item; columns as they came, whatever they are called.
+    Cases as in ``judged``; a document without words stays."""
+    found = searched(suffix_index(docs), items, window, block_bytes, FOUND, hits).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_mark(F.col("text")) == F.col("__row"))
+    return docs.join(found, here, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return judged(only(docs, "doc_id", "text"), items).drop("text")
+    """doc_id and VERDICT of every row; cases as in ``judged``."""
+    return verdicts(docs, items, WINDOW, BLOCK_BYTES).drop("row")

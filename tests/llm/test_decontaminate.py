@@ -1,6 +1,9 @@
 import hashlib
+import random
 from collections import defaultdict
 
+import numpy as np
+
 from gristmill.llm import decontaminate
 from tests.llm.fixtures import WORDS, frame, odd_texts, prose, split_words
 
@@ -61,4 +64,52 @@ def test_longest_matches_have_their_places(spark):
     docs = frame(spark, ["x y z " + " ".join(words[10:45]) + " w", " ".join(words)])
     items = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
     got = sorted(map(tuple, decontaminate.matches(docs, items).collect()))
-    assert got == [(0, "9", 3, 26, 35), (1, "9", 0, 71, 80)]
+    assert got == [(0, "9", 3, 10, 26, 35), (1, "9", 0, 0, 71, 80)]
+
+
+def plain_matches(docs, items, window=10):
+    """Runs of at least a window on each diagonal, by looking at every pair of places."""
+    out = []
+    for d, t in docs:
+        for i, u in items:
+            a, b = split_words(t, WORD), split_words(u, WORD)
+            n = min(window, len(b))
+            for x in range(len(a)) if b else ():
+                for y in range(len(b)):
+                    if a[x] == b[y] and not (x and y and a[x - 1] == b[y - 1]):
+                        k = 0
+                        while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                            k += 1
+                        if k >= n:
+                            out.append((d, str(i), x, y, k - n + 1, k))
+    return sorted(out)
+
+
+def test_matches_equal_all_common_runs(spark):
+    r = random.Random(3)
+    texts = ["", None]
+    for k in range(40):
+        texts.append(" ".join(r.choice("abc") for _ in range(r.randint(1, 60))))
+    w = [f"w{k}" for k in range(11)]
+    texts.append(" ".join(w))
+    items = [(k, " ".join(r.choice("abc") for _ in range(r.randint(1, 24)))) for k in range(60)]
+    items.append((99, " ".join([*w[:10], "q1", "q2", *w[1:]])))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (1 << 20, 300):
+        got = sorted(map(tuple, decontaminate.matches(frame(spark, texts), table, window=5, block_bytes=block_bytes).collect()))
+        assert got == plain_matches(list(enumerate(texts)), items, 5)
+
+
+def test_suffix_arrays_are_sorted_to_the_end():
+    r = np.random.default_rng(1)
+    for n, k in ((0, 1), (1, 1), (50, 1), (300, 2), (2000, 5)):
+        ids = r.integers(0, k, n)
+        assert decontaminate.suffix_array(ids).tolist() == sorted(range(n), key=lambda p: ids[p:].tolist())
+
+
+def test_columns_of_any_names_keep_their_values(spark):
+    item = prose(5, 40)
+    docs = spark.createDataFrame([(1, "some words", "u1", "x"), (2, item, "u2", "y"), (2, "other words", "u3", "z"), (None, item, "u4", "w")], "doc_id long, text string, n_hit string, `a.b` string")
+    out = decontaminate.decontaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "some words", "u1", "x"), (2, "other words", "u3", "z")]
