@@ -1,12 +1,12 @@
 """SimHash near-dedup: fingerprints, pivot distance tables, verified links and their components.
 
-Distinct fingerprints that differ in at most RADIUS bits agree on one of RADIUS + 1 blocks of bits at least, so
-that each fingerprint stands once under each of its blocks. Within the small groups of a block the pivot table
-decides first: by the triangle inequality two fingerprints whose distances to any pivot differ by more than the
-radius cannot link. Survivors are verified by their own Hamming distance. Groups that are too large for pairs are
-gone through in another exact way: two fingerprints are within 2 bits if and only if some third one is within one
-bit of each, so that every member offers itself under its one-bit neighbours, and those who meet are linked to the
-smallest among them. A meeting point has as many members as a fingerprint has bits, plus one, at most.
+Distinct fingerprints that differ in at most RADIUS bits agree on one of RADIUS + 1 blocks of bits at least, so that
+each fingerprint stands once under each of its blocks. A group of fingerprints that agree is split in the same way by
+the bits that it does not yet agree on, for as long as it is larger than GROUP and such bits are left. In every group
+the pivot table decides first: by the triangle inequality two fingerprints whose distances to any pivot differ by more
+than the radius cannot link. Survivors are verified by their own Hamming distance. No step depends on how large a group
+was at first: a fingerprint stands in at most 3 ** LEVELS groups, and what agrees on all split bits differs in LAST bits
+at most, which bounds the last groups.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from gristmill.llm.components import components
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-PIVOTS = 16
-#: The largest block group whose pairs are formed; no row meets more partners than this.
-GROUP = 48
+PIVOTS = 32
+#: A larger group is split by the bits that it does not agree on, LEVELS times at most; LAST bits are then left.
+GROUP, LEVELS, LAST = 48, 5, 10
 #: Similar documents: the share of five-word shingles in common.
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 #: For the order of shingles alone, which changes no result: documents that are counted, and how often and how many of
@@ -76,44 +76,51 @@ def pivot_table(fps: DataFrame) -> DataFrame:
     return fps.withColumn("d", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()]))
 
 
-def blocks() -> list[tuple[int, int]]:
-    """(first bit, bits) of RADIUS + 1 blocks."""
-    edges = np.linspace(0, 64, RADIUS + 2).round().astype(int).tolist()
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def masks(level: int) -> list[int]:
+    """The bits that the groups of a level agree on, by number; group k splits into groups 3 k to 3 k + 2."""
+    if level < 0:
+        return [0]
+    out = []
+    for known in masks(level - 1):
+        left = [b for b in range(64) if not known >> b & 1]
+        for part in np.array_split(left, RADIUS + 1):
+            out.append(known | sum(1 << int(b) for b in part))
+    return out
 
 
-def block_value(c: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.shiftleft(c, 64 - first - bits), 64 - bits)
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
-def meeting_points(k: Column, fp: Column) -> Column:
-    """The fingerprint and those one bit away from it that have the same block k."""
-    bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
-    places = [[F.lit(0).cast("long"), *[bit(i) for i in range(64) if not first <= i < first + n]] for first, n in blocks()]
-    flips = F.coalesce(*[F.when(k == j, F.array(*[fp.bitwiseXOR(b) for b in bits])) for j, bits in enumerate(places)])
-    return F.explode(flips)
+def split(rows: DataFrame, level: int) -> DataFrame:
+    """Rows (k, fp, d) of groups k one level up, each in the groups that its bits put it in: k, v, fp, d."""
+    known = F.array(*[F.lit(signed(m)).cast("long") for m in masks(level)])
+    parts = F.explode(F.array(*[F.col("k") * (RADIUS + 1) + j for j in range(RADIUS + 1)]))
+    return rows.select(parts.alias("k"), "fp", "d").select("k", F.col("fp").bitwiseAND(F.get(known, F.col("k"))).alias("v"), "fp", "d")
+
+
+def within(x: str, y: str) -> Column:
+    """What the pivot table lets through: no coordinate differs by more than the radius."""
+    return F.forall(F.zip_with(F.col(f"{x}.d"), F.col(f"{y}.d"), lambda p, q: F.abs(p - q)), lambda v: v <= RADIUS)
 
 
 def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
-    """(a, b) of distinct fingerprints at most RADIUS bits apart; all of them, up to connection: in large groups
-    two that are within the radius may be linked through a third that is within it of both."""
-    parts = [F.struct(F.lit(k).alias("k"), block_value(F.col("fp"), *b).alias("v")) for k, b in enumerate(blocks())]
-    keyed = pivot_table(fps).select("fp", "d", F.explode(F.array(*parts)).alias("key")).select("key.k", "key.v", "fp", "d")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = stored(keyed.join(sizes, ["k", "v"]), "blocks")
-    few = keyed.where(F.col("n") <= group)
-    x, y = few.alias("x"), few.alias("y")
-    near = F.forall(F.zip_with(F.col("x.d"), F.col("y.d"), lambda p, q: F.abs(p - q)), lambda v: v <= RADIUS)
-    pairs = (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp")) & near)
-        .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    )
-    many = keyed.where(F.col("n") > group)
-    meet = many.select("k", "fp", meeting_points(F.col("k"), F.col("fp")).alias("z"))
-    met = meet.groupBy("k", "z").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # 44 at most
-    stars = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b")
-    return pairs.unionByName(stars).distinct()
+    """(a, b): all pairs of distinct fingerprints at most RADIUS bits apart, the smaller first."""
+    rows, out = pivot_table(fps).select(F.lit(0).alias("k"), "fp", "d"), None
+    for level in range(LEVELS):
+        keyed = split(rows, level)
+        sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = stored(keyed.join(sizes, ["k", "v"]), "blocks")
+        last = level == LEVELS - 1
+        few = keyed if last else keyed.where(F.col("n") <= group)
+        x, y = few.alias("x"), few.alias("y")
+        met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp")) & within("x", "y"))
+        pairs = met.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+        rows = keyed.where(F.col("n") > group).select("k", "fp", "d")
+        if last or rows.isEmpty():
+            break
+    return out.distinct()
 
 
 def grouped(own: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
@@ -280,11 +287,12 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest doc_id. Columns as they came; of rows
     that share that doc_id one stays. Rows without doc_id stay, since nothing names them."""
-    keepers = similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keepers = similar_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keeper")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(keepers, F.col("doc_id").cast("long") == F.col("__keeper"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint in 16 hex digits, component_id."""
+    """doc_id, fingerprint in 16 hex digits, component_id for every row; cases as in ``near_groups``. An empty table
+    gives an empty result, other columns are not looked at, texts are read whole."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

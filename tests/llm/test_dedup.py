@@ -156,7 +156,7 @@ def test_simhash_report_equals_plain_version(spark):
 
 
 @pytest.mark.parametrize("group", [1, 48])
-def test_links_reach_the_same_groups_with_pairs_and_with_meeting_points(spark, group):
+def test_links_reach_the_same_groups_however_blocks_are_split(spark, group):
     r = random.Random(9)
     fps = [r.getrandbits(64) for _ in range(30)]
     for _ in range(200):
@@ -176,6 +176,26 @@ def test_links_reach_the_same_groups_with_pairs_and_with_meeting_points(spark, g
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
 
 
+def test_links_in_groups_far_above_the_size_that_is_split(spark):
+    """3 000 fingerprints that all agree on two blocks of bits: pairs equal brute force, and pivots prune nearly all
+    pairs of unsplit groups before they are verified."""
+    r, base = np.random.default_rng(2), int(np.random.default_rng(3).integers(0, 2**63))
+    fps = {base}
+    while len(fps) < 3000:
+        x = r.choice([base, *list(fps)[:50]])
+        for b in r.integers(20, 42, 1 + len(fps) % 5):
+            x = int(x) ^ (1 << int(b))
+        fps.add(x)
+    a = np.array(sorted(fps), np.int64)
+    apart = np.bitwise_count(a[:, None] ^ a[None, :])
+    want = {(int(a[i]), int(a[j])) for i, j in np.argwhere((apart <= 2) & (a[:, None] < a[None, :]))}
+    frame_ = spark.createDataFrame([(int(x),) for x in a], "fp long")
+    assert set(map(tuple, simhash.links(frame_).collect())) == want
+    table = np.array([x["d"] for x in simhash.pivot_table(frame_).orderBy("fp").collect()], int)
+    survive = (np.abs(table[:, None, :] - table[None, :, :]) <= 2).all(2)
+    assert survive[apart <= 2].all() and survive[apart > 8].mean() < 0.01
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 199), (199, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
