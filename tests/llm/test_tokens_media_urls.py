@@ -107,6 +107,37 @@ def test_edits_give_the_counts_of_the_edited_text(spark):
     long = token_counts.CountTree(prose(1, 5000), own)
     long.edit(9000, 5, "word")
     assert long.reencoded < 1500
+    for joined in ("".join(f"line{k}\n" for k in range(4000)), "一二三四五六七，" * 3000):
+        tree = token_counts.CountTree(joined, own)
+        tree.edit(9000, 5, "字，" * 400)
+        tree.edit(9000, 900, None)
+        assert tree.n_tokens == len(own.ids(tree.text())) and tree.reencoded < 4500
+
+
+def test_cuts_never_change_the_counts():
+    own, r = Tokens(default_tokenizer()), random.Random(7)
+    parts = ["a", "B", " ", "  ", "\n", "'s", "'", "é", " 12", "3", "!", ".", "\t", "<|endoftext|>", "<|", "\0", "\x1c", "\x85", "　", "日本", "。", "\u2028", "ß", "'ll", "-"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(2, 14)))
+        for k in range(1, len(t)):
+            if token_counts.safe(t[:k], t[k:], own.special):
+                assert len(own.ids(t[:k])) + len(own.ids(t[k:])) == len(own.ids(t)), (t, k)
+
+
+def test_stored_trees_encode_only_what_edits_touch(spark):
+    own, path = Tokens(default_tokenizer()), default_tokenizer()
+    texts = [prose(k, 1500) for k in range(6)]
+    trees = token_counts.build(frame(spark, texts), path)
+    edits = spark.createDataFrame([(k, j, 900 * j + 31 * k, 12, "new words") for k in range(0, 6, 2) for j in range(3)], "doc_id long, seq int, at long, n_deleted long, inserted string")
+    first = token_counts.apply_edits(token_counts.with_edits(trees, edits), path)
+    again = {r["doc_id"]: r for r in token_counts.apply_edits(token_counts.with_edits(first.select("doc_id", "text", "chars", "counts"), edits), path).collect()}
+    for k, t in enumerate(texts):
+        for _ in range(2):
+            for j in range(3) if k % 2 == 0 else ():
+                at = 900 * j + 31 * k
+                t = t[:at] + "new words" + t[at + 12 :]
+        assert again[k]["text"] == t and again[k]["n_tokens_after"] == len(own.ids(t)) and again[k]["n_chars_after"] == len(t)
+        assert again[k]["n_reencoded"] == 0 if k % 2 else 0 < again[k]["n_reencoded"] < 0.15 * len(t)
 
 
 def test_token_count_report(spark):
