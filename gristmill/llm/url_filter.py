@@ -3,7 +3,9 @@
 Level 1 holds the listed keys. What passes it without being listed goes into level 2, the listed keys that pass
 level 2 go into level 3, and so on until a level lets nothing wrong through. A key of the universe is listed if the
 first level that rejects it has an even number, which is exact. Filters are arrays of 64-bit words; rows meet them
-as scalar values, so that no row is shuffled or joined. All of it is DataFrame operations.
+as scalar values, so that no row is shuffled or joined. Keys are dealt by hash over as many shards as it takes for a
+shard's cascade to have SHARD_WORDS words or so; rows meet one shard's cascade after the other, so that what goes to
+the tasks at once is bounded at any size. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import UPPER, ascii_lower, only, stored
+from gristmill.llm.common import UPPER, ascii_lower, new_path, only, stored
 
 #: (verdict, host, path): a rule holds for its host and all subdomains, for paths that begin with its own.
 RULES = (
@@ -25,8 +27,8 @@ RULES = (
 )
 #: False positives that level 2 and later let through, as a power of 2.
 LATER_BITS = 5
-#: Words of all levels that may be sent to the tasks; beyond it rows are joined to the listed keys.
-MAX_WORDS = 8 << 20
+#: Words (8 bytes) of one shard's cascade, of all its levels together, that go to the tasks at once.
+SHARD_WORDS = 1 << 20
 #: A host is listed if at least this share of its pages carries a tracking parameter in the url.
 TRACKED_SHARE = 0.5
 TRACKING = "utm_source="
@@ -52,33 +54,47 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return text, verdict
 
 
+def hash_bits(n: int, m: int) -> int:
+    """Hashes of the first level for n listed keys among m others."""
+    return max(1, math.ceil(math.log2(max(2.0, m * math.sqrt(2) / max(1, n)))))
+
+
 class Cascade:
     """Exact membership of a universe's keys in a listed subset."""
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
         """``universe`` and ``listed``: one column ``key``, without repeats or nulls, listed within universe."""
-        self.listed = stored(listed.select("key"), "listed")
-        n = self.listed.count()
-        outside = universe.select("key").join(self.listed, "key", "left_anti")
-        wrong = stored(outside, "unlisted") if n else None
-        inside, others = self.listed, wrong
-        #: (bits, hashes, filter) of each level; filter has one row with the column ``words``
-        self.levels: list[tuple[int, int, DataFrame]] = []
-        self.words = 0
+        self.spark = universe.sparkSession
+        marked = universe.select("key").join(listed.select("key", F.lit(True).alias("in")), "key", "left")
+        keys = stored(marked.select("key", F.coalesce("in", F.lit(False)).alias("in")), "universe")
+        n, all_ = keys.agg(F.count_if("in"), F.count("*")).first()
+        # The later levels together have about as many words as the first one, at most.
+        words = n * (hash_bits(n, all_ - n) + LATER_BITS) / math.log(2) / 64
+        self.n_shards = max(1, math.ceil(words / SHARD_WORDS))
+        if self.n_shards > 1:
+            path = new_path(self.spark, "universe-shards")
+            keys.withColumn("shard", self._shard(F.col("key"))).write.partitionBy("shard").parquet(path)
+            keys = self.spark.read.parquet(path)
+        #: per shard (bits, hashes, filter) of each level; filter has one row with the column ``words``
+        self.levels: list[list[tuple[int, int, DataFrame]]] = []
+        for shard in range(self.n_shards if n else 0):
+            own = keys.where(F.col("shard") == shard).select("key", "in") if self.n_shards > 1 else keys
+            self.levels.append(self._built(own.where("in").select("key"), own.where("not in").select("key")))
+
+    def _shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(self.n_shards)).cast("int")
+
+    def _built(self, inside: DataFrame, others: DataFrame) -> list[tuple[int, int, DataFrame]]:
+        levels: list[tuple[int, int, DataFrame]] = []
+        n = inside.count()
         while n:
-            m = others.count()
-            if self.levels:
-                hashes = LATER_BITS
-            else:
-                hashes = max(1, math.ceil(math.log2(max(2.0, m * math.sqrt(2) / n))))
+            hashes = LATER_BITS if levels else hash_bits(n, others.count())
             words = max(1, math.ceil(n * hashes / math.log(2) / 64))
-            self.words += words
-            if self.words > MAX_WORDS:
-                return
-            level = len(self.levels) + 1
-            self.levels.append((words * 64, hashes, self._filter(inside, level, words, hashes)))
-            passed = stored(others.where(self._passes(F.col("key"), level)), "passed")
+            level = len(levels) + 1
+            levels.append((words * 64, hashes, self._filter(inside, level, words, hashes)))
+            passed = stored(others.where(self._passes(F.col("key"), level, levels[-1])), "passed")
             inside, others, n = passed, inside, passed.count()
+        return levels
 
     @staticmethod
     def _position(key: Column, level: int, j: int, bits: int) -> Column:
@@ -88,12 +104,12 @@ class Cascade:
         at = keys.select(F.explode(F.array(*[self._position(F.col("key"), level, j, words * 64) for j in range(hashes)])).alias("at"))
         bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
         set_ = at.select(F.shiftright("at", 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-        dense = keys.sparkSession.range(words).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-        row = dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))
+        dense = self.spark.range(words).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+        row = dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))  # a shard's words
         return stored(row.select(F.transform("all", lambda x: x["bits"]).alias("words")), "filter")
 
-    def _passes(self, key: Column, level: int) -> Column:
-        bits, hashes, row = self.levels[level - 1]
+    def _passes(self, key: Column, level: int, filter_: tuple[int, int, DataFrame]) -> Column:
+        bits, hashes, row = filter_
         words, tests = row.select("words").scalar(), F.lit(True)
         for j in range(hashes):
             at = self._position(key, level, j, bits)
@@ -101,14 +117,21 @@ class Cascade:
         return tests
 
     def contains(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        """``rows`` with the boolean column ``name``; every key must be of the universe. Null keys are not in it."""
-        if self.words > MAX_WORDS:
-            own = self.listed.select(F.col("key").alias("__key"), F.lit(True).alias(name))
-            return rows.join(own, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.lit(False)))
-        member = F.lit(False)
-        for level in range(len(self.levels), 0, -1):
-            member = self._passes(F.col(key), level) & ~member
-        return rows.withColumn(name, F.coalesce(member, F.lit(False)))
+        """``rows`` with the boolean column ``name``; every key must be of the universe. Null keys are not in it.
+
+        With several shards the rows are written after each, so that one shard's filters are held at a time.
+        """
+        out = rows.withColumn(name, F.lit(False))
+        for shard, levels in enumerate(self.levels):
+            member = F.lit(False)
+            for level in range(len(levels), 0, -1):
+                member = self._passes(F.col(key), level, levels[level - 1]) & ~member
+            member = F.coalesce(member, F.lit(False))
+            if self.n_shards > 1:
+                out = stored(out.withColumn(name, F.when(self._shard(F.col(key)) == shard, member).otherwise(F.col(name))), "shard-judged")
+            else:
+                out = out.withColumn(name, member)
+        return out
 
 
 def tracked_hosts(urls: DataFrame) -> DataFrame:
@@ -122,7 +145,9 @@ def url_report(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
     Verdict: the rule's, else block if the cascade finds the host listed, else allow. Null urls and those without
-    :// have empty host and path and are allowed. Repeated rows stay rows of their own.
+    :// have empty host and path and are allowed. Repeated rows stay rows of their own. Of rules that hold the longest
+    wins; two of one length cannot both hold unless they are equal. Very long urls are read whole, an empty table gives
+    an empty result, and other columns (also ones called host or listed) are not looked at.
     """
     urls = parsed(pages)
     cascade = Cascade(urls.select(F.col("host").alias("key")).distinct(), tracked_hosts(urls))

@@ -210,12 +210,13 @@ def test_url_report_by_hand(spark):
     assert url_filter.url_report(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [url_filter.MAX_WORDS, 1])
-def test_cascade_is_exact(spark, most, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_WORDS", most)
+@pytest.mark.parametrize("most", [url_filter.SHARD_WORDS, 30])
+def test_cascade_is_exact_in_one_shard_and_in_several(spark, most, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_WORDS", most)
     keys = spark.range(3000).selectExpr("concat('k', id) as key", "id")
     listed = keys.where("id % 7 = 0 or id < 20").select("key")
     cascade = url_filter.Cascade(keys.select("key"), listed)
+    assert (cascade.n_shards > 2) == (most == 30)
     out = cascade.contains(keys, "key", "in_list").where("in_list != (id % 7 = 0 or id < 20)")
     assert out.count() == 0
     none = url_filter.Cascade(keys.select("key"), listed.limit(0))
