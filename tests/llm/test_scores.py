@@ -149,3 +149,47 @@ def test_licences_over_line_ends_and_several_on_a_line():
     names = lambda x: [f[1] for f in scanner.scan(x)]
     assert names(f"{t['Apache-2.0']} {t['Proprietary']}") == ["Apache-2.0", "Proprietary"]
     assert names(f"{t['MIT']} {t['Apache-2.0']} {t['MIT']}") == ["MIT", "Apache-2.0", "MIT"]
+
+
+def least_differences(want, have):
+    """The least number of differing words of any stretch of ``have``, by the plain recurrence, one word at a time."""
+    never = 10**6
+    row = [0] * (len(have) + 1)
+    for w in want:
+        new = [row[0] + (never if w.isdigit() else 1)]
+        for j, t in enumerate(have, 1):
+            replace = 0 if t == w else never if w.isdigit() or t.isdigit() else 1
+            new.append(min(row[j - 1] + replace, row[j] + (never if w.isdigit() else 1), new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_every_template_within_the_bound_is_confirmed():
+    """Against brute force: no anchor, block or ranking loses a passage, whatever words are changed."""
+    scanner, r = license_scan.Scanner(), random.Random(11)
+    for name, text in license_scan.TEMPLATES.items():
+        for edits in (0, 1, 3, 8):
+            w = text.split()
+            for _ in range(min(edits, len(w) // 5)):
+                k = r.randrange(len(w))
+                w[k : k + r.choice([0, 1])] = [r.choice(["other", "the", "", "9"])]
+            have = license_scan.words(prose(edits, 30) + " " + " ".join(w) + " " + prose(edits + 1, 30))
+            best = {}
+            for _, _, t, n, _, _ in scanner.confirmed(have):
+                best[t] = min(n, best.get(t, n))
+            for t in scanner.templates:
+                if len(t.words) * len(have) < 12_000 or t.name == name:
+                    least = least_differences(t.words, have)
+                    assert best.get(t.name) == (least if least <= t.most else None), (name, t.name, edits)
+
+
+def test_whole_licences_wrapped_numbered_and_in_very_long_texts():
+    scanner, t = license_scan.Scanner(), license_scan.TEMPLATES
+    names = lambda x: [f[1] for f in scanner.scan(x)]
+    bsd = t["BSD-3-Clause-full"].replace("Redistributions of", "\n\n  1. Redistributions of").replace("Redistributions\nin", "\n  2. Redistributions in").replace("Neither", "\n  3. Neither")
+    assert names(f"Copyright 2020 A. Person\n{bsd}\n") == ["BSD-3-Clause-full"]
+    for name in ("MIT-full", "GPL-3.0-notice", "LGPL-2.1-notice", "BSD-2-Clause-full", "Apache-2.0-full"):
+        w = t[name].split()
+        assert names("\n".join(" * " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9))) == [name]
+    long = " license ".join(prose(k, 300) for k in range(30))
+    assert names(f"{long} {t['MIT-full']} {long} {t['CC-BY-4.0']}") == ["MIT-full", "CC-BY-4.0"]
