@@ -3,16 +3,21 @@
 A clip's frames are baseline grayscale JPEGs. Each sample of the payload is one flat 8x8 block, which the DCT of a
 single coefficient stores without loss. The writer's Huffman tables give a DC difference of category c a code of
 12 - c bits and the end-of-block 4 bits, so that every block takes 16 bits: both ways of the coding are table
-lookups over whole frames. Frames of other writers (any baseline grayscale JPEG) go through a block-by-block
-decoder. The reader follows the RIFF lists and takes frames from the ``idx1`` index, or from ``movi`` if there is none.
+lookups over whole frames. Frames of other writers (baseline JPEG, grayscale or colour with any sampling, restart
+markers, tables of their own or the standard ones that motion-JPEG leaves out) go through a block-by-block decoder that
+gives the pixels of every component. The reader follows the RIFF lists (``rec `` lists and further RIFF parts too) and
+takes frames from the ``idx1`` index, or from ``movi`` where there is none or it does not fit. What is damaged is
+flagged and costs that frame only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,13 +32,25 @@ FPS = 25
 PAD = 64
 #: Bins of a frame's histogram, frames that the threshold looks back on, and its distance in deviations.
 BINS, LOOK_BACK, DEVIATIONS, LEAST = 32, 12, 3.0, 0.25
-CLIPS = "clip int, start_s double, end_s double, first_frame int, frames int, mean double, peak_difference double"
+CLIPS = "clip int, start_s double, end_s double, first_frame int, frames int, damaged int, mean double, peak_difference double"
 #: The zigzag order of a block's coefficients.
 ZIGZAG = (
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 )
 EOB = 0b0000
+#: The standard Huffman tables (codes of each length, then symbols by class and number); of the AC symbols
+#: the first ones, the others follow in rising order.
+STANDARD_COUNTS = {
+    0x00: (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0),
+    0x01: (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0),
+    0x10: (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+    0x11: (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+}
+STANDARD_FIRST = {
+    0x10: "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    0x11: "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+}
 
 
 # --- writer ---------------------------------------------------------------------------------------------------
@@ -98,6 +115,8 @@ def _list(kind: bytes, body: bytes) -> bytes:
 
 def write_avi(payload: bytes) -> bytes:
     """An AVI of the payload, whose length must be a multiple of 64; the last frame is filled up with zeros."""
+    if 2 * len(payload) > 0xF0000000:
+        raise ValueError("the payload is too large for the 32-bit sizes of an AVI file")
     rows = max(1, -(-len(payload) // WIDE))
     count = -(-rows // HIGH)
     high = -(-rows // count)  # frames of even size, so that little is filled up
@@ -119,6 +138,10 @@ def write_avi(payload: bytes) -> bytes:
 
 
 # --- reader ---------------------------------------------------------------------------------------------------
+class Damaged(ValueError):
+    """Bytes that are no AVI file or no frame that can be decoded."""
+
+
 def chunks(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(name or list type, first byte, byte after the last) of the chunks between two places; lists are entered."""
     while start + 8 <= end:
@@ -126,8 +149,7 @@ def chunks(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         last = min(end, start + 8 + size)
         if name in (b"RIFF", b"LIST"):
             yield bytes(data[start + 8 : start + 12]), start + 8, last
-            if bytes(data[start + 8 : start + 12]) != b"movi":
-                yield from chunks(data, start + 12, last)
+            yield from chunks(data, start + 12, last)
         else:
             yield name, start + 8, last
         start = last + (size & 1)
@@ -138,120 +160,251 @@ class Avi:
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        parts: dict[bytes, tuple[int, int]] = {}
+        parts: dict[bytes, list[tuple[int, int]]] = {}
         for name, a, b in chunks(view, 0, len(data)):
-            parts.setdefault(name, (a, b))
+            parts.setdefault(name, []).append((a, b))
         if b"AVI " not in parts or b"movi" not in parts or b"avih" not in parts:
-            raise ValueError("no AVI file")
-        a, _ = parts[b"avih"]
-        self.seconds = (struct.unpack_from("<I", view, a)[0] or 1_000_000 // FPS) / 1e6
-        movi, end = parts[b"movi"]
-        if b"idx1" in parts:
-            a, b = parts[b"idx1"]
+            raise Damaged("no AVI file")
+        a, b = parts[b"avih"][0]
+        self.seconds = ((struct.unpack_from("<I", view, a)[0] if b - a >= 4 else 0) or 1_000_000 // FPS) / 1e6
+        found = sorted((p, q - p) for name, own in parts.items() if name[2:] in (b"dc", b"db") for p, q in own)
+        places = found
+        if b"idx1" in parts and len(parts[b"movi"]) == 1:
+            a, b = parts[b"idx1"][0]
+            movi = parts[b"movi"][0][0]
             rows = [struct.unpack_from("<4sIII", view, k) for k in range(a, b - 15, 16)]
             base = movi if not rows or rows[0][2] < movi else 0  # offsets from movi, or from the file's start
-            places = [(base + at + 8, size) for name, _, at, size in rows if name[2:] in (b"dc", b"db")]
-        else:
-            places = [(p, q - p) for name, p, q in chunks(view, movi + 4, end) if name[2:] in (b"dc", b"db")]
+            listed = [(base + at + 8, size) for name, _, at, size in rows if name[2:] in (b"dc", b"db")]
+            if len(listed) == len(rows) > 0 and all(bytes(view[p - 6 : p - 4]) in (b"dc", b"db") for p, _ in listed):
+                places = listed
         self.frames = [bytes(view[p : p + n]) for p, n in places]
-        self.length = struct.unpack_from("<Q", view, parts[b"strd"][0])[0] if b"strd" in parts else None
+        a, b = parts.get(b"strd", [(0, 0)])[0]
+        self.length = struct.unpack_from("<Q", view, a)[0] if b - a >= 8 else None
 
     def samples(self) -> list[np.ndarray]:
         return [read_frame(f) for f in self.frames]
 
+    def seen(self) -> list[np.ndarray | None]:
+        """As ``samples``, with None in place of damaged frames; an empty frame repeats the one before."""
+        out: list[np.ndarray | None] = []
+        for f in self.frames:
+            try:
+                out.append(out[-1] if not f and out else read_frame(f))
+            except Damaged:
+                out.append(None)
+        return out
+
 
 def read_frame(data: bytes) -> np.ndarray:
-    """One sample for each 8x8 block: its mean, 8 bits. Exact for frames of flat blocks."""
-    high, wide, tables, quant, at, flat = parse_jpeg(data)
-    scan = data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-    if flat and len(scan) == 2 * high * wide:
-        steps = DIFFERENCES[np.frombuffer(scan, ">u2")]
-        if (steps != 9999).all():
-            return (np.cumsum(steps, dtype=np.int64) + 128).astype(np.uint8).reshape(high, wide)
-    return read_blocks(scan, high, wide, tables, quant)
+    """One sample for each 8x8 block of the first component: its mean, 8 bits. Exact for frames of flat blocks."""
+    frame = parsed(data)
+    if frame.flat:
+        scan = data[frame.at : data.rfind(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
+        if len(scan) == 2 * frame.high * frame.wide:
+            steps = DIFFERENCES[np.frombuffer(scan, ">u2")]
+            if (steps != 9999).all():
+                return (np.cumsum(steps, dtype=np.int64) + 128).astype(np.uint8).reshape(frame.high, frame.wide)
+    luma = pixels(data)[0]
+    high, wide = -(-luma.shape[0] // 8), -(-luma.shape[1] // 8)
+    full = np.pad(luma, ((0, high * 8 - luma.shape[0]), (0, wide * 8 - luma.shape[1])), "edge")
+    return np.round(full.reshape(high, 8, wide, 8).mean((1, 3))).astype(np.uint8)
+
+
+@dataclass
+class Frame:
+    """What a frame's header tells. ``parts``: (number, across, down, quantisation table) of each component; ``scan``:
+    (component, DC table, AC table) in the order of the scan; ``at``: where the scan begins."""
+
+    rows: int = 0
+    columns: int = 0
+    parts: tuple = ()
+    scan: tuple = ()
+    quant: dict = field(default_factory=dict)
+    tables: dict = field(default_factory=dict)
+    restart: int = 0
+    at: int = 0
+    flat: bool = False
+
+    @property
+    def high(self) -> int:
+        return -(-self.rows // 8)
+
+    @property
+    def wide(self) -> int:
+        return -(-self.columns // 8)
+
+
+PARSED: dict[bytes, Frame] = {}
+
+
+def codes(counts: tuple[int, ...], symbols: bytes) -> dict[tuple[int, int], int]:
+    out, code, k = {}, 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[length, code] = symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
 
 
-PARSED: dict[bytes, tuple] = {}
+def standard_tables() -> dict[int, dict]:
+    out = {}
+    for key, counts in STANDARD_COUNTS.items():
+        if key in STANDARD_FIRST:
+            first = bytes.fromhex(STANDARD_FIRST[key])
+            every = sorted({0x00, 0xF0} | {run << 4 | size for run in range(16) for size in range(1, 11)})
+            symbols = first + bytes(x for x in every if x not in first)
+        else:
+            symbols = bytes(range(12))
+        out[key] = codes(counts, symbols)
+    return out
 
 
-def parse_jpeg(data: bytes) -> tuple:
-    """(rows of blocks, blocks in a row, Huffman tables by class and number, quantisation, place of the scan,
-    whether the header is one that ``write_frame`` makes)."""
+def parsed(data: bytes) -> Frame:
+    """The frame's header; Damaged if it is none of a baseline JPEG."""
     end = data.find(b"\xff\xda")
-    head = data[: end + 10]
-    if head in PARSED:
-        return PARSED[head]
-    at, tables, quant, high, wide = 2, {}, np.ones(64), 0, 0
-    while at < len(data):
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+    head = data[: end + 10] if end >= 0 else b""
+    if head not in PARSED:
+        try:
+            frame = _parsed(data)
+        except (struct.error, IndexError, KeyError) as e:
+            raise Damaged(f"no frame: {e}") from e
+        frame.flat = head == _header(frame.wide, frame.high)
+        if len(PARSED) >= 256:
+            PARSED.clear()
+        PARSED[head] = frame
+    return PARSED[head]
+
+
+def _parsed(data: bytes) -> Frame:
+    if data[:2] != b"\xff\xd8":
+        raise Damaged("no JPEG")
+    frame, at = Frame(tables=standard_tables()), 2
+    while True:
+        if data[at] != 0xFF:
+            raise Damaged("no marker")
+        marker = data[at + 1]
+        if marker in (0xFF, 0x01) or 0xD0 <= marker <= 0xD7:
+            at += 1 if marker == 0xFF else 2
+            continue
+        size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
-        if marker == 0xC0:
-            bits, h, w, parts = struct.unpack_from(">BHHB", body)
-            if bits != 8 or parts != 1:
-                raise ValueError("only 8-bit grayscale frames are decoded")
-            high, wide = -(-h // 8), -(-w // 8)
+        if len(body) != size - 2:
+            raise Damaged("the header is cut off")
+        if marker in (0xC0, 0xC1):
+            bits, frame.rows, frame.columns, n = struct.unpack_from(">BHHB", body)
+            frame.parts = tuple((body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n))
+            if bits != 8 or not frame.rows or not frame.columns or not n or any(not p[1] or not p[2] for p in frame.parts):
+                raise Damaged("only 8-bit frames of a stated size are decoded")
         elif marker == 0xDB:
-            quant = np.frombuffer(body[1:65], np.uint8).astype(np.float64)
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                frame.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.float64)
+                body = body[1 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, symbols = body[1:17], body[17 : 17 + sum(body[1:17])]
-                tables[body[0]], code, k = {}, 0, 0
-                for length, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        tables[body[0]][length, code] = symbols[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
+                counts = tuple(body[1:17])
+                frame.tables[body[0]] = codes(counts, body[17 : 17 + sum(counts)])
                 body = body[17 + sum(counts) :]
-        elif 0xC1 <= marker <= 0xCF:
-            raise ValueError("only baseline frames are decoded")
+        elif marker == 0xDD:
+            frame.restart = struct.unpack_from(">H", body)[0]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+            raise Damaged("only baseline frames are decoded")
+        elif marker == 0xD9:
+            raise Damaged("no scan")
         at += 2 + size
         if marker == 0xDA:
-            break
-    out = high, wide, tables, quant, at, head == _header(wide, high)
-    if len(PARSED) < 256:
-        PARSED[head] = out
+            numbers = [p[0] for p in frame.parts]
+            frame.scan = tuple((numbers.index(body[1 + 2 * k]), body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])) if all(body[1 + 2 * k] in numbers for k in range(body[0])) else ()
+            if len(frame.scan) != len(frame.parts) or any(p[3] not in frame.quant or len(frame.quant[p[3]]) != 64 for p in frame.parts):
+                raise Damaged("only frames of one scan with their quantisation are decoded")
+            frame.at = at
+            return frame
+
+
+class Bits:
+    """The bits of a scan between two restart markers; looked up 16 at a time."""
+
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data + b"\xff" * 8, "big"), 8 * len(data) + 64
+        self.end = 64
+
+    def peek(self, n: int) -> int:
+        return self.value >> (self.left - n) & (1 << n) - 1
+
+    def skip(self, n: int) -> None:
+        self.left -= n
+        if self.left < self.end - 32:
+            raise Damaged("the scan is cut off")
+
+    def symbol(self, table: np.ndarray) -> int:
+        found = int(table[self.peek(16)])
+        if found < 0:
+            raise Damaged("no such code")
+        self.skip(found >> 8)
+        return found & 255
+
+    def number(self, n: int) -> int:
+        if not n:
+            return 0
+        value = self.peek(n)
+        self.skip(n)
+        return value if value >> (n - 1) else value - (1 << n) + 1
+
+
+def looked_up(table: dict[tuple[int, int], int]) -> np.ndarray:
+    """For each 16 bits the length (times 256) and the symbol of the code that they begin with; -1 for none."""
+    out = np.full(1 << 16, -1, np.int32)
+    for (length, code), symbol in table.items():
+        out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
     return out
 
 
-def read_blocks(scan: bytes, high: int, wide: int, tables: dict, quant: np.ndarray) -> np.ndarray:
-    """Block by block: Huffman codes, run lengths, dequantisation, inverse DCT, clipped samples, their mean."""
-    bits = np.unpackbits(np.frombuffer(scan, np.uint8)).tolist()
-    at, previous, out = 0, 0, np.zeros(high * wide, np.uint8)
-
-    def symbol(table: dict) -> int:
-        nonlocal at
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | bits[at]
-            at += 1
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such code")
-
-    def number(n: int) -> int:
-        nonlocal at
-        value = 0
-        for b in bits[at : at + n]:
-            value = value << 1 | b
-        at += n
-        return value if not n or value >> (n - 1) else value - (1 << n) + 1
-
-    k = np.arange(8)
-    basis = np.cos((2 * k[:, None] + 1) * k * np.pi / 16) * np.where(k, 0.5, np.sqrt(0.125))
-    for block in range(high * wide):
-        values = np.zeros(64)
-        previous += number(symbol(tables[0x00]))
-        values[0], place = previous, 1
-        while place < 64 and (s := symbol(tables[0x10])):
-            place += s >> 4
-            if s & 15:
-                values[place] = number(s & 15)
-            place += 1
+STEPS = np.arange(8)
+BASIS = np.cos((2 * STEPS[:, None] + 1) * STEPS * np.pi / 16) * np.where(STEPS, 0.5, np.sqrt(0.125))
+
+
+def pixels(data: bytes) -> list[np.ndarray]:
+    """The 8-bit samples (rows, columns) of every component, at the component's own resolution: Huffman codes, run
+    lengths, dequantisation, inverse DCT. Damaged if the scan is."""
+    frame = parsed(data)
+    end = data.rfind(b"\xff\xd9")
+    scan = data[frame.at : end if end >= frame.at else len(data)]
+    runs = [p.replace(b"\xff\x00", b"\xff") for p in re.split(rb"\xff[\xd0-\xd7]", scan)] if frame.restart else [scan.replace(b"\xff\x00", b"\xff")]
+    across, down = max(p[1] for p in frame.parts), max(p[2] for p in frame.parts)
+    if len(frame.parts) == 1:
+        across = down = 1
+    units = -(-frame.columns // (8 * across)), -(-frame.rows // (8 * down))
+    shape = [(units[1] * (p[2] if len(frame.parts) > 1 else 1), units[0] * (p[1] if len(frame.parts) > 1 else 1)) for p in frame.parts]
+    values = [np.zeros((*s, 64)) for s in shape]
+    tables = {k: looked_up(t) for k, t in frame.tables.items()}
+    try:
+        each = frame.restart or units[0] * units[1]
+        for unit in range(units[0] * units[1]):
+            if unit % each == 0:
+                bits, last = Bits(runs[unit // each]), [0] * len(frame.parts)
+            for part, dc, ac in frame.scan:
+                h, v = frame.parts[part][1:3] if len(frame.parts) > 1 else (1, 1)
+                for block in range(h * v):
+                    row, column = unit // units[0] * v + block // h, unit % units[0] * h + block % h
+                    own = values[part][row, column]
+                    last[part] += bits.number(bits.symbol(tables[dc]))
+                    own[0], place = last[part], 1
+                    while place < 64 and (s := bits.symbol(tables[0x10 | ac])):
+                        place += s >> 4
+                        if s & 15:
+                            own[ZIGZAG[place]] = bits.number(s & 15)
+                        place += 1
+    except (IndexError, KeyError) as e:
+        raise Damaged("the scan does not fit its header") from e
+    out, order = [], np.array(ZIGZAG)
+    for (_, h, v, q), own, (high, wide) in zip(frame.parts, values, shape, strict=True):
         square = np.zeros(64)
-        square[list(ZIGZAG)] = values * quant
-        pixels = np.clip(np.round(basis @ square.reshape(8, 8) @ basis.T + 128), 0, 255)
-        out[block] = round(pixels.mean())
-    return out.reshape(high, wide)
+        square[order] = frame.quant[q]
+        blocks = np.einsum("xu,ijuv,yv->ijxy", BASIS, (own * square).reshape(high, wide, 8, 8), BASIS) + 128
+        plane = np.clip(np.round(blocks), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(high * 8, wide * 8)
+        out.append(plane[: -(-frame.rows * v // down) if len(frame.parts) > 1 else frame.rows, : -(-frame.columns * h // across) if len(frame.parts) > 1 else frame.columns])
+    return out
 
 
 # --- shots ----------------------------------------------------------------------------------------------------
@@ -272,14 +425,22 @@ def cuts(steps: np.ndarray) -> list[int]:
     return found
 
 
-def clips(avi: Avi, frames: list[np.ndarray]) -> list[tuple]:
-    """Timed clip rows (columns of CLIPS), one for each shot."""
+def clips(avi: Avi, frames: list[np.ndarray | None]) -> list[tuple]:
+    """Timed clip rows (columns of CLIPS), one for each shot. Damaged frames are counted; the frame before stands for
+    them (the first sound one for those at the start)."""
+    sound = [f for f in frames if f is not None]
     if not frames:
         return []
-    steps = differences(frames)
+    if not sound:
+        return [(0, 0.0, len(frames) * avi.seconds, 0, len(frames), len(frames), None, None)]
+    filled, before = [], sound[0]
+    for f in frames:
+        before = before if f is None else f
+        filled.append(before)
+    steps = differences(filled)
     starts = cuts(steps)
     return [
-        (i, a * avi.seconds, b * avi.seconds, a, b - a, float(np.mean([f.mean() for f in frames[a:b]])), float(steps[a]))
+        (i, a * avi.seconds, b * avi.seconds, a, b - a, sum(f is None for f in frames[a:b]), float(np.mean([f.mean() for f in filled[a:b]])), float(steps[a]))
         for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True))
     ]
 
@@ -301,7 +462,8 @@ def stored_media(docs: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id and one row of CLIPS for each shot of each file in ``media``. Null or foreign bytes give no rows."""
+    """doc_id and one row of CLIPS for each shot of each file in ``media``. Null bytes, and such as are no AVI file,
+    give no rows; files that are cut off or hold damaged frames give what there is, with those frames counted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -309,10 +471,10 @@ def clip_rows(media: DataFrame) -> DataFrame:
             for doc_id, data in zip(frame["doc_id"], frame["media"], strict=True):
                 try:
                     avi = Avi(bytes(data or b""))
-                except ValueError:
+                except (Damaged, struct.error):
                     continue
-                rows += [(doc_id, *c) for c in clips(avi, avi.samples())]
-            yield pd.DataFrame(rows, columns=["doc_id", *[c.split()[0] for c in CLIPS.split(", ")]])
+                rows += [(doc_id, *c) for c in clips(avi, avi.seen())]
+            yield pd.DataFrame(rows, columns=["doc_id", *[c.split()[0] for c in CLIPS.split(", ")]]).astype({"mean": float, "peak_difference": float})
 
     return only(media, "doc_id", "media").mapInPandas(run, f"doc_id long, {CLIPS}")
 
@@ -329,7 +491,7 @@ def digests(media: DataFrame) -> DataFrame:
                 seen = avi.samples()
                 back = np.concatenate([s.ravel() for s in seen]).tobytes()[: avi.length]
                 shots = clips(avi, seen)
-                feature = f"frames={len(seen)};shots={len(shots)};" + ",".join(f"{c[1]:.2f}-{c[2]:.2f}:{c[5]:.1f}" for c in shots)
+                feature = f"frames={len(seen)};shots={len(shots)};" + ",".join(f"{c[1]:.2f}-{c[2]:.2f}:{c[6]:.1f}" for c in shots)
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -337,5 +499,10 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``; equal texts have equal values."""
+    """One row for each row of ``docs``; equal texts have equal values.
+
+    Null text is empty. A file holds a text of up to some 2 GB (an AVI's sizes have 32 bits; larger ones raise an
+    error that says so). Rows without doc_id and repeated ones are rows of their own; an empty table gives an empty
+    result; other columns are not looked at.
+    """
     return digests(stored_media(docs.select(F.col("doc_id").cast("long"), "text")))

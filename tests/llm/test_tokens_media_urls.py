@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -172,10 +173,102 @@ def test_frames_of_any_bytes_and_the_general_decoder():
         avi = media.Avi(media.write_avi(payload))
         seen = avi.samples()
         assert np.concatenate([s.ravel() for s in seen]).tobytes()[: avi.length] == payload
-        frame_ = avi.frames[0]
-        high, wide, tables, quant, at, ours = media.parse_jpeg(frame_)
-        scan = frame_[at : frame_.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-        assert ours and (media.read_blocks(scan, high, wide, tables, quant) == seen[0]).all()
+        blocks = media.pixels(avi.frames[0])[0]
+        assert (blocks[::8, ::8] == seen[0]).all() and (blocks[7::8, 7::8] == seen[0]).all()
+
+
+def java_jpeg(spark, rgb):
+    """The image as a colour JPEG by the JVM's writer, and the JVM's own gray decoding of it."""
+    jvm = spark._jvm
+    high, wide, _ = rgb.shape
+    image = jvm.java.awt.image.BufferedImage(wide, high, 1)
+    for y in range(high):
+        for x in range(wide):
+            image.setRGB(x, y, int(rgb[y, x, 0]) << 16 | int(rgb[y, x, 1]) << 8 | int(rgb[y, x, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def as_avi(frames, name=b"00dc", rec=False):
+    parts = b"".join(media._chunk(name, f) for f in frames)
+    body = media._list(b"rec ", parts) if rec else parts
+    return media._chunk(b"RIFF", b"AVI " + media._list(b"hdrl", media._chunk(b"avih", struct.pack("<10I16x", 40_000, *[0] * 9))) + media._list(b"movi", body))
+
+
+def without_tables(jpeg):
+    """The frame as motion-JPEG has it: no Huffman tables."""
+    out, at = jpeg[:2], 2
+    while jpeg[at + 1] != 0xDA:
+        size = struct.unpack_from(">H", jpeg, at + 2)[0]
+        if jpeg[at + 1] != 0xC4:
+            out += jpeg[at : at + 2 + size]
+        at += 2 + size
+    return out + jpeg[at:]
+
+
+def test_colour_frames_of_another_writer(spark):
+    y, x = np.mgrid[0:37, 0:53]
+    rgb = np.stack([4 * x, 5 * y, 255 - 2 * x - y], 2).clip(0, 255).astype(np.uint8)
+    jpeg = java_jpeg(spark, rgb)
+    luma, blue, red = media.pixels(jpeg)
+    want = rgb @ np.array([0.299, 0.587, 0.114])
+    assert luma.shape == (37, 53) and np.abs(luma - want).mean() < 3
+    cb = (128 + rgb @ np.array([-0.168736, -0.331264, 0.5]))[::2, ::2]
+    assert blue.shape == red.shape == (19, 27) and np.abs(blue[:18, :26] - cb[:18, :26]).mean() < 5
+    assert [p.tolist() for p in media.pixels(without_tables(jpeg))] == [p.tolist() for p in media.pixels(jpeg)]
+    dark = java_jpeg(spark, np.zeros((37, 53, 3), np.uint8))
+    bad = jpeg[: len(jpeg) // 2]
+    table = spark.createDataFrame(
+        [(1, bytearray(as_avi([jpeg] * 3 + [dark] * 3))), (2, bytearray(as_avi([jpeg, bad, jpeg, b"junk"], rec=True))), (3, bytearray(as_avi([dark] * 9)[:-300])), (4, bytearray(as_avi([b"junk"]))), (5, bytearray(b"RIFF\xff"))],
+        "doc_id long, media binary",
+    )
+    got = [(r["doc_id"], r["first_frame"], r["frames"], r["damaged"]) for r in media.clip_rows(table).collect()]
+    assert sorted(got)[:2] == [(1, 0, 3, 0), (1, 3, 3, 0)]
+    assert [g for g in got if g[0] == 2] == [(2, 0, 4, 2)] and sum(g[3] for g in got if g[0] == 3) == 1
+    assert [g for g in got if g[0] == 4] == [(4, 0, 1, 1)] and not [g for g in got if g[0] == 5]
+
+
+def test_restart_markers(spark):
+    """Two flat grayscale blocks with a marker between them: the second difference starts anew."""
+    one = media.write_frame(np.array([[200, 90]], np.uint8))
+    head, scan = one[: one.index(b"\xff\xda")], one[one.index(b"\xff\xda") : one.index(b"\xff\xda") + 10]
+    body = [media.WORDS[[v - 128 + 255]].astype(">u2").tobytes().replace(b"\xff", b"\xff\x00") for v in (200, 90)]
+    frame_ = head + media._segment(0xDD, b"\x00\x01") + scan + body[0] + b"\xff\xd0" + body[1] + b"\xff\xd9"
+    assert media.read_frame(frame_).tolist() == [[200, 90]]
+
+
+def plain_feature(text):
+    """The report's feature from the payload's bytes alone."""
+    data = (text or "").encode()
+    data += b"\0" * (-len(data) % 64 if data else 64)
+    rows = len(data) // 64
+    count = -(-rows // 64)
+    high = -(-rows // count)
+    count = -(-rows // high)
+    data = data.ljust(count * high * 64, b"\0")
+    frames = [data[k * high * 64 : (k + 1) * high * 64] for k in range(count)]
+    steps = [0.0]
+    for f, g in zip(frames, frames[1:], strict=False):
+        a, b = ([sum(x // 8 == k for x in y) / len(y) for k in range(32)] for y in (f, g))
+        steps.append(sum(abs(p - q) for p, q in zip(a, b, strict=True)) / 2)
+    starts = [0]
+    for k in range(1, count):
+        late = steps[max(starts[-1] + 1, k - 12) : k]
+        mean = sum(late) / len(late) if late else 0
+        usual = mean + 3 * (sum((x - mean) ** 2 for x in late) / len(late)) ** 0.5 if late else 0
+        if steps[k] > max(0.25, usual):
+            starts.append(k)
+    shots = []
+    for a, b in zip(starts, [*starts[1:], count], strict=True):
+        shots.append(f"{a * 0.04:.2f}-{b * 0.04:.2f}:{sum(map(sum, frames[a:b])) / sum(map(len, frames[a:b])):.1f}")
+    return f"frames={count};shots={len(shots)};" + ",".join(shots)
+
+
+def test_features_equal_a_plain_version(spark):
+    texts = [None, "", "abc", prose(1, 3000), "x" * 20_000 + "\n" * 9000 + prose(2, 900), "ÿ" * 9000]
+    got = {r["doc_id"]: r["feature"] for r in media.media_report(frame(spark, texts)).collect()}
+    assert got == {k: plain_feature(t) for k, t in enumerate(texts)}
 
 
 def test_files_without_index_and_foreign_bytes(spark):
