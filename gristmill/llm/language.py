@@ -24,6 +24,8 @@ RANKS = 300
 #: Documents that a profile is learned from, in expectation.
 SAMPLE = 1500
 FOLDS = 4
+#: Profiles are RANKS rows for each language and go to every task; a table of more lang values is refused.
+MOST_LANGUAGES = 2000
 NONE = "und"
 
 
@@ -95,12 +97,11 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
     """Profiles from rows with lang and doc_id that are not held out."""
     rows = only(docs, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    # A row for each language: there are hundreds at most.
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return Profiles({}, ranks)
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int((1 << 30) * min(1.0, sample / n)))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")])
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if totals.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: profiles go to every task")
+    share = ((1 << 30) * F.least(F.lit(1.0), F.lit(sample) / F.col("n"))).cast("long")
+    drawn = rows.join(totals, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -120,10 +121,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> Profiles
 def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """All columns of ``docs`` (own ones of the same names replaced) with held_out, lang_pred and score.
 
-    A null text or one without letters is "und" with score 0.
+    A null text or one without letters is "und" with score 0. Very long texts are read whole; equal distances go to
+    the first name; repeated rows are rows of their own; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
-    base = docs.drop("held_out", "lang_pred", "score")
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")])
     added = "lang_pred string, score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,4 +137,6 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row. Cases as in ``identified``; without any labelled row to
+    learn from every text is "und"; a null lang is not learned from, a null doc_id neither held out nor learned from."""
     return identified(only(docs, "doc_id", "text"), learn(docs)).select("doc_id", "held_out", "lang_pred", "score")

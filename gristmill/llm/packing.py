@@ -30,8 +30,8 @@ from gristmill.llm.tokens import Tokens
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Groups that the pieces of one length are numbered in.
-SALTS = 64
+#: Groups that the pieces of one length are numbered in, at least, and pieces of a group where that takes more groups.
+SALTS, SALT_PIECES = 64, 200_000
 
 
 class Plan:
@@ -150,11 +150,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (any frame with doc_id, piece and length, stored: it is read twice) with sequence_id and offset."""
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = [max(SALTS, -(-histogram.get(n, 0) // SALT_PIECES)) for n in range(capacity + 1)]
+    of_length = F.get(F.array(*[F.lit(n) for n in salts]), F.col("length").cast("int"))
+    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int"))
     groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    counts = groups.orderBy("length", "__salt").toPandas()  # capacity * SALTS rows at most
+    counts = groups.orderBy("length", "__salt").toPandas()  # a row for each SALT_PIECES pieces, plus capacity * SALTS
     counts["__first"] = counts.groupby("length")["n"].cumsum() - counts["n"]
-    plan = Plan(counts.groupby("length")["n"].sum().to_dict(), capacity)
+    plan = Plan(histogram, capacity)
     slots = plan.slots()
     spark = parts.sparkSession
     first = spark.sparkContext.broadcast({(r.length, getattr(r, "salt")): r.first for r in counts.rename(columns={"__salt": "salt", "__first": "first"}).itertuples()})
@@ -177,7 +180,8 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document.
 
-    Sequence numbers run from 0 without gaps. Rows that share a doc_id are packed as documents of their own. An
-    empty table gives an empty result.
+    Sequence numbers run from 0 without gaps. Null text is empty: the end id alone. Rows that share a doc_id, and rows
+    without one, are packed as documents of their own; pieces of one length are alike to the plan. Very long texts are
+    cut into pieces, never shortened. An empty table gives an empty result; other columns are not looked at.
     """
     return packed(stored(pieces(docs, tokenizer, capacity), "pieces"), capacity)

@@ -211,27 +211,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Add
     return fit(x[trusted_], x[web])
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """All columns of ``docs`` (own ones of the same names replaced) with held_out, score and predicted.
-
-    Null and empty texts get the score of a text without words; without any trusted positive every score is 0.5.
-    """
+def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """All columns of ``docs`` as they came, and __score."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)[0])
-    base = docs.drop("held_out", "score", "predicted")
-    added = "score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(score=model.value.scores(table_of(frame["text"].tolist())))
+            yield frame.assign(__score=model.value.scores(table_of(frame["text"].tolist())))
+
+    return mapped(docs, run, "__score double")
+
 
-    out = mapped(base, run, added)
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+RESULTS = ("held_out", "score", "predicted")
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """All columns of ``docs`` (own ones of the same names replaced) with held_out, score and predicted.
+
+    Null and empty texts get the score of a text without words; without any trusted positive every score is 0.5. Very
+    long texts are read whole, equal texts have equal scores, repeated rows are rows of their own, a null doc_id is
+    never held out nor learned from, and an empty table gives an empty result.
+    """
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS])
+    score = F.col("__score")
+    added = [held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted")]
+    return with_score(base, labels, sample).select(*[F.col(f"`{c}`") for c in base.columns], *added)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier takes for good, with the columns that they came with."""
-    return scored(docs, labels).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the classifier takes for good, with the columns that they came with; cases as in ``scored``."""
+    return with_score(docs, labels).where(F.col("__score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; cases as in ``scored``."""
     return scored(only(docs, "doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

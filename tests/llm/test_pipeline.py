@@ -88,3 +88,19 @@ def test_stages_one_by_one(spark, tmp_path):
     check_sequences(steps[4])
     whole = corpus_pipeline.run(spark, path)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in steps[4])
+
+
+def test_stages_keep_columns_of_any_name_and_take_odd_tables(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    write(spark, path)
+    texts, _ = corpus()
+    names = ["n_lines", "n_dropped", "score", "predicted", "held_out", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "a.b", "h", "row", "node"]
+    schema = "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names)  # no n_chars
+    docs = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)], schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(tuple(r)[2:] == tuple(f"{n}{r['doc_id']}" for n in names) for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0

@@ -50,6 +50,44 @@ def test_languages_of_odd_rows(spark):
     assert language.language_report(docs.limit(0)).count() == 0
 
 
+def test_language_report_equals_a_plain_version(spark):
+    langs = [list(TONGUES)[k % 3] for k in range(60)]
+    texts = [speech(x, k, 15 + k % 40) for k, x in enumerate(langs)] + ["", None, "!?", "ß", speech("aa", 1) + speech("bb", 2)]
+    langs += ["aa", "bb", None, "cc", None]
+    ranks, counts = language.RANKS, {}
+
+    def grams(text):
+        out = {}
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            s = f" {w} "
+            for n in (1, 2, 3):
+                for k in range(len(s) - n + 1):
+                    g = s[k : k + n]
+                    if g.strip() and (n < 3 or g[1] != " "):
+                        out[g] = out.get(g, 0) + 1
+        return out
+
+    def number(g):  # the order of ties: the packed code points, blanks 0
+        p = [0 if c == " " else ord(c) for c in g]
+        return p[0] if len(p) == 1 else (p[0] << 21 | p[1]) | 1 << 42 if len(p) == 2 else p[0] << 42 | p[1] << 21 | p[2]
+
+    def order(c):
+        return {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], number(g)))[:ranks])}
+
+    for k, (t, x) in enumerate(zip(texts, langs, strict=True)):
+        if x and zlib.crc32(str(k).encode()) % 4 != 2:
+            for g, n in grams(t).items():
+                counts.setdefault(x, {})[g] = counts.setdefault(x, {}).get(g, 0) + n
+    profiles = {x: order(c) for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in language.language_report(frame(spark, texts, langs=langs)).collect()}
+    for k, t in enumerate(texts):
+        doc = order(grams(t))
+        apart = {x: sum(min(abs(p[g] - i), ranks) if g in p else ranks for g, i in doc.items()) for x, p in profiles.items()}
+        best = min((d, x) for x, d in apart.items())
+        want = (best[1], 1 - best[0] / (ranks * len(doc))) if doc else ("und", 0.0)
+        assert got[k]["lang_pred"] == want[0] and abs(got[k]["score"] - want[1]) < 1e-12
+
+
 def test_rank_distance_by_hand():
     p = language.Profiles({"aa": [5, 6, 7], "bb": [7, 6, 9]}, ranks=3)
     doc = np.array([5, 7, 8])
@@ -105,6 +143,43 @@ def test_quality_of_odd_rows(spark):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_descent_reaches_the_least_non_negative_risk():
+    """Against a plain descent on the risk as written down, with slopes by differences."""
+    r = np.random.default_rng(3)
+    p, u = (r.random((400, 6)) < q for q in (np.linspace(0.2, 0.8, 6), np.full(6, 0.5)))
+    p, u, prior = p.astype(float), u.astype(float), 0.1  # so small that the second term stays above zero, where steps are plain descent
+    loss = lambda z: np.logaddexp(0, -z).mean()
+
+    def risk(w):
+        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        return prior * loss(zp) + max(0.0, loss(-zu) - prior * loss(-zp))
+
+    plain = np.zeros(7)
+    for _ in range(600):
+        plain -= 0.5 * np.array([(risk(plain + 1e-5 * e) - risk(plain - 1e-5 * e)) / 2e-5 for e in np.eye(7)])
+    w, bias = quality.descend(p, u, prior, seed=1, epochs=200, batch=100)
+    assert abs(risk(np.append(w, bias)) - risk(plain)) < 0.01 < risk(np.zeros(7)) - risk(plain)
+
+
+def test_scores_equal_a_plain_sum_of_weights(spark):
+    docs = frame(spark, odd_texts() + [prose(k, 40) for k in range(30)])
+    labels = spark.createDataFrame([(k, 1) for k in range(18, 48)], "doc_id long, quality int")
+    model, _ = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_report(docs, labels).collect()}
+    for k, t in enumerate(odd_texts() + [prose(k, 40) for k in range(30)]):
+        z = model.bias
+        for j, x in enumerate(quality.statistics(t)):
+            z += model.weights[j * quality.BINS + sum(x >= e for e in model.edges[j])]
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_accepted_keeps_the_values_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, prose(k, 40), "mine", "a", 7) for k in range(40)], "doc_id long, text string, score string, `a.b` string, predicted int")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    out = quality.accepted(docs, labels)
+    assert out.columns == docs.columns and {(r["score"], r["a.b"], r["predicted"]) for r in out.collect()} == {("mine", "a", 7)}
+
+
 def test_class_prior_is_near_the_true_share():
     r = np.random.default_rng(5)
     for share in (0.3, 0.6, 0.9):
