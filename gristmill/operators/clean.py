@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.exact import finite, medians
+
 
 def number(text: Column) -> Column:
     """A number out of text with percent, currency and thousands signs; null if it is none."""
@@ -56,9 +58,8 @@ def profile(cells: DataFrame) -> DataFrame:
 
 def filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Infinities and nulls become the column's median, or 0 if it has none."""
-    finite = {c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)) for c in columns}
-    medians = df.agg(*[F.median(v).alias(c) for c, v in finite.items()]).first()
-    return df.select(*[F.coalesce(finite[c], F.lit(medians[c]), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    middle = medians(df, columns)
+    return df.select(*[F.coalesce(finite(c), F.lit(middle[c]), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def one_space(c: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators import rank as R
+
 
 def pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, r) for each pair of columns, over rows in which both are filled.
@@ -19,11 +21,20 @@ def pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def rank_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, n, rho): Spearman's coefficient, ranks taken within the rows of each pair."""
+    """(a, b, n, rho): Spearman's coefficient, ranks taken within the rows of each pair. Ranks come from counts of
+    distinct values, summed up range by range."""
     both = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in both])).alias("p")).select("p.*").where("x is not null and y is not null")
-    rank = lambda c: F.rank().over(Window.partitionBy("a", "b").orderBy(c)) + (F.count("*").over(Window.partitionBy("a", "b", c)) - 1) / 2
-    return long.select("a", "b", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in both])).alias("p")).select("p.*").where("x is not null and y is not null")
+    long = rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
+    for c in ("x", "y"):
+        values = R.below(long.groupBy("a", "b", c).agg(F.sum("w").alias("n")), c, "n", ["a", "b"])
+        long = long.join(values.select("a", "b", c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}")), ["a", "b", c])
+    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
+    sums = long.groupBy("a", "b").agg(F.sum("w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (("sx", x), ("sy", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))])
+    n = F.col("n")
+    spread = lambda p, q, r: F.col(r) - F.col(p) * F.col(q) / n
+    rho = spread("sx", "sy", "xy") / F.sqrt(spread("sx", "sx", "xx") * spread("sy", "sy", "yy"))
+    return sums.select("a", "b", "n", rho.alias("rho"))
 
 
 def both_ways(pair: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.correlate import candidates, pairs
+from gristmill.operators.exact import medians
 
 #: Rows in common that a model needs at least, plus five for each predictor beyond the first.
 LEAST = 10
@@ -122,10 +123,11 @@ def filled(df: DataFrame, key: str, columns: Sequence[str], k: int = 2) -> DataF
     variance. A column without any value stays null.
     """
     models = fitted(df, columns, k)
-    stats = df.agg(*[F.median(c).alias(f"m_{c}") for c in columns], *[F.variance(c).alias(f"v_{c}") for c in columns]).first()
+    stats = df.agg(*[F.variance(c).alias(c) for c in columns]).first()
+    middle = medians(df, columns)
     cells = []
     for c in columns:
-        value, sigma2, origin = F.lit(stats[f"m_{c}"]).cast("double"), F.lit(stats[f"v_{c}"]).cast("double"), F.lit("median")
+        value, sigma2, origin = F.lit(middle[c]).cast("double"), F.lit(stats[c]).cast("double"), F.lit("median")
         for model, loo in reversed(models[c]):
             usable = together(model.predictors)
             value = F.when(usable, model.predicted()).otherwise(value)

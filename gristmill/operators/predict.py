@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.exact import quantiles
+
 NEIGHBOURS, FEWEST = 80, 20
 #: Labelled rows that go to every task; a larger table is sampled by hash down to this.
 MAX_TRAIN = 50_000
@@ -165,8 +167,12 @@ class Calibration:
         """Chance that the value lies above a bar."""
         df = self.df
 
+        # The distribution function once, on a grid that is fine enough for 1e-7; beyond it the tails are 0 and 1.
+        at = np.concatenate([-np.geomspace(60, 8, 400), np.linspace(-8, 8, 8001)[1:-1], np.geomspace(8, 60, 400)])
+        share = np.array([t_below(float(x), df) for x in at])
+
         def run(z: pd.Series) -> pd.Series:
-            return z.map(lambda v: None if pd.isna(v) else t_below(float(v), df))
+            return pd.Series(np.interp(z.astype(float), at, share, 0.0, 1.0)).where(z.notna().to_numpy())
 
         return F.pandas_udf(run, "double")((predicted - bar) / sigma)
 
@@ -175,14 +181,14 @@ def calibrated(oof: DataFrame, bins: int = 2000) -> Calibration:
     """From out-of-fold rows (actual, predicted, neighbour_sd): floor = 25th percentile of the scales; Student's t
     fitted to scaled residuals (a histogram of ``bins`` cells comes to the driver); factor = 95th percentile of
     their size over the t distribution's 97.5 % point."""
-    floor = oof.agg(F.percentile("neighbour_sd", 0.25)).first()[0] or 1.0
+    floor = quantiles(oof, {"neighbour_sd": [0.25]})["neighbour_sd"][0] or 1.0
     r = oof.select(((F.col("actual") - F.col("predicted")) / F.greatest("neighbour_sd", F.lit(floor))).alias("r"))
-    top = r.agg(F.max(F.abs("r")).alias("m"), F.percentile(F.abs("r"), 0.95).alias("q")).first()
-    width = max(top["m"], 1e-9) * 2 / bins
+    q, m = quantiles(r.select(F.abs("r").alias("r")), {"r": [0.95, 1.0]})["r"]
+    width = max(m, 1e-9) * 2 / bins
     cells = r.groupBy(F.round(F.col("r") / width).alias("c")).count().toPandas()
     x, n = cells["c"].to_numpy() * width, cells["count"].to_numpy()
     spread = math.sqrt(float((x * x * n).sum() / n.sum())) or 1.0
     loss = lambda df, s: -float((log_t(x, df, s) * n).sum())
     best = lambda df: golden(lambda s: loss(df, math.exp(s)), math.log(spread / 20), math.log(spread * 2), 40)
     df = math.exp(golden(lambda u: loss(math.exp(u), math.exp(best(math.exp(u)))), math.log(3), math.log(200), 30))
-    return Calibration(floor, df, top["q"] / t_quantile(0.975, df))
+    return Calibration(floor, df, q / t_quantile(0.975, df))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import explore as E
+from gristmill.operators import rank as R
 from gristmill.registering import Queries
 from gristmill.session import table
 
@@ -28,12 +29,11 @@ s AS (SELECT sum(k) FILTER (WHERE g) AS w, count(*) FILTER (WHERE g) AS n1, coun
 SELECT n1, n2, w - n1 * (n1 + 1) / 2.0 AS u, round((w - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) AS z FROM s""",
 )
 def rank_sum_test(spark: SparkSession, d: str) -> DataFrame:
-    """Mann-Whitney U of two groups with its normal approximation. Ranks come from counts of distinct values, whose
-    running sum is over values and not over rows."""
+    """Mann-Whitney U of two groups with its normal approximation. Ranks come from counts of distinct values, summed
+    up range by range."""
     s = table(spark, d, "supplier").select((F.col("s_nationkey") % 2 == 0).alias("g"), "s_acctbal")
     v = s.groupBy("s_acctbal").agg(F.count_if("g").alias("a"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s_acctbal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = v.select("a", "n", (below + (F.col("n") + 1) / 2).alias("k")).agg(F.sum(F.col("a") * F.col("k")).alias("w"), F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"))
+    w = R.below(v, "s_acctbal", "n").select("a", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("k")).agg(F.sum(F.col("a") * F.col("k")).alias("w"), F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     u = F.col("w") - n1 * (n1 + 1) / 2
     return w.select("n1", "n2", u.alias("u"), F.round((u - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6).alias("z"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators import impute, predict
+from gristmill.operators.exact import medians, quantiles
 from gristmill.plans.cleaning import MATRIX, TYPES, user_days
 from gristmill.registering import Queries
 from gristmill.session import table
@@ -29,8 +30,8 @@ def sparse_parts(spark: SparkSession, d: str) -> DataFrame:
 def median_fill(spark: SparkSession, d: str) -> DataFrame:
     """Medians with the column's variance as uncertainty, which is where every other model falls back to."""
     m = user_days(spark, d)
-    s = m.agg(*[F.median(t).alias(f"m_{t}") for t in TYPES], *[F.variance(t).alias(f"v_{t}") for t in TYPES]).first()
-    cells = [F.struct(F.lit(t).alias("column_name"), F.round(F.coalesce(F.col(t), F.lit(s[f"m_{t}"])), 6).alias("value"), F.when(F.col(t).isNull(), F.round(F.lit(s[f"v_{t}"]), 4)).otherwise(0.0).alias("sigma2")) for t in TYPES]
+    s, middle = m.agg(*[F.variance(t).alias(t) for t in TYPES]).first(), medians(m, TYPES)
+    cells = [F.struct(F.lit(t).alias("column_name"), F.round(F.coalesce(F.col(t), F.lit(middle[t])), 6).alias("value"), F.when(F.col(t).isNull(), F.round(F.lit(s[t]), 4)).otherwise(0.0).alias("sigma2")) for t in TYPES]
     return m.select("entity", F.inline(F.array(*cells)))
 
 
@@ -136,7 +137,7 @@ SELECT user_id, round(1.08 * 1.2 * greatest(sd, floor), 5) AS sigma, abs(r) <= 1
 )
 def scale_floor(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "events").groupBy("user_id").agg(F.stddev("value").alias("sd"), (F.avg("value") - 50).alias("r"))
-    floor = s.agg(F.percentile("sd", 0.25)).first()[0]
+    floor = quantiles(s, {"sd": [0.25]})["sd"][0]
     sigma = 1.08 * 1.2 * F.greatest("sd", F.lit(floor))
     return s.select("user_id", F.round(sigma, 5).alias("sigma"), (F.abs("r") <= 1.96 * sigma).alias("covered"))
 

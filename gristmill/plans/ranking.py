@@ -20,19 +20,21 @@ def ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @queries.add(
     "rank_stability",
-    """WITH x AS (SELECT s_suppkey, k, s_acctbal + 800 * (((s_suppkey * 7919 + k * 104729) % 10007) / 10007.0 - 0.5) AS x FROM supplier, range(40) t(k)),
-r AS (SELECT s_suppkey, row_number() OVER (PARTITION BY k ORDER BY x DESC, s_suppkey) AS rank FROM x)
+    """WITH u AS (SELECT s_suppkey, s_acctbal, k, ((s_suppkey * 7919 + k * 104729) % 10007 + 0.5) / 10007 AS u, ((s_suppkey * 15485863 + k * 32452843) % 20011 + 0.5) / 20011 AS v FROM supplier, range(1000) t(k)),
+x AS (SELECT s_suppkey, k, s_acctbal + 800 / 3.92 * sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FROM u), r AS (SELECT s_suppkey, row_number() OVER (PARTITION BY k ORDER BY x DESC, s_suppkey) AS rank FROM x)
 SELECT s_suppkey, floor(median(rank))::BIGINT AS median_rank, floor(quantile_cont(rank, 0.05))::BIGINT AS p5, floor(quantile_cont(rank, 0.95))::BIGINT AS p95 FROM r GROUP BY 1""",
 )
 def rank_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks over repeated draws around each score: median, 5th and 95th percentile, cut to whole ranks.
+    """Ranks over 1000 normal draws around each score (an interval of 800 is 3.92 deviations wide): median, 5th and
+    95th percentile, cut to whole ranks.
 
-    Draws come from arithmetic on the key, so that any engine repeats them.
+    Draws come from arithmetic on the key, so that any engine repeats them; ranks within a draw from ranges of it.
     """
-    draws = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
-    noise = ((F.col("s_suppkey") * 7919 + F.col("k") * 104729) % 10007) / 10007 - 0.5
-    x = draws.withColumn("x", F.col("s_acctbal") + 800 * noise)
-    r = x.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("x"), "s_suppkey")))
+    draws = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("k"))
+    u = ((F.col("s_suppkey") * 7919 + F.col("k") * 104729) % 10007 + 0.5) / 10007
+    v = ((F.col("s_suppkey") * 15485863 + F.col("k") * 32452843) % 20011 + 0.5) / 20011
+    x = draws.select("s_suppkey", "k", (F.col("s_acctbal") + 800 / 3.92 * F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)).alias("x"))
+    r = R.ranked(x, [F.col("s_suppkey")], "rank", 16, "x", ["k"])
     cut = lambda p: F.floor(F.percentile("rank", p))
     return r.groupBy("s_suppkey").agg(cut(0.5).alias("median_rank"), cut(0.05).alias("p5"), cut(0.95).alias("p95"))
 
@@ -79,8 +81,15 @@ def cumulative_share(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_returnflag, round(avg(l_extendedprice) FILTER (WHERE t = 1) / avg(l_extendedprice), 5) AS top_lift, round(avg(l_extendedprice) FILTER (WHERE t = 10) / avg(l_extendedprice), 5) AS bottom_lift FROM r GROUP BY 1""",
 )
 def decile_lift(spark: SparkSession, d: str) -> DataFrame:
-    t = F.ntile(10).over(Window.partitionBy("l_returnflag").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber"))
-    r = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", t.alias("t"))
+    """Mean price of the first and the last tenth by quantity over that of all. Tenths come from row numbers that are
+    counted range by range; the first n % 10 of them have a row more."""
+    own = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "l_extendedprice")
+    sizes = own.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    r = R.ranked(own, [F.col("l_orderkey"), F.col("l_linenumber")], "k", 64, "l_quantity", ["l_returnflag"], "l_orderkey").join(sizes, "l_returnflag")
+    q, more = F.floor(F.col("n") / 10), F.col("n") % 10
+    long_ = more * (q + 1)
+    t = F.when(F.col("k") <= long_, F.ceil(F.col("k") / (q + 1))).otherwise(more + F.ceil((F.col("k") - long_) / q))
+    r = r.withColumn("t", t)
     part = lambda k: F.round(F.avg(F.when(F.col("t") == k, F.col("l_extendedprice"))) / F.avg("l_extendedprice"), 5)
     return r.groupBy("l_returnflag").agg(part(1).alias("top_lift"), part(10).alias("bottom_lift"))
 

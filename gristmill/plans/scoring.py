@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators import score as S
+from gristmill.operators.exact import quantiles
 from gristmill.registering import Queries
 from gristmill.session import table
 
@@ -62,12 +63,12 @@ def question_pivot(spark: SparkSession, d: str) -> DataFrame:
 @queries.add(
     "row_statistics",
     f"""WITH {ANSWERS}, q AS (SELECT model, question, avg(value) AS x FROM a GROUP BY 1, 2)
-SELECT model, round(avg(x), 4) AS mean, round(avg(x) * 12, 3) AS combined, round(stddev(x), 4) AS sd, round(min(x), 4) AS least, round(avg((x > 50)::INT), 6) AS above, round(stddev(x) / avg(x), 4) AS variation FROM q GROUP BY 1""",
+SELECT model, round(avg(x), 9) AS mean, round(avg(x) * 12, 8) AS combined, round(stddev(x), 9) AS sd, round(min(x), 9) AS least, round(avg((x > 50)::INT), 6) AS above, round(stddev(x) / avg(x), 9) AS variation FROM q GROUP BY 1""",
 )
 def row_statistics(spark: SparkSession, d: str) -> DataFrame:
     q = answers(spark, d).groupBy("model", "question").agg(F.avg("value").alias("x"))
     x = F.col("x")
-    return q.groupBy("model").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.avg(x) * 12, 3).alias("combined"), F.round(F.stddev(x), 4).alias("sd"), F.round(F.min(x), 4).alias("least"), F.round(F.avg((x > 50).cast("int")), 6).alias("above"), F.round(F.stddev(x) / F.avg(x), 4).alias("variation"))
+    return q.groupBy("model").agg(F.round(F.avg(x), 9).alias("mean"), F.round(F.avg(x) * 12, 8).alias("combined"), F.round(F.stddev(x), 9).alias("sd"), F.round(F.min(x), 9).alias("least"), F.round(F.avg((x > 50).cast("int")), 6).alias("above"), F.round(F.stddev(x) / F.avg(x), 9).alias("variation"))
 
 
 @queries.add("min_max_scale", "SELECT p_partkey, round(100 * (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 4) AS price, round(100.0 * (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()), 4)::DOUBLE AS size, 0.0::DOUBLE AS constant FROM part")
@@ -121,7 +122,7 @@ round(avg((abs(actual - predicted) < 15000)::INT), 6) AS coverage FROM p, e GROU
 def calibration_table(spark: SparkSession, d: str) -> DataFrame:
     """Predicted and actual means by quantile bins of the prediction, with the coverage of an interval."""
     p = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1000 + 500 * F.col("l_linenumber")).alias("predicted"))
-    e = p.agg(F.percentile("predicted", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e")).first()["e"]
+    e = quantiles(p, {"predicted": [0.25, 0.5, 0.75]})["predicted"]
     bin_ = F.when(F.col("predicted") <= e[0], 0).when(F.col("predicted") <= e[1], 1).when(F.col("predicted") <= e[2], 2).otherwise(3)
     inside = (F.abs(F.col("actual") - F.col("predicted")) < 15000).cast("int")
     return p.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 3).alias("mean_predicted"), F.round(F.avg("actual"), 3).alias("mean_actual"), F.round(F.avg(inside), 6).alias("coverage"))
@@ -186,7 +187,7 @@ SELECT CASE WHEN o_totalprice >= hi THEN 'top' ELSE 'bottom' END AS slice, count
 def top_against_bottom(spark: SparkSession, d: str) -> DataFrame:
     """Parameter means of the best and the worst tenth of the trials."""
     orders = table(spark, d, "orders")
-    lo, hi = orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9))).alias("e")).first()["e"]
+    lo, hi = quantiles(orders, {"o_totalprice": [0.1, 0.9]})["o_totalprice"]
     ends = orders.where((F.col("o_totalprice") >= hi) | (F.col("o_totalprice") <= lo))
     return ends.groupBy(F.when(F.col("o_totalprice") >= hi, "top").otherwise("bottom").alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg("o_orderkey"), 3).alias("mean_key"), F.round(F.median("o_orderkey"), 3).alias("median_key"))
 
