@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import battles, cleaning, columns, combining, correlation, exploring, kernels, ranking, scoring, texts
+from gristmill.plans import battles, cleaning, columns, combining, correlation, exploring, kernels, matches, ranking, scoring, texts
 
-MODULES = (combining, cleaning, columns, scoring, battles, ranking, correlation, texts, kernels, exploring)
+MODULES = (combining, cleaning, columns, scoring, battles, matches, ranking, correlation, texts, kernels, exploring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

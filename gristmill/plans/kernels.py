@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import impute, predict
+from gristmill.operators import graph, impute, match, predict
 from gristmill.operators.exact import medians, quantiles
 from gristmill.plans.cleaning import MATRIX, TYPES, user_days
 from gristmill.registering import Queries
@@ -111,23 +111,19 @@ def residualised(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-BETA2 = (25.0 / 6) ** 2
+BETA2 = match.BETA2
 RATED = "r AS (SELECT s_suppkey AS m, 25 + s_acctbal / 1000 AS mu, 2 + (s_suppkey % 7) AS sigma FROM supplier)"
 
 
 @queries.add(
     "match_gain",
     f"""WITH {RATED}, p AS (SELECT a.m AS left_id, b.m AS right_id, (a.sigma + b.sigma) * sqrt(2 * {BETA2} / (2 * {BETA2} + a.sigma * a.sigma + b.sigma * b.sigma)) * exp(-power(a.mu - b.mu, 2) / (2 * (2 * {BETA2} + a.sigma * a.sigma + b.sigma * b.sigma))) AS gain
-FROM r a JOIN r b ON a.m < b.m AND a.m % 10 = b.m % 10) SELECT left_id, right_id, round(gain, 6) AS gain FROM p ORDER BY round(gain, 9) DESC, left_id, right_id LIMIT 40""",
+FROM r a JOIN r b ON a.m < b.m) SELECT left_id, right_id, round(gain, 6) AS gain FROM p ORDER BY round(gain, 9) DESC, left_id, right_id LIMIT 40""",
 )
 def match_gain(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs from the same pool worth playing: uncertain and close ones first, up to a budget."""
-    r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("left_id"), (25 + F.col("s_acctbal") / 1000).alias("mu"), (2 + F.col("s_suppkey") % 7).alias("sigma"), (F.col("s_suppkey") % 10).alias("pool"))
-    o = r.select(F.col("left_id").alias("right_id"), F.col("mu").alias("mu2"), F.col("sigma").alias("sigma2"), "pool")
-    whole = 2 * BETA2 + F.col("sigma") * F.col("sigma") + F.col("sigma2") * F.col("sigma2")
-    gain = (F.col("sigma") + F.col("sigma2")) * F.sqrt(F.lit(2 * BETA2) / whole) * F.exp(-F.pow(F.col("mu") - F.col("mu2"), F.lit(2)) / (2 * whole))
-    pairs = r.join(o, "pool").where("left_id < right_id").select("left_id", "right_id", gain.alias("gain"))
-    return pairs.orderBy(F.desc(F.round("gain", 9)), "left_id", "right_id").limit(40).withColumn("gain", F.round("gain", 6))
+    """The pairs most worth playing, of all: uncertain and close ones first, up to a budget."""
+    r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("m"), (25 + F.col("s_acctbal") / 1000).alias("mu"), (2 + F.col("s_suppkey") % 7).cast("double").alias("sigma"))
+    return match.best_pairs(r, "m", 40).withColumn("gain", F.round("gain", 6))
 
 
 @queries.add(
@@ -144,17 +140,11 @@ def scale_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @queries.add(
     "dependency_depth",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_quantity >= 45 AND l_suppkey <> l_partkey % 97),
-w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = node WHERE depth < 6)
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey),
+w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = node WHERE depth < 12)
 SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""",
 )
 def dependency_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth-first depth from a root over a dependency graph, a frontier join for each level."""
-    e = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97).alias("dst")).where("src != dst").distinct().persist()
-    frontier = spark.range(1, 2).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
-    seen = frontier
-    for depth in range(1, 7):
-        next_ = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = next_.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")).persist()
-        seen = seen.unionByName(frontier)
-    return seen
+    """Breadth-first depth from a root over a dependency graph, a frontier join for each level until none is new."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).where("src != dst").distinct()
+    return graph.depths(e, spark.range(1, 2).select(F.col("id").alias("node")))
