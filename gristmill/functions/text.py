@@ -76,3 +76,105 @@ def chunks(tokens: Column, size: int, overlap: int, least: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(size - overlap))
     cut = F.transform(starts, lambda s: F.slice(tokens, s + 1, size))
     return F.filter(cut, lambda c, i: (i == 0) | (F.size(c) >= least))
+
+
+def many_counters(text: Column) -> dict[str, Column]:
+    """Counts of marks beyond ``markdown`` and ``shape``: table rows, emoji, fences."""
+    return {
+        "table_rows": matches(text, r"(?m)^\s*\|.*\|\s*$"),
+        "emoji": matches(text, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"),
+        "links": matches(text, r"\[[^\]]+\]\([^)]+\)"),
+    }
+
+
+def word_rates(text: Column) -> dict[str, Column]:
+    """Seventeen numbers of a text's shape: lengths, and rates by word, hundred words, thousand words and sentence."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    n = F.size(found).cast("double")
+    sentences = F.greatest(F.lit(1), matches(text, r"[.!?]+") + 1).cast("double")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    bold = matches(text, r"\*\*\S(?:.*?\S)??\*\*")
+    among = lambda words_: F.size(F.filter(found, lambda w: F.lower(w).isin(*words_)))
+    per = lambda x, unit: F.when(n > 0, x * unit / n).otherwise(0.0)
+    return {
+        "n_words": n,
+        "n_sentences": sentences,
+        "words_a_sentence": n / sentences,
+        "mean_word": F.when(n > 0, F.aggregate(F.transform(found, F.length), F.lit(0), lambda a, b: a + b) / n).otherwise(0.0),
+        "unique_share": per(F.size(F.array_distinct(F.transform(found, F.lower))), 1),
+        "lines_per_100w": per(F.size(lines), 100),
+        "headers_per_1kw": per(markdown(text)["headers"], 1000),
+        "bold_per_1kw": per(bold, 1000),
+        "italic_per_1kw": per(F.floor(F.greatest(F.lit(0), occurrences(text, "*") - 4 * bold) / 2), 1000),
+        "lists_per_1kw": per(markdown(text)["lists"], 1000),
+        "hedges_per_1kw": per(among(HEDGES), 1000),
+        "persons_per_1kw": per(among(tuple(w for w in FIRST_PERSON if "'" not in w)), 1000),
+        "dashes_per_1kw": per(occurrences(text, "—") + occurrences(text, "--"), 1000),
+        "ellipses_per_1kw": per(matches(text, r"\.\.\.|…"), 1000),
+        "bangs_a_sentence": occurrences(text, "!") / sentences,
+        "questions_a_sentence": occurrences(text, "?") / sentences,
+        "capitals_per_100w": per(F.size(F.filter(found, lambda w: (F.length(w) > 2) & w.rlike("^[A-Z]+$"))), 100),
+    }
+
+
+def line_statistics(text: Column) -> dict[str, Column]:
+    """Fifteen numbers of words, lines and characters."""
+    w, lines = words(text), F.split(text, "\n")
+    n, m, c = F.size(w).cast("double"), F.size(lines).cast("double"), F.length(text).cast("double")
+    long_ = F.transform(lines, F.length)
+    letters = F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, b: a + b)
+    share = lambda x, of: F.when(of > 0, x / of).otherwise(0.0)
+    return {
+        "chars": c, "words": n, "lines": m,
+        "mean_word": share(letters, n),
+        "unique_words": share(F.size(F.array_distinct(F.transform(w, F.lower))), n),
+        "longest_word": F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("double"),
+        "longest_line": F.array_max(long_).cast("double"),
+        "mean_line": share(c, m),
+        "short_lines": share(F.size(F.filter(long_, lambda x: x < 40)), m),
+        "empty_lines": share(F.size(F.filter(lines, lambda x: F.trim(x) == "")), m),
+        "digits": share(matches(text, "[0-9]"), c),
+        "capitals": share(matches(text, "[A-Z]"), c),
+        "commas": share(occurrences(text, ","), n),
+        "colons": share(occurrences(text, ":") + occurrences(text, ";"), n),
+        "brackets": share(occurrences(text, "(") + occurrences(text, ")"), n),
+    }
+
+
+def first_word_label(reply: Column) -> Column:
+    """Correct, Incorrect or Partially by a reply's first word; null for any other."""
+    word = F.initcap(F.regexp_extract(F.trim(reply), r"^([A-Za-z]+)", 1))
+    return F.when(word.isin("Correct", "Incorrect", "Partially"), word)
+
+
+def percent(text: Column) -> Column:
+    """The first percentage of a text."""
+    return F.regexp_extract(text, r"([\d.]+)%", 1).try_cast("double")
+
+
+def money(text: Column) -> Column:
+    """A number without currency signs, thousands marks and warnings."""
+    return F.trim(F.regexp_replace(text, r"[$,]|WARN", "")).try_cast("double")
+
+
+def tagged(text: Column, tag: str, without: tuple[str, ...] = ()) -> Column:
+    """What stands in a tag, without other tags in it and their contents; null if the tag is missing."""
+    inside = F.when(text.rlike(rf"(?is)<{tag}>.*?</{tag}>"), F.regexp_extract(text, rf"(?is)<{tag}>(.*?)</{tag}>", 1))
+    for other in without:
+        inside = F.regexp_replace(inside, rf"(?is)<{other}>.*?</{other}>", "")
+    return F.trim(inside)
+
+
+def headed(text: Column, headings: tuple[str, ...]) -> dict[str, Column]:
+    """The sections under these headings, in this order; null where a heading is missing."""
+    out = {}
+    for k, h in enumerate(headings):
+        rest = "|".join(headings[k + 1 :])
+        end = rf"(?=^\s*#*\s*(?:{rest})\s*:?\s*$|\z)" if rest else r"\z"
+        pattern = rf"(?ism)^\s*#*\s*{h}\s*:?\s*$(.*?){end}"
+        out[h] = F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
+    return out
+
+
+def shortened(text: Column, most: int, mark: str = " [truncated]") -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
