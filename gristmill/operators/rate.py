@@ -72,30 +72,55 @@ def skill_update(a: tuple[float, float], b: tuple[float, float], draw: bool, mar
     return step(a[0], va, 1), step(b[0], vb, -1)
 
 
+RATINGS = "model string, mu double, sigma double, games long"
+
+
+def played(rate: dict[str, tuple[float, float, int]], rows: pd.DataFrame, draw_probability: float) -> dict[str, tuple[float, float, int]]:
+    """Ratings (mu, sigma, games) after these results, one after the other in the order of ``seq``."""
+    beta, tau = SIGMA / 2, SIGMA / 100
+    margin = quantile((draw_probability + 1) / 2) * math.sqrt(2) * beta
+    for r in rows.sort_values(["seq", "model_1", "model_2"]).itertuples():
+        one, two = (r.model_2, r.model_1) if r.result == "model_2" else (r.model_1, r.model_2)
+        a, b = rate.get(one, (MU, SIGMA, 0)), rate.get(two, (MU, SIGMA, 0))
+        x, y = skill_update(a[:2], b[:2], r.result == "draw", margin, beta, tau)
+        rate[one], rate[two] = (*x, a[2] + 1), (*y, b[2] + 1)
+    return rate
+
+
+def as_rows(group: str, key: object, rate: dict[str, tuple[float, float, int]]) -> pd.DataFrame:
+    names = sorted(rate)
+    return pd.DataFrame({group: [key] * len(names), "model": names, "mu": [rate[m][0] for m in names], "sigma": [rate[m][1] for m in names], "games": [rate[m][2] for m in names]})
+
+
 def skill_ratings(results: DataFrame, group: str, draw_probability: float = 0.1) -> DataFrame:
     """(group, model, mu, sigma, games): ratings folded over the results of each group in the order of ``seq``.
 
-    The fold is sequential by nature, so that a group (a judge, an axis) is one task; groups run side by side.
-    Input: group, seq, model_1, model_2, result. Equal ``seq`` are ordered by the names.
+    The fold is sequential by nature, so that a group (a judge, an axis) is one task; groups run side by side. A long
+    history goes through ``continued`` in batches instead. Input: group, seq, model_1, model_2, result. Equal ``seq``
+    are ordered by the names.
     """
-    beta, tau = SIGMA / 2, SIGMA / 100
-    margin = quantile((draw_probability + 1) / 2) * math.sqrt(2) * beta
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rate: dict[str, tuple[float, float]] = {}
-        games: dict[str, int] = {}
-        for r in rows.sort_values(["seq", "model_1", "model_2"]).itertuples():
-            one, two = (r.model_2, r.model_1) if r.result == "model_2" else (r.model_1, r.model_2)
-            start = (MU, SIGMA)
-            rate[one], rate[two] = skill_update(rate.get(one, start), rate.get(two, start), r.result == "draw", margin, beta, tau)
-            for m in (one, two):
-                games[m] = games.get(m, 0) + 1
-        names = sorted(rate)
-        return pd.DataFrame({group: [key[0]] * len(names), "model": names, "mu": [rate[m][0] for m in names], "sigma": [rate[m][1] for m in names], "games": [games[m] for m in names]})
+        return as_rows(group, key[0], played({}, rows, draw_probability))
+
+    own = results.select(group, "seq", "model_1", "model_2", "result")
+    kind = own.schema[group].dataType.simpleString()
+    return own.groupBy(group).applyInPandas(fold, f"`{group}` {kind}, {RATINGS}")
+
+
+def continued(ratings: DataFrame, results: DataFrame, group: str, draw_probability: float = 0.1) -> DataFrame:
+    """The ratings (group, RATINGS) after a batch of later results: only the batch's rows are gathered by group, so
+    that a task's size does not grow with the history. Groups without new results stay as they are."""
+
+    def fold(key: tuple, old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rate = {r.model: (r.mu, r.sigma, int(r.games)) for r in old.itertuples()}
+        return as_rows(group, key[0], played(rate, rows, draw_probability))
 
     own = results.select(group, "seq", "model_1", "model_2", "result")
     kind = own.schema[group].dataType.simpleString()
-    return own.groupBy(group).applyInPandas(fold, f"`{group}` {kind}, model string, mu double, sigma double, games long")
+    touched = ratings.join(own.select(group).distinct(), group, "left_semi")
+    new = touched.groupBy(group).cogroup(own.groupBy(group)).applyInPandas(fold, f"`{group}` {kind}, {RATINGS}")
+    return new.unionByName(ratings.join(own.select(group).distinct(), group, "left_anti"))
 
 
 def bradley_terry(results: DataFrame, group: str, ridge: float = 1.0, rounds: int = 60) -> DataFrame:

@@ -77,3 +77,34 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.run_to_end(counts, str(tmp_path / "c2"), lambda b, n: seen.update({(r["start"], r["event_type"]): r["n"] for r in b.collect()}))
     batch = whole.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").count()
     assert seen == {(r["start"], r["event_type"]): r["count"] for r in batch.collect()}
+
+
+def test_ratings_by_stream_equal_the_batch_fold(spark, tmp_path):
+    from gristmill.operators import rate
+
+    rows = [(f"j{k % 2}", k, f"m{k % 3}", f"m{3 + k % 4}", ("model_1", "model_2", "draw")[k * k % 3]) for k in range(60)]
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], stream.RESULTS).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        source = stream.read_events(spark, str(tmp_path / "in" / "*"), schema=stream.RESULTS)
+        stream.run_to_end(source, str(tmp_path / "check"), stream.rate_batches(spark, str(tmp_path / "out")), "append")
+    got = {(r["judge"], r["model"]): (r["mu"], r["sigma"], r["games"]) for r in stream.latest_ratings(spark, str(tmp_path / "out")).collect()}
+    want = {(r["judge"], r["model"]): (r["mu"], r["sigma"], r["games"]) for r in rate.skill_ratings(spark.createDataFrame(rows, stream.RESULTS), "judge").collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_a_tournament_keeps_its_budget_and_goes_on(spark, tmp_path):
+    models = spark.createDataFrame([(f"i{i}", f"m{m}") for i in range(4) for m in range(4)], "item string, model string")
+
+    def play(pairs):
+        better = F.col("model_a") > F.col("model_b")
+        return pairs.withColumn("margin_a", F.when(better, 3).otherwise(1).cast("long")).withColumn("margin_b", F.when(better, 1).otherwise(3).cast("long"))
+
+    stream.tournament(spark, models, "j", str(tmp_path / "t"), play, 10, 6)
+    battles = lambda: spark.read.parquet(str(tmp_path / "t" / "battles" / "*"))
+    assert battles().count() == 10
+    ratings = stream.tournament(spark, models, "j", str(tmp_path / "t"), play, 24, 10)
+    assert battles().count() == 24 and battles().select("item", "model_a", "model_b").distinct().count() == 24
+    both = battles().select("item", F.least("model_a", "model_b").alias("x"), F.greatest("model_a", "model_b").alias("y")).groupBy("item", "x", "y").count()
+    assert both.where("count != 2").count() == 0
+    mu = {r["model"]: r["mu"] for r in ratings.collect()}
+    assert mu["m3"] > mu["m0"]
