@@ -11,7 +11,6 @@ at most, which bounds the last groups.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +28,14 @@ RADIUS = 2
 PIVOTS = 32
 #: A larger group is split by the bits that it does not agree on, LEVELS times at most; LAST bits are then left.
 GROUP, LEVELS, LAST = 48, 5, 10
-#: Similar documents: the share of five-word shingles in common.
-SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-#: For the order of shingles alone, which changes no result: documents that are counted, and how often and how many of
-#: their shingles then count as common ones. STARS: rounds of one partner each before all pairs that are left; SPLIT:
-#: rows of a shingle that one task joins at once.
-COUNTED, COMMON, MOST_COMMON, STARS, SPLIT = 10_000, 3, 100_000, 2, 256
+#: Similar documents: the share of five-word shingles in common. Two texts with that share meet in one of BANDS keys of
+#: BAND least hashes each with a chance of 1 - (1 - SIMILARITY ** BAND) ** BANDS = 0.99995, whatever the table's size.
+SIMILARITY, SIMILAR_SHINGLE, BANDS, BAND = 0.8, 5, 25, 5
+#: STARS: rounds in which each text is compared with PARTNERS others, before all pairs that are left; SPLIT: rows of a
+#: key that one task joins at once. They change the work, not the result.
+STARS, PARTNERS, SPLIT = 2, 4, 256
+#: Odd multipliers by rule, for word shingles and for each of the least hashes.
+ODD = np.array([xxhash.xxh64_intdigest(f"odd {k}", SEED) | 1 for k in range(BANDS * BAND + 1)], np.uint64)
 #: Bits that are set in each value of a byte.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -146,56 +147,39 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return grouped(own, fps, components(links(fps.select("fp"))))
 
 
-def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if len(words) <= shingle:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
-
-
-def shingle_keys(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the text's shingles, each once."""
-    found = shingle_set(text)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found))).view(np.int64)
-
-
-def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) that repeat in COUNTED documents or so, picked by hash, and how often each does."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *map(shingle_keys, f["text"])])})
-
-    some = texts.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1, COUNTED / max(1, n))))
-    counts = some.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas().sort_values("key")
-    return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
+WORD_HASHES: dict[bytes, int] = {}
 
-def prefixes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(node, size, place, key): of each text's shingles, common ones last, as many as similar texts cannot all lack.
 
-    Texts of ``size`` shingles share ceil(similarity * size) of them with any similar one, so that in one order for all
-    the first size - ceil(similarity * size) + 1 of both have one in common.
-    """
-    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, n))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, times = held.value
-        for f in frames:
-            sizes, firsts = [], []
-            for keys in map(shingle_keys, f["text"]):
-                weight = np.zeros(len(keys), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-                    weight = np.where(common[at] == keys, times[at], 0)
-                sizes.append(len(keys))
-                most = len(keys) - math.ceil(similarity * len(keys) - 1e-9) + 1 if len(keys) else 0
-                firsts.append(keys[np.lexsort((keys, weight))][:most])
-            yield pd.DataFrame({"node": f["node"], "size": sizes, "keys": firsts})
-
-    rows = texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>")
-    return rows.select("node", "size", F.posexplode("keys").alias("place", "key")).distinct()
+def shingle_keys(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's word shingles, each once; of the whole text if it has fewer words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(WORD_HASHES) > 1 << 20:
+        WORD_HASHES.clear()
+    for w in set(words).difference(WORD_HASHES):
+        WORD_HASHES[w] = xxhash.xxh64_intdigest(w, SEED)
+    w = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : len(w) - k + 1 + i]) * ODD[0]
+        h ^= h >> np.uint64(31)
+    return np.unique(h)
+
+
+def band_keys(keys: np.ndarray) -> np.ndarray:
+    """One key for each band from the least hashes of a text's shingles; none for a text without words."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(keys), 4096):
+        least = np.minimum(least, (keys[None, at : at + 4096] * ODD[1:, None]).min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND):
+        out = (out ^ least.reshape(BANDS, BAND)[:, j]) * ODD[0]
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def at_roots(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -205,23 +189,17 @@ def at_roots(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(open_, "key", "left_semi")
 
 
-def may_link(x: str, y: str, similarity: float) -> Column:
-    """Whether two rows of one key may be similar: of two groups, of fitting sizes, with enough left after the key."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    least = similarity / (1 + similarity) * (c(x, "size") + c(y, "size")) - 1e-6
-    return (c(x, "root") != c(y, "root")) & (F.least(c(x, "size") - c(x, "place"), c(y, "size") - c(y, "place")) >= least)
-
-
-def star_pairs(keyed: DataFrame, salt: int, similarity: float) -> DataFrame:
-    """(a, b): each node with the one of its keys' hubs (a key's hub: the least hash of a node) that most keys name."""
-    hub = keyed.groupBy("key").agg(F.min_by(F.struct("node", "size", "place", "root"), F.xxhash64("node", F.lit(salt))).alias("y"))
-    met = keyed.alias("x").join(hub.select("key", "y.*").alias("y"), "key").where(may_link("x", "y", similarity))
-    met = met.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("other")).agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def star_pairs(keyed: DataFrame, salt: int, partners: int = PARTNERS) -> DataFrame:
+    """(a, b): each node with those of its keys' hubs (a key's hub: the least hash of a node) that most keys name, out
+    of other groups than its own."""
+    hub = keyed.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("root").alias("far")), F.xxhash64("node", F.lit(salt))).alias("y"))
+    met = keyed.join(hub.select("key", "y.*"), "key").where("root != far").groupBy("node", "other").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "other")), asc=False), 1, partners).alias("best"))  # BANDS at most
+    each = best.select("node", F.explode("best.other").alias("other"))
+    return each.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def all_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+def all_pairs(keyed: DataFrame) -> DataFrame:
     """(a, b): all pairs from different groups that share a key. Of two groups at least one is not the key's largest:
     the rows of those meet all rows of the key. Keys with many rows are split."""
     most = keyed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
@@ -229,7 +207,7 @@ def all_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     named = stored(keyed.join(most.withColumn("parts", F.ceil(F.col("rows") / SPLIT).cast("int")), "key"), "open-keys")
     x = named.where("root != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     y = named.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where(may_link("x", "y", similarity))
+    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where("x.root != y.root")
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -239,10 +217,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            kept = []
+            kept, sets = [], {}
             for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
-                p, q = shingle_set(ta), shingle_set(tb)
-                if p and q and len(p & q) >= similarity * len(p | q):
+                for k, t in ((a, ta), (b, tb)):
+                    if k not in sets:
+                        sets[k] = shingle_keys(t)
+                p, q = sets[a], sets[b]
+                same = len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) and min(len(p), len(q)) >= similarity * max(len(p), len(q)) - 1e-9 else 0
+                if same and same >= similarity * (len(p) + len(q) - same) - 1e-9:
                     kept.append((a, b))
             yield pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
 
@@ -252,34 +234,39 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """As ``near_groups``, with further links between documents of at least SIMILARITY in their five-word shingles.
 
-    Fingerprints within RADIUS bits link at once. Then prefix filtering finds every pair of texts that can be similar:
-    first each text is compared with one partner a round, which joins most of a group, and at last all pairs that still
-    lead from one group to another are compared. Texts (nodes) are told apart by their 64-bit hash.
+    Fingerprints within RADIUS bits link at once. Then texts meet in keys of least hashes, whose number does not depend
+    on the table: first each is compared with a few of those it meets, which joins most of a group, and at last all
+    pairs that still lead from one group to another are compared, by their whole texts. Texts (nodes) are told apart
+    by their 64-bit hash. Null, empty and repeated rows as in ``near_groups``.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
     only(docs, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "node": f["node"], "fp": np.array([fingerprint(t) for t in f["text"]], np.int64)})
+            fps = np.array([fingerprint(t) for t in f["text"]], np.int64)
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "node": f["node"], "fp": fps, "keys": [band_keys(shingle_keys(t)) for t in f["text"]]})
 
-    named = stored(own.mapInPandas(run, "doc_id long, node long, fp long"), "fingerprints")
+    named = stored(own.mapInPandas(run, "doc_id long, node long, fp long, keys array<long>"), "fingerprints")
     fps = stored(named.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
     at = lambda side: fps.select(F.col("fp").alias(side), F.col("node").alias(f"n{side}"))
     near = links(fps.select("fp")).join(at("a"), "a").join(at("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = named.select("fp", F.col("node").alias("a")).distinct().join(fps.withColumnRenamed("node", "b"), "fp").where("a != b").select("a", "b")
     roots = components(near.unionByName(same))
-    texts = own.select("node", "text").where(F.length("text") > 0)
-    keyed = stored(prefixes(texts, named.count(), similarity), "prefixes")
-    keyed = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "shared-keys")
+    rows = named.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    keyed = stored(rows, "keys")
+    keyed = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "shared-keys")
+    texts, tried = own.select("node", "text").where(F.length("text") > 0), None
     for step in range(STARS + 1):
         open_ = stored(at_roots(keyed, roots), "open")
-        asked = stored(star_pairs(open_, step, similarity) if step < STARS else all_pairs(open_, similarity), "asked-pairs")
+        found = star_pairs(open_, step) if step < STARS else all_pairs(open_)
+        asked = stored(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "asked-pairs")
+        tried = asked if tried is None else tried.unionByName(asked)
         ids = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = stored(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
+        held = stored(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "asked-texts")
         more = verified(asked, held, similarity)
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = named.select("doc_id", "node", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "fp", "component_id")
 

@@ -250,6 +250,16 @@ def test_similar_documents_are_found_by_texts(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_similar_texts_meet_in_a_key_whatever_the_size():
+    """The chance that two texts of exactly the similarity share no key, over 400 pairs of random sets."""
+    r, met = np.random.default_rng(0), 0
+    for _ in range(400):
+        x = np.unique(r.integers(0, 2**64, 270, np.uint64))
+        assert len(x) == 270
+        met += bool(set(simhash.band_keys(x[:243]).tolist()) & set(simhash.band_keys(x[27:]).tolist()))  # 216 of 270
+    assert met == 400
+
+
 @pytest.mark.parametrize("groups", [8, 40])
 def test_all_similar_documents_are_found_whatever_the_size(spark, groups):
     r, texts = random.Random(groups), []
