@@ -39,16 +39,28 @@ def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: in
     out = None
     for b in range(n):
         part = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, vector).orderBy(key).collect()
-        held = rows.sparkSession.sparkContext.broadcast(([r[key] for r in part], np.array([r[vector] for r in part], np.float64).reshape(len(part), -1)))
+        held = rows.sparkSession.sparkContext.broadcast(([r[key] for r in part], np.array([r[vector] for r in part], np.float64)))
 
         def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q = held.value
             for f in frames:
+                if not len(f) or not len(ids):
+                    continue
                 x, keys, rows_ = np.array(f[vector].tolist(), np.float64), f[key].to_numpy(), []
-                for i, at in zip(ids, q, strict=True):
-                    d = np.sqrt(((x - at) ** 2).sum(1))
-                    best = [j for j in np.lexsort((keys, d))[: k + 1] if keys[j] != i][:k]
-                    rows_ += [(i, keys[j], d[j]) for j in best]
+                for a in range(0, len(ids), 256):  # a block of queries against a batch of rows
+                    part = q[a : a + 256]
+                    rough = (part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T
+                    n_th = min(k, len(f) - 1)
+                    bar = np.partition(rough, n_th, axis=1)[:, n_th] + 1e-9 * (1 + np.abs(rough).max())
+                    i, j = np.nonzero(rough <= bar[:, None])  # then those few exactly
+                    d = np.sqrt(((x[j] - part[i]) ** 2).sum(1))
+                    by = np.lexsort((keys[j], d, i))
+                    i, j, d = i[by], j[by], d[by]
+                    other = keys[j] != np.array(ids[a : a + 256], object)[i] if keys.dtype == object else keys[j] != np.array(ids[a : a + 256])[i]
+                    i, j, d = i[other], j[other], d[other]
+                    first = np.searchsorted(i, i)
+                    best = np.arange(len(i)) - first < k
+                    rows_ += list(zip((ids[a + t] for t in i[best]), keys[j[best]].tolist(), d[best].tolist(), strict=True))
                 yield pd.DataFrame(rows_, columns=["query", key, "distance"])
 
         kind = rows.schema[key].dataType.simpleString()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.exact import quantiles
+from gristmill.operators.explore import neighbours
+from gristmill.operators.impute import square
 
 NEIGHBOURS, FEWEST = 80, 20
-#: Labelled rows that go to every task; a larger table is sampled by hash down to this.
-MAX_TRAIN = 50_000
 
 
 def folds(key: str, n: int, seed: int = 0) -> Column:
@@ -22,24 +22,24 @@ def folds(key: str, n: int, seed: int = 0) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def components(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Weights that turn standardised features into PLS components (one target, NIPALS)."""
-    a, b = x.copy(), y - y.mean()
-    w, p = [], []
-    for _ in range(min(n, x.shape[1])):
-        v = a.T @ b
-        if not np.linalg.norm(v) > 1e-12:
+def components(gram: np.ndarray, cross: np.ndarray, n: int) -> np.ndarray:
+    """Weights that turn standardised features into PLS components (one target), from the features' products with each
+    other and with the target; no row is needed."""
+    w, basis, s = [], [], cross.astype(float)
+    for _ in range(min(n, len(gram))):
+        if not np.linalg.norm(s) > 1e-12 * max(1.0, np.linalg.norm(cross)):
             break
+        r = s / np.linalg.norm(s)
+        size = r @ gram @ r
+        if not size > 1e-12:
+            break
+        load = gram @ r / size
+        v = load - sum((u * (u @ load) for u in basis), np.zeros(len(gram)))
         v /= np.linalg.norm(v)
-        t = a @ v
-        q = a.T @ t / (t @ t)
-        a, b = a - np.outer(t, q), b - t * (t @ b) / (t @ t)
-        w.append(v)
-        p.append(q)
-    if not w:
-        return np.zeros((x.shape[1], 0))
-    w_, p_ = np.array(w).T, np.array(p).T
-    return w_ @ np.linalg.inv(p_.T @ w_)
+        s = s - v * (v @ s)
+        w.append(r / math.sqrt(size / len(gram)))
+        basis.append(v)
+    return np.array(w).T if w else np.zeros((len(gram), 0))
 
 
 def local_ridge(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[float, float]:
@@ -72,27 +72,29 @@ def local_ridge(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[float, fl
 def local_predictions(train: DataFrame, rows: DataFrame, key: str, features: Sequence[str], target: str, n_components: int = 3) -> DataFrame:
     """(key, predicted, neighbour_sd) for ``rows``. Both frames have no nulls in the features.
 
-    The labelled side is bounded by MAX_TRAIN and goes to every task; the other side stays spread out.
+    Scales and components come from one aggregation over the labelled rows. Neighbours are searched among all of
+    them, block by block, and only a row's NEIGHBOURS nearest are gathered for its fit.
     """
-    n = train.count()
-    own = train if n <= MAX_TRAIN else train.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * MAX_TRAIN / n))
-    t = own.select(key, *features, target).toPandas().sort_values(key)
-    x, y = t[list(features)].to_numpy(float), t[target].to_numpy(float)
-    mean, sd = x.mean(0), x.std(0)
-    sd[sd == 0] = 1
-    x = (x - mean) / sd
-    turn = components(x, y, n_components)
-    held = train.sparkSession.sparkContext.broadcast((np.hstack([x, x @ turn]), y, mean, sd, turn))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, mean, sd, turn = held.value
-        for f in frames:
-            z = (f[list(features)].to_numpy(float) - mean) / sd
-            got = [local_ridge(x, y, q) for q in np.hstack([z, z @ turn])]
-            yield pd.DataFrame({key: f[key], "predicted": [g[0] for g in got], "neighbour_sd": [g[1] for g in got]})
+    x = [F.col(c).cast("double") for c in features]
+    y = F.col(target).cast("double")
+    k = len(x)
+    sums = train.agg(F.array(*[F.avg(v) for v in (*x, y)]).alias("m"), F.array(*[F.stddev_pop(v) for v in x]).alias("s"), F.array(*[F.covar_pop(x[i], x[j]) for i in range(k) for j in range(i + 1)]).alias("g"), F.array(*[F.covar_pop(v, y) for v in x]).alias("c")).first()
+    sd = np.array([s or 1.0 for s in sums["s"]])
+    turn = components(square(sums["g"]) / np.outer(sd, sd), np.array(sums["c"]) / sd, n_components)
+    z = [(v - F.lit(float(m))) / F.lit(float(s)) for v, m, s in zip(x, sums["m"][:k], sd, strict=True)]
+    parts = [sum((z[i] * float(turn[i, j]) for i in range(k)), F.lit(0.0)) for j in range(turn.shape[1])]
+    place = F.array(*z, *parts)
+    known, asked = train.select(key, place.alias("vector"), y.alias("y")), rows.select(key, place.alias("vector"))
+    near = neighbours(asked, known, key, "vector", NEIGHBOURS).select("query", key)
+    met = near.join(known, key).join(asked.select(F.col(key).alias("query"), F.col("vector").alias("at")), "query")
+
+    def fit(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(key)
+        p, s = local_ridge(np.array(f["vector"].tolist(), float), f["y"].to_numpy(float), np.array(f["at"].iloc[0], float))
+        return pd.DataFrame({key: [group[0]], "predicted": [p], "neighbour_sd": [s]})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *features).mapInPandas(run, f"`{key}` {kind}, predicted double, neighbour_sd double")
+    return met.groupBy("query").applyInPandas(fit, f"`{key}` {kind}, predicted double, neighbour_sd double")
 
 
 def out_of_fold(df: DataFrame, key: str, features: Sequence[str], target: str, n: int = 4, seed: int = 0) -> DataFrame:
@@ -181,11 +183,13 @@ def calibrated(oof: DataFrame, bins: int = 2000) -> Calibration:
     """From out-of-fold rows (actual, predicted, neighbour_sd): floor = 25th percentile of the scales; Student's t
     fitted to scaled residuals (a histogram of ``bins`` cells comes to the driver); factor = 95th percentile of
     their size over the t distribution's 97.5 % point."""
+    oof = oof.select("actual", "predicted", "neighbour_sd").cache()
     floor = quantiles(oof, {"neighbour_sd": [0.25]})["neighbour_sd"][0] or 1.0
     r = oof.select(((F.col("actual") - F.col("predicted")) / F.greatest("neighbour_sd", F.lit(floor))).alias("r"))
     q, m = quantiles(r.select(F.abs("r").alias("r")), {"r": [0.95, 1.0]})["r"]
     width = max(m, 1e-9) * 2 / bins
     cells = r.groupBy(F.round(F.col("r") / width).alias("c")).count().toPandas()
+    oof.unpersist()
     x, n = cells["c"].to_numpy() * width, cells["count"].to_numpy()
     spread = math.sqrt(float((x * x * n).sum() / n.sum())) or 1.0
     loss = lambda df, s: -float((log_t(x, df, s) * n).sum())

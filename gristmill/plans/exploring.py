@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators import bank
 from gristmill.operators import explore as E
 from gristmill.operators import rank as R
 from gristmill.registering import Queries
@@ -55,14 +56,16 @@ def explained_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @queries.add("cluster_vectors")
 def cluster_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """k-means on embeddings, k by silhouette."""
+    """k-means on embeddings, k from 2 to 7 by silhouette."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     data = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
-    best = max(((ClusteringEvaluator().evaluate(m.transform(data)), -k, m) for k in range(2, 6) for m in [KMeans(k=k, seed=11).fit(data)]), key=lambda x: x[:2])
-    return best[2].transform(data).select("vec_id", F.col("prediction").alias("cluster"))
+    best = max(((ClusteringEvaluator().evaluate(m.transform(data)), -k, m) for k in range(2, 8) for m in [KMeans(k=k, seed=11).fit(data)]), key=lambda x: x[:2])
+    model = best[2]
+    data.unpersist()
+    return model.transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
 @queries.add(
@@ -148,13 +151,18 @@ def templates(spark: SparkSession, d: str) -> DataFrame:
 
 @queries.add(
     "floor_inflation",
-    """WITH q AS (SELECT quantile_cont(value, 0.25) AS q, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events)
-SELECT round(avg((value < lo + (hi - lo) / 4)::INT), 6) AS low_quarter, round(avg((value > q)::INT), 6) AS above, avg((value < lo + (hi - lo) / 4)::INT) >= 0.15 AND avg((value > q)::INT) >= 0.1 AND any_value(n) >= 20 AS may_be_inflated FROM events, q""",
+    """WITH v AS (SELECT l_linenumber AS col, CASE WHEN l_quantity < 12 THEN l_quantity / 10 ELSE l_quantity + 10 * (l_linenumber % 2) END AS v FROM lineitem), r AS (SELECT col, min(v) AS lo, max(v) - min(v) AS width, count(*) AS n FROM v GROUP BY 1),
+s AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) - 1 AS i, lag(v) OVER (PARTITION BY col ORDER BY v) AS before FROM v),
+p AS (SELECT s.col, v - before AS step, v, pct FROM s JOIN r USING (col), range(10, 45, 5) t(pct) WHERE i = floor(pct / 100.0 * n) AND i > 0 AND i < n - 10 AND i / n >= 0.15),
+b AS (SELECT col, max(step) AS step, arg_max(v, (step, -pct)) AS threshold FROM p GROUP BY 1)
+SELECT r.col, threshold::DOUBLE AS threshold, (SELECT avg(v) FROM v WHERE v.col = r.col AND v.v <= threshold) AS floor FROM r JOIN b USING (col) WHERE step >= 0.05 * width AND n >= 20 AND (SELECT count(*) FROM v WHERE v.col = r.col AND v.v <= lo + 0.25 * width) >= 0.15 * n""",
 )
 def floor_inflation(spark: SparkSession, d: str) -> DataFrame:
-    """Whether many values crowd at the floor of a column while others stand well above."""
-    e = table(spark, d, "events").select("value")
-    s = e.agg(F.percentile("value", 0.25).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).first()
-    low = F.avg((F.col("value") < s["lo"] + (s["hi"] - s["lo"]) / 4).cast("int"))
-    above = F.avg((F.col("value") > s["q"]).cast("int"))
-    return e.agg(F.round(low, 6).alias("low_quarter"), F.round(above, 6).alias("above"), ((low >= 0.15) & (above >= 0.1) & F.lit(s["n"] >= 20)).alias("may_be_inflated"))
+    """Columns whose values crowd at their floor: the threshold at the widest step among the lower places of the sorted
+    values, and the floor's mean; a row for each such column."""
+    v = table(spark, d, "lineitem").select("l_linenumber", F.when(F.col("l_quantity") < 12, F.col("l_quantity") / 10).otherwise(F.col("l_quantity") + 10 * (F.col("l_linenumber") % 2)).alias("v"))
+    found = []
+    for col in [r[0] for r in v.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]:  # columns of a wide table
+        if at := bank.floor_of(v.where(F.col("l_linenumber") == col), "v"):
+            found.append((col, float(at[0]), float(at[1])))
+    return spark.createDataFrame(found, "col int, threshold double, floor double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import graph, impute, match, predict
+from gristmill.operators import bank, graph, impute, match, predict
 from gristmill.operators.exact import medians, quantiles
 from gristmill.plans.cleaning import MATRIX, TYPES, user_days
 from gristmill.registering import Queries
@@ -46,6 +46,28 @@ def impute_coherent(spark: SparkSession, d: str) -> DataFrame:
     return impute.coherent(impute.filled(sparse_parts(spark, d), "k", ["q", "e", "p", "x"]), "k", ["q", "e", "p", "x"], 2)
 
 
+@queries.add("model_bank")
+def model_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Each missing cell by the model that its column's kind asks for, in two passes."""
+    return bank.filled(sparse_parts(spark, d), "k", ["q", "e", "p", "x"], 2)
+
+
+@queries.add("completed_matrix")
+def completed_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps from the best approximation of rank 2."""
+    return bank.completed(sparse_parts(spark, d), "k", ["q", "e", "p", "x"], 2, 8)
+
+
+@queries.add("column_kinds")
+def column_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return bank.kinds(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
+
+
+@queries.add("partial_correlations")
+def partial_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return bank.partial_correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
 @queries.add("impute_trajectory")
 def impute_trajectory(spark: SparkSession, d: str) -> DataFrame:
     return impute.trajectory(impute.filled(sparse_parts(spark, d), "k", ["q", "e", "p", "x"]), "k")

@@ -107,3 +107,28 @@ def test_hulls_of_a_square_and_of_lines(spark):
     pts = [("s", float(a), float(b)) for a in range(4) for b in range(4)] + [("l", float(a), float(a)) for a in range(5)] + [("p", 1.0, 1.0)]
     got = explore.hulls(spark.createDataFrame(pts, "g string, x double, y double"), "g", "x", "y").orderBy("corner").collect()
     assert [(r["g"], r["x"], r["y"]) for r in got] == [("s", 0, 0), ("s", 3, 0), ("s", 3, 3), ("s", 0, 3)]
+
+
+def test_components_from_products_equal_those_from_rows():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 4)) @ r.normal(size=(4, 4))
+    x = (x - x.mean(0)) / x.std(0)
+    y = x @ np.array([1.0, -2, 0.5, 0]) + r.normal(size=300)
+    turn = predict.components(x.T @ x / 300, x.T @ (y - y.mean()) / 300, 3)
+    a, b = x.copy(), y - y.mean()
+    for j in range(3):  # one component after the other, taken out of the rows
+        t = a @ (a.T @ b)
+        got = x @ turn[:, j]
+        assert abs(np.corrcoef(t, got)[0, 1]) > 1 - 1e-9
+        a, b = a - np.outer(t, t @ a) / (t @ t), b - t * (t @ b) / (t @ t)
+
+
+def test_neighbours_equal_brute_force(spark):
+    r = np.random.default_rng(6)
+    x = r.integers(0, 4, (300, 5)).astype(float)  # many ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    got = explore.neighbours(df.where("k % 7 = 0"), df, "k", "v", 6, block=20).orderBy("query", "place").collect()
+    for q in range(0, 300, 7):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(300), d)) if k != q][:6]
+        assert [g["k"] for g in got if g["query"] == q] == want

@@ -43,6 +43,8 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(df.columns, df.collect()) == rows(columns, got.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_other_queries_run(spark, name):
-    assert catalog.queries()[name](spark, DATA).count() >= 0
+def test_queries_without_sql_are_held_to_invariants():
+    """tests/test_invariants.py recomputes what must hold of each of them."""
+    with open(os.path.join(os.path.dirname(__file__), "test_invariants.py")) as f:
+        text = f.read()
+    assert all(f'"{name}"' in text for name in set(catalog.queries()) - set(catalog.oracle_sql()))
