@@ -156,6 +156,39 @@ def golden(f, low: float, high: float, rounds: int = 80) -> float:
     return (low + high) / 2
 
 
+def beta_below(x: float, a: float, b: float) -> float:
+    """Distribution function of the beta distribution, by Simpson's rule on a grid that is finer towards the ends."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    u = np.linspace(0, 1, 20001)
+    t = x * (10 * u**3 - 15 * u**4 + 6 * u**5)
+    slope = x * 30 * u**2 * (1 - u) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) * slope
+    f = np.nan_to_num(f, nan=0.0, posinf=0.0)
+    return float((f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) / 3 / 20000)
+
+
+def exact_interval(hits: int, n: int, level: float = 0.95) -> tuple[float, float]:
+    """Exact binomial interval of a share: bounds at which so many hits or more, or fewer, are just unlikely enough."""
+    tail = (1 - level) / 2
+
+    def solve(a: float, b: float, p: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if beta_below(mid, a, b) < p else (low, mid)
+        return (low + high) / 2
+
+    return (solve(hits, n - hits + 1, tail) if hits else 0.0), (solve(hits + 1, n - hits, 1 - tail) if hits < n else 1.0)
+
+
+def level_scalar(z: np.ndarray, counts: np.ndarray, df: float) -> float:
+    """The factor from 0.5 to 3 on all scales that makes walk-forward errors (scaled, with counts) likeliest under
+    Student's t."""
+    return golden(lambda m: -float((log_t(z, df, m) * counts).sum()), 0.5, 3.0)
+
+
 class Calibration:
     """A floor for local scales, the tail's degrees of freedom and the factor that gives 95 % coverage."""
 
@@ -179,6 +212,13 @@ class Calibration:
         return F.pandas_udf(run, "double")((predicted - bar) / sigma)
 
 
+def beats_leader(rows: DataFrame, calibration: Calibration, scale: str, actual: str, predicted: str) -> DataFrame:
+    """``rows`` with p_leader: the chance to lie above the best actual value of all; null for rows whose own is known."""
+    leader = rows.agg(F.max(actual)).first()[0]
+    p = calibration.above(F.col(predicted), calibration.sigma(F.col(scale)), float(leader)) if leader is not None else F.lit(None).cast("double")
+    return rows.withColumn("p_leader", F.when(F.col(actual).isNull(), p))
+
+
 def calibrated(oof: DataFrame, bins: int = 2000) -> Calibration:
     """From out-of-fold rows (actual, predicted, neighbour_sd): floor = 25th percentile of the scales; Student's t
     fitted to scaled residuals (a histogram of ``bins`` cells comes to the driver); factor = 95th percentile of

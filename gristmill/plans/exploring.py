@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import bank
 from gristmill.operators import explore as E
+from gristmill.operators import factors as X
 from gristmill.operators import rank as R
 from gristmill.registering import Queries
 from gristmill.session import table
@@ -166,3 +167,31 @@ def floor_inflation(spark: SparkSession, d: str) -> DataFrame:
         if at := bank.floor_of(v.where(F.col("l_linenumber") == col), "v"):
             found.append((col, float(at[0]), float(at[1])))
     return spark.createDataFrame(found, "col int, threshold double, floor double")
+
+
+@queries.add("factor_scores")
+def factor_scores(spark: SparkSession, d: str) -> DataFrame:
+    """One common factor of the part's mean line values, by maximum likelihood."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(*[F.avg(c).alias(c) for c in LINE])
+    return X.factor_scores(m, "key", LINE, 1)
+
+
+@queries.add("column_families")
+def column_families(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that say alike, by Ward's joining of 1 - |r| down to three families."""
+    found = X.families(table(spark, d, "lineitem"), [*LINE, "l_linenumber"], 3)
+    return spark.createDataFrame(sorted(found.items()), "column string, family int")
+
+
+@queries.add("incremental_clusters")
+def incremental_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out R2 of the price as clusters of columns come in one after the other."""
+    steps = [["l_discount", "l_tax"], ["l_quantity"], ["l_linenumber"]]
+    r2 = X.incremental_r2(table(spark, d, "lineitem"), steps, "l_extendedprice", F.pmod(F.col("l_orderkey"), F.lit(5)), 5)
+    return spark.createDataFrame([(k + 1, "+".join(own), v) for k, (own, v) in enumerate(zip(steps, r2, strict=True))], "step int, cluster string, r2 double")
+
+
+@queries.add("smoothed_curve")
+def smoothed_curve(spark: SparkSession, d: str) -> DataFrame:
+    """The price along the quantity as a locally weighted line over 0.4 of the rows."""
+    return spark.createDataFrame(X.smoothed(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 0.4, 32), "x double, y double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import bank, graph, impute, match, predict
+from gristmill.operators import bank, factors, graph, impute, match, predict
 from gristmill.operators.exact import medians, quantiles
 from gristmill.plans.cleaning import MATRIX, TYPES, user_days
 from gristmill.registering import Queries
@@ -58,6 +58,19 @@ def completed_matrix(spark: SparkSession, d: str) -> DataFrame:
     return bank.completed(sparse_parts(spark, d), "k", ["q", "e", "p", "x"], 2, 8)
 
 
+@queries.add("chained_matrix")
+def chained_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps by regressions of each column on all others, five times over."""
+    return factors.chained(sparse_parts(spark, d), "k", ["q", "e", "p", "x"], 5)
+
+
+@queries.add("ridge_baseline")
+def ridge_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The best of several ridges by held-out error, all from one pass over the rows."""
+    alpha, error, r2 = factors.ridge_cv(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", F.pmod(F.col("l_orderkey"), F.lit(5)), 5, [0.1, 1.0, 10.0, 100.0])
+    return spark.createDataFrame([(alpha, error, r2)], "alpha double, rmse double, r2 double")
+
+
 @queries.add("column_kinds")
 def column_kinds(spark: SparkSession, d: str) -> DataFrame:
     return bank.kinds(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill import catalog
+from gristmill.operators.factors import agglomerated
 from gristmill.plans import kernels
 from gristmill.plans.battles import battles
 
@@ -96,3 +97,34 @@ def test_ratings_and_strengths(spark):
 def test_column_kinds(spark):
     got = dict(rows(spark, "column_kinds")[["column", "kind"]].to_numpy().tolist())
     assert got["l_linenumber"] == "CATEGORICAL" and got["l_extendedprice"] == "LINEAR"
+
+
+def test_factors_families_steps_and_curves(spark):
+    x = numbers(spark)
+    f = rows(spark, "factor_scores")
+    parts = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert len(f) == parts and abs(f["f1"].mean()) < 1e-6
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").toPandas()
+    every = np.column_stack([x, lines["l_linenumber"]])
+    want = agglomerated(1 - np.abs(np.corrcoef(every.T)), 3)
+    fam = dict(rows(spark, "column_families").to_numpy().tolist())
+    assert [fam[c] for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")] == want
+    fold, y = lines["l_orderkey"].to_numpy() % 5, x[:, 1]
+
+    def held_out(use):
+        rss = 0.0
+        for k in range(5):
+            a = np.hstack([np.ones((len(x), 1)), every[:, use]])
+            beta = np.linalg.lstsq(a[fold != k], y[fold != k], rcond=None)[0]
+            rss += ((y[fold == k] - a[fold == k] @ beta) ** 2).sum()
+        return rss
+
+    steps = rows(spark, "incremental_clusters").sort_values("step")["r2"].tolist()
+    assert np.allclose(steps, [1 - held_out(u) / ((y - y.mean()) ** 2).sum() for u in ([2, 3], [2, 3, 0], [2, 3, 0, 4])], atol=1e-6)
+    best = rows(spark, "ridge_baseline").iloc[0]
+    assert abs(best["rmse"] / np.sqrt(held_out([0, 2, 3]) / len(y)) - 1) < 0.01
+    curve = rows(spark, "smoothed_curve").sort_values("x")
+    assert curve["x"].is_monotonic_increasing and curve["x"].between(x[:, 0].min(), x[:, 0].max()).all() and curve["y"].between(y.min(), y.max()).all()
+    own = kernels.sparse_parts(spark, DATA).toPandas().set_index("k")
+    full = rows(spark, "chained_matrix").set_index("k").reindex(own.index)[list(own.columns)]
+    assert not full.isna().any().any() and np.allclose(full.to_numpy()[own.notna()], own.to_numpy()[own.notna()])
