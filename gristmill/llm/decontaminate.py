@@ -25,7 +25,7 @@ WINDOW = 10
 #: Bytes of test text that go to the tasks at once; a larger benchmark is gone through in several blocks.
 BLOCK_BYTES = 16 << 20
 #: Characters of a shard; a longer document is a shard of its own.
-SHARD_CHARACTERS = 6_000_000
+SHARD_CHARACTERS = 3_000_000
 #: Words are runs of digits, a-z and characters beyond ASCII; A-Z is lower-cased before.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20

@@ -31,9 +31,9 @@ GROUP, LEVELS, LAST = 48, 5, 10
 #: Similar documents: the share of five-word shingles in common. Two texts with that share meet in one of BANDS keys of
 #: BAND least hashes each with a chance of 1 - (1 - SIMILARITY ** BAND) ** BANDS = 0.99995, whatever the table's size.
 SIMILARITY, SIMILAR_SHINGLE, BANDS, BAND = 0.8, 5, 25, 5
-#: STARS: rounds in which each text is compared with PARTNERS others, before all pairs that are left; SPLIT: rows of a
-#: key that one task joins at once. They change the work, not the result.
-STARS, PARTNERS, SPLIT = 2, 4, 256
+#: STARS: rounds in which each text is compared with one other of each of its keys (PARTNERS: one a band), before all
+#: pairs that are left; SPLIT: rows of a key that one task joins at once. They change the work, not the result.
+STARS, PARTNERS, SPLIT = 3, BANDS, 256
 #: Odd multipliers by rule, for word shingles and for each of the least hashes.
 ODD = np.array([xxhash.xxh64_intdigest(f"odd {k}", SEED) | 1 for k in range(BANDS * BAND + 1)], np.uint64)
 #: Bits that are set in each value of a byte.
