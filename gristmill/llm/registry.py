@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from gristmill.llm import (
+    bpe,
     decontaminate,
     language,
     license_scan,
@@ -63,6 +64,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents by speculation and verification, and the texts that they decode to, as digests."""
+    return bpe.bpe_report(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_bpe_encode_decode": op11_bpe_encode_decode,
         "pipeline": corpus_pipeline.run,
     }
 
