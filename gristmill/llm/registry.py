@@ -19,6 +19,7 @@ from gristmill.llm import (
     simhash,
     token_counts,
     url_filter,
+    vector_codes,
 )
 from gristmill.llm.common import table
 from gristmill.llm.tokens import default_tokenizer
@@ -69,6 +70,11 @@ def op11_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors, by codebooks that are trained on all of them."""
+    return vector_codes.vector_code_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -82,9 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_bpe_encode_decode": op11_bpe_encode_decode,
+        "op12_vector_codes": op12_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
