@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Folders of local applications that have no spark.checkpoint.dir, which cannot be set once a session runs.
+OWN_FOLDERS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir). Where that is unset, a folder of this machine serves a
     session that has no other machines; any other session is told to set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    here = spark.sparkContext.applicationId
+    if here not in OWN_FOLDERS:
+        OWN_FOLDERS[here] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+    return OWN_FOLDERS[here]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,7 +45,28 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables of frames that ``stored`` gave: nothing that is still to run may read them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def looked_up(rows: DataFrame, side: DataFrame, keys: list[str], hot: int = 1000) -> DataFrame:
+    """The rows with the other columns of ``side``, which has one row for each key; rows without a match go. A key that
+    more than one row in ``hot`` has would fill one task: such keys, ``hot`` at most, are sent to all tasks."""
+    rows = stored(rows, "asked")
+    n = rows.count()
+    many = rows.groupBy(*keys).count().where(F.col("count") * hot > n).select(*keys, F.lit(True).alias("__hot"))
+    many = stored(side.join(F.broadcast(many), keys, "left").select(side["*"], F.coalesce("__hot", F.lit(False)).alias("__hot")), "answers")
+    wanted, others = many.where("__hot").drop("__hot"), many.where("not __hot").drop("__hot")
+    marks = F.broadcast(wanted.select(*keys))
+    return rows.join(F.broadcast(wanted), keys).unionByName(rows.join(marks, keys, "left_anti").join(others, keys))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from gristmill.llm import (
     bpe,
+    collocations,
     decontaminate,
     language,
     license_scan,
@@ -75,6 +76,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_code_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words over all documents."""
+    return collocations.collocation_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -89,9 +95,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_bpe_encode_decode": op11_bpe_encode_decode,
         "op12_vector_codes": op12_vector_codes,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_url_filter": url_filter.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+        "op13_collocations": collocations.ORACLE_SQL,
+    }
