@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import discard, looked_up, only, stored
+from gristmill.llm.common import bitmap, discard, looked_up, only, stored
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer candidate that holds it has this share of its count, in hundredths.
@@ -177,16 +177,6 @@ def hot_buckets(rows: DataFrame, bits: int, least: int) -> bytes:
     return out.tobytes()
 
 
-def marked(hashes: DataFrame, bits: int) -> bytes:
-    """The bitmap of these hashes."""
-    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = hashes.select(F.shiftright(at, 6).alias("w"), one.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    out = np.zeros((1 << bits) // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return out.tobytes()
-
-
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of all phrases of up to ``longest`` words with a >= least, and (lang, n): the number of
     words. ``docs``: lang (not null) and text."""
@@ -200,7 +190,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         sums = rows.where("phrase is not null").groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         own = stored(sums.withColumn("size", F.lit(k)), f"frequent-{k}")
         if k < longest:
-            frequent, hot = marked(own.select("hash"), bits), hot_buckets(rows, bits, least)
+            frequent, hot = bitmap(own.select("hash"), bits), hot_buckets(rows, bits, least)
         discard(rows)
         out = own if out is None else out.unionByName(own)
     return out.select("lang", "phrase", "size", "a"), totals

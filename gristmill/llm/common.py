@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,16 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """2 ** bits bits, of which those that the low bits of the column ``hash`` name are set."""
+    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = hashes.select(F.shiftright(at, 6).alias("w"), one.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return out.tobytes()
+
+
 def looked_up(rows: DataFrame, side: DataFrame, keys: list[str], hot: int = 1000) -> DataFrame:
     """The rows with the other columns of ``side``, which has one row for each key; rows without a match go. A key that
     more than one row in ``hot`` has would fill one task: such keys, ``hot`` at most, are sent to all tasks."""

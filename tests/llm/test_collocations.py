@@ -85,7 +85,7 @@ def test_pruning_leaves_out_most_phrases(spark):
     docs = frame(spark, [t for _, t in rows], langs=["en"] * len(rows)).select("lang", "text")
     first = C.phrase_rows(docs, 1, 16, 30, 4, None, None).cache()
     words = first.where("phrase is not null").groupBy("hash").agg(F.sum("n").alias("a")).where("a >= 30")
-    second = C.phrase_rows(docs, 2, 16, 30, 4, C.marked(words.select("hash"), 16), C.hot_buckets(first, 16, 30))
+    second = C.phrase_rows(docs, 2, 16, 30, 4, C.bitmap(words.select("hash"), 16), C.hot_buckets(first, 16, 30))
     assert {r["phrase"] for r in second.where("phrase is not null").collect()} == {"new york"}
 
 

@@ -213,6 +213,39 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.count(None) == 1
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0)])
+def test_an_id_of_different_texts_loses_only_the_near_copy(spark, order):
+    a, b = prose(41, 80), prose(42, 80)
+    rows = [(1, a), (5, a + " end"), (5, b)]
+    rows = [rows[k] for k in order] + [(7, b), (5, b), (9, None), (9, "")]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).coalesce(1)
+    assert sorted((r["doc_id"], r["text"] or "") for r in simhash.distinct_documents(docs).collect()) == [(1, a), (5, b), (9, "")]
+
+
+def test_a_large_group_of_edited_copies(spark, monkeypatch):
+    """Copies of one text that is not there itself: many are similar to some only, many to none."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r, base = random.Random(12), prose(77, 150).split()
+    texts = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(1 + k % 9):
+            t[r.randrange(len(t))] = f"new{r.random()}"
+        texts.append(" ".join(t))
+    want = plain_similar(texts)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert got == want and 2 < len(set(want.values())) < 150
+
+
+def test_sketches_agree_as_shingles_do():
+    r, agreed = np.random.default_rng(3), []
+    for _ in range(200):
+        x = np.unique(r.integers(0, 2**64, 270, np.uint64))
+        p, q = (np.frombuffer(simhash.sketch(simhash.least_hashes(k)), np.uint8) for k in (x[:243], x[27:]))  # 216 of 270
+        agreed.append((p == q).sum())
+    assert min(agreed) >= simhash.least_agreement(0.8) and abs(np.mean(agreed) / 125 - 0.8) < 0.02
+
+
 def plain_similar(texts):
     """Smallest number reachable over fingerprints within 2 bits or 0.8 of the five-word shingles in common."""
     def shingles(t):
