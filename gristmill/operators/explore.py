@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.impute import square
+from gristmill.operators.metric import MetricIndex
 
 
 def principal_components(df: DataFrame, key: str, columns: Sequence[str], n: int) -> tuple[DataFrame, np.ndarray]:
@@ -29,45 +30,9 @@ def principal_components(df: DataFrame, key: str, columns: Sequence[str], n: int
     return own.select(key, *scores), values / values.sum()
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """(query, key, distance, place): each query's k nearest rows by Euclidean distance, itself left out.
-
-    Queries go to the tasks in blocks of bounded size. Every batch of rows yields its own k best for each query, so
-    that what is shuffled grows with the number of batches and not with that of pairs.
-    """
-    n = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(n):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, vector).orderBy(key).collect()
-        held = rows.sparkSession.sparkContext.broadcast(([r[key] for r in part], np.array([r[vector] for r in part], np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                x, keys, rows_ = np.array(f[vector].tolist(), np.float64), f[key].to_numpy(), []
-                for a in range(0, len(ids), 256):  # a block of queries against a batch of rows
-                    part = q[a : a + 256]
-                    rough = (part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T
-                    n_th = min(k, len(f) - 1)
-                    bar = np.partition(rough, n_th, axis=1)[:, n_th] + 1e-9 * (1 + np.abs(rough).max())
-                    i, j = np.nonzero(rough <= bar[:, None])  # then those few exactly
-                    d = np.sqrt(((x[j] - part[i]) ** 2).sum(1))
-                    by = np.lexsort((keys[j], d, i))
-                    i, j, d = i[by], j[by], d[by]
-                    other = keys[j] != np.array(ids[a : a + 256], object)[i] if keys.dtype == object else keys[j] != np.array(ids[a : a + 256])[i]
-                    i, j, d = i[other], j[other], d[other]
-                    first = np.searchsorted(i, i)
-                    best = np.arange(len(i)) - first < k
-                    rows_ += list(zip((ids[a + t] for t in i[best]), keys[j[best]].tolist(), d[best].tolist(), strict=True))
-                yield pd.DataFrame(rows_, columns=["query", key, "distance"])
-
-        kind = rows.schema[key].dataType.simpleString()
-        found = rows.select(key, vector).mapInPandas(run, f"query {kind}, `{key}` {kind}, distance double")
-        out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return out.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, distance, place): each query's k nearest rows by Euclidean distance, itself left out."""
+    return MetricIndex(rows, key, vector).nearest(queries, key, vector, k)[0]
 
 
 def hulls(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

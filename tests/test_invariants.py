@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from gristmill import catalog
 from gristmill.operators.factors import agglomerated
-from gristmill.plans import kernels
+from gristmill.plans import kernels, latents
 from gristmill.plans.battles import battles
+from tests.test_latent import plain_factors
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -128,3 +129,27 @@ def test_factors_families_steps_and_curves(spark):
     own = kernels.sparse_parts(spark, DATA).toPandas().set_index("k")
     full = rows(spark, "chained_matrix").set_index("k").reindex(own.index)[list(own.columns)]
     assert not full.isna().any().any() and np.allclose(full.to_numpy()[own.notna()], own.to_numpy()[own.notna()])
+
+
+def test_latent_models_are_those_of_plain_versions(spark):
+    own = kernels.sparse_parts(spark, DATA).toPandas().set_index("k").sort_index()
+    x, y = own[latents.FEATURES].to_numpy(float), own["x"].to_numpy(float)
+    losses = rows(spark, "factor_losses").sort_values("round")["loss"].to_numpy()
+    want, w, t, b = plain_factors(x, y, 2, len(losses))
+    assert np.allclose(losses, want, rtol=1e-7) and (np.diff(losses) <= 1e-6 * losses[:-1]).all()
+    got = rows(spark, "supervised_factors").set_index("k").loc[own.index]
+    places = np.stack(got["factors"].to_list())
+    assert np.allclose(places @ t + b, got["predicted"], rtol=1e-6)
+    seen = ~np.isnan(y)
+    assert np.corrcoef(got["predicted"][seen], y[seen])[0, 1] > 0.9
+    traits = rows(spark, "latent_traits").set_index("k").loc[own.index]
+    assert (traits["sigma"] > 0).all() and np.isfinite(traits["predicted"]).all() and np.corrcoef(traits["predicted"][seen], y[seen])[0, 1] > 0.9
+    ability = np.stack(rows(spark, "item_response").set_index("k").loc[own.index, "features"].to_list())
+    assert ability.shape == (len(own), 2) and np.allclose(ability.mean(0), 0, atol=1e-8) and np.allclose(ability.std(0), 1)
+    assert np.corrcoef(ability[seen, 0], y[seen])[0, 1] > 0.5
+
+
+def test_neighbours_visit_no_more_partitions_than_there_are(spark):
+    got = rows(spark, "neighbour_visits")
+    ids = [r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()]
+    assert sorted(got["query"]) == sorted(ids) and got["visited"].between(1, got["partitions"]).all()
