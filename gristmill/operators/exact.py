@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.tables import discard, stored
+
 #: Ranges that are counted at once; each pass narrows a percentile's range that many times, or to one value.
 RANGES = 1024
 
@@ -18,14 +20,28 @@ def finite(c: str) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
+def placed(v: Column, a: float, b: float) -> Column:
+    """Which of RANGES equal ranges from a to b (a < b) the value lies in. Halves keep the width of any two doubles
+    finite, and ranges too narrow for doubles fall into the last one, whose bounds are then values themselves."""
+    width = b / 2 - a / 2
+    if width < 1e-300:  # subnormal: parted by the bounds alone
+        return F.when(v == F.lit(a), 0).otherwise(RANGES - 1)
+    share = (v / 2 - F.lit(a / 2)) / F.lit(width)
+    return F.when(v == F.lit(a), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(RANGES - 1), F.floor(share * RANGES).cast("int"))))
+
+
 def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """For each column the values at these shares, interpolated between neighbours; None for columns without numbers.
 
-    A pass counts the values in equal ranges between the bounds known so far (RANGES rows for each open percentile
-    come to the driver) and goes on inside the range that holds the rank. Ties end a range at once.
+    The columns are stored once. A pass counts the values in ranges between the bounds known so far (RANGES rows for
+    each open percentile come to the driver) and goes on inside the range that holds the rank, between the least and
+    the greatest value there. The least value has a range of its own, so that every pass leaves out one value at
+    least, whatever the values are; ties end a range at once.
     """
-    v = {c: finite(c) for c in wanted}
-    row = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(v.values()) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    names = {c: f"v{i}" for i, c in enumerate(wanted)}
+    own = stored(df.select(*[finite(c).alias(n) for c, n in names.items()]), "quantile-columns")
+    v = {c: F.col(n) for c, n in names.items()}
+    row = own.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(v.values()) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
     open_: dict[tuple[str, int], tuple[float, float, int]] = {}
     found: dict[tuple[str, int], float] = {}
     size = {c: row[f"n{i}"] for i, c in enumerate(v)}
@@ -35,11 +51,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
                 open_[c, k] = (row[f"a{i}"], row[f"b{i}"], 0)
     while open_ := {t: s for t, s in open_.items() if s[0] != s[1] or found.update({t: s[0]})}:
         spans = sorted({(c, a, b) for (c, _), (a, b, _) in open_.items()})
-        cells = []
-        for i, (c, a, b) in enumerate(spans):
-            place = F.least(F.lit(RANGES - 1), F.floor((v[c] - F.lit(a)) / F.lit(b - a) * RANGES).cast("int"))
-            cells.append(F.when(v[c].between(a, b), F.struct(F.lit(i).alias("i"), place.alias("place"), v[c].alias("v"))))
-        each = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+        cells = [F.when(v[c].between(a, b), F.struct(F.lit(i).alias("i"), placed(v[c], a, b).alias("place"), v[c].alias("v"))) for i, (c, a, b) in enumerate(spans)]
+        each = own.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
         counts = each.groupBy("i", "place").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
         rows: dict[int, list] = {}
         for r in sorted(counts, key=lambda r: (r["i"], r["place"])):
@@ -50,12 +63,18 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
                     open_[t] = (r["a"], r["b"], below)
                     break
                 below += r["n"]
+    discard(own)
     out: dict[str, list[float | None]] = {}
     for c, shares in wanted.items():
         at = [p * (size[c] - 1) for p in shares]
-        out[c] = [found[c, math.floor(x)] + (found[c, math.ceil(x)] - found[c, math.floor(x)]) * (x - math.floor(x)) if size[c] else None for x in at]
+        out[c] = [between(found[c, math.floor(x)], found[c, math.ceil(x)], x - math.floor(x)) if size[c] else None for x in at]
     return out
 
 
+def between(a: float, b: float, share: float) -> float:
+    """The place at that share of the way from a to b, also where b - a is beyond the greatest double."""
+    return a + (b - a) * share if math.isfinite(b - a) else a * (1 - share) + b * share
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: q[0] for c, q in quantiles(df, {c: [0.5] for c in columns}).items()}
