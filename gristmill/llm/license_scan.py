@@ -7,7 +7,8 @@
    the candidates, largest first.
 3. In this order each is aligned word by word with its template (least number of words replaced, left out or put in,
    free ends). It is confirmed if at most d words differ and no number of the template does, since the number is what
-   tells versions apart. Of confirmed passages that overlap, the one with most words in common stands.
+   tells versions apart. Templates that fit the same words alike are ranked by what they take off that passage: the
+   largest reduction that wording confirms takes the words, and what is left of the block is ranked anew.
 """
 
 from __future__ import annotations
@@ -203,28 +204,75 @@ class Scanner:
             out[t.name] = [(a, min(b, a + SPAN)) for x, b in joined for a in range(x, max(x + 1, b - (SPAN - step)), step)]
         return out
 
-    def saved(self, block: list[str], name: str) -> int:
-        """Bytes that the template as a dictionary takes off a block's compressed size."""
+    def saved(self, block: list[str], name: str) -> tuple[int, float]:
+        """Bytes that the template as a dictionary takes off a block's compressed size, and their share of it."""
         data = " ".join(block).encode()
-        return len(self.alone.compress(data)) - len(self.given[name].compress(data))
+        alone = len(self.alone.compress(data))
+        less = alone - len(self.given[name].compress(data))
+        return less, less / alone
 
     def confirmed(self, have: list[str]) -> list[tuple[int, int, str, int, str, float]]:
-        """(first, end, template, number of differences, differences, gain) of all passages within the bound."""
-        around, candidates = self.blocks(have), []
+        """(first, end, template, number of differences, differences, gain) of all passages within the bound, those of
+        different templates that overlap too."""
+        around, out = self.blocks(have), {}
         for t in self.templates:
             for a, b in around[t.name]:
-                candidates.append((-self.saved(have[a:b], t.name), a, b, t.name, t))
-        out = {}
-        for _, a, b, name, t in sorted(candidates, key=lambda c: c[:4]):
-            for first, end, n, apart in t.aligned(have[a:b]):
-                passage = have[a + first : a + end]
-                if (a + first, a + end, name) not in out and passage:
-                    size = len(self.alone.compress(" ".join(passage).encode()))
-                    out[a + first, a + end, name] = (n, apart, self.saved(passage, name) / size)
+                for first, end, n, apart in t.aligned(have[a:b]):
+                    if end > first:
+                        out[a + first, a + end, t.name] = (n, apart, self.saved(have[a:b], t.name)[1])
         return [(first, end, name, *rest) for (first, end, name), rest in out.items()]
 
+    def windows(self, around: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int]]:
+        """(first, end, own end): the blocks of all templates joined where they overlap, and cut at SPAN words. Windows
+        of one stretch overlap by what the longest passage takes; each is to find the passages that begin before its
+        own end."""
+        longest = max((len(t.words) + t.most for t in self.templates), default=0) + 1
+        joined: list[list[int]] = []
+        for a, b in sorted(x for blocks in around.values() for x in blocks):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        for a, b in joined:
+            while b - a > SPAN:
+                yield a, a + SPAN, a + SPAN - longest
+                a += SPAN - longest
+            yield a, b, b
+
+    def ranked(self, part: list[str], near: list[Template]) -> list[tuple[Template, float]]:
+        """Templates and their gains by falling size reduction, of equal ones the shorter first."""
+        told = [(t, *self.saved(part, t.name)) for t in near if len(t.words) - t.most <= len(part)]
+        return [(t, gain) for t, _, gain in sorted(told, key=lambda c: (-c[1], len(c[0].words), c[0].name))]
+
+    def settled(self, have: list[str]) -> list[tuple[int, int, str, int, str, float]]:
+        """(first, end, template, number of differences, differences, gain) of passages that do not overlap.
+
+        In each block templates are tried by falling size reduction until exact wording confirms one; where its closest
+        passage lies, the templates are ranked again by what they take off that passage alone, and the first that is
+        confirmed there takes the words. What is left of the block on both sides is ranked anew, until nothing in it is
+        confirmed."""
+        around, out, taken = self.blocks(have), [], 0
+        for start, stop, own_end in self.windows(around):
+            todo = [(max(start, taken), stop)]
+            while todo:
+                a, b = todo.pop()
+                near = [t for t in self.templates if any(x < b and a < y for x, y in around[t.name])]
+                for t, _ in self.ranked(have[a:b], near):
+                    places = [p for p in t.aligned(have[a:b]) if p[0] < p[1] and a + p[0] < own_end]
+                    if not places:
+                        continue
+                    x, y = a + places[0][0], a + places[0][1]
+                    winners = ((w, gain, w.aligned(have[x:y])) for w, gain in self.ranked(have[x:y], near))
+                    w, gain, found = next(c for c in winners if c[2] and c[2][0][0] < c[2][0][1])
+                    first, end, n, apart = found[0]
+                    out.append((x + first, x + end, w.name, n, apart, gain))
+                    taken = max(taken, x + end)
+                    todo += [(a, x + first), (x + end, b)]
+                    break
+        return sorted(out)
+
     def scan(self, text: str | None) -> list[tuple[int, str, float, int, str]]:
-        """(line, licence, gain, number of differences, differences) of each confirmed passage; none overlap."""
+        """(line, licence, gain, number of differences, differences) of each settled passage, in their order."""
         if not isinstance(text, str) or not text:
             return []
         low = text.lower()
@@ -233,11 +281,12 @@ class Scanner:
         if not self.gate.search(low):
             return []
         spans = [m.span() for m in WORD.finditer(low)]
-        taken = []
-        for first, end, name, n, apart, gain in sorted(self.confirmed([low[a:b] for a, b in spans]), key=lambda c: (3 * c[3] - (c[1] - c[0]), -c[5], c[2], c[0])):
-            if all(end <= f or e <= first for f, e, _ in taken):
-                taken.append((first, end, (text.count("\n", 0, spans[first][0]), name, gain, n, apart)))
-        return [row for _, _, row in sorted(taken)]
+        rows, line, seen = [], 0, 0
+        for first, _, name, n, apart, gain in self.settled([low[a:b] for a, b in spans]):
+            line += text.count("\n", seen, spans[first][0])
+            seen = spans[first][0]
+            rows.append((line, name, gain, n, apart))
+        return rows
 
 
 def findings(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

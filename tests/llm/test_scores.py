@@ -226,6 +226,45 @@ def test_licences_over_line_ends_and_several_on_a_line():
     assert names(f"{t['MIT']} {t['Apache-2.0']} {t['MIT']}") == ["MIT", "Apache-2.0", "MIT"]
 
 
+def test_size_reductions_decide_between_templates_that_fit_alike(monkeypatch):
+    """Templates that differ in a word or two confirm on each other's texts; the reduction names the right one."""
+    scanner, t = license_scan.Scanner(), license_scan.TEMPLATES
+    alike, texts = 0, {}
+    for name, text in t.items():
+        have = license_scan.words(f"{prose(1, 15)} {text} {prose(2, 15)}")
+        rivals = {c[2] for c in scanner.confirmed(have)} - {name}
+        alike += bool(rivals)
+        texts[name] = f"{prose(1, 15)} {text} {prose(2, 15)}"
+        assert [(f[1], f[3]) for f in scanner.scan(texts[name])] == [(name, 0)], (name, rivals)
+    assert alike >= 3
+    right = scanner.saved
+    monkeypatch.setattr(scanner, "saved", lambda block, name: tuple(-x for x in right(block, name)))
+    turned = [name for name, text in texts.items() if [f[1] for f in scanner.scan(text)] != [name]]
+    monkeypatch.setattr(scanner, "saved", lambda block, name: (0, 0.0))
+    flat = [name for name, text in texts.items() if [f[1] for f in scanner.scan(text)] != [name]]
+    assert len(turned) >= 3 and flat
+
+
+def test_no_verbatim_passage_is_lost_among_others():
+    """Mixtures of templates in prose: each is found where it stands, whatever else is in the block."""
+    scanner, t, r = license_scan.Scanner(), license_scan.TEMPLATES, random.Random(5)
+    names = sorted(t)
+    for k in range(40):
+        chosen = [r.choice(names) for _ in range(r.randint(1, 4))]
+        text = prose(7 * k, 12)
+        for c in chosen:
+            text += f"\n{t[c]}\n{prose(7 * k + 1, r.choice([0, 3, 12]))}"
+        assert [(f[1], f[3]) for f in scanner.scan(text)] == [(c, 0) for c in chosen], chosen
+
+
+def test_windows_of_long_blocks_find_what_one_block_does(monkeypatch):
+    t, r = license_scan.TEMPLATES, random.Random(8)
+    text = " ".join(f"license {prose(k, 40)} {t[r.choice(sorted(t))]}" for k in range(40))
+    whole = [(f[1], f[3]) for f in license_scan.Scanner().scan(text)]
+    monkeypatch.setattr(license_scan, "SPAN", 900)
+    assert [(f[1], f[3]) for f in license_scan.Scanner().scan(text)] == whole and len(whole) >= 40
+
+
 def least_differences(want, have):
     """The least number of differing words of any stretch of ``have``, by the plain recurrence, one word at a time."""
     never = 10**6
