@@ -147,7 +147,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return grouped(own, fps, components(links(fps.select("fp"))))
 
 
+#: Hashes of words that a worker has met, MOST_WORDS about.
 WORD_HASHES: dict[bytes, int] = {}
+MOST_WORDS = 1 << 17
 
 
 def shingle_keys(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -155,7 +157,7 @@ def shingle_keys(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray
     words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(WORD_HASHES) > 1 << 20:
+    if len(WORD_HASHES) > MOST_WORDS:
         WORD_HASHES.clear()
     for w in set(words).difference(WORD_HASHES):
         WORD_HASHES[w] = xxhash.xxh64_intdigest(w, SEED)
