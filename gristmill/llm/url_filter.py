@@ -119,20 +119,27 @@ class Cascade:
     def contains(self, rows: DataFrame, key: str, name: str) -> DataFrame:
         """``rows`` with the boolean column ``name``; every key must be of the universe. Null keys are not in it.
 
-        With several shards the rows are written after each, so that one shard's filters are held at a time.
+        With several shards the rows are dealt out by shard, and each part is judged by its own filters, one shard's at
+        a time: every row is written twice, however many shards there are.
         """
-        out = rows.withColumn(name, F.lit(False))
+        if self.n_shards == 1 or not self.levels:
+            return rows.withColumn(name, self._member(F.col(key), self.levels[0]) if self.levels else F.lit(False))
+        at, path = "__shard", new_path(self.spark, "shard-rows")
+        dealt = rows.withColumn(at, self._shard(F.col(key)))
+        dealt.write.partitionBy(at).parquet(path)
+        dealt, out = self.spark.read.schema(dealt.schema).parquet(path), None
         for shard, levels in enumerate(self.levels):
-            member = F.lit(False)
-            for level in range(len(levels), 0, -1):
-                member = self._passes(F.col(key), level, levels[level - 1]) & ~member
-            member = F.coalesce(member, F.lit(False))
-            if self.n_shards > 1:
-                out = stored(out.withColumn(name, F.when(self._shard(F.col(key)) == shard, member).otherwise(F.col(name))), "shard-judged")
-            else:
-                out = out.withColumn(name, member)
+            own = dealt.where(F.col(at) == shard).drop(at)
+            judged = stored(own.withColumn(name, self._member(F.col(key), levels)), "shard-judged")
+            out = judged if out is None else out.unionByName(judged)
         return out
 
+    def _member(self, key: Column, levels: list[tuple[int, int, DataFrame]]) -> Column:
+        member = F.lit(False)
+        for level in range(len(levels), 0, -1):
+            member = self._passes(key, level, levels[level - 1]) & ~member
+        return F.coalesce(member, F.lit(False))
+
 
 def tracked_hosts(urls: DataFrame) -> DataFrame:
     """key: hosts (not the empty one) with at least TRACKED_SHARE of their pages under tracking urls."""
