@@ -38,6 +38,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
     the greatest value there. The least value has a range of its own, so that every pass leaves out one value at
     least, whatever the values are; ties end a range at once.
     """
+    if not wanted:
+        return {}
     names = {c: f"v{i}" for i, c in enumerate(wanted)}
     own = stored(df.select(*[finite(c).alias(n) for c, n in names.items()]), "quantile-columns")
     v = {c: F.col(n) for c, n in names.items()}

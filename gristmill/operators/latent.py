@@ -21,23 +21,28 @@ from gristmill.operators.exact import medians
 from gristmill.tables import discard, stored
 
 
-def totals(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows (x, y) of what ``add`` gives for a batch of them: one array a task, summed by place."""
+def summed(rows: DataFrame, columns: Sequence[str], add: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of what ``add`` gives for a batch of them: one array a task, summed by place."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for f in frames:
             if len(f):
-                total += add(*arrays(f))
+                total += add(f)
         yield pd.DataFrame({"sums": [total]})
 
-    each = rows.select("x", "y").mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v"))
+    each = rows.select(*columns).mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v")).where("v != 0")
     out = np.zeros(size)
     for at, v in each.groupBy("at").agg(F.sum("v")).collect():
         out[at] = v
     return out
 
 
+def totals(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """``summed`` over rows (x, y), as arrays."""
+    return summed(rows, ["x", "y"], lambda f: add(*arrays(f)), size)
+
+
 def arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """x (a row each, nan where a cell is missing) and y (nan where there is no target)."""
     return np.array([list(v) for v in f["x"]], np.float64), f["y"].to_numpy(np.float64)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill import catalog
 from gristmill.operators.factors import agglomerated
-from gristmill.plans import kernels, latents
+from gristmill.plans import ensembles, kernels, latents
 from gristmill.plans.battles import battles
 from tests.test_latent import plain_factors
 
@@ -153,3 +153,17 @@ def test_neighbours_visit_no_more_partitions_than_there_are(spark):
     got = rows(spark, "neighbour_visits")
     ids = [r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()]
     assert sorted(got["query"]) == sorted(ids) and got["visited"].between(1, got["partitions"]).all()
+
+
+def test_trees_tell_prices_they_have_not_seen(spark):
+    own = ensembles.priced_orders(spark, DATA).toPandas().set_index("o_orderkey").sort_index()
+    seen, var = own["price"].notna(), own["price"].var(ddof=0)
+    top = rows(spark, "important_columns").sort_values("place")
+    assert top["column"].tolist()[0] in ("quantity", "lines") and top["importance"].is_monotonic_decreasing and top["importance"].sum() <= 1 + 1e-9
+    for name in ("voted_prices", "stacked_prices"):
+        got = rows(spark, name).set_index("o_orderkey").loc[own.index]
+        assert np.allclose(got["actual"][seen].astype(float), own["price"][seen]) and got["actual"][~seen].isna().all() and got["predicted"].notna().all()
+        assert ((got["predicted"] - own["price"])[seen] ** 2).mean() < 0.5 * var
+    errors = rows(spark, "candidate_models").set_index("candidate")
+    assert (errors["n"] == seen.sum()).all() and errors["chosen"].sum() == 1 and errors["weighted_rmse"].idxmin() == errors.index[errors["chosen"]][0]
+    assert errors["rmse"]["mean"] == errors["rmse"].max() and abs(errors["rmse"]["mean"] ** 2 / var - 1) < 0.02
