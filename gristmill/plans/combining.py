@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators import combine as C
+from gristmill.operators import overlap
 from gristmill.registering import Queries
 from gristmill.session import table
 
@@ -128,13 +129,34 @@ def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
     return C.frontier(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice").select("p_partkey", "p_size", "p_retailprice")
 
 
-@queries.add("pair_combinations", "SELECT a.user_id AS left_id, b.user_id AS right_id, count(*) AS shared FROM (SELECT DISTINCT user_id, event_type, cast(ts AS DATE) AS day FROM events WHERE event_type <> 'view') a JOIN (SELECT DISTINCT user_id, event_type, cast(ts AS DATE) AS day FROM events WHERE event_type <> 'view') b ON a.event_type = b.event_type AND a.day = b.day AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 5")
+ITEMS = "i AS (SELECT DISTINCT user_id, event_type || '/' || cast(cast(ts AS DATE) AS VARCHAR) AS item FROM events)"
+
+
+def user_items(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (user_id, item): an item is a kind of event on a day."""
+    item = F.concat_ws("/", "event_type", F.to_date("ts").cast("string")).alias("item")
+    return table(spark, d, "events").select("user_id", item).where("user_id is not null and item is not null").distinct()
+
+
+@queries.add(
+    "pair_combinations",
+    f"""WITH {ITEMS} SELECT a.user_id AS left_id, b.user_id AS right_id, count(*) AS shared FROM i a JOIN i b ON a.item = b.item AND a.user_id < b.user_id
+GROUP BY 1, 2 HAVING count(*) >= 5""",
+)
 def pair_combinations(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of users with at least five items (event type and day) in common."""
-    items = table(spark, d, "events").where("event_type != 'view'").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
-    right = items.withColumnRenamed("user_id", "right_id")
-    pairs = items.withColumnRenamed("user_id", "left_id").join(right, ["event_type", "day"]).where("left_id < right_id")
-    return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where("shared >= 5")
+    """Pairs of users with at least five items in common."""
+    return overlap.overlapping(user_items(spark, d), "user_id", "item", 5)
+
+
+@queries.add(
+    "overlap_work",
+    f"""WITH {ITEMS}, n AS (SELECT item, count(*) AS n FROM i GROUP BY 1), s AS (SELECT user_id, item, n, row_number() OVER (PARTITION BY user_id ORDER BY n, item) AS k, count(*) OVER (PARTITION BY user_id) AS size FROM i JOIN n USING (item)),
+p AS (SELECT item, count(*) AS n FROM s WHERE size >= 5 AND k <= size - 4 GROUP BY 1)
+SELECT (SELECT sum(n * (n - 1) / 2) FROM n)::BIGINT AS pairs_of_items, (SELECT sum(n * (n - 1) / 2) FROM p)::BIGINT AS pairs_of_prefixes""",
+)
+def overlap_work(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs the items would bring together, and how many the prefixes of rare items do."""
+    return overlap.work(user_items(spark, d), "user_id", "item", 5)
 
 
 @queries.add("work_list", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON n_regionkey = c_custkey % 5 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 25 = n_nationkey)")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import rank as R
+from gristmill.operators.bootstrap import PRIME, resampled
 from gristmill.operators.correlate import pairs, rank_pairs
 from gristmill.operators.exact import quantiles
 from gristmill.plans.battles import BATTLES, battles
@@ -72,52 +74,46 @@ def alpha_by_question(spark: SparkSession, d: str) -> DataFrame:
     return t.join(parts, "question").select("question", "n", F.round(1.5 * (1 - F.col("parts") / F.col("v")), 5).alias("alpha"))
 
 
-def weight(key, draw):
-    """A Poisson(1) count for a row and a draw, from md5, so that any engine draws alike."""
-    u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), draw.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    out = F.lit(5)
-    for k, edge in reversed(list(enumerate((0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015)))):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
-
-
-DRAWS = 40
-U = "('0x' || substr(md5({0} || ':' || k), 1, 8))::BIGINT / 4294967296.0"
+DRAWS = 2000
+#: A draw's number for a row, by rule: the key and the draw mixed by squaring modulo a prime, over the prime.
+MIXED = f"""h AS (SELECT *, ((key % {PRIME}) * 48271 + k * 69621 + 12345) % {PRIME} AS x0 FROM b, range({DRAWS}) t(k)),
+h1 AS (SELECT *, (x0 * x0 + 7 * x0 + 11) % {PRIME} AS x1 FROM h), h2 AS (SELECT *, ((x1 * x1 + 13 * x1 + 17) % {PRIME}) / {PRIME}.0::DOUBLE AS u FROM h1)"""
 POISSON = "CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END"
 
 
 @queries.add(
     "bootstrap_metrics",
-    f"""WITH p AS (SELECT o_orderkey AS key, o_totalprice AS y, o_custkey * 300.0 AS p FROM orders), x AS (SELECT k, y, p, {POISSON} AS w FROM (SELECT p.*, k, {U.format('key')} AS u FROM p, range({DRAWS}) t(k))),
-m AS (SELECT k, sqrt(sum(w * power(y - p, 2)) / sum(w)) AS rmse, sum(w * abs(y - p)) / sum(w) AS mae FROM x GROUP BY 1)
+    f"""WITH b AS (SELECT o_orderkey AS key, o_totalprice - o_custkey * 300.0 AS e FROM orders), {MIXED}, x AS (SELECT k, e, {POISSON} AS w FROM h2),
+m AS (SELECT k, sqrt(sum(w * e * e) / sum(w)) AS rmse, sum(w * abs(e)) / sum(w) AS mae FROM x GROUP BY 1)
 SELECT round(quantile_cont(rmse, 0.025), 4) AS rmse_low, round(quantile_cont(rmse, 0.975), 4) AS rmse_high, round(quantile_cont(mae, 0.025), 4) AS mae_low, round(quantile_cont(mae, 0.975), 4) AS mae_high FROM m""",
 )
 def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """95 % intervals of error measures by a Poisson bootstrap: each row counts 0, 1, 2, ... times in a draw, so that a
-    draw is a weighted sum and all draws come from one aggregation."""
+    """95 % intervals of error measures by a Poisson bootstrap of 2 000 draws: each row counts 0, 1, 2, ... times in a
+    draw, a draw is a weighted sum, and one pass adds up all draws."""
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") - F.col("o_custkey") * 300.0).alias("e"))
-    x = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("w", weight(F.col("key"), F.col("k")))
-    w, e = F.col("w"), F.col("e")
-    m = x.groupBy("k").agg(F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("rmse"), (F.sum(w * F.abs(e)) / F.sum(w)).alias("mae"))
-    cut = lambda c, q: F.round(F.percentile(c, q), 4)  # noqa: E731  over DRAWS rows
-    return m.agg(cut("rmse", 0.025).alias("rmse_low"), cut("rmse", 0.975).alias("rmse_high"), cut("mae", 0.025).alias("mae_low"), cut("mae", 0.975).alias("mae_high"))
+    n, squares, sizes = resampled(p, "key", [F.lit(1.0), F.col("e") * F.col("e"), F.abs("e")], DRAWS)
+    rmse, mae = np.sqrt(squares / n), sizes / n
+    ends = [round(float(np.quantile(v, q)), 4) for v in (rmse, mae) for q in (0.025, 0.975)]
+    return spark.createDataFrame([tuple(ends)], "rmse_low double, rmse_high double, mae_low double, mae_high double")
 
 
 @queries.add(
     "bootstrap_calibration",
     f"""WITH p AS (SELECT o_orderkey AS key, o_totalprice AS y, o_custkey * 300.0 AS p FROM orders), e AS (SELECT quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.5) AS b, quantile_cont(p, 0.75) AS c FROM p),
-g AS (SELECT key, y - p AS gap, CASE WHEN p <= a THEN 0 WHEN p <= b THEN 1 WHEN p <= c THEN 2 ELSE 3 END AS bin FROM p, e),
-x AS (SELECT bin, k, gap, {POISSON} AS w FROM (SELECT g.*, k, {U.format('key')} AS u FROM g, range({DRAWS}) t(k))), m AS (SELECT bin, k, sum(w * gap) / sum(w) AS gap FROM x GROUP BY 1, 2)
+b AS (SELECT key, y - p AS gap, CASE WHEN p <= a THEN 0 WHEN p <= b THEN 1 WHEN p <= c THEN 2 ELSE 3 END AS bin FROM p, e), {MIXED},
+x AS (SELECT bin, k, gap, {POISSON} AS w FROM h2), m AS (SELECT bin, k, sum(w * gap) / sum(w) AS gap FROM x GROUP BY 1, 2)
 SELECT bin, round(quantile_cont(gap, 0.025), 3) AS low, round(quantile_cont(gap, 0.975), 3) AS high FROM m GROUP BY 1""",
 )
 def bootstrap_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """The mean gap between actual and predicted by bins of the prediction, with bootstrap intervals."""
+    """The mean gap between actual and predicted by bins of the prediction, with bootstrap intervals of 2 000 draws."""
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("y"), (F.col("o_custkey") * 300.0).alias("p"))
     e = quantiles(p, {"p": [0.25, 0.5, 0.75]})["p"]
     bin_ = F.when(F.col("p") <= e[0], 0).when(F.col("p") <= e[1], 1).when(F.col("p") <= e[2], 2).otherwise(3)
-    x = p.select("key", bin_.alias("bin"), (F.col("y") - F.col("p")).alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k")).withColumn("w", weight(F.col("key"), F.col("k")))
-    m = x.groupBy("bin", "k").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("gap"))
-    return m.groupBy("bin").agg(F.round(F.percentile("gap", 0.025), 3).alias("low"), F.round(F.percentile("gap", 0.975), 3).alias("high"))
+    own = p.select("key", bin_.alias("bin"), (F.col("y") - F.col("p")).alias("gap"))
+    inside = [(F.col("bin") == b).cast("double") for b in range(4)]
+    s = resampled(own, "key", [*inside, *[i * F.col("gap") for i in inside]], DRAWS)
+    rows = [(b, *(round(float(np.quantile(s[4 + b] / s[b], q)), 3) for q in (0.025, 0.975))) for b in range(4) if s[b].all()]
+    return spark.createDataFrame(rows, "bin int, low double, high double")
 
 
 @queries.add("rank_metric", "WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS x, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS y FROM orders) SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r")

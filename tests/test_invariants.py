@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill import catalog
 from gristmill.operators.factors import agglomerated
-from gristmill.plans import ensembles, kernels, latents
+from gristmill.plans import ensembles, kernels, latents, probes
 from gristmill.plans.battles import battles
 from tests.test_latent import plain_factors
 
@@ -167,3 +167,18 @@ def test_trees_tell_prices_they_have_not_seen(spark):
     errors = rows(spark, "candidate_models").set_index("candidate")
     assert (errors["n"] == seen.sum()).all() and errors["chosen"].sum() == 1 and errors["weighted_rmse"].idxmin() == errors.index[errors["chosen"]][0]
     assert errors["rmse"]["mean"] == errors["rmse"].max() and abs(errors["rmse"]["mean"] ** 2 / var - 1) < 0.02
+
+
+def test_probes_of_battles_and_win_rates(spark):
+    pairs = probes.battle_pairs(spark, DATA).toPandas()
+    got = rows(spark, "battle_probe").set_index("fold")
+    assert got["n"].to_dict() == pairs["fold"].value_counts().to_dict() and got["accuracy"].between(0, 1).all()
+    own = probes.win_rates(spark, DATA).toPandas().set_index("key").sort_index()
+    told = rows(spark, "win_rate_probe").set_index("key").sort_index()
+    assert own.index.equals(told.index) and np.allclose(own["y"], told["actual"])
+    x, y = np.stack(own["x"].to_list()), own["y"].to_numpy()
+    for k in range(0, len(y), 5):
+        rest = np.arange(len(y)) != k
+        c = x[rest] - x[rest].mean(0)
+        w = np.linalg.solve(c.T @ c + np.eye(x.shape[1]), c.T @ (y[rest] - y[rest].mean()))
+        assert told["predicted"].iloc[k] == pytest.approx(y[rest].mean() + (x[k] - x[rest].mean(0)) @ w)
