@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import battles, cleaning, columns, combining, correlation, diagnosing, ensembles, exploring, kernels, latents, matches, probes, ranking, reports, scoring, shapes, texts
+from gristmill.plans import battles, cleaning, columns, combining, correlation, diagnosing, ensembles, exploring, filling, kernels, latents, matches, probes, ranking, reports, scoring, shapes, texts
 
-MODULES = (combining, cleaning, columns, scoring, reports, battles, matches, ranking, correlation, texts, shapes, kernels, latents, ensembles, probes, diagnosing, exploring)
+MODULES = (combining, cleaning, columns, scoring, reports, battles, matches, ranking, correlation, texts, shapes, kernels, latents, ensembles, probes, filling, diagnosing, exploring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gristmill.operators import gaussian, tiers
+from gristmill.operators import coherence, gaussian, impute, reach, tiers
 from gristmill.operators.impute import Linear
 
 
@@ -135,3 +135,60 @@ def test_tiers_of_odd_tables(spark):
     got = tiers.Tiers().filled(df, "k", ["a", "b", "c"]).toPandas()
     assert len(got) == 90 and got[got["column"] == "b"]["value"].isna().all() and np.allclose(got[got["column"] == "c"].sort_values("k")["value"], range(30), atol=0.5)
     assert tiers.Tiers().filled(df.limit(0), "k", ["a", "b"]).count() == 0
+
+
+def cells_of(spark, seed, n=70):
+    r = np.random.default_rng(seed)
+    z = r.normal(size=(n, 2))
+    x = z @ r.normal(size=(2, 4)) + 0.3 * r.normal(size=(n, 4)) + 3
+    x[r.random(x.shape) < 0.25] = np.nan
+    x[:, 0] = z[:, 0]
+    df = spark.createDataFrame([(k, *(None if np.isnan(v) else float(v) for v in row)) for k, row in enumerate(x)], "k long, a double, b double, c double, d double")
+    return x, impute.filled(df, "k", list("abcd")).cache()
+
+
+@pytest.mark.parametrize("shape,gate", [("linear", "fixed"), ("squared", "fixed"), ("power3", "fixed"), ("exp", "fixed"), ("step", "fixed"), ("linear", "row_adaptive"), ("linear", "learned")])
+def test_cells_are_drawn_as_plain_matrices_are(spark, shape, gate):
+    x, cells = cells_of(spark, 3)
+    own = cells.toPandas()
+    v, s2 = (own.pivot(index="k", columns="column", values=c).to_numpy(float) for c in ("value", "sigma2"))
+    there, strength = ~np.isnan(x), 0.05
+    sd, mean = np.array([x[there[:, j], j].std(ddof=1) for j in range(4)]), v.mean(0)
+    z = (v - mean) / sd
+    left, sing, right = np.linalg.svd(z, full_matrices=False)
+    smooth = left[:, :2] * sing[:2] @ right[:2] * sd + mean
+    rest = np.array([((v - smooth)[there[:, j], j] ** 2).mean() for j in range(4)])
+    t, row = s2 / sd**2, there.mean(1)[:, None]
+    w = {"linear": t / (t + strength), "squared": t**2 / (t**2 + strength), "power3": t**3 / (t**3 + strength), "exp": 1 - np.exp(-t / strength), "step": (t > strength) * 1.0}[shape]
+    if gate == "row_adaptive":
+        w = t / (t + strength * row**2)
+    if gate == "learned":
+        f, aim = [], []
+        feats = lambda i, j, tau: [tau, row[i, 0], there[:, j].mean(), rest[j] / sd[j] ** 2, abs(v[i, j] - smooth[i, j]) / sd[j]]
+        for j in (1, 2, 3):
+            usual = s2[~there[:, j], j].mean()
+            for i in np.flatnonzero(there[:, j]):
+                f.append(feats(i, j, usual / sd[j] ** 2))
+                aim.append(usual / (usual + (v[i, j] - smooth[i, j]) ** 2 + 1e-10))
+        f, aim = np.array(f), np.array(aim)
+        c = f - f.mean(0)
+        beta = np.linalg.solve(c.T @ c + np.eye(5), c.T @ (aim - aim.mean()))
+        level = aim.mean() - f.mean(0) @ beta
+        w = np.array([[np.clip(level + np.array(feats(i, j, t[i, j])) @ beta, 0, 1) for j in range(4)] for i in range(len(v))])
+    w = np.where(there, 0, w)
+    got = coherence.drawn(cells, "k", list("abcd"), 2, strength, shape, gate).toPandas()
+    mine = {c: got.pivot(index="k", columns="column", values=c).to_numpy(float) for c in ("value", "sigma2", "weight")}
+    assert np.allclose(mine["weight"], w, atol=1e-7) and np.allclose(mine["value"], (1 - w) * v + w * smooth) and np.allclose(mine["sigma2"], (1 - w) ** 2 * s2 + w**2 * rest)
+    with pytest.raises(ValueError):
+        coherence.drawn(cells, "k", list("abcd"), 2, shape="round")
+
+
+def test_rows_far_from_all_have_great_ratios(spark):
+    r = np.random.default_rng(4)
+    x = np.r_[r.normal(size=(80, 2)), [[30.0, 30.0]]]
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "k long, a double, b double")
+    got = reach.distance_ratios(df.where("k < 80"), df, "k", ["a", "b"]).toPandas().set_index("k")["ratio"]
+    assert len(got) == 81 and got[80] > 5 * got[:80].max() and got[:80].median() < 1
+    assert (reach.distance_ratios(df.limit(0), df, "k", ["a", "b"]).toPandas()["ratio"] == 0).all()
+    same = spark.createDataFrame([(k, 1.0, 1.0) for k in range(9)], "k long, a double, b double")
+    assert (reach.distance_ratios(same, same, "k", ["a", "b"]).toPandas()["ratio"] == 0).all()

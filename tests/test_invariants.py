@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from gristmill import catalog
 from gristmill.operators.factors import agglomerated
+from gristmill.operators.tiers import Tiers
 from gristmill.plans import ensembles, kernels, latents, probes
 from gristmill.plans.battles import battles
+from tests.test_gaussian_tiers import plain_tiers
 from tests.test_latent import plain_factors
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -182,3 +184,20 @@ def test_probes_of_battles_and_win_rates(spark):
         c = x[rest] - x[rest].mean(0)
         w = np.linalg.solve(c.T @ c + np.eye(x.shape[1]), c.T @ (y[rest] - y[rest].mean()))
         assert told["predicted"].iloc[k] == pytest.approx(y[rest].mean() + (x[k] - x[rest].mean(0)) @ w)
+
+
+def test_cells_by_processes_tiers_and_gates(spark):
+    own = kernels.sparse_parts(spark, DATA).toPandas().set_index("k").sort_index()
+    got = rows(spark, "gaussian_cells").set_index("k").loc[own.index]
+    seen = own["x"].notna()
+    assert (got["sigma2"] > 0).all() and ((got["value"] - own["x"])[seen] ** 2).mean() < 0.3 * own["x"].var()
+    told = rows(spark, "tiered_cells")
+    columns = list(own.columns)
+    now, sigma, rounds, _ = plain_tiers(own.to_numpy(float), columns, Tiers())
+    for c in columns:
+        mine = told[told["column"] == c].set_index("k").sort_index()
+        filled = rounds[c].notna().to_numpy()
+        assert np.array_equal(mine["round"].notna().to_numpy(), filled) and np.allclose(mine["round"].to_numpy(float)[filled], rounds[c].to_numpy()[filled])
+        assert np.allclose(mine["value"].to_numpy()[filled], now[c].to_numpy()[filled]) and np.allclose(mine["sigma"].to_numpy()[filled], sigma[c].to_numpy()[filled], atol=1e-6)
+    gated = rows(spark, "gated_cells")
+    assert len(gated) == own.size and gated["weight"].between(0, 1).all() and (gated[gated["origin"] == "observed"]["weight"] == 0).all() and gated["value"].notna().all()
