@@ -9,11 +9,13 @@ count. Their size follows the text, up to MOST_BITS.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +28,10 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 SCORE = 2_000_000
 #: Letters of text for each bucket, and bounds of the number of buckets as powers of two (bitmaps of 4 MB at most).
-LETTERS, FEWEST_BITS, MOST_BITS = 64, 16, 25
-#: Buckets of one stored block; phrases that a task holds before it hands them on; tasks that rank a language's phrases.
-BLOCK, HELD, SALTS = 1 << 16, 500_000, 64
+LETTERS, FEWEST_BITS, MOST_BITS = 128, 16, 25
+#: Buckets of one stored block; tasks that rank a language's phrases; bytes of text whose words are held at once; rows
+#: of counts that a task holds before it hands them on, and hands on at once.
+BLOCK, SALTS, TEXT, HELD, ROWS_OUT = 1 << 16, 64, 1 << 20, 300_000, 50_000
 SEED = 42
 #: What each byte is: 0 part of a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -59,15 +62,16 @@ class Grams:
         offsets = np.r_[0, np.cumsum(end - start)].astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[word]))
         known = words.dictionary_encode()
-        self.code = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.words = known.dictionary.to_pylist()
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start)
-        which, self.langs = pd.factorize(np.array(langs, object))
+        self.code = known.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.words = known.dictionary
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start).astype(np.int32)
+        which, names = pd.factorize(np.array(langs, object))
+        self.names = pa.array(names, pa.string())
         ends = np.cumsum([len(r) + 1 for r in raw])
-        self.lang = which[np.searchsorted(ends, start, "right")]
+        self.lang = which[np.searchsorted(ends, start, "right")].astype(np.int32)
         digest = lambda some: np.array([xxhash.xxh64_intdigest(s.encode(), SEED) for s in some] or [0], np.uint64)
-        self.own = digest(self.words)[self.code] if len(start) else np.zeros(0, np.uint64)
-        self.hashes = [mixed(self.own ^ digest(self.langs)[self.lang] * np.uint64(3))]
+        self.own = digest(self.words.to_pylist())[self.code] if len(start) else np.zeros(0, np.uint64)
+        self.hashes = [mixed(self.own ^ digest(names)[self.lang] * np.uint64(3))]
 
     def hash(self, k: int) -> np.ndarray:
         """Of the k words from each place on; the last k - 1 places have none."""
@@ -81,18 +85,26 @@ class Grams:
         n = max(0, len(self.piece) - k + 1)
         return self.piece[:n] == self.piece[len(self.piece) - n :] if n else np.zeros(0, bool)
 
-    def counted(self, at: np.ndarray, k: int) -> Iterator[tuple[str, str, int, int]]:
-        """(lang, phrase, hash, count) of the distinct phrases of k words at these places."""
-        if not len(at):
-            return
-        key = self.lang[at]
+    def counted(self, at: np.ndarray, k: int) -> pa.Table:
+        """lang, phrase, hash and n of the distinct phrases of k words at these places."""
+        key = self.lang[at].astype(np.int64)
         for j in range(k):
             key = pd.factorize(key * len(self.words) + self.code[at + j])[0]
-        n = np.bincount(key)
-        first = at[np.flatnonzero(np.diff(np.maximum.accumulate(key), prepend=-1) > 0)]
-        words = [[self.words[c] for c in self.code[first + j].tolist()] for j in range(k)]
-        phrases = words[0] if k == 1 else map(" ".join, zip(*words, strict=True))
-        yield from zip([self.langs[x] for x in self.lang[first].tolist()], phrases, self.hash(k)[first].view(np.int64).tolist(), n.tolist(), strict=True)
+        first = at[np.flatnonzero(np.diff(np.maximum.accumulate(key), prepend=-1) > 0)] if len(at) else at
+        words = [self.words.take(pa.array(self.code[first + j])) for j in range(k)]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if k > 1 else words[0]
+        own = [self.names.take(pa.array(self.lang[first])), phrase.cast(pa.string()), pa.array(self.hash(k)[first].view(np.int64)), pa.array(np.bincount(key))]
+        return pa.table(own, names=["lang", "phrase", "hash", "n"])
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of TEXT bytes of text, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TEXT, "right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def unpacked(bits: bytes) -> np.ndarray:
@@ -104,51 +116,53 @@ def phrase_rows(docs: DataFrame, k: int, bits: int, least: int, longest: int, fr
     often each bucket of k + 1 words was met. The first pass also gives each language's number of words (no phrase)."""
     mask = np.uint64((1 << bits) - 1)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=NAMES)
+    def batch_of(size: int, /, **columns) -> pa.RecordBatch:
+        kinds = dict(zip(NAMES, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=NAMES)
 
-    def handed(held: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(lang, phrase, h, n, None, None) for (lang, phrase), (h, n) in held.items()]
-        for a in range(0, len(rows), 50_000):
-            yield batch_of(rows[a : a + 50_000])
-        held.clear()
+    def handed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.combine_chunks().to_batches(ROWS_OUT):
+            yield batch_of(len(b), **dict(zip(b.schema.names, b.columns, strict=True)))
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", "phrase", "hash"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = unpacked(frequent) if frequent else None
         met = unpacked(hot) if hot else None
         buckets = np.zeros(1 << bits if k < longest else 0, np.uint32)
-        held: dict[tuple[str, str | None], tuple[int, int]] = {}
-        for batch in batches:
-            g = Grams(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        held: list[pa.Table] = []
+        for part in itertools.chain.from_iterable(map(pieces, batches)):
+            g = Grams(part.column(0).to_pylist(), part.column(1).to_pylist())
             ok = g.inside(k)
+            at = np.flatnonzero(ok)
             if k > 1:
-                at = np.flatnonzero(ok)
-                part = seen[g.hash(k - 1) & mask]
-                at = at[part[at] & part[at + 1]]
+                sure = seen[g.hash(k - 1) & mask]
+                at = at[sure[at] & sure[at + 1]]
                 at = at[met[g.hash(k)[at] & mask]]
                 ok = np.zeros(len(ok), bool)
                 ok[at] = True
             else:
-                at = np.flatnonzero(ok)
-                for lang, n in zip(g.langs, np.bincount(g.lang, minlength=len(g.langs)).tolist(), strict=True):
-                    held[lang, None] = (0, held.get((lang, None), (0, 0))[1] + n)
-            for lang, phrase, h, n in g.counted(at, k):
-                old = held.get((lang, phrase))
-                held[lang, phrase] = (h, n + old[1] if old else n)
-            if len(held) > HELD:
-                yield from handed(held)
+                yield batch_of(len(g.names), lang=g.names, n=np.bincount(g.lang, minlength=len(g.names)))
+            held.append(g.counted(at, k))
+            if sum(map(len, held)) > HELD:
+                held = [merged(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from handed(held[0])
+                    held = []
             if k < longest:
                 more = g.inside(k + 1)
                 more &= ok[: len(more)] & ok[1 : len(more) + 1]
                 np.add.at(buckets, (g.hash(k + 1)[more] & mask).astype(np.int64), np.uint32(1))
-        yield from handed(held)
+        if held:
+            yield from handed(merged(held))
+        del held
+        pa.default_memory_pool().release_unused()
         packer = zstandard.ZstdCompressor(level=1)
         for b, a in enumerate(range(0, len(buckets), BLOCK)):
             own = np.minimum(buckets[a : a + BLOCK], least)  # more than the threshold need not be told apart
             if own.any():
-                yield batch_of([(None, None, None, None, b, packer.compress(own.astype(np.uint8 if least < 256 else np.uint32).tobytes()))])
+                yield batch_of(1, block=[b], counts=[packer.compress(own.astype(np.uint8 if least < 256 else np.uint32).tobytes())])
 
     return docs.mapInArrow(run, ROWS)
 

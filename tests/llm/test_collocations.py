@@ -68,7 +68,9 @@ def test_phrases_of_a_corpus(spark, monkeypatch, bits):
     """With few buckets almost all are marked; the result is the same."""
     monkeypatch.setattr(C, "FEWEST_BITS", bits)
     monkeypatch.setattr(C, "MOST_BITS", bits)
-    monkeypatch.setattr(C, "HELD", 50)
+    monkeypatch.setattr(C, "ROWS_OUT", 50)
+    monkeypatch.setattr(C, "HELD", 90)
+    monkeypatch.setattr(C, "TEXT", 700)
     rows = corpus(1, 400) + [("en", t) for t in odd_texts()] + [("en", "same long line of the whole corpus here")] * 200
     want = check(spark, rows)
     assert len({r[0] for r in want}) > 2 and any(len(r[2].split()) == 4 for r in want)
