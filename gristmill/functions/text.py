@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Words that speak in the first person, and hedges.
 FIRST_PERSON = ("i", "i'm", "i'd", "i'll", "i've", "me", "my", "mine", "myself", "we", "our")
 HEDGES = ("perhaps", "maybe", "might", "possibly", "likely")
+#: Word lists of the seventeen shape features.
+SPEAKER, LISTENER = ("i", "me", "my", "mine", "myself"), ("you", "your", "yours", "yourself")
+DOUBTS = ("perhaps", "maybe", "might", "could", "possibly", "seems", "somewhat")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -117,6 +120,26 @@ def word_rates(text: Column) -> dict[str, Column]:
     }
 
 
+def shape_features(text: Column) -> dict[str, Column]:
+    """Seventeen numbers on a text's shape: counts, and rates by word or sentence, by 100 or by 1000 words. A word is
+    a run of letters, digits and underscores of any script, a sentence ends with marks before a blank."""
+    w = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    n, s = F.size(w).cast("double"), (matches(text, r"[.!?]+\s") + 1).cast("double")
+    low = F.transform(w, F.lower)
+    any_of = lambda words_: F.size(F.filter(low, lambda x: x.isin(*words_)))
+    words_, stars, bold = F.greatest(F.lit(1.0), n), occurrences(text, "*"), F.floor(occurrences(text, "**") / 2)
+    loud = F.size(F.filter(w, lambda x: (F.length(x) > 2) & (F.upper(x) == x) & (F.lower(x) != x)))
+    return {
+        "char_count": F.length(text).cast("double"), "word_count": n, "newlines": occurrences(text, "\n").cast("double"), "sentence_count": s, "avg_sentence_words": n / s,
+        "first_person_rate": any_of(SPEAKER) / words_, "second_person_rate": any_of(LISTENER) / words_, "hedge_rate": any_of(DOUBTS) / words_,
+        "question_rate": occurrences(text, "?") / s, "exclamation_rate": occurrences(text, "!") / s,
+        "em_dashes_per_100w": 100 * (occurrences(text, "—") + occurrences(text, "--")) / words_, "ellipses_per_100w": 100 * (occurrences(text, "…") + occurrences(text, "...")) / words_,
+        "bullet_lines_per_1kw": 1000 * matches(text, r"(?m)^\s*[-*•]\s") / words_, "numbered_lines_per_1kw": 1000 * matches(text, r"(?m)^\s*\d+[.)]\s") / words_,
+        "bold_markers_per_1kw": 1000 * bold / words_, "italic_markers_per_1kw": 1000 * F.floor(F.greatest(F.lit(0), stars - 2 * bold) / 2) / words_,
+        "all_caps_words_per_1kw": 1000 * loud / words_,
+    }
+
+
 def line_statistics(text: Column) -> dict[str, Column]:
     """Fifteen numbers of words, lines and characters."""
     w, lines = words(text), F.split(text, "\n")

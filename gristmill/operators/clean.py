@@ -73,3 +73,14 @@ def truth(text: Column) -> Column:
 def json_part(text: Column) -> Column:
     """From the first brace to the last, null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def verdicts(df: DataFrame, by: str, ranges: dict[str, tuple[float | None, float | None]], least: int, most_issues: int) -> DataFrame:
+    """(by, n, issues, valid): values out of their range (null is), counted over all columns of a source's rows."""
+    issues = F.lit(0).cast("long")
+    for c, (low, high) in ranges.items():
+        v = F.col(c)
+        fine = v.isNotNull() & (F.lit(True) if low is None else v >= low) & (F.lit(True) if high is None else v <= high)
+        issues = issues + F.count_if(~fine)
+    g = df.groupBy(by).agg(F.count("*").alias("n"), issues.alias("issues"))
+    return g.withColumn("valid", (F.col("n") >= least) & (F.col("issues") <= most_issues))

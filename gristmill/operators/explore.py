@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,33 @@ def principal_components(df: DataFrame, key: str, columns: Sequence[str], n: int
     return own.select(key, *scores), values / values.sum()
 
 
+def category_profiles(df: DataFrame, key: str, categories: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(key, one column a category): the first component of the category's z-scores (missing ones 0), turned so that
+    it goes with their mean, on a scale of 0 to 100 over all rows; 50 where it is the same for all. All categories'
+    products come from one aggregation, scales from another."""
+    columns = [c for own in categories.values() for c in own]
+    v = [F.col(c).cast("double") for c in columns]
+    s = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(v) for n, f in (("m", F.avg), ("s", F.stddev))]).first()
+    z = [F.coalesce((x - F.lit(float(s[f"m{i}"] or 0.0))) / F.lit(float(s[f"s{i}"] or 1.0)), F.lit(0.0)) for i, x in enumerate(v)]
+    at, a = {}, 0
+    for name, own in categories.items():
+        at[name], a = range(a, a + len(own)), a + len(own)
+    products = df.agg(*[F.array(*[F.coalesce(F.covar_pop(z[i], z[j]), F.lit(0.0)) for i in own for j in own if j <= i]).alias(f"p{k}") for k, own in enumerate(at.values())]).first()
+    parts = []
+    for k, (name, own) in enumerate(at.items()):
+        c = square(products[f"p{k}"])
+        w = np.linalg.eigh(c)[1][:, -1]
+        w = -w if w @ c.sum(1) < 0 else w  # its covariance with the mean of the z-scores
+        parts.append(sum((z[i] * F.lit(float(b)) for i, b in zip(own, w, strict=True)), F.lit(0.0)).alias(name))
+    raw = df.select(key, *parts)
+    ends = raw.agg(*[f(n).alias(f"{x}{i}") for i, n in enumerate(categories) for x, f in (("a", F.min), ("b", F.max))]).first()
+    scaled = []
+    for i, name in enumerate(categories):
+        a, b = ends[f"a{i}"] or 0.0, ends[f"b{i}"] or 0.0
+        scaled.append((F.lit(50.0) if b - a <= 1e-12 else 100 * (F.col(name) - F.lit(a)) / F.lit(b - a)).alias(name))
+    return raw.select(key, *scaled)
+
+
 def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, distance, place): each query's k nearest rows by Euclidean distance, itself left out."""
     return MetricIndex(rows, key, vector).nearest(queries, key, vector, k)[0]

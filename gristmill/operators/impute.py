@@ -182,3 +182,19 @@ def held_out_errors(df: DataFrame, key: str, columns: Sequence[str], folds: int
         out = part if out is None else out.unionByName(part)
     e = F.abs(F.col("actual") - F.col("value"))
     return out.groupBy("column").agg(F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((e <= 1.96 * F.sqrt("sigma2")).cast("int")).alias("coverage"))
+
+
+def importances(df: DataFrame, columns: Sequence[str], k: int = 2) -> list[tuple[str, str, float, float, int]]:
+    """(column, predictor, share, loo, place): the model that tells most of each column's gaps (of those that fit, the
+    one of least leave-one-out error), and its predictors by their share of the sum of |weight| on standardised values.
+    A column that no model tells has no rows."""
+    out = []
+    for c, models in fitted(df, columns, k).items():
+        if not models:
+            continue
+        model, loo = models[0]
+        size = np.abs(model.beta)
+        share = size / size.sum() if size.sum() > 0 else np.full(len(size), 1 / len(size))
+        for place, i in enumerate(sorted(range(len(size)), key=lambda i: (-share[i], model.predictors[i]))):
+            out.append((c, model.predictors[i], float(share[i]), float(loo), place + 1))
+    return out

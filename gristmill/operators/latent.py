@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.exact import medians
+from gristmill.operators.exact import finite, medians
 from gristmill.tables import discard, stored
 
 
@@ -50,7 +50,7 @@ def arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Matrix:
-    """Standardised rows (key, x, y) of a frame, stored for as many passes as a fit takes."""
+    """Standardised rows (key, x, y) of a frame, the target too, stored for as many passes as a fit takes."""
 
     rows: DataFrame
     key: str
@@ -58,23 +58,31 @@ class Matrix:
     mean: np.ndarray
     sd: np.ndarray
     middle: np.ndarray  # medians on the standardised scale, where a column has values
+    level: float = 0.0  # of the target
+    width: float = 1.0
 
     @classmethod
     def of(cls, df: DataFrame, key: str, columns: Sequence[str], target: str | None = None) -> Matrix:
         """Values that are no finite numbers are missing; a column without spread is only centred."""
-        bad = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
-        number = lambda c: F.when(~bad(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
-        own = stored(df.select(F.col(f"`{key}`").alias(key), *[number(c).alias(f"c{i}") for i, c in enumerate(columns)], (number(target) if target else F.lit(None).cast("double")).alias("y")), "matrix-raw")
+        own = stored(df.select(F.col(f"`{key}`").alias(key), *[finite(c).alias(f"c{i}") for i, c in enumerate(columns)], (finite(target) if target else F.lit(None).cast("double")).alias("y")), "matrix-raw")
         names = [f"c{i}" for i in range(len(columns))]
         s = own.agg(*[f(c).alias(f"{n}{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         mean = np.array([s[f"m{c}"] or 0.0 for c in names])
         sd = np.array([s[f"s{c}"] if (s[f"s{c}"] or 0) >= 1e-8 else 1.0 for c in names])
+        t = own.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+        level, width = t["m"] or 0.0, t["s"] if (t["s"] or 0) >= 1e-8 else 1.0
         at = medians(own, names)
         middle = np.array([0.0 if at[c] is None else (at[c] - m) / d for c, m, d in zip(names, mean, sd, strict=True)])
         z = [F.coalesce((F.col(c) - F.lit(float(m))) / F.lit(float(d)), F.lit(float("nan"))) for c, m, d in zip(names, mean, sd, strict=True)]
-        rows = stored(own.select(key, F.array(*z).alias("x"), F.coalesce("y", F.lit(float("nan"))).alias("y")), "matrix")
+        rows = stored(own.select(key, F.array(*z).alias("x"), F.coalesce((F.col("y") - F.lit(float(level))) / F.lit(float(width)), F.lit(float("nan"))).alias("y")), "matrix")
         discard(own)
-        return cls(rows, key, list(columns), mean, sd, middle)
+        return cls(rows, key, list(columns), mean, sd, middle, level, width)
+
+    def placed(self, df: DataFrame) -> Matrix:
+        """Other rows on this matrix's scale, without their targets."""
+        z = [F.coalesce((finite(c) - F.lit(float(m))) / F.lit(float(d)), F.lit(float("nan"))) for c, m, d in zip(self.columns, self.mean, self.sd, strict=True)]
+        rows = df.select(F.col(f"`{self.key}`").alias(self.key), F.array(*z).alias("x"), F.lit(float("nan")).alias("y"))
+        return Matrix(rows, self.key, self.columns, self.mean, self.sd, self.middle, self.level, self.width)
 
     def drop(self) -> None:
         discard(self.rows)
@@ -203,9 +211,11 @@ class Factors:
     def predict(self, m: Matrix) -> DataFrame:
         """(key, predicted, factors) of all rows; a labelled row's factors know its target."""
 
+        level, width = m.level, m.width
+
         def tell(x: np.ndarray, y: np.ndarray) -> dict:
             z = self.places(x, y)
-            return {"predicted": z @ self.t + self.b, "factors": list(z)}
+            return {"predicted": level + width * (z @ self.t + self.b), "factors": list(z)}
 
         return m.told(tell, "predicted double, factors array<double>")
 
@@ -282,14 +292,37 @@ class Traits:
     def predict(self, m: Matrix) -> DataFrame:
         """(key, predicted, sigma, traits, trait_sigmas) of all rows."""
 
+        level, width = m.level, m.width
+
         def tell(x: np.ndarray, y: np.ndarray) -> dict:
             mean, cov = self.posterior(x, y)
-            sd = np.sqrt(np.einsum("i,nij,j->n", self.t, cov, self.t) + self.spread)
-            return {"predicted": mean @ self.t + self.b, "sigma": sd, "traits": list(mean), "trait_sigmas": list(np.sqrt(np.einsum("nii->ni", cov)))}
+            sd = width * np.sqrt(np.einsum("i,nij,j->n", self.t, cov, self.t) + self.spread)
+            return {"predicted": level + width * (mean @ self.t + self.b), "sigma": sd, "traits": list(mean), "trait_sigmas": list(np.sqrt(np.einsum("nii->ni", cov)))}
 
         return m.told(tell, "predicted double, sigma double, traits array<double>, trait_sigmas array<double>")
 
 
+def cross_validated(df: DataFrame, key: str, columns: Sequence[str], target: str, make: Callable[[], Factors | Traits], folds: int = 5, inductive: bool = False) -> DataFrame:
+    """(key, fold, actual, predicted) of the rows with a target, each by a model that has not seen it.
+
+    Transductive: the fold's rows are there, without their targets. ``inductive``: they are not there at all, and are
+    placed afterwards by their own cells, on the scale of the others. Folds by hash of the key."""
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+    out = None
+    for f in range(folds):
+        apart = fold == f
+        seen = df.where(~apart) if inductive else df.withColumn(target, F.when(~apart, F.col(target)))
+        m = Matrix.of(seen, key, columns, target)
+        model = make().fit(m)
+        asked = m.placed(df.where(apart)) if inductive else m
+        told_ = model.predict(asked).select(key, "predicted")
+        part = df.where(apart & F.col(target).isNotNull()).select(F.col(key), F.lit(f).alias("fold"), F.col(target).cast("double").alias("actual")).join(told_, key)
+        part = stored(part, "latent-fold")
+        m.drop()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

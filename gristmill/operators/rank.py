@@ -53,11 +53,19 @@ def below(values: DataFrame, value: str, n: str, by: Sequence[str] = (), buckets
     return placed.join(first, [*by, "__range"]).withColumn("before", F.coalesce(inside, F.lit(0)) + F.col("__first")).drop("__range", "__first")
 
 
+def shares_below(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """(by, column, n, before): each distinct value of a group with its rows and those of smaller values."""
+    return below(df.groupBy(*by, column).agg(F.count("*").alias("n")), column, "n", by)
+
+
 def average_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Ranks with ties at their mean, within groups."""
+    """Ranks with ties at their mean, within groups: from counts of distinct values, so that no group is sorted whole."""
     out = df
     for c in columns:
-        w = Window.partitionBy(*by)
-        rank = F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-        out = out.withColumn(f"rank_{c}", rank.cast("double"))
+        rank = (F.col("before") + (F.col("n") + 1) / 2).cast("double")
+        own = shares_below(df, c, by).select(*[F.col(b).alias(f"__{b}") for b in by], F.col(c).alias("__value"), rank.alias(f"rank_{c}"))
+        met = F.col(c).eqNullSafe(F.col("__value"))
+        for b in by:
+            met = met & F.col(b).eqNullSafe(F.col(f"__{b}"))
+        out = out.join(own, met).drop("__value", *[f"__{b}" for b in by])
     return out

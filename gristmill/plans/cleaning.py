@@ -153,6 +153,16 @@ def row_validation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").agg(F.count("*").alias("n"), bad(F.col("o_totalprice").between(1000, 400000), "bad_price"), bad(F.col("o_orderstatus").isin("F", "O"), "bad_status"), bad(F.col("o_orderkey") >= 1, "bad_key"))
 
 
+@queries.add(
+    "table_verdicts",
+    """SELECT o_orderpriority AS source, count(*) AS n, (sum((o_totalprice IS NULL OR NOT o_totalprice BETWEEN 600 AND 400000)::INT) + sum((o_custkey < 1)::INT))::BIGINT AS issues,
+count(*) >= 20 AND sum((o_totalprice IS NULL OR NOT o_totalprice BETWEEN 600 AND 400000)::INT) + sum((o_custkey < 1)::INT) <= 10 AS valid FROM orders GROUP BY 1""",
+)
+def table_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a source's rows can be taken: enough of them, and at most ten issues of range over all its fields."""
+    return C.verdicts(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "source"), "source", {"o_totalprice": (600, 400000), "o_custkey": (1, None)}, 20, 10)
+
+
 @queries.add("formatted_rows", "SELECT o_orderkey, floor(o_totalprice)::BIGINT % 100 || '___' || (floor(o_totalprice)::BIGINT % 100 + 5) AS rank_spread, format('{:,}', o_orderkey * 1000) AS votes FROM orders")
 def formatted_rows(spark: SparkSession, d: str) -> DataFrame:
     rank = F.floor("o_totalprice") % 100

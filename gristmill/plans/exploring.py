@@ -107,6 +107,19 @@ def capability_profile(spark: SparkSession, d: str) -> DataFrame:
     return scaled(z, ["capability"]).select("user_id", F.round("capability", 4).alias("capability"))
 
 
+@queries.add(
+    "category_profiles",
+    """WITH m AS (SELECT l_partkey AS key, count(*) AS q, sum(l_extendedprice) AS e, avg(l_discount) AS s FROM lineitem GROUP BY 1),
+z AS (SELECT key, (q - avg(q) OVER ()) / stddev(q) OVER () + (e - avg(e) OVER ()) / stddev(e) OVER () AS worth, (s - avg(s) OVER ()) / stddev(s) OVER () AS terms FROM m)
+SELECT key, round(100 * (worth - min(worth) OVER ()) / (max(worth) OVER () - min(worth) OVER ()), 4) AS worth, round(100 * (terms - min(terms) OVER ()) / (max(terms) OVER () - min(terms) OVER ()), 4) AS terms FROM z""",
+)
+def category_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Each category's first component on a scale of 0 to 100 (of two columns that go together it is their sum)."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("q"), F.sum("l_extendedprice").alias("e"), F.avg("l_discount").alias("s"))
+    p = E.category_profiles(m, "key", {"worth": ["q", "e"], "terms": ["s"]})
+    return p.select("key", F.round("worth", 4).alias("worth"), F.round("terms", 4).alias("terms"))
+
+
 @queries.add("productivity", "SELECT o_orderkey, o_totalprice / n AS per_token FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE n > 100")
 def productivity(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("n"))

@@ -36,6 +36,13 @@ def gated_cells(spark: SparkSession, d: str) -> DataFrame:
     return coherence.drawn(cells, "k", COLUMNS, 2, gate="learned")
 
 
+@queries.add("model_importances")
+def model_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Each column's chosen model and what its predictors weigh in it."""
+    rows = impute.importances(sparse_parts(spark, d), COLUMNS)
+    return spark.createDataFrame(rows, "column string, predictor string, share double, loo double, place int")
+
+
 RATIOS = """
 s AS (SELECT avg(p_size) AS ma, stddev_pop(p_size) AS sa, avg(p_retailprice) AS mb, stddev_pop(p_retailprice) AS sb FROM part),
 z AS (SELECT p_partkey AS k, (p_size - ma) / sa AS a, (p_retailprice - mb) / sb AS b FROM part, s),

@@ -42,6 +42,18 @@ def latent_traits(spark: SparkSession, d: str) -> DataFrame:
     return latent.Traits(rank=2, rounds=30).fit(m, [[0], [1, 2]]).predict(m)
 
 
+def held_out(spark: SparkSession, d: str, inductive: bool) -> DataFrame:
+    return latent.cross_validated(sparse_parts(spark, d), "k", FEATURES, "x", lambda: latent.Factors(rank=2, shrink=1.0, rounds=15), 3, inductive)
+
+
+@queries.add("latent_validation")
+def latent_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the factors where rows were there without their targets, and where they were not there at all."""
+    e = F.col("actual") - F.col("predicted")
+    parts = [held_out(spark, d, inductive).select(F.lit(name).alias("kind"), e.alias("e")) for name, inductive in (("transductive", False), ("inductive", True))]
+    return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"))
+
+
 @queries.add("item_response")
 def item_response(spark: SparkSession, d: str) -> DataFrame:
     """Abilities of the parts and their square, from columns scaled to 0 and 1 as items of a logistic response."""

@@ -17,7 +17,9 @@ OPEN = f"""{BATTLES.strip()}, models AS (SELECT 'm' || k AS model FROM range(8)
 every AS (SELECT item, x.model AS model_a, y.model AS model_b FROM items, models x, models y WHERE x.model <> y.model),
 d AS (SELECT DISTINCT item, model_a, model_b FROM b WHERE judge = 'j1'),
 o AS (SELECT e.*, EXISTS (SELECT 1 FROM d WHERE d.item = e.item AND d.model_a = e.model_b AND d.model_b = e.model_a) AS turned FROM every e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.item = e.item AND d.model_a = e.model_a AND d.model_b = e.model_b))"""
-RATED = "r AS (SELECT 'm' || k AS m, 25 + ((k * 37) % 11) / 2.0 AS mu, 1 + ((k * 13) % 7) / 2.0 AS sigma, 25 + ((k * 23) % 13) / 2.0 AS mu2, 1 + ((k * 29) % 5) / 2.0 AS sigma2 FROM range(8) t(k))"
+#: Ratings from the battles: the share of wins around 25, surer with every battle; on the second axis the margins'.
+RATED = """sides AS (SELECT model_a AS m, (label = 'A')::INT AS won, margin_a - margin_b AS margin FROM w UNION ALL SELECT model_b, (label = 'B')::INT, margin_b - margin_a FROM w),
+r AS (SELECT m, 25 + 20 * (avg(won) - 0.5) AS mu, 25 / 3.0 / sqrt(1 + count(*) / 100.0) AS sigma, 25 + avg(margin) AS mu2, 25 / 3.0 / sqrt(1 + count(*) / 50.0) AS sigma2 FROM sides GROUP BY 1)"""
 GAIN = "(a.{1} + c.{1}) * sqrt(2 * {b} / (2 * {b} + a.{1} * a.{1} + c.{1} * c.{1})) * exp(-power(a.{0} - c.{0}, 2) / (2 * (2 * {b} + a.{1} * a.{1} + c.{1} * c.{1})))"
 ONE = GAIN.format("mu", "sigma", b=M.BETA2)
 TWO = GAIN.format("mu2", "sigma2", b=M.BETA2)
@@ -31,14 +33,17 @@ def open_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.pending(items, models, own, "j1")
 
 
-def ratings(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    half = lambda a, m: (k * a % m) / 2.0
-    return spark.range(8).select(F.concat(F.lit("m"), k.cast("string")).alias("m"), (25 + half(37, 11)).alias("mu"), (1 + half(13, 7)).alias("sigma"), (25 + half(23, 13)).alias("mu2"), (1 + half(29, 5)).alias("sigma2"))
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    """m, mu, sigma and the same on a second axis, from all battles."""
+    gap = F.col("margin_a") - F.col("margin_b")
+    side = lambda who, label, margin: F.struct(F.col(who).alias("m"), (F.col("label") == label).cast("int").alias("won"), margin.alias("margin"))
+    s = battles(spark, d).select(F.inline(F.array(side("model_a", "A", gap), side("model_b", "B", -gap))))
+    sure = lambda n: F.lit(25 / 3.0) / F.sqrt(1 + F.count("*") / n)
+    return s.groupBy("m").agg((25 + 20 * (F.avg("won") - 0.5)).alias("mu"), sure(100.0).alias("sigma"), (25 + F.avg("margin")).alias("mu2"), sure(50.0).alias("sigma2"))
 
 
-def pair_gains(spark: SparkSession, both_axes: bool = False) -> DataFrame:
-    a, c = ratings(spark).alias("a"), ratings(spark).alias("c")
+def pair_gains(spark: SparkSession, d: str, both_axes: bool = False) -> DataFrame:
+    a, c = ratings(spark, d).alias("a"), ratings(spark, d).alias("c")
     g = M.gain(F.col("a.mu"), F.col("a.sigma"), F.col("c.mu"), F.col("c.sigma"))
     if both_axes:
         g = g + M.gain(F.col("a.mu2"), F.col("a.sigma2"), F.col("c.mu2"), F.col("c.sigma2"))
@@ -60,17 +65,27 @@ SELECT item, model_a, model_b, round(gain, 6) AS gain, 'completion' AS reason FR
 @queries.add("match_selection", f"WITH {OPEN}, {RATED}, g AS (SELECT a.m AS model_1, c.m AS model_2, {ONE} AS gain FROM r a JOIN r c ON a.m < c.m), {UNITS}, {CHOICE.format(300)}")
 def match_selection(spark: SparkSession, d: str) -> DataFrame:
     """Within a budget: first what is half done, then new pairs with both orientations, by gain."""
-    return M.selected(open_matches(spark, d), pair_gains(spark), 300).withColumn("gain", F.round("gain", 6))
+    return M.selected(open_matches(spark, d), pair_gains(spark, d), 300).withColumn("gain", F.round("gain", 6))
 
 
 @queries.add("match_selection_two_axes", f"WITH {OPEN}, {RATED}, g AS (SELECT a.m AS model_1, c.m AS model_2, {ONE} + {TWO} AS gain FROM r a JOIN r c ON a.m < c.m), {UNITS} SELECT item, model_a, model_b, round(gain, 6) AS gain FROM q ORDER BY round(gain, 9) DESC, model_a, model_b, item LIMIT 200")
 def match_selection_two_axes(spark: SparkSession, d: str) -> DataFrame:
     """By the sum of the gains on two axes; orientations one by one."""
     o = open_matches(spark, d).select("item", "model_a", "model_b", F.least("model_a", "model_b").alias("model_1"), F.greatest("model_a", "model_b").alias("model_2"))
-    best = o.join(pair_gains(spark, True), ["model_1", "model_2"]).orderBy(F.desc(F.round("gain", 9)), "model_a", "model_b", "item").limit(200)
+    best = o.join(pair_gains(spark, d, True), ["model_1", "model_2"]).orderBy(F.desc(F.round("gain", 9)), "model_a", "model_b", "item").limit(200)
     return best.select("item", "model_a", "model_b", F.round("gain", 6).alias("gain"))
 
 
+@queries.add("matches_by_skill")
+def matches_by_skill(spark: SparkSession, d: str) -> DataFrame:
+    """As match_selection, with ratings of all paired results as the tournament keeps them."""
+    rated = rate.skill_ratings(rate.paired_results(battles(spark, d)), "item", 0.03).groupBy("model").agg(F.avg("mu").alias("mu"), (F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))) / F.count("*")).alias("sigma"))
+    rated = rated.withColumnRenamed("model", "m")
+    a, c = rated.alias("a"), rated.alias("c")
+    gains = a.join(c, F.col("a.m") < F.col("c.m")).select(F.col("a.m").alias("model_1"), F.col("c.m").alias("model_2"), M.gain(F.col("a.mu"), F.col("a.sigma"), F.col("c.mu"), F.col("c.sigma")).alias("gain"))
+    return M.selected(open_matches(spark, d), gains, 300)
+
+
 @queries.add("battles_by_model", f"WITH {BATTLES}, s AS (SELECT model_a AS model, judge, item FROM b UNION ALL SELECT model_b, judge, item FROM b) SELECT model, count(*) AS battles, count(DISTINCT judge) AS judges, count(DISTINCT item) AS items FROM s GROUP BY 1")
 def battles_by_model(spark: SparkSession, d: str) -> DataFrame:
     sides = battles(spark, d).select(F.explode(F.array("model_a", "model_b")).alias("model"), "judge", "item")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions import text as T
 from gristmill.operators import score as S
 from gristmill.operators.exact import quantiles
 from gristmill.registering import Queries
@@ -208,6 +209,27 @@ def ratio_features(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(1000 * bangs / (n + 1), 6).alias("bangs_per_1k"), F.round(F.log1p(n / 10), 6).alias("log_length"))
 
 
+COMPOSITE = {"headers": 0.3, "bold": 0.5, "lists": 0.2}
+
+
+@queries.add(
+    "style_composite",
+    r"""WITH r AS (SELECT doc_id, 1000.0 * len(regexp_extract_all(text, '(?m)^\s*#{1,6}\s+')) / (length(text) + 1) AS h, 1000.0 * len(regexp_extract_all(text, '\*\*\S(?:.*?\S)??\*\*|__\S(?:.*?\S)??__')) / (length(text) + 1) AS b,
+1000.0 * (len(regexp_extract_all(text, '(?m)^\s*[-*+]\s+')) + len(regexp_extract_all(text, '(?m)^\s*\d+[.)]\s+'))) / (length(text) + 1) AS l FROM documents)
+SELECT doc_id, round(ln(1 + h), 6) AS headers, round(ln(1 + b), 6) AS bold, round(ln(1 + l), 6) AS lists, round(0.3 * ln(1 + h) + 0.5 * ln(1 + b) + 0.2 * ln(1 + l), 6) AS composite FROM r""",
+)
+def style_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of marks per thousand characters (with one more), their logs, and a weighted sum of those."""
+    text = F.col("text")
+    marks = {
+        "headers": T.matches(text, r"(?m)^\s*#{1,6}\s+"), "bold": T.matches(text, r"\*\*\S(?:.*?\S)??\*\*|__\S(?:.*?\S)??__"),
+        "lists": T.matches(text, r"(?m)^\s*[-*+]\s+") + T.matches(text, r"(?m)^\s*\d+[.)]\s+"),
+    }
+    logs = {k: F.log1p(1000 * v / (F.length(text) + 1)) for k, v in marks.items()}
+    total = sum((logs[k] * w for k, w in COMPOSITE.items()), F.lit(0.0))
+    return table(spark, d, "documents").select("doc_id", *[F.round(v, 6).alias(k) for k, v in logs.items()], F.round(total, 6).alias("composite"))
+
+
 @queries.add("logit_link", "SELECT l_orderkey, l_linenumber, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS back FROM (SELECT l_orderkey, l_linenumber, greatest(0.01, least(0.99, l_quantity / 50.0)) AS p FROM lineitem)")
 def logit_link(spark: SparkSession, d: str) -> DataFrame:
     """Shares on the logit scale, kept off 0 and 1, and back."""

@@ -53,6 +53,28 @@ def shape_rates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *[F.round(c, 6).alias(k) for k, c in T.word_rates(F.col("text")).items()])
 
 
+B = f"({o_sql('**')} // 2)"
+FEATURES = {
+    "char_count": "length(text)", "word_count": "n", "newlines": "length(text) - length(replace(text, chr(10), ''))", "sentence_count": "s", "avg_sentence_words": "n / s",
+    "first_person_rate": f"{in_sql(T.SPEAKER)} / v", "second_person_rate": f"{in_sql(T.LISTENER)} / v", "hedge_rate": f"{in_sql(T.DOUBTS)} / v",
+    "question_rate": f"{o_sql('?')} / s", "exclamation_rate": f"{o_sql('!')} / s",
+    "em_dashes_per_100w": f"100.0 * ({o_sql('—')} + {o_sql('--')}) / v", "ellipses_per_100w": f"100.0 * ({o_sql('…')} + {o_sql('...')}) / v",
+    "bullet_lines_per_1kw": "1000.0 * " + n_sql(r"(?m)^\s*[-*•]\s") + " / v", "numbered_lines_per_1kw": "1000.0 * " + n_sql(r"(?m)^\s*\d+[.)]\s") + " / v",
+    "bold_markers_per_1kw": f"1000.0 * {B} / v", "italic_markers_per_1kw": f"1000.0 * (greatest(0, {o_sql('*')} - 2 * {B}) // 2) / v",
+    "all_caps_words_per_1kw": "1000.0 * len(list_filter(w, lambda x: length(x) > 2 AND upper(x) = x AND lower(x) <> x)) / v",
+}
+
+
+@queries.add(
+    "shape_features",
+    r"WITH b AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents), e AS (SELECT *, len(w)::DOUBLE AS n, greatest(1, len(w))::DOUBLE AS v, (" + n_sql(r"[.!?]+\s") + " + 1)::DOUBLE AS s FROM b) SELECT doc_id, "
+    + ", ".join(f"round(({x})::DOUBLE, 6) AS {k}" for k, x in FEATURES.items()) + " FROM e",
+)
+def shape_features(spark: SparkSession, d: str) -> DataFrame:
+    """The seventeen shape features that a probe of judges uses."""
+    return table(spark, d, "documents").select("doc_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in T.shape_features(F.col("text")).items()])
+
+
 def share_sql(x: str, of: str) -> str:
     return f"CASE WHEN {of} > 0 THEN ({x}) / {of} ELSE 0 END"
 

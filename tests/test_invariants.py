@@ -137,11 +137,11 @@ def test_latent_models_are_those_of_plain_versions(spark):
     own = kernels.sparse_parts(spark, DATA).toPandas().set_index("k").sort_index()
     x, y = own[latents.FEATURES].to_numpy(float), own["x"].to_numpy(float)
     losses = rows(spark, "factor_losses").sort_values("round")["loss"].to_numpy()
-    want, w, t, b = plain_factors(x, y, 2, len(losses))
+    want, w, t, b = plain_factors(x, (y - np.nanmean(y)) / np.nanstd(y), 2, len(losses))
     assert np.allclose(losses, want, rtol=1e-7) and (np.diff(losses) <= 1e-6 * losses[:-1]).all()
     got = rows(spark, "supervised_factors").set_index("k").loc[own.index]
     places = np.stack(got["factors"].to_list())
-    assert np.allclose(places @ t + b, got["predicted"], rtol=1e-6)
+    assert np.allclose(np.nanmean(y) + np.nanstd(y) * (places @ t + b), got["predicted"], rtol=1e-6)
     seen = ~np.isnan(y)
     assert np.corrcoef(got["predicted"][seen], y[seen])[0, 1] > 0.9
     traits = rows(spark, "latent_traits").set_index("k").loc[own.index]
@@ -201,3 +201,15 @@ def test_cells_by_processes_tiers_and_gates(spark):
         assert np.allclose(mine["value"].to_numpy()[filled], now[c].to_numpy()[filled]) and np.allclose(mine["sigma"].to_numpy()[filled], sigma[c].to_numpy()[filled], atol=1e-6)
     gated = rows(spark, "gated_cells")
     assert len(gated) == own.size and gated["weight"].between(0, 1).all() and (gated[gated["origin"] == "observed"]["weight"] == 0).all() and gated["value"].notna().all()
+
+
+def test_validation_importances_and_matches_by_skill(spark):
+    own = kernels.sparse_parts(spark, DATA).toPandas()
+    v = rows(spark, "latent_validation").set_index("kind")
+    assert (v["n"] == own["x"].notna().sum()).all() and (v["rmse"] < own["x"].std()).all() and (v["mae"] <= v["rmse"]).all() and set(v.index) == {"transductive", "inductive"}
+    i = rows(spark, "model_importances")
+    assert set(i["column"]) <= set(own.columns) and np.allclose(i.groupby("column")["share"].sum(), 1) and (i["column"] != i["predictor"]).all()
+    m = rows(spark, "matches_by_skill")
+    new = m[m["reason"] == "new"]
+    assert len(m) <= 300 and not m.duplicated(["item", "model_a", "model_b"]).any() and (m["gain"] > 0).all()
+    assert {(r.item, r.model_a, r.model_b) for r in new.itertuples()} == {(r.item, r.model_b, r.model_a) for r in new.itertuples()}

@@ -132,3 +132,37 @@ def test_neighbours_equal_brute_force(spark):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         want = [k for k in np.lexsort((np.arange(300), d)) if k != q][:6]
         assert [g["k"] for g in got if g["query"] == q] == want
+
+
+def test_category_profiles_are_first_components(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(80, 4)) @ np.array([[1, 0.8, 0.2, 0], [0, 1, 0.5, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+    x[::7, 1] = np.nan
+    df = spark.createDataFrame([(k, *(None if np.isnan(v) else float(v) for v in row), 1.0) for k, row in enumerate(x)], "k long, a double, b double, c double, d double, e double")
+    got = explore.category_profiles(df, "k", {"one": ["a", "b", "c"], "two": ["d"], "flat": ["e"]}).toPandas().set_index("k").sort_index()
+    z = np.nan_to_num((x - np.nanmean(x, 0)) / np.nanstd(x, 0, ddof=1))
+    w = np.linalg.eigh(np.cov(z[:, :3].T))[1][:, -1]
+    p = (z[:, :3] - z[:, :3].mean(0)) @ w
+    p = -p if np.corrcoef(p, z[:, :3].mean(1))[0, 1] < 0 else p
+    assert np.allclose(got["one"], 100 * (p - p.min()) / (p.max() - p.min())) and np.allclose(got["two"], 100 * (x[:, 3] - x[:, 3].min()) / np.ptp(x[:, 3])) and (got["flat"] == 50).all()
+
+
+def test_importances_of_the_chosen_models(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(200, 2))
+    df = spark.createDataFrame([(k, float(a), float(b), float(3 * a + b + 0.1 * r.normal()), None) for k, (a, b) in enumerate(x)], "k long, a double, b double, y double, none double")
+    got = {(c, p): (s, place) for c, p, s, _, place in impute.importances(df, ["a", "b", "y", "none"])}
+    assert got["y", "a"][1] == 1 and got["y", "a"][0] == pytest.approx(0.75, abs=0.05) and got["y", "a"][0] + got["y", "b"][0] == pytest.approx(1)
+    assert not any("none" in k for k in got)
+
+
+def test_ranks_of_ties_and_nulls_within_groups(spark):
+    from gristmill.operators.rank import average_ranks
+
+    r = np.random.default_rng(10)
+    rows = [(k, int(r.integers(3)), float(r.integers(6))) for k in range(300)]
+    got = average_ranks(spark.createDataFrame(rows, "k long, g int, v double"), ["v"], ["g"]).toPandas().set_index("k")["rank_v"]
+    for k, g, v in rows[:60]:
+        own = [b for _, a, b in rows if a == g]
+        assert got[k] == sum(b < v for b in own) + (sum(b == v for b in own) + 1) / 2
+    assert average_ranks(spark.createDataFrame([(1, 1, None), (2, 1, 5.0)], "k long, g int, v double"), ["v"], ["g"]).count() == 2
