@@ -11,15 +11,17 @@ matches with their locations in both.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import only, stored
+from gristmill.llm.common import looked_up, only, stored
 
 WINDOW = 10
 #: Bytes of test text that go to the tasks at once; a larger benchmark is gone through in several blocks.
@@ -39,7 +41,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 INDEX = "doc_ids array<long>, rows array<long>, starts array<int>, lengths array<int>, vocabulary binary, ids binary, suffixes binary"
-FOUND = "doc_id long, row long, spans array<struct<a:int,b:int>>, items array<string>"
+FOUND = "doc_id long, row long, spans array<struct<a:int,b:int>>, lists array<string>"
+#: Items that own the same windows: named by a mark, so that documents carry marks and not what may be all items.
+LISTS = "list string, names array<string>"
 MATCHES = "doc_id long, item_id string, start long, item_start long, item_windows long, length long"
 
 
@@ -76,13 +80,23 @@ class ItemBlock:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             for k in range(max(1, len(ids) - window + 1)) if ids else ():
                 by_window.setdefault(tuple(ids[k : k + window]), []).append((n, k))
+        #: marks and names of the distinct lists of items that own a window; per length the list of each window
+        self.marks: list[str] = []
+        self.lists: list[list[str]] = []
+        self.list_of: dict[int, np.ndarray] = {}
         #: per length of a window: its windows as rows of numbers, and how many owners (item, place) each has
         self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        numbers: dict[tuple[str, ...], int] = {}
         for length in sorted({len(w) for w in by_window}):
             own = [w for w in by_window if len(w) == length]
             counts = np.array([len(by_window[w]) for w in own], np.int64)
             owners = np.array([o for w in own for o in by_window[w]], np.int64).reshape(-1, 2)
             self.windows.append((length, np.array(own, np.int64), np.concatenate(([0], np.cumsum(counts))), owners))
+            names = [tuple(sorted({self.names[n] for n, _ in by_window[w]})) for w in own]
+            self.list_of[length] = np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int64)
+        for x in numbers:
+            self.lists.append(list(x))
+            self.marks.append(hashlib.sha256("".join(f"{len(i)}:{i}" for i in x).encode("utf-8", "surrogatepass")).hexdigest()[:32])
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +203,13 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[Ite
         yield ItemBlock([(r["item_id"], r["text"]) for r in part.where(F.col("part") == k).collect()], window)
 
 
-def searched(index: DataFrame, items: DataFrame, window: int, block_bytes: int, rows: str, ask: Callable) -> DataFrame:
+def searched(index: DataFrame, items: DataFrame, window: int, block_bytes: int, rows: str, ask: Callable, keep: Callable | None = None) -> DataFrame:
     """What ``ask(shard, block, doc_ids, marks)`` gives for each stored shard and block of items. A block's results are
-    written before the next block goes out, so that one block at a time is held."""
+    written before the next block goes out, so that one block at a time is held; ``keep`` is called with each."""
     spark, out, names = index.sparkSession, None, re.findall(r"(?:^|, )(\w+) ", rows)
     for b in item_blocks(items, window, block_bytes):
+        if keep:
+            keep(b)
         block = spark.sparkContext.broadcast(b)
 
         def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
@@ -209,23 +225,22 @@ def searched(index: DataFrame, items: DataFrame, window: int, block_bytes: int,
 
 
 def hits(shard: Shard, block: ItemBlock, doc_ids: np.ndarray, marks: np.ndarray) -> list[tuple]:
-    """FOUND of one shard: for each document with windows the words inside them as spans, and their items."""
+    """FOUND of one shard: for each document with windows the words inside them as spans, and the lists of items that
+    own those windows. A window that all items share is one list, whatever their number."""
     edge, owned = np.zeros(len(shard.ids) + 1, np.int64), []
-    for length, places, which, first_owner, owners in shard.found(block):
+    for length, places, which, _, _ in shard.found(block):
         np.add.at(edge, places, 1)
         np.add.at(edge, places + length, -1)
-        pairs = np.unique(np.stack([shard.document(places), which], 1), axis=0) if len(places) else np.zeros((0, 2), np.int64)
-        at, k = spread(first_owner[pairs[:, 1]], first_owner[pairs[:, 1] + 1] - first_owner[pairs[:, 1]])
-        owned.append(np.stack([pairs[at, 0], owners[k, 0]], 1))
+        owned.append(np.unique(np.stack([shard.document(places), block.list_of[length][which]], 1), axis=0))
     inside = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0]))
     begins, ends = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
     spans: dict[int, list] = {}
     for d, a, b in zip(shard.document(begins).tolist(), begins.tolist(), ends.tolist(), strict=True):
         spans.setdefault(d, []).append({"a": a - int(shard.starts[d]), "b": b - int(shard.starts[d])})
-    items: dict[int, set] = {}
+    lists: dict[int, list] = {}
     for d, n in np.unique(np.concatenate(owned), axis=0).tolist() if owned else ():
-        items.setdefault(d, set()).add(block.names[n])
-    return [(None if pd.isna(doc_ids[d]) else int(doc_ids[d]), int(marks[d]), spans[d], sorted(items[d])) for d in spans]
+        lists.setdefault(d, []).append(block.marks[n])
+    return [(None if pd.isna(doc_ids[d]) else int(doc_ids[d]), int(marks[d]), spans[d], sorted(lists[d])) for d in spans]
 
 
 def longest(shard: Shard, block: ItemBlock, doc_ids: np.ndarray, marks: np.ndarray) -> list[tuple]:
@@ -244,8 +259,9 @@ def longest(shard: Shard, block: ItemBlock, doc_ids: np.ndarray, marks: np.ndarr
 
 def verdicts(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """doc_id, row and VERDICT of every row of ``docs``."""
-    index = suffix_index(docs)
-    found = searched(index, items, window, block_bytes, FOUND, hits)
+    index, spark, tables = suffix_index(docs), docs.sparkSession, []
+    keep = lambda b: tables.append(stored(spark.createDataFrame(list(zip(b.marks, b.lists, strict=True)), LISTS), "owner-lists"))
+    found = searched(index, items, window, block_bytes, FOUND, hits, keep)
     edges = F.sort_array(F.flatten(F.collect_list("spans")))
     merged = F.aggregate(  # words inside any span: spans in order, each counted from where the last one ended
         edges,
@@ -253,17 +269,27 @@ def verdicts(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -
         lambda s, e: F.struct((s["n"] + F.greatest(F.lit(0), e["b"] - F.greatest(e["a"], s["end"]))).cast("long").alias("n"), F.greatest(e["b"], s["end"]).alias("end")),
         lambda s: s["n"],
     )
-    names = F.sort_array(F.array_distinct(F.flatten(F.collect_list("items"))))
-    each = found.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(merged.alias("n_hit"), names.alias("names"))
+    lists = F.sort_array(F.array_distinct(F.flatten(F.collect_list("lists"))))
+    each = found.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(merged.alias("n_hit"), lists.alias("lists"))
+    each = stored(each.withColumn("combined", F.sha2(F.concat_ws(",", "lists"), 256)), "hit-documents")
+    told = looked_up(each.select("__id", "__row", "n_hit", "combined"), combined_lists(each, reduce(DataFrame.unionByName, tables)), ["combined"])
     every = index.select(F.explode(F.arrays_zip("doc_ids", "rows", "lengths")).alias("d")).select("d.doc_ids", "d.rows", "d.lengths")
-    met = every.join(each, F.col("doc_ids").eqNullSafe(F.col("__id")) & (F.col("rows") == F.col("__row")), "left")
-    own = F.coalesce("names", F.array().cast("array<string>"))
+    met = every.join(told, F.col("doc_ids").eqNullSafe(F.col("__id")) & (F.col("rows") == F.col("__row")), "left")
     return met.select(
         F.col("doc_ids").alias("doc_id"), F.col("rows").alias("row"), F.col("lengths").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
+def combined_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(combined, n_items, items_sha256) of each distinct combination of lists: items are named once for a combination
+    and not once for a document."""
+    distinct = rows.select("combined", "lists").dropDuplicates(["combined"]).select("combined", F.explode("lists").alias("list"))
+    named = looked_up(distinct, lists.dropDuplicates(["list"]), ["list"]).select("combined", F.explode("names").alias("name"))
+    all_ = named.groupBy("combined").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return all_.select("combined", F.size("names").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "names"), 256).alias("items_sha256"))
+
+
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` (own ones of the same names replaced) with n_words, n_hit, n_items, items_sha256 and contaminated.
 

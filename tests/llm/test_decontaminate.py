@@ -113,3 +113,19 @@ def test_columns_of_any_names_keep_their_values(spark):
     out = decontaminate.decontaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, "some words", "u1", "x"), (2, "other words", "u3", "z")]
+
+
+def test_a_stem_that_all_items_share_is_one_list(spark):
+    """1 500 items that begin alike against 600 documents with that beginning: marks are carried, not names."""
+    stem = prose(50, 12)
+    items = [(f"i{k}", f"{stem} item{k} ends here") for k in range(1500)] + [("other", prose(51, 14)), ("short", "one two")]
+    texts = [f"{prose(60 + k, 5)} {stem} {prose(70 + k, 5)}" for k in range(600)] + [prose(51, 14), f"{stem} and {prose(51, 14)}", "one two three", "", None]
+    block = decontaminate.ItemBlock(items)
+    assert max(map(len, block.lists)) == 1500 and len(block.lists) < 1510
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: (r["n_items"], r["items_sha256"]) for r in decontaminate.decontamination_report(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    sha = lambda names: hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    all_ = [f"i{k}" for k in range(1500)]
+    assert all(got[k] == (1500, sha(all_)) for k in range(600))
+    assert got[600] == (1, sha(["other"])) and got[601] == (1501, sha([*all_, "other"])) and got[602] == (1, sha(["short"]))
+    assert got[603] == got[604] == (0, sha([]))
