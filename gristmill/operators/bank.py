@@ -7,7 +7,8 @@ comes to the driver grows with the number of columns, never with that of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.correlate import both_ways, pairs, rank_pairs
 from gristmill.operators.exact import medians, quantiles
-from gristmill.operators.impute import LEAST, MAX_LEVERAGE, Linear, moments, square, together
+from gristmill.operators.impute import LEAST, MAX_LEVERAGE, Linear, square, together
+from gristmill.operators.latent import summed
+from gristmill.tables import stored
 
 #: Predictors of a model at most, and the share by which another one must lower the squared error.
 CAP, GAIN = 8, 0.001
@@ -29,34 +32,91 @@ def needed(k: int) -> int:
     return max(LEAST, 5 * (k + 1))
 
 
+class Wide:
+    """The columns of a frame as one array a row (nan where missing), stored for all passes of a fit."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.at = {c: i for i, c in enumerate(columns)}
+        self.rows = stored(df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns]).alias("x")), "bank-rows")
+
+    def sums(self, add: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        return summed(self.rows, ["x"], lambda f: add(np.array([list(v) for v in f["x"]], np.float64)), size) if size else np.zeros(0)
+
+    def numbers(self, columns: Sequence[str]) -> list[int]:
+        return [self.at[c] for c in columns]
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of (1, x, y) with themselves, over rows without gaps."""
+    whole = ~(np.isnan(x).any(1) | np.isnan(y))
+    one = np.c_[np.ones(whole.sum()), x[whole], y[whole]]
+    return (one.T @ one).ravel()
+
+
+def models_of(wide: Wide, asks: Sequence[tuple[str, Sequence[str]]]) -> list[tuple[Linear, float] | None]:
+    """For each target and set of predictors the ridge and its leave-one-out squared error; None where rows are too few
+    or one row decides alone. Two passes, however many there are."""
+    at = [(wide.at[t], wide.numbers(p)) for t, p in asks]
+    ends = np.cumsum([(len(p) + 2) ** 2 for _, p in at])
+    sums = np.split(wide.sums(lambda x: np.concatenate([products(x[:, p], x[:, t]) for t, p in at]), int(ends[-1]) if len(at) else 0), ends[:-1]) if at else []
+    models = []
+    for (_, p), part in zip(asks, sums, strict=True):
+        m = part.reshape(len(p) + 2, -1)
+        models.append(Linear(p, m) if m[0, 0] >= needed(len(p)) else None)
+
+    def left_out(x: np.ndarray) -> np.ndarray:
+        out = []
+        for (t, p), m in zip(at, models, strict=True):
+            if m is None:
+                out.append(np.zeros(3))
+                continue
+            v, y = x[:, p], x[:, t]
+            whole = ~(np.isnan(v).any(1) | np.isnan(y))
+            z = (v[whole] - m.mean) / m.sd
+            h = np.einsum("ij,jk,ik->i", z, m.inverse, z) + 1 / m.n
+            e = (y[whole] - m.level - z @ m.beta) / (1 - h)
+            out.append(np.array([(e * e).sum(), len(e), (h > MAX_LEVERAGE).sum()]))
+        return np.concatenate(out)
+
+    seen = wide.sums(left_out, 3 * len(at)).reshape(-1, 3)
+    return [(m, float(e / n)) if m and not bad else None for m, (e, n, bad) in zip(models, seen, strict=True)]
+
+
 def linear_models(df: DataFrame, target: str, sets: Sequence[Sequence[str]]) -> list[tuple[Linear, float] | None]:
-    """For each set of predictors its ridge and leave-one-out squared error; None where rows are too few or one row
-    decides alone. Two aggregations for all sets."""
-    if not sets:
-        return []
-    sums = df.agg(*[moments(df, target, p).alias(f"m{i}") for i, p in enumerate(sets)]).first()
-    models = [Linear(p, m) if (m := square(sums[f"m{i}"]))[0, 0] >= needed(len(p)) else None for i, p in enumerate(sets)]
-    checks = []
-    for i, model in enumerate(models):
-        if model:
-            whole, h = together([*model.predictors, target]), model.leverage()
-            e = (F.col(target) - model.predicted()) / (1 - h)
-            checks += [F.avg(F.when(whole, e * e)).alias(f"e{i}"), F.max(F.when(whole, h)).alias(f"h{i}")]
-    seen = df.agg(*checks).first() if checks else {}
-    return [(m, seen[f"e{i}"]) if m and seen[f"h{i}"] <= MAX_LEVERAGE else None for i, m in enumerate(models)]
+    """``models_of`` one target."""
+    return models_of(Wide(df, list(dict.fromkeys([target, *(c for p in sets for c in p)]))), [(target, p) for p in sets]) if sets else []
+
+
+def forwards(wide: Wide, candidates: dict[str, Sequence[str]], cap: int = CAP) -> dict[str, list[tuple[list[str], Linear, float]]]:
+    """For each target the beginnings of its forward order, each with its model and error: the predictor that lowers
+    the leave-one-out error most comes next, until none lowers it by GAIN. All targets take a step together, so that
+    the number of passes is that of the steps."""
+    found: dict[str, list[tuple[list[str], Linear, float]]] = {t: [] for t in candidates}
+    open_ = list(candidates)
+    for _ in range(cap):
+        asks = []
+        for t in open_:
+            now = found[t][-1][0] if found[t] else []
+            asks += [(t, [*now, c]) for c in candidates[t] if c not in now and c != t]
+        got: dict[str, list] = {t: [] for t in open_}
+        for (t, p), m in zip(asks, models_of(wide, asks), strict=True):
+            if m:
+                got[t].append((m[1], p[-1], p, m[0]))
+        open_ = []
+        for t, own in got.items():
+            best = min(own, key=lambda v: v[:2]) if own else None
+            if best and best[0] <= (found[t][-1][2] if found[t] else math.inf) * (1 - GAIN):
+                found[t].append((best[2], best[3], best[0]))
+                open_.append(t)
+        if not open_:
+            break
+    return found
 
 
 def forward(df: DataFrame, target: str, candidates: Sequence[str], cap: int = CAP) -> list[str]:
-    """Predictors in the order in which each lowers the leave-one-out error most, until none does by GAIN."""
-    chosen: list[str] = []
-    best = math.inf
-    while len(chosen) < cap and (rest := [c for c in candidates if c not in chosen and c != target]):
-        got = [(m[1], c) for c, m in zip(rest, linear_models(df, target, [[*chosen, c] for c in rest]), strict=True) if m]
-        if not got or min(got)[0] > best * (1 - GAIN):
-            break
-        best, c = min(got)
-        chosen.append(c)
-    return chosen
+    """The forward order of one target."""
+    found = forwards(Wide(df, list(dict.fromkeys([target, *candidates]))), {target: candidates}, cap)[target]
+    return found[-1][0] if found else []
 
 
 def mrmr(df: DataFrame, target: str, candidates: Sequence[str], k: int) -> list[str]:
@@ -101,45 +161,121 @@ def kinds(df: DataFrame, columns: Sequence[str], forced: Sequence[str] = ()) ->
     return met.select("column", kind.alias("kind"), share.alias("bounded"))
 
 
-def floor_of(df: DataFrame, c: str) -> tuple[float, float] | None:
-    """(threshold, mean of the floor) of a column whose values crowd at its floor with a valley above; None for others.
+def floors(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(threshold, mean of the floor) of the columns whose values crowd at their floor with a valley above.
 
     At least 20 values, 15 % of them in the bottom quarter of the range and 10 above it; of the places at 10 to 40 %
     of the sorted values that have 15 % below them the widest step must be 5 % of the range; then the floor has 5
-    values and the rest 10. Steps come from exact percentiles.
+    values and the rest 10. Steps come from exact percentiles, of all columns together.
     """
-    r = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    n = r["n"]
-    if n < 20 or r["hi"] - r["lo"] < 1e-8:
-        return None
-    width = r["hi"] - r["lo"]
-    quarter = df.agg(F.count_if(F.col(c) <= r["lo"] + 0.25 * width)).first()[0]
-    if quarter < 0.15 * n or n - quarter < 10:
-        return None
-    places = [k for k in (int(p / 100 * n) for p in range(10, 45, 5)) if 0 < k < n - 10 and k / n >= 0.15]
-    if not places:
-        return None
-    at = quantiles(df, {c: [x / (n - 1) for k in places for x in (k - 1, k)]})[c]
-    step, threshold = max((at[2 * i + 1] - at[2 * i], -i, at[2 * i + 1]) for i in range(len(places)))[::2]
-    if step < 0.05 * width:
-        return None
-    low = df.where(F.col(c) <= threshold).agg(F.count(c).alias("n"), F.avg(c).alias("m")).first()
-    return (threshold, low["m"]) if low["n"] >= 5 and n - low["n"] >= 10 else None
+    if not columns:
+        return {}
+    name = lambda n, c: f"{n}__{c}"
+    r = df.agg(*[f(c).alias(name(n, c)) for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    wide = {c: r[name("hi", c)] - r[name("lo", c)] for c in columns if r[name("n", c)] >= 20}
+    wide = {c: w for c, w in wide.items() if w >= 1e-8}
+    if not wide:
+        return {}
+    low = df.agg(*[F.count_if(F.col(c) <= r[name("lo", c)] + 0.25 * w).alias(c) for c, w in wide.items()]).first()
+    places = {}
+    for c in wide:
+        n = r[name("n", c)]
+        if low[c] >= 0.15 * n and n - low[c] >= 10:
+            places[c] = [k for k in (int(p / 100 * n) for p in range(10, 45, 5)) if 0 < k < n - 10 and k / n >= 0.15]
+    at = quantiles(df, {c: [x / (r[name("n", c)] - 1) for k in own for x in (k - 1, k)] for c, own in places.items() if own})
+    cuts = {}
+    for c, v in at.items():
+        step, threshold = max((v[2 * i + 1] - v[2 * i], -i, v[2 * i + 1]) for i in range(len(places[c])))[::2]
+        if step >= 0.05 * wide[c]:
+            cuts[c] = threshold
+    if not cuts:
+        return {}
+    seen = df.agg(*[x.alias(name(k, c)) for c, t in cuts.items() for k, x in (("n", F.count_if(F.col(c) <= t)), ("m", F.avg(F.when(F.col(c) <= t, F.col(c)))))]).first()
+    return {c: (t, seen[name("m", c)]) for c, t in cuts.items() if seen[name("n", c)] >= 5 and r[name("n", c)] - seen[name("n", c)] >= 10}
+
+
+def floor_of(df: DataFrame, c: str) -> tuple[float, float] | None:
+    return floors(df, [c]).get(c)
+
+
+class Gate:
+    """A fitted logistic regression with balanced classes and a ridge."""
+
+    def __init__(self, predictors: Sequence[str], n: float, positive: float, mean: np.ndarray, sd: np.ndarray):
+        self.predictors, self.n, self.positive, self.mean, self.sd = list(predictors), n, positive, mean, sd
+        self.beta = np.zeros(len(predictors) + 1)
+
+    def chance(self) -> Column:
+        z = F.lit(float(self.beta[0]))
+        for c, m, s, b in zip(self.predictors, self.mean, self.sd, self.beta[1:], strict=True):
+            z = z + (F.col(c) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(b))
+        return 1 / (1 + F.exp(-z))
+
+
+def gates(wide: Wide, asks: Sequence[tuple[Sequence[str], str, Callable[[np.ndarray], np.ndarray]]], ridge: float = 1.0, rounds: int = 15) -> list[Gate]:
+    """Gates of (predictors, target, what makes its values a label), all by the same Newton rounds: one pass a round."""
+    at = [(wide.numbers(p), wide.at[t], label) for p, t, label in asks]
+
+    def rows(x: np.ndarray, p: list[int], t: int, label: Callable) -> tuple[np.ndarray, np.ndarray]:
+        whole = ~(np.isnan(x[:, p]).any(1) | np.isnan(x[:, t]))
+        return x[whole][:, p], label(x[whole, t]).astype(np.float64)
+
+    def measure(x: np.ndarray) -> np.ndarray:
+        out = []
+        for p, t, label in at:
+            v, y = rows(x, p, t, label)
+            out += [[len(y), y.sum()], v.sum(0), (v * v).sum(0)]
+        return np.concatenate(out)
+
+    ends = np.cumsum([2 + 2 * len(p) for p, _, _ in at])
+    out = []
+    for (p, _, _), s in zip(asks, np.split(wide.sums(measure, int(ends[-1]) if len(at) else 0), ends[:-1]) if at else [], strict=True):
+        n, k = max(s[0], 1), len(p)
+        mean = s[2 : 2 + k] / n
+        sd = np.sqrt(np.maximum(s[2 + k :] / n - mean**2, 0))
+        out.append(Gate(p, s[0], s[1], mean, np.where(sd > 0, sd, 1.0)))
+    open_ = [i for i, g in enumerate(out) if 0 < g.positive < g.n]
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = list(open_)
+
+        def slopes(x: np.ndarray, now=now) -> np.ndarray:
+            parts = []
+            for i in now:
+                g = out[i]
+                v, y = rows(x, *at[i])
+                one = np.c_[np.ones(len(v)), (v - g.mean) / g.sd]
+                chance = 1 / (1 + np.exp(-np.clip(one @ g.beta, -700, 700)))
+                w = np.where(y > 0, g.n / (2 * g.positive), g.n / (2 * (g.n - g.positive)))
+                parts += [one.T @ (w * (y - chance)), ((one * (w * chance * (1 - chance))[:, None]).T @ one).ravel()]
+            return np.concatenate(parts)
+
+        sizes = [len(out[i].beta) for i in now]
+        ends = np.cumsum([k + k * k for k in sizes])
+        open_ = []
+        for i, k, s in zip(now, sizes, np.split(wide.sums(slopes, int(ends[-1])), ends[:-1]), strict=True):
+            keep = np.diag([0.0] + [ridge] * (k - 1))
+            step = np.linalg.solve(s[k:].reshape(k, k) + keep + 1e-9 * np.eye(k), s[:k] - keep @ out[i].beta)
+            out[i].beta = out[i].beta + step
+            if np.abs(step).max() >= 1e-8:
+                open_.append(i)
+    return out
 
 
+@dataclass
 class Bounded:
     """A ridge on the logit scale between the column's own bounds; its error is taken in original units."""
 
-    def __init__(self, df: DataFrame, target: str, predictors: Sequence[str]):
-        r = df.agg(F.count(target).alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi")).first()
-        self.low, self.width = float(r["lo"]), float(r["hi"] - r["lo"]) or 1.0
-        edge = max(1e-3, 0.5 / (r["n"] + 1))
-        share = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), (F.col(target) - self.low) / self.width))
-        own = df.withColumn("__z", F.ln(share / (1 - share)))
-        self.model = Linear(predictors, square(own.agg(moments(own, "__z", predictors).alias("m")).first()["m"]))
-        z = F.col("__z") - (F.col("__z") - self.model.predicted()) / (1 - self.model.leverage())
-        e = F.when(together([*predictors, target]), F.col(target) - self._back(z))
-        self.sigma2 = own.agg(F.avg(e * e)).first()[0]
+    target: str
+    model: Linear
+    low: float
+    width: float
+    edge: float
+
+    def logit(self) -> Column:
+        share = F.greatest(F.lit(self.edge), F.least(F.lit(1 - self.edge), (F.col(self.target) - self.low) / self.width))
+        return F.ln(share / (1 - share))
 
     def _back(self, z: Column) -> Column:
         return self.low + self.width / (1 + F.exp(-z))
@@ -147,88 +283,120 @@ class Bounded:
     def predicted(self) -> Column:
         return self._back(self.model.predicted())
 
-
-class Gate:
-    """Logistic regression with balanced classes and a ridge: Newton steps whose sums one aggregation each gives."""
-
-    def __init__(self, df: DataFrame, label: Column, predictors: Sequence[str], ridge: float = 1.0, rounds: int = 15):
-        whole = together(predictors) & label.isNotNull()
-        own = df.where(whole).select(label.cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in predictors])
-        r = own.agg(F.count("*").alias("n"), F.sum("__y").alias("p"), *[x.alias(f"{k}{i}") for i, c in enumerate(predictors) for k, x in (("m", F.avg(c)), ("s", F.stddev_pop(c)))]).first()
-        self.n, self.positive = r["n"], r["p"] or 0.0
-        self.predictors = list(predictors)
-        self.mean, self.sd = [r[f"m{i}"] for i in range(len(predictors))], [r[f"s{i}"] or 1.0 for i in range(len(predictors))]
-        self.beta = np.zeros(len(predictors) + 1)
-        if not 0 < self.positive < self.n:
-            return
-        weight = F.when(F.col("__y") > 0, self.n / (2 * self.positive)).otherwise(self.n / (2 * (self.n - self.positive)))
-        k = len(self.beta)
-        for _ in range(rounds):
-            x, p = self._terms(), self.chance()
-            g = [F.sum(weight * (F.col("__y") - p) * x[i]) for i in range(k)]
-            h = [F.sum(weight * p * (1 - p) * x[i] * x[j]) for i in range(k) for j in range(i + 1)]
-            sums = own.agg(F.array(*g).alias("g"), F.array(*h).alias("h")).first()
-            keep = np.diag([0.0] + [ridge] * (k - 1))
-            step = np.linalg.solve(square(sums["h"]) + keep + 1e-9 * np.eye(k), np.array(sums["g"]) - keep @ self.beta)
-            self.beta = self.beta + step
-            if np.abs(step).max() < 1e-8:
-                break
-
-    def _terms(self) -> list[Column]:
-        return [F.lit(1.0), *[(F.col(c) - m) / s for c, m, s in zip(self.predictors, self.mean, self.sd, strict=True)]]
-
-    def chance(self) -> Column:
-        z = sum((x * float(b) for x, b in zip(self._terms(), self.beta, strict=True)), F.lit(0.0))
-        return 1 / (1 + F.exp(-z))
+    def squared(self) -> Column:
+        """The squared error with the row itself left out."""
+        z = self.logit()
+        e = F.col(self.target) - self._back(z - (z - self.model.predicted()) / (1 - self.model.leverage()))
+        return e * e
 
 
+@dataclass
 class Hurdle:
     """A gate into the part above the floor times a ridge on that part; E = p * above + (1 - p) * floor."""
 
-    def __init__(self, df: DataFrame, target: str, predictors: Sequence[str], threshold: float, floor: float):
-        above = F.col(target) > threshold
-        self.gate, self.floor = Gate(df, F.when(F.col(target).isNotNull(), above), predictors), floor
-        self.model = Linear(predictors, square(df.where(above).agg(moments(df, target, predictors).alias("m")).first()["m"]))
-        e = F.when(together([*predictors, target]), F.col(target) - self.predicted())
-        self.sigma2 = df.agg(F.avg(e * e)).first()[0]
+    target: str
+    model: Linear
+    gate: Gate
+    floor: float
 
     def predicted(self) -> Column:
         p = self.gate.chance()
         return p * self.model.predicted() + (1 - p) * self.floor
 
+    def squared(self) -> Column:
+        e = F.col(self.target) - self.predicted()
+        return e * e
 
-class Binary:
-    """The likelier of two values; the variance is the chance's p (1 - p) on the values' own scale."""
 
-    def __init__(self, df: DataFrame, target: str, predictors: Sequence[str], values: Sequence[float]):
-        self.low, self.high = values
-        self.gate = Gate(df, F.when(F.col(target).isNotNull(), F.col(target) == self.high), predictors)
-        p = self.gate.chance()
-        self.sigma2 = df.agg(F.avg(F.when(together([*predictors, target]), p * (1 - p)))).first()[0] * (self.high - self.low) ** 2
+@dataclass
+class Classes:
+    """The likeliest of a few values, each against the rest (of two values one gate tells both); the variance is what
+    the chances, made to add up to 1, leave around their mean on the values' own scale."""
+
+    target: str
+    values: list[float]
+    gates: list[Gate]
+
+    def chances(self) -> list[Column]:
+        if len(self.values) == 2:
+            p = self.gates[0].chance()
+            return [1 - p, p]
+        each = [g.chance() for g in self.gates]
+        total = sum(each, F.lit(0.0))
+        return [p / total for p in each]
 
     def predicted(self) -> Column:
-        return F.when(self.gate.chance() >= 0.5, F.lit(float(self.high))).otherwise(F.lit(float(self.low)))
-
-
-def model_for(df: DataFrame, target: str, predictors: Sequence[str], kind: str, bounded: bool) -> tuple[object, float, str] | None:
-    """The model that a column's kind asks for, its squared error and name; None if no model can be fitted."""
-    base = linear_models(df, target, [predictors])[0]
-    if base is None:
-        return None
-    if kind == "CATEGORICAL":
-        values = [r[0] for r in df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("double")).count().orderBy(F.col(target).cast("double")).limit(3).collect()]
-        if len(values) == 2:
-            m = Binary(df, target, predictors, values)
-            return m, m.sigma2, "binary"
-    if at := floor_of(df, target):
-        m = Hurdle(df, target, predictors, *at)
-        if m.model.n >= needed(len(predictors)):
-            return m, m.sigma2, "hurdle"
-    if bounded:
-        m = Bounded(df, target, predictors)
-        if m.sigma2 < base[1]:
-            return m, m.sigma2, "bounded"
-    return base[0], base[1], "linear"
+        pairs_ = F.array(*[F.struct(p.alias("p"), F.lit(float(v)).alias("v")) for p, v in zip(self.chances(), self.values, strict=True)])
+        return F.array_max(pairs_)["v"]
+
+    def squared(self) -> Column:
+        p = self.chances()
+        mean = sum((c * float(v) for c, v in zip(p, self.values, strict=True)), F.lit(0.0))
+        return sum((c * float(v) * float(v) for c, v in zip(p, self.values, strict=True)), F.lit(0.0)) - mean * mean
+
+
+#: Values of a column that a model of classes tells apart at most.
+MOST_CLASSES = 10
+
+
+def bank_of(df: DataFrame, columns: Sequence[str], kind: dict[str, str], bounded: dict[str, bool], cap: int = CAP) -> dict[str, list[tuple[list[str], object, float, str]]]:
+    """For each column the beginnings of its forward order, the longest first, with the model that its kind asks for:
+    (predictors, model, squared error, name). Passes grow with ``cap``, not with the number of columns."""
+    wide = Wide(df, columns)
+    orders = forwards(wide, {c: [o for o in columns if o != c] for c in columns}, cap)
+    asked = [c for c in columns if orders[c]]
+    low = floors(df, asked)
+    name = lambda n, c: f"{n}__{c}"
+    facts = [x.alias(name(k, c)) for c in asked for k, x in (("n", F.count(c)), ("lo", F.min(F.col(c).cast("double"))), ("hi", F.max(F.col(c).cast("double"))))]
+    few = [c for c in asked if kind[c] == "CATEGORICAL"]
+    # a set that holds one value too many is as good as a larger one
+    r = df.agg(*facts, *[F.slice(F.sort_array(F.collect_set(F.col(c).cast("double"))), 1, MOST_CLASSES + 1).alias(name("v", c)) for c in few]).first() if asked else None
+    values = {c: list(r[name("v", c)]) for c in few if 2 <= len(r[name("v", c)]) <= MOST_CLASSES}
+    gate_asks, owners = [], []
+    for c in asked:
+        for p, _, _ in orders[c]:
+            if c in values:
+                picked = values[c][1:] if len(values[c]) == 2 else values[c]
+                for v in picked:
+                    gate_asks.append((p, c, lambda t, v=v: t == v))
+                    owners.append((c, len(p), "classes"))
+            elif c in low:
+                gate_asks.append((p, c, lambda t, v=low[c][0]: t > v))
+                owners.append((c, len(p), "hurdle"))
+    fitted: dict[tuple, list[Gate]] = {}
+    for key, g in zip(owners, gates(wide, gate_asks), strict=True):
+        fitted.setdefault(key, []).append(g)
+    made: list[tuple[str, list[str], object, str]] = []
+    for c in asked:
+        for p, _, _ in orders[c]:
+            if c in values:
+                made.append((c, p, Classes(c, values[c], fitted[c, len(p), "classes"]), "binary" if len(values[c]) == 2 else "classes"))
+    rest = [(c, p) for c in asked if c not in values for p, _, _ in orders[c]]
+    shells = {c: Bounded(c, None, float(r[name("lo", c)]), float(r[name("hi", c)] - r[name("lo", c)]) or 1.0, max(1e-3, 0.5 / (r[name("n", c)] + 1))) for c in asked}
+    above = {c: (lambda t, v=low[c][0]: np.where(t > v, t, np.nan)) for c in low}
+    link = {c: (lambda t, b=shells[c]: _logits(t, b)) for c in asked if bounded[c]}
+    seconds = [(c, p, n, f[c]) for n, f in (("hurdle", above), ("bounded", link)) for c, p in rest if c in f]
+    ends = np.cumsum([(len(p) + 2) ** 2 for _, p, _, _ in seconds])
+    at = [(wide.numbers(p), wide.at[c], f) for c, p, _, f in seconds]
+    sums = np.split(wide.sums(lambda x: np.concatenate([products(x[:, p], f(x[:, t])) for p, t, f in at]), int(ends[-1])), ends[:-1]) if seconds else []
+    for (c, p, n, _), part in zip(seconds, sums, strict=True):
+        m = part.reshape(len(p) + 2, -1)
+        if n == "hurdle" and m[0, 0] >= needed(len(p)):
+            made.append((c, p, Hurdle(c, Linear(p, m), fitted[c, len(p), "hurdle"][0], low[c][1]), n))
+        elif n == "bounded" and m[0, 0] >= 1:
+            made.append((c, p, replace(shells[c], model=Linear(p, m)), n))
+    seen = df.agg(*[F.avg(F.when(together([*p, c]), m.squared())).alias(str(i)) for i, (c, p, m, _) in enumerate(made)]).first() if made else []
+    better: dict[tuple[str, int], tuple] = {}
+    for (c, p, m, n), error in zip(made, seen, strict=True):
+        base = orders[c][len(p) - 1][2]
+        if error is not None and (n != "bounded" or (error < base and (c, len(p)) not in better)):
+            better[c, len(p)] = (m, float(error), n)
+    return {c: [(p, *better.get((c, len(p)), (m, e, "linear"))) for p, m, e in reversed(orders[c])] for c in columns}
+
+
+def _logits(t: np.ndarray, b: Bounded) -> np.ndarray:
+    share = np.clip((t - b.low) / b.width, b.edge, 1 - b.edge)
+    return np.log(share / (1 - share))
 
 
 def filled(df: DataFrame, key: str, columns: Sequence[str], cap: int = 3) -> DataFrame:
@@ -241,12 +409,11 @@ def filled(df: DataFrame, key: str, columns: Sequence[str], cap: int = 3) -> Dat
     """
     told = {r["column"]: r for r in kinds(df, columns).collect()}  # a row a column
     middle, spread = medians(df, columns), df.agg(*[F.variance(c).alias(c) for c in columns]).first()
-    chosen, first = {}, {}
+    chosen = bank_of(df, columns, {c: told[c]["kind"] for c in columns}, {c: bool(told[c]["bounded"]) for c in columns}, cap)
+    first = {}
     for c in columns:
-        order = forward(df, c, columns, cap)
-        chosen[c] = [(order[:k], m) for k in range(len(order), 0, -1) if (m := model_for(df, c, order[:k], told[c]["kind"], bool(told[c]["bounded"])))]
         value, sigma2, origin = F.lit(middle[c]).cast("double"), F.lit(spread[c]).cast("double"), F.lit("median")
-        for p, (model, error, name) in reversed(chosen[c]):
+        for p, model, error, name in reversed(chosen[c]):
             usable = together(p)
             value, sigma2, origin = F.when(usable, model.predicted()).otherwise(value), F.when(usable, F.lit(float(error))).otherwise(sigma2), F.when(usable, f"{name}:{'+'.join(p)}").otherwise(origin)
         there = F.col(c).isNotNull()
@@ -256,7 +423,7 @@ def filled(df: DataFrame, key: str, columns: Sequence[str], cap: int = 3) -> Dat
     cells = []
     for c in columns:
         value, sigma2, origin = F.col(c), F.col(f"{c}__s2"), F.col(f"{c}__from")
-        for p, (model, error, name) in chosen[c]:
+        for p, model, error, name in chosen[c]:
             if name != "linear":
                 continue
             for i, x in enumerate(p):

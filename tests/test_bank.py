@@ -75,22 +75,47 @@ def test_floors(spark):
         assert (got is None) == (want is None) and (got is None or np.allclose(got, want))
 
 
-def test_bounded_gate_and_hurdle_models(spark, matrix):
-    df = frame(spark, matrix, "abcde").cache()
-    m = bank.Bounded(df, "e", ["a"])
-    fit = np.array([x[0] for x in df.orderBy("k").select(m.predicted()).collect()])
-    assert (fit >= matrix[:, 4].min()).all() and (fit <= matrix[:, 4].max()).all() and m.sigma2 < 60
-    gate = bank.Gate(df, df["d"] > 0, ["a", "b"])
-    y, z = (matrix[:, 3] > 0).astype(float), (matrix[:, :2] - matrix[:, :2].mean(0)) / matrix[:, :2].std(0)
-    x, w = np.hstack([np.ones((160, 1)), z]), np.where(y > 0, 160 / (2 * y.sum()), 160 / (2 * (160 - y.sum())))
-    p = 1 / (1 + np.exp(-x @ gate.beta))
-    slope = x.T @ (w * (y - p)) - np.array([0, 1, 1]) * gate.beta
-    assert np.abs(slope).max() < 1e-5
-    floor = np.where(matrix[:, 0] > 0, 5 + matrix[:, 0], 0.0)
-    own = frame(spark, np.column_stack([matrix[:, 0], floor]), "ay")
-    h = bank.Hurdle(own, "y", ["a"], 0.0, 0.0)
-    got = np.array([t[0] for t in own.orderBy("k").select(h.predicted()).collect()])
-    assert np.corrcoef(got, floor)[0, 1] > 0.9 and h.sigma2 < floor.var() / 5
+def test_gates_of_several_targets_at_once(spark, matrix):
+    wide = bank.Wide(frame(spark, matrix, "abcde"), list("abcde"))
+    got = bank.gates(wide, [(["a", "b"], "d", lambda t: t > 0), (["c"], "a", lambda t: t > 0.5), (["a"], "b", lambda t: t > 99)])
+    for gate, cols, y in zip(got, ([0, 1], [2]), (matrix[:, 3] > 0, matrix[:, 0] > 0.5), strict=False):
+        z, y = (matrix[:, cols] - matrix[:, cols].mean(0)) / matrix[:, cols].std(0), y.astype(float)
+        x, w = np.hstack([np.ones((160, 1)), z]), np.where(y > 0, 160 / (2 * y.sum()), 160 / (2 * (160 - y.sum())))
+        p = 1 / (1 + np.exp(-x @ gate.beta))
+        assert np.abs(x.T @ (w * (y - p)) - np.array([0] + [1] * len(cols)) * gate.beta).max() < 1e-5
+    assert not got[2].beta.any()
+
+
+def test_models_by_kind(spark, matrix):
+    r = np.random.default_rng(3)
+    kinds = np.digitize(matrix[:, 0], [-0.6, 0.6]).astype(float)
+    cut = np.sort(matrix[:, 0])[48]  # three tenths stand at the floor
+    x = np.column_stack([matrix[:, [0, 4]], np.where(matrix[:, 0] >= cut, 5 + matrix[:, 0], 0.0) + 0.001 * r.normal(size=160), kinds, (kinds > 0) * 7.0])
+    df = frame(spark, x, "aefgh").cache()
+    kind = dict.fromkeys("aef", "LINEAR") | {"g": "CATEGORICAL", "h": "CATEGORICAL"}
+    found = bank.bank_of(df, list("aefgh"), kind, {c: c == "e" for c in "aefgh"}, 2)
+    names = {c: {n for *_, n in own} for c, own in found.items()}
+    assert names["f"] == {"hurdle"} and names["g"] == {"classes"} and names["h"] == {"binary"} and names["a"] == {"linear"}
+    for c, j in (("f", 2), ("g", 3), ("h", 4)):
+        _, model, error, _ = found[c][0]
+        got = np.array([t[0] for t in df.orderBy("k").select(model.predicted()).collect()])
+        assert np.corrcoef(got, x[:, j])[0, 1] > 0.85 and 0 <= error < x[:, j].var()
+        assert c == "f" or set(got) <= set(x[:, j])
+    low = next((m for _, m, _, n in bank.bank_of(df.select("k", "a", "e"), ["a", "e"], kind, {"a": False, "e": True}, 1)["e"] if n == "bounded"), None)
+    fit = np.array([t[0] for t in df.orderBy("k").select(low.predicted()).collect()])
+    assert (fit >= x[:, 1].min()).all() and (fit <= x[:, 1].max()).all() and np.corrcoef(fit, x[:, 1])[0, 1] > 0.95
+
+
+def test_passes_do_not_grow_with_the_columns(spark, matrix, monkeypatch):
+    passes = []
+    run = bank.summed
+    monkeypatch.setattr(bank, "summed", lambda *a: passes.append(1) or run(*a))
+    for names in ("abc", "abcde"):
+        df = frame(spark, matrix[:, : len(names)], names)
+        bank.bank_of(df, list(names), dict.fromkeys(names, "LINEAR"), dict.fromkeys(names, False), 2)
+        passes.append(0)
+    at = passes.index(0)
+    assert sum(passes[:at]) == sum(passes[at:]) == 4
 
 
 def test_gaps_are_filled_in_two_passes(spark, matrix):
