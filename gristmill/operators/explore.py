@@ -57,9 +57,9 @@ def category_profiles(df: DataFrame, key: str, categories: Mapping[str, Sequence
     return raw.select(key, *scaled)
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """(query, key, distance, place): each query's k nearest rows by Euclidean distance, itself left out."""
-    return MetricIndex(rows, key, vector).nearest(queries, key, vector, k)[0]
+    return MetricIndex(rows, key, vector, block=block).nearest(queries, key, vector, k)[0]
 
 
 def hulls(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -37,10 +37,11 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class MetricIndex:
-    """``rows``: one row a key, with vectors of one length and no nulls. The rows are stored, dealt to partitions."""
+    """``rows``: one row a key, with vectors of one length and no nulls. The rows are stored, dealt to partitions.
+    ``block``: queries that meet a block of rows in one task."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, pivots: int | None = None):
-        self.key, self.kind = key, rows.schema[key].dataType.simpleString()
+    def __init__(self, rows: DataFrame, key: str, vector: str, pivots: int | None = None, block: int | None = None):
+        self.key, self.kind, self.block = key, rows.schema[key].dataType.simpleString(), block or QUERIES
         own = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
         n = own.count()
         p = pivots or int(np.clip((n / 64) ** 0.5, 1, PIVOTS))
@@ -104,7 +105,7 @@ class MetricIndex:
     def _search(self, visits: DataFrame, k: int) -> DataFrame:
         """(query, key, distance): from (query, at, part), the k nearest rows of each block."""
         asked = visits.groupBy("part").agg(F.count("*").alias("asked"))
-        cuts = asked.select("part", F.ceil(F.col("asked") / QUERIES).cast("int").alias("qs"), F.ceil(F.get(F.array(*[F.lit(int(v)) for v in self.n]), F.col("part")) / ROWS).cast("int").alias("rs"))
+        cuts = asked.select("part", F.ceil(F.col("asked") / self.block).cast("int").alias("qs"), F.ceil(F.get(F.array(*[F.lit(int(v)) for v in self.n]), F.col("part")) / ROWS).cast("int").alias("rs"))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         cuts = F.broadcast(cuts)  # PIVOTS rows at most
