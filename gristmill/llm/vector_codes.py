@@ -93,10 +93,7 @@ class Codebook:
         known = np.full(n, np.inf)
         for cuts, marks in zip(self.levels, self.marks, strict=True):
             own = self.features(rows, cuts)
-            if len(marks[0]) == 2:
-                bound = ((own[:, None, 0] - marks[None, :, 0]) ** 2 + (own[:, None, 1] - marks[None, :, 1]) ** 2).ravel()
-            else:
-                bound = ((own[i] - marks[j]) ** 2).sum(1)
+            bound = ((own**2).sum(1)[:, None] + (marks**2).sum(1) - 2 * own @ marks.T)[i, j]
             first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
             least = np.repeat(np.minimum.reduceat(bound, first), np.diff(np.r_[first, len(i)]))
             best = np.flatnonzero(bound == least)
