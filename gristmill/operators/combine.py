@@ -80,3 +80,17 @@ def frontier(df: DataFrame, cost: str, score: str, ranges: int = 64) -> DataFram
     seen = F.greatest(F.col("__inside"), F.col("__earlier"))
     front = ranged.withColumn("__inside", inside).join(F.broadcast(earlier), "__range").where(seen.isNull() | (F.col("__best") > seen))
     return df.join(front.select(cost, F.col("__best").alias(score)), [cost, score], "left_semi")
+
+
+def by_name(roster: DataFrame, name: str, wanted: list[str]) -> DataFrame:
+    """The roster's rows whose trimmed name is one of the wanted, with ``place``, the name's place among those. A wanted
+    name (trimmed too) that the roster lacks is an error that says which; of a name's rows all are there."""
+    order: dict[str, int] = {}
+    for k, w in enumerate(wanted):
+        order.setdefault(w.strip(), k + 1)
+    own = roster.withColumn("__name", F.trim(F.col(name))).where(F.col("__name").isin(list(order)))
+    there = {r[0] for r in own.select("__name").distinct().collect()}  # no more than are wanted
+    if missing := [w for w in order if w not in there]:
+        raise ValueError(f"not on the roster: {', '.join(missing)}")
+    places = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]) if order else F.lit(None)
+    return own.withColumn("place", places[F.col("__name")].cast("long") if order else F.lit(None).cast("long")).drop("__name")

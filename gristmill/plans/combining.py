@@ -159,6 +159,20 @@ def overlap_work(spark: SparkSession, d: str) -> DataFrame:
     return overlap.work(user_items(spark, d), "user_id", "item", 5)
 
 
+JUDGES = ("BUILDING", " AUTOMOBILE", "MACHINERY ")
+
+
+@queries.add(
+    "roster_lookup",
+    """SELECT c_custkey, c_mktsegment AS judge, CASE trim(c_mktsegment) WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END::BIGINT AS place FROM customer
+WHERE trim(c_mktsegment) IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')""",
+)
+def roster_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the roster by trimmed names, in the order asked for; a name that is not there is an error."""
+    roster = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("judge"))
+    return C.by_name(roster, "judge", list(JUDGES))
+
+
 @queries.add("work_list", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON n_regionkey = c_custkey % 5 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 25 = n_nationkey)")
 def work_list(spark: SparkSession, d: str) -> DataFrame:
     """Combinations that are still to do: candidates without the completed ones."""

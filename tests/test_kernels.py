@@ -166,3 +166,12 @@ def test_ranks_of_ties_and_nulls_within_groups(spark):
         own = [b for _, a, b in rows if a == g]
         assert got[k] == sum(b < v for b in own) + (sum(b == v for b in own) + 1) / 2
     assert average_ranks(spark.createDataFrame([(1, 1, None), (2, 1, 5.0)], "k long, g int, v double"), ["v"], ["g"]).count() == 2
+
+
+def test_names_that_the_roster_lacks_are_told(spark):
+    roster = spark.createDataFrame([(" a ", 1), ("b", 2), ("b ", 3), ("c", 4)], "judge string, v int")
+    got = combine.by_name(roster, "judge", ["b", "a "]).orderBy("place", "v").collect()
+    assert [(r["v"], r["place"]) for r in got] == [(2, 1), (3, 1), (1, 2)]
+    assert combine.by_name(roster, "judge", []).count() == 0
+    with pytest.raises(ValueError, match="x, y"):
+        combine.by_name(roster, "judge", ["x", "a", "y"])
