@@ -10,11 +10,13 @@ the border), and only the words with a failing pair are merged by rank.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cached_property, lru_cache
 from itertools import chain, islice
 
@@ -87,7 +89,7 @@ class Vocabulary:
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self._build_trie(self._whole())
         self.names = [str(k) for k in range(n)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple] = {}
         self.cut_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def _whole(self) -> np.ndarray:
@@ -274,32 +276,41 @@ class Vocabulary:
         while some := list(islice(each, CHUNK)):
             yield some
 
-    def encoded(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
-        """(number of the text, ids) in order; a long text comes in several pieces."""
+    def looked_up(self, texts: Iterable[str]) -> Iterator[tuple[int, list[tuple]]]:
+        """(number of the text, its words) in order, each word as (ids, number of ids, decimal ids joined by commas,
+        bytes that the ids decode to); a long text comes in several pieces."""
         held, n = [], 0
         for k, text in enumerate(texts):
             for some in self.words(text):
                 held.append((k, some))
                 n += len(some)
                 if n >= CHUNK:
-                    yield from self._known_ids(held)
+                    yield from self._known_words(held)
                     held, n = [], 0
-        yield from self._known_ids(held)
+        yield from self._known_words(held)
 
-    def _known_ids(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[int]]]:
+    def _known_words(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[tuple]]]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for t, k in self.special.items():
-            known[t] = (k,)
+            known[t] = self._told((k,))
         fresh = list(set().union(*[words for _, words in held]).difference(known))
-        known.update(zip(fresh, self.words_to_ids(fresh), strict=True))
+        known.update(zip(fresh, map(self._told, self.words_to_ids(fresh)), strict=True))
         for k, words in held:
-            yield k, list(chain.from_iterable(map(known.__getitem__, words)))
+            yield k, list(map(known.__getitem__, words))
         for w in fresh:
             if len(w) > SHORT:
                 del known[w]
 
+    def _told(self, ids: tuple[int, ...]) -> tuple:
+        return ids, len(ids), ",".join([self.names[i] for i in ids]), self.raw(ids)
+
+    def encoded(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+        """(number of the text, ids) in order; a long text comes in several pieces."""
+        for k, words in self.looked_up(texts):
+            yield k, list(chain.from_iterable([w[0] for w in words]))
+
     def encode(self, text: str) -> list[int]:
         return [i for _, ids in self.encoded([text]) for i in ids]
 
@@ -329,6 +340,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@contextmanager
+def few_collections() -> Iterator[None]:
+    """Collects garbage less often: what words are told by are many small tuples without cycles."""
+    usual = gc.get_threshold()
+    gc.set_threshold(500_000, 20, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*usual)
+
+
 def plain(text: str | None) -> str:
     return text if isinstance(text, str) else ""
 
@@ -370,18 +392,18 @@ def bpe_report(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(tokenizer)
-        names = words.names
-        for frame in frames:
-            n = [0] * len(frame)
-            ids, text = [hashlib.sha256() for _ in n], [hashlib.sha256() for _ in n]
-            decoders = {}
-            for k, some in words.encoded(map(plain, frame["text"])):
-                ids[k].update(("," if n[k] and some else "").encode() + ",".join([names[i] for i in some]).encode())
-                n[k] += len(some)
-                text[k].update(decoders.setdefault(k, Utf8()).push(words.raw(some)))
-            for k, d in decoders.items():
-                text[k].update(d.push(b"", True))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": [h.hexdigest() for h in ids], "decoded_sha256": [h.hexdigest() for h in text]})
+        with few_collections():
+            for frame in frames:
+                n = [0] * len(frame)
+                ids, text = [hashlib.sha256() for _ in n], [hashlib.sha256() for _ in n]
+                decoders = {}
+                for k, some in words.looked_up(map(plain, frame["text"])):
+                    ids[k].update(("," if n[k] and some else "").encode() + ",".join([w[2] for w in some]).encode())
+                    n[k] += sum([w[1] for w in some])
+                    text[k].update(decoders.setdefault(k, Utf8()).push(b"".join([w[3] for w in some])))
+                for k, d in decoders.items():
+                    text[k].update(d.push(b"", True))
+                yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": [h.hexdigest() for h in ids], "decoded_sha256": [h.hexdigest() for h in text]})
 
     own = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
