@@ -71,3 +71,16 @@ def test_draws_are_poisson_counts_and_their_sums_the_table_s(spark):
     assert np.allclose(got[0], v @ bootstrap.counts(np.arange(400), 50))
     means = bootstrap.resampled(df, "k", [df["v"]], 1000)[0] / 400
     assert means.std() == pytest.approx(v.std() / 20, rel=0.15) and bootstrap.resampled(df.limit(0), "k", [df["v"]], 9).sum() == 0
+
+
+@pytest.mark.parametrize("part,copies", [(512, 1), (3, 1), (2, 7), (512, 7)])
+def test_equal_sets_meet_the_others_once(spark, monkeypatch, part, copies):
+    monkeypatch.setattr(overlap, "PART", part)
+    r = np.random.default_rng(copies)
+    kinds = [set(r.choice(12, r.integers(1, 9), replace=False).tolist()) for _ in range(20)]
+    sets = {k: kinds[k % len(kinds)] for k in range(20 * copies if copies > 1 else 27)}
+    rows = spark.createDataFrame([(k, f"i{i}") for k, s in sets.items() for i in s], "k long, item string")
+    got = [tuple(v) for v in overlap.overlapping(rows, "k", "item", 3).select("left_id", "right_id", "shared").collect()]
+    assert sorted(got) == [(a, b, len(sets[a] & sets[b])) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 3]
+    classes = overlap.classes_of(overlap.prefixes(rows, "k", "item", 3), "k")
+    assert classes.count() == len({frozenset(s) for s in kinds if len(s) >= 3})
