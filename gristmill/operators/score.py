@@ -27,6 +27,27 @@ def accuracy(correct: Column, partial: Column, total: Column) -> Column:
     return (correct + 0.5 * partial) / total
 
 
+def mean(value: str) -> Column:
+    """The mean as an aggregate whose sum is exact, so that it is the same in whatever order the rows come: decimals of
+    up to 14 digits after the point and below 10^14. Other numbers are summed up as doubles."""
+    exact = F.col(value).try_cast("decimal(28,14)")
+    as_told = F.count(value) == F.count_if(exact.cast("double") == F.col(value))
+    return F.when(as_told, F.try_divide(F.sum(exact).cast("double"), F.count(value))).otherwise(F.avg(value))
+
+
+def in_order(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by, name): the few values of each group in rising order, whose sums then do not depend on that of the rows."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def moments(values: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of an array, summed up in its order; null where there are too few values."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    n = F.size(values)
+    m = F.try_divide(total(values), n)
+    return m, F.when(n > 1, F.sqrt(total(F.transform(values, lambda v: (v - m) * (v - m))) / (n - 1)))
+
+
 def interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, deviation, count, standard error and 95 % interval of each group."""
     g = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev(value).alias("sd"), F.count(value).alias("n"))

@@ -57,7 +57,7 @@ def category_accuracy(spark: SparkSession, d: str) -> DataFrame:
 @queries.add("question_pivot", f"WITH {ANSWERS} SELECT model, " + ", ".join(f"round(coalesce(avg(value) FILTER (WHERE question = {q}), 0), 9)::DOUBLE AS q{q}" for q in range(12)) + " FROM a GROUP BY 1")
 def question_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Mean over runs by model and question as columns; absent ones are 0."""
-    wide = answers(spark, d).groupBy("model").pivot("question", list(range(12))).agg(F.avg("value")).na.fill(0)
+    wide = answers(spark, d).groupBy("model").pivot("question", list(range(12))).agg(S.mean("value")).na.fill(0)
     return wide.select("model", *[F.round(F.col(str(q)), 9).alias(f"q{q}") for q in range(12)])
 
 
@@ -67,9 +67,11 @@ def question_pivot(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, round(avg(x), 9) AS mean, round(avg(x) * 12, 8) AS combined, round(stddev(x), 9) AS sd, round(min(x), 9) AS least, round(avg((x > 50)::INT), 6) AS above, round(stddev(x) / avg(x), 9) AS variation FROM q GROUP BY 1""",
 )
 def row_statistics(spark: SparkSession, d: str) -> DataFrame:
-    q = answers(spark, d).groupBy("model", "question").agg(F.avg("value").alias("x"))
+    q = answers(spark, d).groupBy("model", "question").agg(S.mean("value").alias("v"))
     x = F.col("x")
-    return q.groupBy("model").agg(F.round(F.avg(x), 9).alias("mean"), F.round(F.avg(x) * 12, 8).alias("combined"), F.round(F.stddev(x), 9).alias("sd"), F.round(F.min(x), 9).alias("least"), F.round(F.avg((x > 50).cast("int")), 6).alias("above"), F.round(F.stddev(x) / F.avg(x), 9).alias("variation"))
+    own = S.in_order(q, ["model"], "v", "x").withColumns(dict(zip(("m", "s"), S.moments(x), strict=True)))
+    above = F.try_divide(F.size(F.filter(x, lambda v: v > 50)), F.size(x))
+    return own.select("model", F.round("m", 9).alias("mean"), F.round(F.col("m") * 12, 8).alias("combined"), F.round("s", 9).alias("sd"), F.round(F.array_min(x), 9).alias("least"), F.round(above, 6).alias("above"), F.round(F.try_divide("s", "m"), 9).alias("variation"))
 
 
 @queries.add("min_max_scale", "SELECT p_partkey, round(100 * (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 4) AS price, round(100.0 * (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()), 4)::DOUBLE AS size, 0.0::DOUBLE AS constant FROM part")
