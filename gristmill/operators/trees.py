@@ -73,6 +73,11 @@ def mixed(seed: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def grid(lists: pd.Series) -> np.ndarray:
+    """Lists of one length as the rows of an array."""
+    return np.concatenate(lists.to_numpy()).astype(np.float64).reshape(len(lists), len(lists.iloc[0]))
+
+
 #: Chances that a row is drawn at most 0, 1, 2, ... times into a sample of the table's size.
 DRAWN = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], float))
 
@@ -89,10 +94,10 @@ class Tree:
         self.column, self.cut, self.value = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
 
     def nodes(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
         for _ in range(levels if levels is not None else int(np.log2(len(self.value) + 1)) - 1):
             c = self.column[at]
-            right = x[np.arange(len(x)), np.maximum(c, 0)] > self.cut[at]
+            right = x[rows, np.maximum(c, 0)] > self.cut[at]
             at = np.where(c >= 0, 2 * at + 1 + right, at)
         return at
 
@@ -131,46 +136,57 @@ class Ensemble:
         p, bins, folds = len(data.columns), max((len(e) for e in data.edges), default=0) + 2, len(self.base) - 1
         if self.gains is None:
             self.gains = np.zeros(p)
+        cells = [F.get("x", F.lit(i)).alias(f"x{i}") for i in range(p)]
         open_ = [(k, 0) for k in range(len(new))]
-        for level in range(self.depth + 1):
+        for level in range(max(self.depth, 1)):
             slot = np.full((len(new), 2**level), -1)
             for s, (k, node) in enumerate(open_):
                 slot[k, node - (2**level - 1)] = s
-            size, last = p * bins * 3, level == self.depth
-
-            def add(f: pd.DataFrame, slot=slot, level=level, size=size, open_=open_) -> np.ndarray:
-                x, y, seed, fold = np.array(f["x"].tolist()), f["y"].to_numpy(np.float64), f["seed"].to_numpy(), f["fold"].to_numpy()
-                out, known = np.zeros((len(open_), p, bins, 3)), ~np.isnan(y)
-                x, y, seed, fold = x[known], y[known], seed[known], fold[known]
+            spans = [(int(own[own >= 0].min()), int(own.max()) + 1) if (own >= 0).any() else (0, 0) for own in slot]  # a tree's slots follow each other
+            size = p * bins * 3
+
+            def add(f: pd.DataFrame, slot=slot, level=level, size=size, spans=spans, n=len(open_)) -> np.ndarray:
+                y, seed, fold = f["y"].to_numpy(np.float64), f["seed"].to_numpy(), f["fold"].to_numpy()
+                out, known = np.zeros((n, p, bins, 3)), ~np.isnan(y)
+                x = f[[f"x{i}" for i in range(p)]].to_numpy(np.int64)[known]
+                y, seed, fold = y[known], seed[known], fold[known]
                 aims: dict[int, np.ndarray] = {}
+                weights: dict[int, np.ndarray] = {}
                 for k, (group, tree, salt) in enumerate(new):
-                    if (slot[k] < 0).all():
+                    lo, hi = spans[k]
+                    if lo == hi:
                         continue
                     if group not in aims:
                         aims[group] = aim(x, y, group)
+                    if salt not in weights:
+                        weights[salt] = weigh(seed, salt)
                     at = tree.nodes(x, level) - (2**level - 1)
-                    w = weigh(seed, salt) * ((fold != group) | (group == folds))
-                    in_ = (at >= 0) & (w > 0)
-                    s = np.where(in_, slot[k][np.maximum(at, 0)], -1)
-                    in_ = s >= 0
-                    t, w, s = aims[group][in_], w[in_], s[in_]
+                    w = weights[salt] if group == folds else weights[salt] * (fold != group)
+                    s = np.where((at >= 0) & (w > 0), slot[k][np.maximum(at, 0)], -1)
+                    in_ = np.flatnonzero(s >= 0)
+                    t, w, s, own = aims[group][in_], w[in_], (s[in_] - lo) * bins, x[in_]
+                    wt = w * t
                     for c in range(p):
-                        place = s * bins + x[in_, c]
-                        for v, what in enumerate((w, w * t, w * t * t)):
-                            out[:, c, :, v] += np.bincount(place, what, len(open_) * bins).reshape(-1, bins)
+                        place = s + own[:, c]
+                        for v, what in enumerate((w, wt, wt * t) if c == 0 else (w, wt)):  # the squares are the same in all columns
+                            out[lo:hi, c, :, v] += np.bincount(place, what, (hi - lo) * bins).reshape(-1, bins)
                 return out.ravel()
 
-            sums = summed(data.rows, ["x", "y", "seed", "fold"], add, len(open_) * size).reshape(len(open_), p, bins, 3)
+            sums = summed(data.rows, [*cells, "y", "seed", "fold"], add, len(open_) * size).reshape(len(open_), p, bins, 3)
             next_ = []
             for s, (k, node) in enumerate(open_):
                 group, tree, salt = new[k]
-                n, t, tt = sums[s, 0].sum(0) if p else (0, 0, 0)
+                n, t, _ = sums[s, 0].sum(0) if p else (0, 0, 0)
                 tree.value[node] = t / n if n else 0.0
-                best = None if last or n < 2 * self.least else self._cut(sums[s], salt * 1_000_003 + node, random_cuts)
+                best = None if level == self.depth or n < 2 * self.least else self._cut(sums[s], salt * 1_000_003 + node, random_cuts)
                 if best:
-                    gain, tree.column[node], tree.cut[node] = best
+                    gain, c, cut = best
+                    tree.column[node], tree.cut[node] = c, cut
+                    for child, part in ((2 * node + 1, sums[s, c, : cut + 1]), (2 * node + 2, sums[s, c, cut + 1 :])):  # leaves need no pass
+                        n, t = part[:, :2].sum(0)
+                        tree.value[child] = t / n
                     if group == folds:
-                        self.gains[tree.column[node]] += gain
+                        self.gains[c] += gain
                     next_ += [(k, 2 * node + 1), (k, 2 * node + 2)]
             open_ = next_
             if not open_:
@@ -265,7 +281,7 @@ class Line:
         k, folds, use = len(self.use), data.folds if data.folds > 1 else 0, list(self.use)
 
         def spread(f: pd.DataFrame) -> np.ndarray:
-            v = np.array([list(r) for r in f["v"]], np.float64)[:, use]
+            v = grid(f["v"])[:, use]
             v = v[~np.isnan(f["y"].to_numpy(np.float64))]
             return np.concatenate(((~np.isnan(v)).sum(0), np.nansum(v, 0), np.nansum(v * v, 0)))
 
@@ -276,7 +292,7 @@ class Line:
 
         def add(f: pd.DataFrame) -> np.ndarray:
             y, fold = f["y"].to_numpy(np.float64), f["fold"].to_numpy()
-            one = np.c_[np.ones(len(f)), self.scaled(np.array([list(r) for r in f["v"]], np.float64)), y]
+            one = np.c_[np.ones(len(f)), self.scaled(grid(f["v"])), y]
             return np.stack([one[m].T @ one[m] for m in [*((fold == g) & ~np.isnan(y) for g in range(folds)), ~np.isnan(y)]]).ravel()
 
         each = summed(data.rows, ["v", "y", "fold"], add, (folds + 1) * (k + 2) ** 2).reshape(folds + 1, k + 2, k + 2)
@@ -300,8 +316,8 @@ def told(data: Binned, models: Sequence[Ensemble | Line]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                x = np.array(f["x"].tolist())
-                v = np.array([list(r) for r in f["v"]], np.float64)
+                x = grid(f["x"]).astype(np.int64)
+                v = grid(f["v"])
                 got = [m.outputs(x, f["fold"].to_numpy(), v) for m in models]
                 yield f[[key, "fold"]].assign(actual=f["y"].where(f["y"].notna(), None), whole=list(np.stack([g[0] for g in got], 1)), apart=list(np.stack([g[1] for g in got], 1)))
 
