@@ -22,8 +22,32 @@ def pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def rank_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, rho): Spearman's coefficient, ranks taken within the rows of each pair. Ranks come from counts of
-    distinct values, summed up range by range."""
+    distinct values, summed up range by range. A column without nulls has the same ranks in all its pairs with others
+    like it: those are joined once a column, and one aggregation gives all such pairs."""
     both = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    if not both:
+        return df.sparkSession.createDataFrame([], "a string, b string, n long, rho double")
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    own = df.select(*[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    gaps = own.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names.values()]).first()
+    full = [c for c in columns if not gaps[names[c]]]
+    ranked = own
+    for c in full if len(full) > 1 else ():
+        v = names[c]
+        values = R.below(own.groupBy(v).agg(F.count("*").alias("n")), v, "n")
+        ranked = ranked.join(values.select(v, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{v}")), v)
+    whole = [(a, b) for a, b in both if a in full and b in full]
+    out = []
+    if whole:
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("n"), F.corr(f"r{names[a]}", f"r{names[b]}").alias("rho")) for a, b in whole]
+        out.append(ranked.agg(F.array(*cells).alias("all")).select(F.inline("all")).where("n > 0"))
+    if len(whole) < len(both):
+        out.append(pairs_by_rows(df, [p for p in both if p not in whole]))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def pairs_by_rows(df: DataFrame, both: Sequence[tuple[str, str]]) -> DataFrame:
+    """``rank_pairs`` of columns with nulls: each pair has rows, and so ranks, of its own."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in both])).alias("p")).select("p.*").where("x is not null and y is not null")
     long = rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
     for c in ("x", "y"):
