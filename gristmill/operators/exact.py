@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,42 @@ def finite(c: str) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
-def placed(v: Column, a: float, b: float) -> Column:
-    """Which of RANGES equal ranges from a to b (a < b) the value lies in. Halves keep the width of any two doubles
+def placed(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of RANGES equal ranges from a to b (a < b) each value lies in. Halves keep the width of any two doubles
     finite, and ranges too narrow for doubles fall into the last one, whose bounds are then values themselves."""
     width = b / 2 - a / 2
-    if width < 1e-300:  # subnormal: parted by the bounds alone
-        return F.when(v == F.lit(a), 0).otherwise(RANGES - 1)
-    share = (v / 2 - F.lit(a / 2)) / F.lit(width)
-    return F.when(v == F.lit(a), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(RANGES - 1), F.floor(share * RANGES).cast("int"))))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        share = np.nan_to_num((v / 2 - a / 2) / width * RANGES)
+    place = np.clip(np.floor(share), 1, RANGES - 1).astype(np.int64)
+    place[width < 1e-300] = RANGES - 1  # subnormal: parted by the bounds alone
+    return np.where(v == a, 0, place)
+
+
+def counted(own: DataFrame, spans: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """(i, place, n, a, b): rows, least and greatest value of each range of each span that has any. A column's spans
+    are apart from each other. A task gives each of its ranges once."""
+    of = {c: [i for i, (d, _, _) in enumerate(spans) if d == c] for c in {c for c, _, _ in spans}}  # in rising order
+    low, high = np.array([a for _, a, _ in spans]), np.array([b for _, _, b in spans])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(spans) * RANGES, np.int64)
+        least, most = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+        for f in frames:
+            for c, which in of.items():
+                v = f[c].to_numpy(np.float64)
+                v = v[~np.isnan(v)] + 0.0
+                i = np.array(which)[np.maximum(np.searchsorted(low[which], v, "right") - 1, 0)]
+                in_ = (v >= low[i]) & (v <= high[i])
+                v, i = v[in_], i[in_]
+                at = i * RANGES + placed(v, low[i], high[i])
+                np.add.at(n, at, 1)
+                np.minimum.at(least, at, v)
+                np.maximum.at(most, at, v)
+        there = np.flatnonzero(n)
+        yield pd.DataFrame({"i": there // RANGES, "place": there % RANGES, "n": n[there], "a": least[there], "b": most[there]})
+
+    each = own.select(*of).mapInPandas(run, "i long, place long, n long, a double, b double")
+    return each.groupBy("i", "place").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
@@ -52,15 +82,14 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
             for k in {math.floor(p * (size[c] - 1)), math.ceil(p * (size[c] - 1))}:
                 open_[c, k] = (row[f"a{i}"], row[f"b{i}"], 0)
     while open_ := {t: s for t, s in open_.items() if s[0] != s[1] or found.update({t: s[0]})}:
-        spans = sorted({(c, a, b) for (c, _), (a, b, _) in open_.items()})
-        cells = [F.when(v[c].between(a, b), F.struct(F.lit(i).alias("i"), placed(v[c], a, b).alias("place"), v[c].alias("v"))) for i, (c, a, b) in enumerate(spans)]
-        each = own.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
-        counts = each.groupBy("i", "place").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        spans = sorted({(names[c], a, b) for (c, _), (a, b, _) in open_.items()})
+        counts = counted(own, spans).collect()
         rows: dict[int, list] = {}
         for r in sorted(counts, key=lambda r: (r["i"], r["place"])):
             rows.setdefault(r["i"], []).append(r)
+        at = {s: i for i, s in enumerate(spans)}
         for t, (a, b, below) in open_.items():
-            for r in rows[spans.index((t[0], a, b))]:
+            for r in rows[at[names[t[0]], a, b]]:
                 if t[1] < below + r["n"]:
                     open_[t] = (r["a"], r["b"], below)
                     break

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from gristmill.operators import exact
 from gristmill.operators.exact import medians, quantiles
 
 TINY = 5e-324
@@ -38,3 +39,18 @@ def test_columns_without_numbers(spark):
     df = spark.createDataFrame([(None, float("nan"), 1), (None, float("inf"), 2)], "a double, b double, c int")
     assert quantiles(df, {"a": [0.5], "b": [0.5], "c": [0.5]}) == {"a": [None], "b": [None], "c": [1.5]}
     assert medians(df.limit(0), ["c"]) == {"c": None}
+
+
+def test_many_percentiles_of_many_columns_are_those_of_numpy(spark):
+    r = np.random.default_rng(5)
+    own = {"a": r.normal(size=3000), "b": r.integers(0, 40, 3000).astype(float), "c": np.exp(r.normal(0, 20, 3000))}
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*own.values(), strict=True)], "a double, b double, c double")
+    shares = [k / 32 for k in range(1, 32)]
+    plans = []
+    plain = exact.counted
+    exact.counted = lambda own, spans: plans.append(len(spans)) or plain(own, spans)
+    try:
+        got = quantiles(df, {c: shares for c in own})
+    finally:
+        exact.counted = plain
+    assert all(np.allclose(got[c], np.quantile(v, shares), rtol=1e-12) for c, v in own.items()) and len(plans) > 1
