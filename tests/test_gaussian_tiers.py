@@ -192,3 +192,23 @@ def test_rows_far_from_all_have_great_ratios(spark):
     assert (reach.distance_ratios(df.limit(0), df, "k", ["a", "b"]).toPandas()["ratio"] == 0).all()
     same = spark.createDataFrame([(k, 1.0, 1.0) for k in range(9)], "k long, a double, b double")
     assert (reach.distance_ratios(same, same, "k", ["a", "b"]).toPandas()["ratio"] == 0).all()
+
+
+def test_copies_of_rows_do_not_multiply_the_search(spark, monkeypatch):
+    """Each place is asked once, k + 1 rows of a place are searched, and ratios are those of all rows."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 2)).round(2)
+    x = np.r_[x, x[:30], *[x[:10]] * 20]
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(x)]
+    seen, asked = spark.createDataFrame(rows, "k long, a double, b double"), spark.createDataFrame([*rows[:-40], (998, 0.5, 0.25), (rows[-1][0], 0.1, 0.1)], "k long, a double, b double")
+    met = []
+    init, nearest = reach.MetricIndex.__init__, reach.MetricIndex.nearest
+    monkeypatch.setattr(reach.MetricIndex, "__init__", lambda self, df, *a, **o: (met.append(df.count()), init(self, df, *a, **o))[1])
+    monkeypatch.setattr(reach.MetricIndex, "nearest", lambda self, df, *a, **o: (met.append(df.count()), nearest(self, df, *a, **o))[1])
+    got = reach.distance_ratios(seen, asked, "k", ["a", "b"]).toPandas().set_index("k")["ratio"]
+    assert met == [10 * 6 + 20 * 2 + 30, 62]
+    z = (x - x.mean(0)) / x.std(0)
+    own = {k: (np.array([a, b]) - x.mean(0)) / x.std(0) for k, a, b in [(r["k"], r["a"], r["b"]) for r in asked.collect()]}
+    want = {k: np.sort(np.sqrt(((np.delete(z, k, 0) if k < len(z) else z) - v) ** 2 @ [1, 1]))[4] for k, v in own.items()}
+    scale = want[998] / got[998]
+    assert all(np.isclose(got[k] * scale, want[k]) for k in own) and len(got) == len(own)
