@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators import drawn
 from gristmill.operators import rank as R
 from gristmill.registering import Queries
 from gristmill.session import table
@@ -28,15 +29,11 @@ def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     """Ranks over 1000 normal draws around each score (an interval of 800 is 3.92 deviations wide): median, 5th and
     95th percentile, cut to whole ranks.
 
-    Draws come from arithmetic on the key, so that any engine repeats them; ranks within a draw from ranges of it.
+    Draws come from arithmetic on the key, so that any engine repeats them.
     """
-    draws = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("k"))
-    u = ((F.col("s_suppkey") * 7919 + F.col("k") * 104729) % 10007 + 0.5) / 10007
-    v = ((F.col("s_suppkey") * 15485863 + F.col("k") * 32452843) % 20011 + 0.5) / 20011
-    x = draws.select("s_suppkey", "k", (F.col("s_acctbal") + 800 / 3.92 * F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)).alias("x"))
-    r = R.ranked(x, [F.col("s_suppkey")], "rank", 16, "x", ["k"])
-    cut = lambda p: F.floor(F.percentile("rank", p))
-    return r.groupBy("s_suppkey").agg(cut(0.5).alias("median_rank"), cut(0.05).alias("p5"), cut(0.95).alias("p95"))
+    ranks = drawn.ranks(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 1000, 800 / 3.92)
+    cut = lambda p: F.floor(drawn.percentile("ranks", p))
+    return ranks.select("s_suppkey", cut(0.5).alias("median_rank"), cut(0.05).alias("p5"), cut(0.95).alias("p95"))
 
 
 @queries.add("z_scores", "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev(p_retailprice) OVER (), 5) AS z FROM part")

@@ -2,8 +2,11 @@
 
 import os
 
+import numpy as np
+
 
 from gristmill import catalog
+from gristmill.operators import drawn
 
 DATA = os.environ.get("GRISTMILL_DATA", "/root/testdata/sf0.001")
 
@@ -14,3 +17,25 @@ def plan(df):
 
 def test_conflicts_do_not_multiply_rows(spark):
     assert "Expand" not in plan(catalog.queries()["conflict_samples"](spark, DATA))
+
+
+def test_ranks_of_draws_are_those_of_a_sorted_table(spark, monkeypatch):
+    monkeypatch.setattr(drawn, "RANGE", 8)
+    rows = [(k, float(k * 37 % 50) * 40) for k in range(-3, 60)] + [(7, 12.0), (70, None), (71, float("nan")), (72, 280.0), (20090, 280.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    held, n = drawn.tables(200.0), 30
+    with_key = [r for r in rows if r[0] is not None]
+    keys = np.array([k for k, _ in with_key])
+    x = drawn.draws(keys, np.array([np.inf if v is not None and v != v else np.nan if v is None else v for _, v in with_key]), n, *held)
+    want = {}
+    for j in range(n):
+        order = sorted(range(len(keys)), key=lambda i: (np.isnan(x[i, j]), -x[i, j] if x[i, j] == x[i, j] else 0, keys[i]))
+        for place, i in enumerate(order):
+            want.setdefault(keys[i], []).append(place + 1)
+    got = {r["k"]: r["ranks"] for r in drawn.ranks(df, "k", "v", n, 200.0).collect()}
+    assert got.pop(None) == [len(rows)] * n
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_ranks_of_draws_need_no_window(spark):
+    assert "Window" not in plan(catalog.queries()["rank_stability"](spark, DATA))
