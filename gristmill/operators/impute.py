@@ -122,6 +122,11 @@ def filled(df: DataFrame, key: str, columns: Sequence[str], k: int = 2) -> DataF
     whose predictors are all observed in its row; without one it takes the column's median with the column's
     variance. A column without any value stays null.
     """
+    return df.select(key, F.inline(F.array(*told(df, columns, k))))
+
+
+def told(df: DataFrame, columns: Sequence[str], k: int = 2) -> list[Column]:
+    """Each column's cell as ``filled`` gives it: (column, value, sigma2, origin)."""
     models = fitted(df, columns, k)
     stats = df.agg(*[F.variance(c).alias(c) for c in columns]).first()
     middle = medians(df, columns)
@@ -135,7 +140,7 @@ def filled(df: DataFrame, key: str, columns: Sequence[str], k: int = 2) -> DataF
             origin = F.when(usable, "+".join(model.predictors)).otherwise(origin)
         there = F.col(c).isNotNull()
         cells.append(F.struct(F.lit(c).alias("column"), F.when(there, F.col(c).cast("double")).otherwise(value).alias("value"), F.when(there, 0.0).otherwise(sigma2).alias("sigma2"), F.when(there, "observed").otherwise(origin).alias("origin")))
-    return df.select(key, F.inline(F.array(*cells)))
+    return cells
 
 
 def trajectory(cells: DataFrame, key: str) -> DataFrame:
@@ -172,13 +177,13 @@ def coherent(cells: DataFrame, key: str, columns: Sequence[str], rank: int, stre
 
 def held_out_errors(df: DataFrame, key: str, columns: Sequence[str], folds: int = 4, k: int = 2) -> DataFrame:
     """(column, n, mae, rmse, coverage): observed cells masked fold by fold (by a hash of key and column) and filled
-    from the others."""
+    from the others. A masked cell's own value stands in its row, so that nothing is joined."""
     out = None
     for f in range(folds):
         fold = lambda c: F.pmod(F.xxhash64(key, F.lit(c)), F.lit(folds)) == f  # noqa: E731, B023
-        masked = df.select(key, *[F.when(~fold(c), F.col(c)).alias(c) for c in columns])
-        truth = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(fold(c), F.col(c).cast("double")).alias("actual")) for c in columns]))).where("actual is not null")
-        part = filled(masked, key, columns, k).join(truth, [key, "column"])
+        masked = df.select(*[F.when(~fold(c), F.col(c)).alias(c) for c in columns], *[F.when(fold(c), F.col(c).cast("double")).alias(f"actual__{c}") for c in columns])
+        cells = told(masked, columns, k)
+        part = masked.select(F.inline(F.array(*[F.struct(x["column"].alias("column"), F.col(f"actual__{c}").alias("actual"), x["value"].alias("value"), x["sigma2"].alias("sigma2")) for c, x in zip(columns, cells, strict=True)]))).where("actual is not null")
         out = part if out is None else out.unionByName(part)
     e = F.abs(F.col("actual") - F.col("value"))
     return out.groupBy("column").agg(F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((e <= 1.96 * F.sqrt("sigma2")).cast("int")).alias("coverage"))

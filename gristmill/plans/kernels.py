@@ -10,17 +10,19 @@ from gristmill.operators.exact import medians, quantiles
 from gristmill.plans.cleaning import MATRIX, TYPES, user_days
 from gristmill.registering import Queries
 from gristmill.session import table
+from gristmill.tables import stored
 
 queries = Queries()
 
 
 def sparse_parts(spark: SparkSession, d: str) -> DataFrame:
-    """A numeric matrix with gaps by rule: mean line values by part, related columns, a fifth of the cells missing."""
+    """A numeric matrix with gaps by rule: mean line values by part, related columns, a fifth of the cells missing.
+    It is stored, since fits go over it many times."""
     lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("e"), F.avg("l_discount").alias("s"))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("p"))
     own = lines.join(part, "k").select("k", "q", "e", "p", (F.col("e") + 300 * F.col("q") + 5000 * F.col("s")).alias("x"))
     gap = lambda c, n: F.when(F.pmod(F.col("k") * 31 + n * 17, F.lit(5)) != 0, F.col(c)).alias(c)
-    return own.select("k", *[gap(c, n) for n, c in enumerate(("q", "e", "p", "x"))])
+    return stored(own.select("k", *[gap(c, n) for n, c in enumerate(("q", "e", "p", "x"))]), "sparse-parts")
 
 
 @queries.add(

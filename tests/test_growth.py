@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 from gristmill import catalog
-from gristmill.operators import drawn, predict
+from gristmill.operators import drawn, impute, predict
 from gristmill.operators.metric import MetricIndex
+from gristmill.plans import kernels
 
 DATA = os.environ.get("GRISTMILL_DATA", "/root/testdata/sf0.001")
 
@@ -58,3 +59,22 @@ def test_local_fits_come_in_batches(spark):
     got = predict.local_predictions(df, df, "k", ["a", "b"], "y")
     assert plan(got).startswith("MapInPandas") and got.count() == 60
     assert "MapInPandas" not in plan(predict.out_of_fold(df, "k", ["a", "b"], "y"))  # it is told once, however often it is read
+
+
+def test_held_out_errors_join_nothing(spark):
+    rows = [(k, *[None if (k * 7 + c) % 5 == 0 else float((k * (c + 3)) % 17 + k % 3 * c) for c in range(3)]) for k in range(120)]
+    df, columns = spark.createDataFrame(rows, "k long, a double, b double, c double"), ["a", "b", "c"]
+    got = impute.held_out_errors(df, "k", columns, folds=2)
+    assert "Join" not in plan(got)
+    errors = {c: [] for c in columns}
+    for f in range(2):
+        fold = lambda c: F.pmod(F.xxhash64("k", F.lit(c)), F.lit(2)) == f  # noqa: E731, B023
+        cells = impute.filled(df.select("k", *[F.when(~fold(c), F.col(c)).alias(c) for c in columns]), "k", columns)
+        value = {(r["k"], r["column"]): r["value"] for r in cells.collect()}
+        for c in columns:
+            errors[c] += [abs(r[c] - value[r["k"], c]) for r in df.where(fold(c) & F.col(c).isNotNull()).collect()]
+    assert {r["column"]: (r["n"], round(r["mae"], 9)) for r in got.collect()} == {c: (len(e), round(sum(e) / len(e), 9)) for c, e in errors.items()}
+
+
+def test_sparse_parts_are_stored(spark):
+    assert "Aggregate" not in plan(kernels.sparse_parts(spark, DATA))
