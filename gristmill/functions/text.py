@@ -90,13 +90,23 @@ def many_counters(text: Column) -> dict[str, Column]:
     }
 
 
-def word_rates(text: Column) -> dict[str, Column]:
-    """Seventeen numbers of a text's shape: lengths, and rates by word, hundred words, thousand words and sentence."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+def rate_parts(text: Column) -> dict[str, Column]:
+    """What several of ``word_rates`` rest on: selected first, each is found once a text."""
+    return {
+        "found": F.regexp_extract_all(text, F.lit(r"(?U)\b\w+\b"), F.lit(0)),
+        "ends": matches(text, r"[.!?]+"),
+        "bolds": matches(text, r"\*\*\S(?:.*?\S)??\*\*"),
+    }
+
+
+def word_rates(text: Column, parts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Seventeen numbers of a text's shape: lengths, and rates by word, hundred words, thousand words and sentence.
+    ``parts``: columns that hold ``rate_parts`` of the text."""
+    parts = parts or rate_parts(text)
+    found, bold = parts["found"], parts["bolds"]
     n = F.size(found).cast("double")
-    sentences = F.greatest(F.lit(1), matches(text, r"[.!?]+") + 1).cast("double")
+    sentences = F.greatest(F.lit(1), parts["ends"] + 1).cast("double")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    bold = matches(text, r"\*\*\S(?:.*?\S)??\*\*")
     among = lambda words_: F.size(F.filter(found, lambda w: F.lower(w).isin(*words_)))
     per = lambda x, unit: F.when(n > 0, x * unit / n).otherwise(0.0)
     return {

@@ -50,7 +50,8 @@ RATES = {
 
 @queries.add("shape_rates", f"WITH b AS (SELECT doc_id, text, {W} AS w, len({W})::DOUBLE AS n, greatest(1, {n_sql('[.!?]+')} + 1)::DOUBLE AS s FROM documents) SELECT doc_id, " + ", ".join(f"round(({x})::DOUBLE, 6) AS {k}" for k, x in RATES.items()) + " FROM b")
 def shape_rates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *[F.round(c, 6).alias(k) for k, c in T.word_rates(F.col("text")).items()])
+    own = table(spark, d, "documents").select("doc_id", "text", *[c.alias(k) for k, c in T.rate_parts(F.col("text")).items()])
+    return own.select("doc_id", *[F.round(c, 6).alias(k) for k, c in T.word_rates(F.col("text"), {k: F.col(k) for k in own.columns[2:]}).items()])
 
 
 B = f"({o_sql('**')} // 2)"

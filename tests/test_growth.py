@@ -78,3 +78,7 @@ def test_held_out_errors_join_nothing(spark):
 
 def test_sparse_parts_are_stored(spark):
     assert "Aggregate" not in plan(kernels.sparse_parts(spark, DATA))
+
+
+def test_words_of_rates_are_found_once(spark):
+    assert plan(catalog.queries()["shape_rates"](spark, DATA)).count(r"\b\w+\b") == 1
