@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +32,42 @@ def summed(rows: DataFrame, columns: Sequence[str], add: Callable[[pd.DataFrame]
                 total += add(f)
         yield pd.DataFrame({"sums": [total]})
 
-    each = rows.select(*columns).mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v")).where("v != 0")
+    return added(rows.select(*columns).mapInPandas(run, "sums array<double>"), size)
+
+
+def added(each: DataFrame, size: int) -> np.ndarray:
+    """The tasks' arrays ``sums``, summed by place."""
     out = np.zeros(size)
-    for at, v in each.groupBy("at").agg(F.sum("v")).collect():
+    for at, v in each.select(F.posexplode("sums").alias("at", "v")).where("v != 0").groupBy("at").agg(F.sum("v")).collect():
         out[at] = v
     return out
 
 
+def array_sums(rows: DataFrame, columns: Sequence[str], add: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """``summed`` for columns of numbers and of arrays of one length: ``add`` gets them as numpy arrays, straight from
+    Arrow, without an object a row."""
+
+    def numbers(v: pa.Array) -> np.ndarray:
+        return np.array(v.flatten(), np.float64).reshape(len(v), -1) if pa.types.is_list(v.type) else np.array(v.to_numpy(zero_copy_only=False), np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += add(*[numbers(v) for v in b.columns])
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return added(rows.select(*columns).mapInArrow(run, "sums array<double>"), size)
+
+
 def totals(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """``summed`` over rows (x, y), as arrays."""
-    return summed(rows, ["x", "y"], lambda f: add(*arrays(f)), size)
+    return array_sums(rows, ["x", "y"], add, size)
 
 
 def arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """x (a row each, nan where a cell is missing) and y (nan where there is no target)."""
-    return np.array([list(v) for v in f["x"]], np.float64), f["y"].to_numpy(np.float64)
+    return np.stack(f["x"].to_numpy()).astype(np.float64, copy=False), f["y"].to_numpy(np.float64)
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from gristmill import catalog
-from gristmill.operators import drawn, impute, predict
+from gristmill.operators import bank, drawn, impute, latent, predict
 from gristmill.operators.metric import MetricIndex
 from gristmill.plans import kernels
 
@@ -82,3 +82,12 @@ def test_sparse_parts_are_stored(spark):
 
 def test_words_of_rates_are_found_once(spark):
     assert plan(catalog.queries()["shape_rates"](spark, DATA)).count(r"\b\w+\b") == 1
+
+
+def test_sums_over_arrays_come_straight_from_arrow(spark, monkeypatch):
+    """No pass over a matrix makes an object a row."""
+    df = spark.createDataFrame([(k, [float(k), float("nan") if k % 3 else 2.0], None if k % 2 else 1.0) for k in range(50)], "k long, x array<double>, y double").repartition(3)
+    monkeypatch.setattr(type(df), "mapInPandas", None)
+    got = latent.totals(df, lambda x, y: np.array([*np.nansum(x, 0), np.nansum(y), len(x), x.shape[1] * (len(x) > 0)]), 5)
+    assert got[:4].tolist() == [1225.0, 34.0, 25.0, 50.0]
+    assert bank.Wide(df.selectExpr("double(k) AS a", "y"), ["a", "y"]).sums(lambda x: np.nansum(x, 0), 2).tolist() == [1225.0, 25.0]
