@@ -40,12 +40,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+#: For rows of megabytes: Parquet's writer looks at its buffers after each row and not after a hundred, so that a task
+#: holds some megabytes (or one row) when it writes and when it reads again.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def stored(df: DataFrame, name: str, codec: str | None = None, large_rows: bool = False) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: its lineage ends there, so lost
     executors cost no recomputation beyond that table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path, compression=codec)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -28,6 +28,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Characters of a shard; a longer document is a shard of its own.
 SHARD_CHARACTERS = 3_000_000
+#: Windows that are looked for at once: a worker's memory does not grow with the block's.
+ASKED = 1 << 16
 #: Words are runs of digits, a-z and characters beyond ASCII; A-Z is lower-cased before.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -75,28 +77,40 @@ class ItemBlock:
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.names = [i for i, _ in items]
-        by_window: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for n, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1)) if ids else ():
-                by_window.setdefault(tuple(ids[k : k + window]), []).append((n, k))
+        number = {name: k for k, name in enumerate(sorted(set(self.names)))}
+        of_item = np.array([number[i] for i in self.names], np.int64)
+        own = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32) for _, text in items]
         #: marks and names of the distinct lists of items that own a window; per length the list of each window
         self.marks: list[str] = []
         self.lists: list[list[str]] = []
         self.list_of: dict[int, np.ndarray] = {}
         #: per length of a window: its windows as rows of numbers, and how many owners (item, place) each has
         self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        numbers: dict[tuple[str, ...], int] = {}
-        for length in sorted({len(w) for w in by_window}):
-            own = [w for w in by_window if len(w) == length]
-            counts = np.array([len(by_window[w]) for w in own], np.int64)
-            owners = np.array([o for w in own for o in by_window[w]], np.int64).reshape(-1, 2)
-            self.windows.append((length, np.array(own, np.int64), np.concatenate(([0], np.cumsum(counts))), owners))
-            names = [tuple(sorted({self.names[n] for n, _ in by_window[w]})) for w in own]
-            self.list_of[length] = np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int64)
+        numbers: dict[tuple[int, ...], int] = {}
+        for length in sorted({min(len(x), window) for x in own} - {0}):
+            which = [n for n, x in enumerate(own) if len(x) == length or len(x) > length == window]
+            counts = [len(own[n]) - length + 1 for n in which]
+            owners = np.stack([np.repeat(np.array(which, np.int32), counts), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])], 1)
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(own[n], length) for n in which])
+            order = np.lexsort(rows.T[::-1])
+            rows, owners = rows[order], owners[order]
+            new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))
+            first = np.flatnonzero(new)
+            self.windows.append((length, rows[first], np.append(first, len(rows)), owners))
+            # Distinct items of each window; most have one, only the others are gone through one by one.
+            held = np.unique((np.cumsum(new) - 1) * len(number) + of_item[owners[:, 0]])
+            window_of, item_of = np.divmod(held, len(number))
+            begin = np.searchsorted(window_of, np.arange(len(first) + 1))
+            single, lists = np.diff(begin) == 1, np.zeros(len(first), np.int64)
+            names, at = np.unique(item_of[begin[:-1][single]], return_inverse=True)
+            lists[single] = np.array([numbers.setdefault((k,), len(numbers)) for k in names.tolist()], np.int64)[at]
+            for w in np.flatnonzero(~single).tolist():
+                lists[w] = numbers.setdefault(tuple(item_of[begin[w] : begin[w + 1]].tolist()), len(numbers))
+            self.list_of[length] = lists
+        names = sorted(number)
         for x in numbers:
-            self.lists.append(list(x))
-            self.marks.append(hashlib.sha256("".join(f"{len(i)}:{i}" for i in x).encode("utf-8", "surrogatepass")).hexdigest()[:32])
+            self.lists.append([names[k] for k in x])
+            self.marks.append(hashlib.sha256("".join(f"{len(i)}:{i}" for i in self.lists[-1]).encode("utf-8", "surrogatepass")).hexdigest()[:32])
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +162,23 @@ class Shard:
             high[open_] = np.where(less, high[open_], mid)
         return low
 
+    def _met(self, own: np.ndarray, windows: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Those of the windows from a to b that are there, with the bounds of their suffixes: three rows of numbers."""
+        queries = own[windows[a:b]]
+        asked = np.flatnonzero((queries >= 0).all(1))
+        low = self._bound(queries[asked], False)
+        begins = self.suffixes[np.minimum(low, len(self.suffixes) - 1)]
+        there = (low < len(self.suffixes)) & (self.ids[np.minimum(begins[:, None] + np.arange(windows.shape[1]), len(self.ids) - 1)] == queries[asked]).all(1)
+        asked, low = asked[there], low[there]
+        return np.stack([a + asked, low, self._bound(queries[asked], True)])
+
     def found(self, block: ItemBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Per window length: the length, the places of windows, the window of each place, and the windows' owners."""
         own = np.array([self.numbers.get(w, -1) for w in block.vocabulary], np.int64)
         for length, windows, first_owner, owners in block.windows:
-            queries = own[windows]
-            asked = np.flatnonzero((queries >= 0).all(1)) if len(self.ids) >= length else np.zeros(0, np.int64)
-            low = self._bound(queries[asked], False)
-            begins = self.suffixes[np.minimum(low, len(self.suffixes) - 1)] if len(low) else low
-            there = (low < len(self.suffixes)) & (self.ids[np.minimum(begins[:, None] + np.arange(length), len(self.ids) - 1)] == queries[asked]).all(1) if len(low) else np.zeros(0, bool)
-            asked, low = asked[there], low[there]
-            which, at = spread(low, self._bound(queries[asked], True) - low)
+            parts = [self._met(own, windows, a, min(a + ASKED, len(windows))) for a in range(0, len(windows), ASKED)] if len(self.ids) >= length else []
+            asked, low, high = np.concatenate([np.zeros((3, 0), np.int64), *parts], axis=1)
+            which, at = spread(low, high - low)
             yield length, self.suffixes[at].astype(np.int64), asked[which], first_owner, owners
 
     def document(self, places: np.ndarray) -> np.ndarray:
@@ -191,7 +211,7 @@ def suffix_index(docs: DataFrame) -> DataFrame:
         return pd.DataFrame([shard.row(ids, [int(r) for _, r, _ in held], lengths)], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     own = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), row_mark(F.col("text")).alias("row"), "text")
-    return stored(own.mapInPandas(run, INDEX), "suffix-arrays")
+    return stored(own.mapInPandas(run, INDEX), "suffix-arrays", large_rows=True)
 
 
 def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[ItemBlock]:

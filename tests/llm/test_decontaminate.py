@@ -1,8 +1,11 @@
+import glob
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from gristmill.llm import decontaminate
 from tests.llm.fixtures import WORDS, frame, odd_texts, prose, split_words
@@ -129,3 +132,32 @@ def test_a_stem_that_all_items_share_is_one_list(spark):
     assert all(got[k] == (1500, sha(all_)) for k in range(600))
     assert got[600] == (1, sha(["other"])) and got[601] == (1501, sha([*all_, "other"])) and got[602] == (1, sha(["short"]))
     assert got[603] == got[604] == (0, sha([]))
+
+
+def test_row_groups_of_the_index_are_bounded(spark, monkeypatch):
+    """24 shards of one task, 17 MB in all: the writer and the readers hold some 8 MB of them at once."""
+    monkeypatch.setattr(decontaminate, "SHARD_CHARACTERS", 1)
+    r = random.Random(4)
+    docs = frame(spark, [" ".join(str(r.randrange(10**6)) for _ in range(60_000)) for _ in range(24)]).coalesce(1)
+    (path,) = glob.glob(f"{decontaminate.suffix_index(docs).stored_at.removeprefix('file:')}/*.parquet")
+    groups = [pq.read_metadata(path).row_group(k) for k in range(pq.read_metadata(path).num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24
+    assert sum(g.total_byte_size for g in groups) > 15 << 20
+    assert max(g.total_byte_size for g in groups) < 10 << 20
+
+
+def test_windows_are_looked_for_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "ASKED", 1000, raising=False)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(2000)]
+    items = [(f"i{k}", " ".join(r.choices(words, k=40))) for k in range(3000)]
+    texts = [" ".join(r.choices(words, k=300)) + (" " + items[k][1] if k % 2 else "") for k in range(40)]
+    block, (shard, lengths) = decontaminate.ItemBlock(items), decontaminate.Shard.build(texts)
+    tracemalloc.start()
+    got = decontaminate.hits(shard, block, np.arange(40), np.zeros(40, np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20  # 93 000 windows of ten numbers are 7 MB
+    names = dict(zip(block.marks, block.lists, strict=True))
+    assert {d: {n for m in lists for n in names[m]} for d, _, _, lists in got} == {k: {f"i{k}"} for k in range(1, 40, 2)}
+    assert all(spans[-1] == {"a": 300, "b": 340} for _, _, spans, _ in got)
