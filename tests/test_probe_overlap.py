@@ -84,3 +84,21 @@ def test_equal_sets_meet_the_others_once(spark, monkeypatch, part, copies):
     assert sorted(got) == [(a, b, len(sets[a] & sets[b])) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 3]
     classes = overlap.classes_of(overlap.prefixes(rows, "k", "item", 3), "k")
     assert classes.count() == len({frozenset(s) for s in kinds if len(s) >= 3})
+
+
+def test_sets_are_not_sent_more_often_when_there_are_more(spark, monkeypatch):
+    """Six times the sets meet in as many parts, in pieces of four; keys may be strings."""
+    monkeypatch.setattr(overlap, "PART", 2)
+    monkeypatch.setattr(overlap, "MOST_PARTS", 2)
+    told, met = [], overlap.met
+    monkeypatch.setattr(overlap, "met", lambda classes, least, parts: told.append(parts) or met(classes, least, parts))
+    r = np.random.default_rng(9)
+    for n in (40, 240):
+        sets = {f"k{k:03}": set(r.choice(12, r.integers(5, 9), replace=False).tolist()) for k in range(n)}
+        rows = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "k string, item long")
+        got = sorted(tuple(v) for v in overlap.overlapping(rows, "k", "item", 2).select("left_id", "right_id", "shared").collect())
+        assert got == [(a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 2]
+    assert told == [4, 4]
+    monkeypatch.undo()
+    assert overlap.parts_of(90_000, 5_000_000) == overlap.parts_of(540_000, 30_000_000) == 48
+    assert 10**8 / overlap.parts_of(10**8, 10**9) <= 1 << 15 and 10**9 / overlap.parts_of(1000, 10**9) <= 1 << 23
