@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,14 @@ def mean(value: str) -> Column:
     return F.when(as_told, F.try_divide(F.sum(exact).cast("double"), F.count(value))).otherwise(F.avg(value))
 
 
+def mean_in_order(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
+    """(by, value): the mean of each group, summed up as doubles in the order of ``order``, which is what one thread
+    gives that reads the rows so. A bound right at a mean then parts the same groups. Running sums hold no group whole."""
+    rows = Window.partitionBy(*by).orderBy(order, value)
+    running = df.select(*by, value, F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("__sum"), F.row_number().over(rows).alias("__place"))
+    return running.groupBy(*by).agg(F.try_divide(F.max_by("__sum", "__place"), F.count(value)).alias(value))
+
+
 def in_order(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """(by, name): the few values of each group in rising order, whose sums then do not depend on that of the rows."""
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))

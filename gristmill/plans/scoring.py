@@ -67,9 +67,9 @@ def question_pivot(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, round(avg(x), 9) AS mean, round(avg(x) * 12, 8) AS combined, round(stddev(x), 9) AS sd, round(min(x), 9) AS least, round(avg((x > 50)::INT), 6) AS above, round(stddev(x) / avg(x), 9) AS variation FROM q GROUP BY 1""",
 )
 def row_statistics(spark: SparkSession, d: str) -> DataFrame:
-    q = answers(spark, d).groupBy("model", "question").agg(S.mean("value").alias("v"))
+    q = S.mean_in_order(answers(spark, d), ["model", "question"], "value", "event_id")
     x = F.col("x")
-    own = S.in_order(q, ["model"], "v", "x").withColumns(dict(zip(("m", "s"), S.moments(x), strict=True)))
+    own = S.in_order(q, ["model"], "value", "x").withColumns(dict(zip(("m", "s"), S.moments(x), strict=True)))
     above = F.try_divide(F.size(F.filter(x, lambda v: v > 50)), F.size(x))
     return own.select("model", F.round("m", 9).alias("mean"), F.round(F.col("m") * 12, 8).alias("combined"), F.round("s", 9).alias("sd"), F.round(F.array_min(x), 9).alias("least"), F.round(above, 6).alias("above"), F.round(F.try_divide("s", "m"), 9).alias("variation"))
 
