@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gristmill.operators.correlate import both_ways, pairs, rank_pairs
 from gristmill.operators.exact import medians, quantiles
 from gristmill.operators.impute import LEAST, MAX_LEVERAGE, Linear, square, together
-from gristmill.operators.latent import array_sums
+from gristmill.operators.latent import array_sums as summed
 from gristmill.tables import stored
 
 #: Predictors of a model at most, and the share by which another one must lower the squared error.
@@ -40,7 +40,7 @@ class Wide:
         self.rows = stored(df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns]).alias("x")), "bank-rows")
 
     def sums(self, add: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-        return array_sums(self.rows, ["x"], add, size) if size else np.zeros(0)
+        return summed(self.rows, ["x"], add, size) if size else np.zeros(0)
 
     def numbers(self, columns: Sequence[str]) -> list[int]:
         return [self.at[c] for c in columns]
